@@ -11,6 +11,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm.warc import archive_round_trip
+
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm.mixing import mix_documents
+
+    return mix_documents(_table(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm.sharding import shard_documents
+
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plotline.llm.toxicity import classify_toxicity
 
@@ -29,6 +53,12 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm.topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
