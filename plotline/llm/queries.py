@@ -41,6 +41,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm.ngram_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plotline.llm.quality import classify_quality
 
