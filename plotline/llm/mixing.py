@@ -12,7 +12,9 @@ ride along in ``row``, whatever their names. Seeds and orders are fixed, so reru
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 from math import gcd
 
 import numpy as np
@@ -33,6 +35,25 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def take_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word (the whole text if it has no more)."""
+
+    @F.pandas_udf("string")
+    def f(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        word = re.compile(WORD)
+        for texts, counts in batches:
+            out = []
+            for t, k in zip(texts, counts, strict=True):
+                end = None
+                if t is not None and k is not None:
+                    m = next(islice(word.finditer(t), max(int(k) - 1, 0), None), None)
+                    end = m.end() if m and k > 0 else (0 if k <= 0 else len(t))
+                out.append(t if end is None else t[:end])
+            yield pd.Series(out, dtype="object")
+
+    return f(text, n)
+
+
 def split_tree(counts: np.ndarray, seats: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """(len(seats), len(counts)): an exact division of ``counts`` blocks among shards that take ``seats`` blocks each."""
     if len(seats) == 1:

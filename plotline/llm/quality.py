@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotline.llm._text import IS_WORD, chunks, owners, per_doc, span_hash, spans, words
+from plotline.session import stored
 
 STATISTICS = (
     "words", "word_length", "word_length_sd", "punctuation", "symbols", "digits", "upper", "no_letter", "distinct", "top_word",
@@ -178,6 +179,6 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     """doc_id, held_out, score, predicted for every row of ``docs``, learnt from ``labels`` (doc_id, quality) outside the
     held-out fold."""
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(~is_held_out())
-    stats = document_statistics(docs)
+    stats, _ = stored(document_statistics(docs), "stats")
     model = train(stats, taught)
     return score(stats, model).select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
