@@ -6,7 +6,7 @@ A document is the set of its distinct five-word shingles as sorted 64-bit hashes
    *prefix* is its rarest n - ceil(0.8 n) + 1 shingles, and sets that link share one of them whatever the order.
 2. Equal sets are one class. A tile is the classes of one size band (factor 1.25; linked sizes lie in the same or neighbouring
    bands) that share a prefix shingle. Shingles that occur once make no tile.
-3. In tiles of rare shingles all pairs are candidates; in tiles of frequent ones each class first meets a few pivots.
+3. In tiles of rare shingles all pairs of fitting sizes are candidates; in tiles of frequent ones each class first meets a few pivots.
 4. Parity bitmaps of the hashed sets: differing bits bound the overlap from above; most false candidates end here.
 5. Sets of the classes left are built again from the texts and intersected exactly.
 6. Frequent tiles whose classes are not yet all connected then give all pairs of classes in different components, through 4 and 5.
@@ -34,6 +34,7 @@ from plotline.session import cut, forget, stored
 SIZE = 5
 THRESHOLD = (4, 5)
 SLOT_BITS, RANGE_BITS = 26, 18
+#: Bits of the smallest signature; sets of more shingles get the next power of two that is no smaller than their size.
 BITMAP = 512
 PIVOTS = 3
 _MULTIPLIERS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -65,6 +66,12 @@ def _class(x: np.ndarray) -> int:
     return int(splitmix(np.array([splitmix(x ^ U(0xB5297A4D3F84D5B5)).sum(dtype=U) + U(len(x))]))[0].astype(np.int64))
 
 
+def _parity(x: np.ndarray) -> np.ndarray:
+    """Bit i is the parity of the hashes that fall on i, so the bits where two signatures differ count against their overlap."""
+    size = max(BITMAP, 1 << (len(x) - 1).bit_length())
+    return np.packbits(np.bincount((x & U(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).view(np.int64)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -134,7 +141,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     some, its = x[lev > 0], lev[lev > 0]
                     hot = some[np.lexsort((some, its))][: length - len(cold)]
                 names.append(_class(x) if n else None)
-                bits.append(np.packbits(np.bincount((x & U(BITMAP - 1)).astype(np.int64), minlength=BITMAP).astype(np.uint8) & 1).view(np.int64))
+                bits.append(_parity(x))
                 rare.append(cold.view(np.int64))
                 common.append(hot.view(np.int64))
             longs = lambda a: pa.ListArray.from_arrays(np.cumsum([0, *map(len, a)]).astype(np.int32), pa.array(np.concatenate(a) if a else np.empty(0, np.int64)))
@@ -143,6 +150,11 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, n long, class long, bits array<long>, rare array<long>, common array<long>")
 
 
+def _band(n: Column) -> Column:
+    """Size bands of factor 5/4."""
+    return F.floor(F.log(1.25, n) + 1e-9).cast("int")
+
+
 def _fits(na: Column, nb: Column) -> Column:
     """Sizes that can reach the threshold."""
     return F.least(na, nb) * THRESHOLD[1] >= F.greatest(na, nb) * THRESHOLD[0]
@@ -152,7 +164,14 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose bitmaps allow a link: |A ^ B| >= differing bits, and a link needs |A ^ B| <= (|A| + |B|) / 9."""
     x = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     y = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    differ = F.aggregate(F.zip_with("xa", "xb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    xor = lambda p, q: F.zip_with(p, q, lambda u, v: u.bitwiseXOR(v))
+
+    def folded(p: Column, q: Column) -> Column:
+        """p with its halves laid over each other if q is shorter: sizes within a band's factor differ by one doubling at most."""
+        half = F.size(q)
+        return F.when(F.size(p) > half, xor(F.slice(p, F.lit(1), half), F.slice(p, half + 1, half))).otherwise(p)
+
+    differ = F.aggregate(xor(folded(F.col("xa"), F.col("xb")), folded(F.col("xb"), F.col("xa"))), F.lit(0), lambda s, v: s + F.bit_count(v))
     out = pairs.join(x, "a").join(y, "b").where(_fits(F.col("na"), F.col("nb")))
     over = THRESHOLD[0] + THRESHOLD[1]  # overlap * over >= (|A| + |B|) * THRESHOLD[0]
     return out.where(differ * over <= (F.col("na") + F.col("nb")) * (over - 2 * THRESHOLD[0])).select("a", "b")
@@ -170,29 +189,31 @@ def _members(wanted: DataFrame, column: str) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, cls, ids: the sets of the classes in ``wanted`` (class, n, cls), built from the texts of one document each."""
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(_members(wanted, "class")))
+    """class, ids: the sets of the classes in ``wanted`` (class, least_doc), built from their documents with the least ids.
+
+    Membership bitmaps of both columns let some unwanted sets through; the join with the pairs drops them."""
+    tables = [np.packbits(_members(wanted, c)) for c in ("class", "least_doc")]
+    held = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(held.value)
+        classes, ids = map(np.unpackbits, held.value)
         seen: set[int] = set()
-        for _, data, off in chunks(batches, "text"):
+        for rows, data, off in chunks(batches, "text"):
             names, sets = [], []
-            for x in shingle_sets(data, off):
-                if len(x) and bits[(c := _class(x)) % (1 << 24)] and c not in seen:
+            for doc, x in zip(rows.column("doc_id").to_pylist(), shingle_sets(data, off), strict=True):
+                if len(x) and (doc is None or ids[doc % (1 << 24)]) and classes[(c := _class(x)) % (1 << 24)] and c not in seen:
                     seen.add(c)
                     names.append(c)
                     sets.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["class", "ids"])
 
-    found = _texts(docs).mapInArrow(run, "class long, ids binary")
-    return found.join(wanted.select("class", "cls"), "class").dropDuplicates(["cls"]).select("cls", "ids")
+    return _texts(docs).mapInArrow(run, "class long, ids binary")
 
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that really link."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = cut(classes.join(named, "cls").select("class", "cls"))
+    wanted = cut(classes.select("class", "cls", "least_doc").join(named, "cls"))
     sets, path = stored(_sets_of(docs, wanted), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,12 +225,21 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
                 ok.append(both * THRESHOLD[1] >= (len(x) + len(y) - both) * THRESHOLD[0])
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("ids").alias("p")), "a").join(sets.select(F.col("cls").alias("b"), F.col("ids").alias("q")), "b")
-    out = cut(both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long"))
+    names = wanted.select("cls", "class")
+    both = pairs.join(names.select(F.col("cls").alias("a"), F.col("class").alias("ka")), "a").join(names.select(F.col("cls").alias("b"), F.col("class").alias("kb")), "b")
+    both = both.join(sets.select(F.col("class").alias("ka"), F.col("ids").alias("p")), "ka").join(sets.select(F.col("class").alias("kb"), F.col("ids").alias("q")), "kb")
+    out = cut(both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long").distinct())
     forget(docs.sparkSession, path)
     return out
 
 
+def _in_rare_tiles(tiles: DataFrame) -> DataFrame:
+    """Distinct pairs a < b that share a rare token, of one band or neighbouring ones and of fitting sizes."""
+    left, right = (tiles.select("token", F.col("cls").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & _fits(F.col("na"), F.col("nb")))
+    return pairs.select("a", "b").distinct()
+
+
 def _in_tiles(tiles: DataFrame, other: Column | None = None) -> DataFrame:
     """Distinct pairs a < b of fitting sizes within tiles and their upper neighbours; ``other``: a further condition."""
     left = tiles.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("tile"), F.col("band").alias("low"), F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
@@ -225,19 +255,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     base, base_path = stored(prefixes(docs, frequency_levels(docs)).withColumn("rid", F.monotonically_increasing_id()), "prefixes")
     some = base.where("n > 0")
     classes = some.groupBy("class", "n").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("least_doc"), F.first("bits").alias("bits"))
-    classes = classes.withColumn("band", F.floor(F.log(1.25, F.col("n")) + 1e-9).cast("int"))
     classes, class_path = stored(classes, "classes")
     members, _ = stored(base.select("rid", "doc_id", "n", "class").join(classes.select("class", "n", "cls"), ["class", "n"], "left").select("rid", "doc_id", "n", "cls"), "members")
     # Tiles: (token, class). Rare tokens that one row has are dropped; the others are joined with their class.
-    rare = some.select(F.explode("rare").alias("token"), "rid")
-    rare = rare.withColumn("rows", F.count("*").over(W.partitionBy("token"))).where("rows > 1").select("token", "rid")
-    common = some.select(F.explode("common").alias("token"), "rid")
-    kinds = rare.withColumn("common", F.lit(False)).unionByName(common.withColumn("common", F.lit(True)))
-    tiles = kinds.join(members.select("rid", "cls"), "rid").select("token", "cls", "common").distinct()
-    tiles, tile_path = stored(tiles.join(classes.select("cls", "n", "band"), "cls").withColumn("comp", F.col("cls")), "tiles")
+    rare = some.select(F.explode("rare").alias("token"), "rid", "n").withColumn("rows", F.count("*").over(W.partitionBy("token"))).where("rows > 1").drop("rows")
+    common = some.select(F.explode("common").alias("token"), "rid", "n")
+    own = members.where("n > 0").select("rid", "cls")
+    tiles, tile_path = stored(rare.withColumn("common", F.lit(False)).unionByName(common.withColumn("common", F.lit(True))).join(own, "rid").select("token", "cls", "n", "common").distinct(), "tiles")
     forget(spark, base_path)
-    all_rare = _in_tiles(tiles.where("NOT common"))
-    stars = tiles.where("common")
+    all_rare = _in_rare_tiles(tiles.where("NOT common"))
+    tiles = tiles.where("common").withColumns({"band": _band(F.col("n")), "comp": F.col("cls")})
+    stars = tiles
     pivots = stars.groupBy("token", "band").agg(*(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", F.lit(r))).alias(f"p{r}") for r in range(PIVOTS)))
     pivots = pivots.select("token", "band", F.explode(F.array(*(f"p{r}" for r in range(PIVOTS)))).alias("p")).select("token", "band", F.col("p.cls").alias("pivot"), F.col("p.n").alias("np"))
     spokes = stars.join(pivots, ["token", "band"]).where((F.col("cls") != F.col("pivot")) & _fits(F.col("n"), F.col("np")))
