@@ -3,7 +3,9 @@
 Documents are tokenised, ended by id 0, and cut into pieces only if they are longer than a sequence; a full piece is a sequence of
 its own. The remaining pieces are packed in rounds over two distributed tables, pieces and gaps. In a round both are sorted by
 size over range partitions; each partition sweeps its rows upwards, and every gap takes the largest piece below it that is
-still free (so every piece meets its successor among the gaps that nearer pieces left over). What stays open in a partition is
+still free (so every piece meets its successor among the gaps that nearer pieces left over), again and again while it has room for
+one of the partition's pieces. The first round does so in lanes that hold all sizes each; in the later ones the partitions divide the whole
+range of sizes, and what stays open in a partition is
 resolved between partitions by rank: the per-partition counts of open pieces and gaps decide which stretch of ranks meets which, and
 equal match numbers are joined. Gaps shrink by what they took, and the next round begins. When a round places nothing or nothing is
 open, as many new sequences are opened as the rest needs at least.
@@ -14,6 +16,7 @@ empty table gives no rows. Other input columns than ``doc_id`` and ``text`` are
 from __future__ import annotations
 
 import base64
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.session import forget, stored
+from plotline.session import cut, forget, stored
 
 CAPACITY = 2048
 END = 0
@@ -72,25 +75,38 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition, sorted by (size, kind): each gap (kind 1) takes the last free piece (kind 0) below it.
+    """Parts (a partition, or a lane of it), each sorted by (size, kind): each gap (kind 1) takes the largest free piece (kind 0) that fits, and goes on with
+    what it has left until nothing in the partition fits.
 
-    Out: part, kind, id, size, mate (the gap of a placed piece, and its size), rank among what stays open of its kind: open gaps
-    in order of their sizes, open pieces from the largest."""
-    part, free_id, free_size = 0, [], []
+    Out: part, kind, id, size and, for a placed piece, its gap's id and room before it (``gap``); a gap that took something with
+    its room left (kind 2); and for what stays open its rank: open gaps in order of their sizes, open pieces from the largest."""
+    part, n_open, free_id, free_size = None, 0, [], []
     got: list[tuple] = []
-    open_gaps: list[tuple] = []
+
+    def close() -> None:
+        got.extend((part, 0, i, s, None, None, r) for r, (i, s) in enumerate(zip(reversed(free_id), reversed(free_size), strict=True)))
+        free_id.clear()
+        free_size.clear()
+
     for b in batches:
         for p, kind, i, size in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "id", "size")), strict=True):
-            part = p
+            if p != part:
+                close()
+                part, n_open = p, 0
             if kind == 0:
                 free_id.append(i)
                 free_size.append(size)
-            elif free_id:
-                got.append((p, 0, free_id.pop(), free_size.pop(), i, size, None))
-            else:
-                open_gaps.append((p, 1, i, size, None, None, len(open_gaps)))
-    got += open_gaps
-    got += [(part, 0, i, s, None, None, r) for r, (i, s) in enumerate(zip(reversed(free_id), reversed(free_size), strict=True))]
+                continue
+            room = size
+            while room and (at := bisect.bisect_right(free_size, room)):
+                got.append((p, 0, free_id.pop(at - 1), piece := free_size.pop(at - 1), i, room, None))
+                room -= piece
+            if room == size:
+                got.append((p, 1, i, size, None, None, n_open))
+                n_open += 1
+            elif room:
+                got.append((p, 2, i, room, None, None, None))
+    close()
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
     cols = list(zip(*got, strict=True)) if got else [[]] * 7
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "kind", "id", "size", "gap_id", "gap", "rank"])
@@ -117,11 +133,12 @@ def _between(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, in
     return out
 
 
-def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """id, sequence_id, offset for ``items`` (id, size), each size below ``capacity``."""
+def best_fit(items: DataFrame, capacity: int = CAPACITY, lane_rows: int = 20_000) -> DataFrame:
+    """id, sequence_id, offset for ``items`` (id, size), each size below ``capacity``. The first round is swept in lanes of about
+    ``lane_rows`` rows of all sizes; all later ones over the whole range of sizes."""
     spark = items.sparkSession
     items, old = stored(items.select("id", "size"), "pieces")
-    placed, gaps, opened = [], None, 0
+    placed, gaps, opened, first = [], None, 0, True
     while True:
         left = items.agg(F.count("*").alias("n"), F.sum("size").alias("s")).first()
         if not left.n:
@@ -132,30 +149,38 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             opened += fresh
             gaps = new
         both = items.select(F.lit(0).alias("kind"), "id", "size").unionByName(gaps.select(F.lit(1).alias("kind"), "id", "size"))
-        order = ["size", "kind", F.xxhash64("id")]  # a piece stands before the gaps of its size
-        both = both.repartitionByRange(*order).sortWithinPartitions(*order)
-        both = both.withColumn("part", F.spark_partition_id())
+        lanes = left.n // lane_rows if first else 0
+        if lanes > 1:  # lanes with all sizes in each, swept side by side
+            both = both.withColumn("part", F.pmod(F.xxhash64("kind", "id"), F.lit(lanes)).cast("int"))
+            both = both.repartition("part").sortWithinPartitions("part", "size", "kind", "id")
+        else:
+            order = ["size", "kind", F.xxhash64("id")]  # a piece stands before the gaps of its size
+            both = both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
         swept, path = stored(both.mapInArrow(_sweep, "part int, kind int, id long, size long, gap_id long, gap long, rank long"), "sweep")
         counts = {r.part: (r.p, r.g) for r in swept.where("rank IS NOT NULL").groupBy("part").agg(F.count_if(F.col("kind") == 0).alias("p"), F.count_if(F.col("kind") == 1).alias("g")).collect()}
-        stretches = _between(counts)
+        stretches = _between(counts) if lanes <= 1 else []
         here = swept.where("gap_id IS NOT NULL").select("id", "size", "gap_id", "gap")
+        left_over = swept.where("kind = 2" if lanes <= 1 else "kind > 0").select("id", "size")
         open_rows = swept.where("rank IS NOT NULL")
         if stretches:  # at most two for each partition: bounded by the number of partitions
             s = F.broadcast(spark.createDataFrame(stretches, "number long, g_part int, g_rank long, p_part int, p_rank long, n long"))
-            wide = open_rows.join(s, ((F.col("kind") == 1) & (F.col("part") == F.col("g_part")) & F.col("rank").between(F.col("g_rank"), F.col("g_rank") + F.col("n") - 1)) | ((F.col("kind") == 0) & (F.col("part") == F.col("p_part")) & F.col("rank").between(F.col("p_rank"), F.col("p_rank") + F.col("n") - 1)), "left")
-            number = F.col("number") + F.col("rank") - F.when(F.col("kind") == 1, F.col("g_rank")).otherwise(F.col("p_rank"))
-            wide = wide.select("kind", "id", "size", number.alias("number"))
-            pairs = wide.where("number IS NOT NULL").groupBy("number").agg(*(F.max(F.when(F.col("kind") == k, F.col(c))).alias(a) for k, c, a in ((0, "id", "id"), (0, "size", "size"), (1, "id", "gap_id"), (1, "size", "gap"))))
+            at = lambda k: (F.col("part") == F.col(f"{k}_part")) & (F.col("rank") >= F.col(f"{k}_rank")) & (F.col("rank") < F.col(f"{k}_rank") + F.col("n"))
+            wide = open_rows.where("kind = 0").join(s, at("p"), "left").select("kind", "id", "size", (F.col("number") + F.col("rank") - F.col("p_rank")).alias("number"))
+            takers = open_rows.where("kind = 1").join(s, at("g")).select(F.col("id").alias("gap_id"), F.col("size").alias("gap"), (F.col("number") + F.col("rank") - F.col("g_rank")).alias("number"))
+            pairs = wide.join(takers, "number")
+            pairs = cut(pairs)
             here = here.unionByName(pairs.select("id", "size", "gap_id", "gap"))
+            left_over = left_over.unionByName(pairs.where("gap > size").select(F.col("gap_id").alias("id"), (F.col("gap") - F.col("size")).alias("size")))
             open_rows = wide.where("number IS NULL")
         here, _ = stored(here, "placed")
         n_here = here.count()
         placed.append(here.select("id", F.col("gap_id").alias("sequence_id"), (F.lit(capacity) - F.col("gap")).alias("offset")))
-        # A gap that took nothing had no free piece below it, and never will: only the gaps that took one go on.
+        # Over the whole range a gap that took nothing had no free piece below it, and never will: only those that took one go on.
+        left_over = cut(left_over)
         rest, rest_path = stored(open_rows.where("kind = 0").select("id", "size"), "open")
         forget(spark, path, old)
         items, old = rest, rest_path
-        gaps = here.where(F.col("gap") > F.col("size")).select(F.col("gap_id").alias("id"), (F.col("gap") - F.col("size")).alias("size")) if n_here else None
+        gaps, first = left_over if n_here else None, False
     out = placed[0] if placed else items.select("id", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     for p in placed[1:]:
         out = out.unionByName(p)
