@@ -60,7 +60,7 @@ def square(x: Column, z: Column, side: Column) -> Column:
 
 def _edges(ring: Column) -> Column:
     """The ring's edges as structs of both ends."""
-    turned = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
+    turned = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
     return F.zip_with(ring, turned, lambda a, b: F.struct(a.x.alias("ax"), a.z.alias("az"), b.x.alias("bx"), b.z.alias("bz")))
 
 

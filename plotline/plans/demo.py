@@ -37,7 +37,7 @@ SELECT code, year, q, cents, employees, CASE WHEN (code + q) % 5 = 0 THEN NULL W
 FROM (SELECT o_custkey AS code, CAST(year(o_orderdate) AS INT) AS year, CAST(quarter(o_orderdate) AS INT) AS q, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents, count(*) AS employees
       FROM {orders} GROUP BY 1, 2, 3) x"""),
     "holding": (("lineitem",), "SELECT DISTINCT l_orderkey AS owner, CAST(l_partkey AS STRING) AS tunnus FROM {lineitem}"),
-    "stop_time": (("lineitem",), "SELECT l_orderkey AS trip, l_suppkey AS stop, l_linenumber AS seq, (l_orderkey * 7 + l_linenumber * 3) % 1600 AS minute FROM {lineitem}"),
+    "stop_time": (("lineitem",), "SELECT trip, stop, seq, (trip * 7 + seq * 3) % 1600 AS minute FROM (SELECT l_orderkey AS trip, l_suppkey AS stop, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS INT) AS seq FROM {lineitem}) x"),
     "trip": (("orders",), "SELECT o_orderkey AS trip, CASE o_orderkey % 5 WHEN 0 THEN '2' WHEN 1 THEN '10' WHEN 2 THEN '25C' WHEN 3 THEN '25' ELSE 'A1' END AS line, 'to ' || o_orderpriority AS headsign, o_custkey % 7 AS service FROM {orders}"),
     "cell": (("lineitem",), "SELECT l_suppkey % 4 AS tile, l_orderkey % 48 AS y, l_partkey % 48 AS x, max(l_quantity) AS v FROM {lineitem} GROUP BY 1, 2, 3"),
     "point": (("lineitem",), """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotline.plans import register_queries  # noqa: F401
+from plotline.plans import map_queries, register_queries  # noqa: F401
 from plotline.plans.registry import FOUND, ORACLES
 
 
