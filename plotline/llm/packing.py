@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -46,6 +47,12 @@ class Tokenizer:
         return np.array([*self._encoding.encode_ordinary(text), END], "<u4")
 
 
+@functools.lru_cache(maxsize=1)
+def tokenizer(ranks_path: str) -> Tokenizer:
+    """One for each worker process: building it takes memory and time."""
+    return Tokenizer(ranks_path)
+
+
 def default_ranks() -> str:
     import public_tokenizers
 
@@ -56,11 +63,11 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str
     """doc_id, piece, start, length, ids_crc32: the first piece of a long document takes what whole pieces leave over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(ranks_path or default_ranks())
+        encode = tokenizer(ranks_path or default_ranks()).encode
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = tokenizer.encode(text.as_py() or "")
+                ids = encode(text.as_py() or "")
                 start, piece, n = 0, 0, len(ids)
                 while start < n:
                     size = n % capacity if start == 0 and n % capacity else capacity
