@@ -19,10 +19,13 @@ def components(edges: DataFrame) -> DataFrame:
     while not both.isEmpty():
         up = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
         up = cut(up)
-        for _ in range(2):  # p(p(v)): chains shorten fast
+        while True:  # jump to p(p(v)) until every vertex knows the end of its chain: the length of chains halves each time
             nxt = up.select(F.col("a").alias("x"), F.col("p").alias("q"))
-            up = up.join(nxt, F.col("p") == F.col("x")).select("a", F.col("q").alias("p"))
-        up = cut(up)
+            up = cut(up.join(nxt, F.col("p") == F.col("x")).select("a", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
+            done = up.where("moved").isEmpty()
+            up = up.drop("moved")
+            if done:
+                break
         of = up.select(F.col("a").alias("x"), "p")
         labels = cut(labels.join(of, F.col("comp") == F.col("x"), "left").select("v", F.coalesce("p", "comp").alias("comp")))
         both = both.join(of, F.col("a") == F.col("x")).select(F.col("p").alias("a"), "b")

@@ -37,6 +37,7 @@ SLOT_BITS, RANGE_BITS = 26, 18
 #: Bits of the smallest signature; sets of more shingles get the next power of two that is no smaller than their size.
 BITMAP = 512
 PIVOTS = 3
+STAR_ROUNDS = 3
 _MULTIPLIERS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -160,21 +161,26 @@ def _fits(na: Column, nb: Column) -> Column:
     return F.least(na, nb) * THRESHOLD[1] >= F.greatest(na, nb) * THRESHOLD[0]
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose bitmaps allow a link: |A ^ B| >= differing bits, and a link needs |A ^ B| <= (|A| + |B|) / 9."""
-    x = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    y = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+def _may_link(na: Column, nb: Column, xa: Column, xb: Column) -> Column:
+    """Whether bitmaps allow a link: |A ^ B| >= differing bits, and a link needs |A ^ B| <= (|A| + |B|) / 9."""
     xor = lambda p, q: F.zip_with(p, q, lambda u, v: u.bitwiseXOR(v))
 
     def folded(p: Column, q: Column) -> Column:
-        """p with its halves laid over each other if q is shorter: sizes within a band's factor differ by one doubling at most."""
+        """p with its halves laid over each other if q is shorter: fitting sizes differ by one doubling at most."""
         half = F.size(q)
         return F.when(F.size(p) > half, xor(F.slice(p, F.lit(1), half), F.slice(p, half + 1, half))).otherwise(p)
 
-    differ = F.aggregate(xor(folded(F.col("xa"), F.col("xb")), folded(F.col("xb"), F.col("xa"))), F.lit(0), lambda s, v: s + F.bit_count(v))
-    out = pairs.join(x, "a").join(y, "b").where(_fits(F.col("na"), F.col("nb")))
+    differ = F.aggregate(xor(folded(xa, xb), folded(xb, xa)), F.lit(0), lambda s, v: s + F.bit_count(v))
     over = THRESHOLD[0] + THRESHOLD[1]  # overlap * over >= (|A| + |B|) * THRESHOLD[0]
-    return out.where(differ * over <= (F.col("na") + F.col("nb")) * (over - 2 * THRESHOLD[0])).select("a", "b")
+    return differ * over <= (na + nb) * (over - 2 * THRESHOLD[0])
+
+
+def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of fitting sizes whose bitmaps allow a link."""
+    x = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    y = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    out = pairs.join(x, "a").join(y, "b").where(_fits(F.col("na"), F.col("nb")))
+    return out.where(_may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"))).select("a", "b")
 
 
 def _members(wanted: DataFrame, column: str) -> np.ndarray:
@@ -240,12 +246,31 @@ def _in_rare_tiles(tiles: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def _in_tiles(tiles: DataFrame, other: Column | None = None) -> DataFrame:
-    """Distinct pairs a < b of fitting sizes within tiles and their upper neighbours; ``other``: a further condition."""
-    left = tiles.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("tile"), F.col("band").alias("low"), F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    right = tiles.select("token", F.col("band").alias("tile"), F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+def _mixed(tiles: DataFrame, found: DataFrame) -> DataFrame:
+    """``tiles`` with the components found so far, of tokens whose classes are in more than one."""
+    now = tiles.drop("comp").join(found.select(F.col("v").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    several = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return cut(now.join(several, "token"))
+
+
+def _spokes(tiles: DataFrame, round_: int) -> DataFrame:
+    """Distinct pairs (a, b): each class of a tile with at most three of the tile's pivots, of fitting sizes and other components."""
+    pivots = tiles.groupBy("token", "band").agg(*(F.min_by(F.struct("cls", "n", "comp"), F.xxhash64("cls", F.lit(round_ * PIVOTS + r))).alias(f"p{r}") for r in range(PIVOTS)))
+    pivots = pivots.select("token", "band", F.explode(F.array(*(f"p{r}" for r in range(PIVOTS)))).alias("p")).select("token", "band", F.col("p.cls").alias("pivot"), F.col("p.n").alias("np"), F.col("p.comp").alias("cp"))
+    spokes = tiles.join(pivots, ["token", "band"]).where((F.col("comp") != F.col("cp")) & _fits(F.col("n"), F.col("np")))
+    spokes = spokes.groupBy("cls", "pivot").agg(F.count("*").alias("shared"))
+    spokes = spokes.groupBy("cls").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("p1"), F.min_by("pivot", F.xxhash64("cls", "pivot")).alias("p2"), F.max("pivot").alias("p3"))
+    return spokes.select("cls", F.explode(F.array("p1", "p2", "p3")).alias("p")).select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
+
+
+def _in_tiles(tiles: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of different components within tiles (token, band, cls, n, comp, bits) and their upper neighbours, of
+    fitting sizes and with bitmaps that allow a link."""
+    left = tiles.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("tile"), F.col("band").alias("low"), F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("bits").alias("bx"))
+    right = tiles.select(F.col("token").alias("own_token"), F.col("band").alias("own_band"), F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("bits").alias("by"))
     once = (F.col("low") < F.col("tile")) | (F.col("x") < F.col("y"))
-    pairs = left.join(right, ["token", "tile"]).where(once & (F.col("cx") != F.col("cy")) & _fits(F.col("nx"), F.col("ny")))
+    apart = (F.col("cx") != F.col("cy")) & _fits(F.col("nx"), F.col("ny")) & _may_link(F.col("nx"), F.col("ny"), F.col("bx"), F.col("by"))
+    pairs = left.join(right, (F.col("token") == F.col("own_token")) & (F.col("tile") == F.col("own_band")) & once & apart)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -265,21 +290,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     forget(spark, base_path)
     all_rare = _in_rare_tiles(tiles.where("NOT common"))
     tiles = tiles.where("common").withColumns({"band": _band(F.col("n")), "comp": F.col("cls")})
-    stars = tiles
-    pivots = stars.groupBy("token", "band").agg(*(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", F.lit(r))).alias(f"p{r}") for r in range(PIVOTS)))
-    pivots = pivots.select("token", "band", F.explode(F.array(*(f"p{r}" for r in range(PIVOTS)))).alias("p")).select("token", "band", F.col("p.cls").alias("pivot"), F.col("p.n").alias("np"))
-    spokes = stars.join(pivots, ["token", "band"]).where((F.col("cls") != F.col("pivot")) & _fits(F.col("n"), F.col("np")))
-    spokes = spokes.groupBy("cls", "pivot").agg(F.count("*").alias("shared"))
-    spokes = spokes.groupBy("cls").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("p1"), F.min_by("pivot", F.xxhash64("cls", "pivot")).alias("p2"), F.max("pivot").alias("p3"))
-    spokes = spokes.select("cls", F.explode(F.array("p1", "p2", "p3")).alias("p")).select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
-    tried = cut(_bounded(all_rare.unionByName(spokes).distinct(), classes))
+    tried = cut(_bounded(all_rare.unionByName(_spokes(tiles, 0)).distinct(), classes))
     links = _links(tried, classes, docs)
     found = components(links)
-    # Frequent tiles once more, between components.
-    now = stars.drop("comp").join(found.select(F.col("v").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rest = _in_tiles(cut(now.join(mixed, "token")))
-    rest = cut(_bounded(rest.join(tried, ["a", "b"], "left_anti"), classes))
+    for r in range(1, STAR_ROUNDS):  # frequent tiles whose classes are in several components meet new pivots
+        spokes = _spokes(_mixed(tiles, found), r).join(tried, ["a", "b"], "left_anti")
+        spokes = cut(_bounded(spokes, classes))
+        if spokes.isEmpty():
+            break
+        more = _links(spokes, classes, docs)
+        tried, links = cut(tried.unionByName(spokes)), cut(links.unionByName(more))
+        found = components(links)
+    # What is still apart meets in full, so that no link is lost.
+    rest = _in_tiles(_mixed(tiles, found).join(classes.select("cls", "bits"), "cls"))
+    rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         found = components(links.unionByName(_links(rest, classes, docs)))
     named = classes.select("cls", "least_doc").join(found.select(F.col("v").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
