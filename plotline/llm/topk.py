@@ -9,7 +9,8 @@ must lie in the interval that the threshold allows (coordinate pruning). What is
 of each bucket meet by query.
 
 Cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Vectors of unequal
-lengths count as padded with zeros. Rows that share an id are all the query's own row when that id asks. With fewer than k
+lengths count as padded with zeros. Rows that share an id are all the query's own row when that id asks, which it does with its
+shortest vector. With fewer than k
 candidates all are returned; ties go to the smaller id. An empty table gives no rows. Products that leave the 64-bit range raise."""
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def top_k(table: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0, b
     first = placed.agg(F.min("bucket").alias("b")).first().b
     queries = placed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q_id"), F.col("norm").alias("q_norm"), F.col("v").alias("qv"))
     blocks = max(1, -(-n // every // block_queries))
-    queries = queries.dropDuplicates(["q_id"]).withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
+    queries = queries.groupBy("q_id").agg(F.min(F.struct("q_norm", "qv")).alias("q")).select("q_id", "q.q_norm", "q.qv").withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
