@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plotline.functions import text as T
 from plotline.operators import lists
 from plotline.plans.demo import load, with_tables
-from plotline.plans.registry import query
+from plotline.plans.registry import query, whole
 
 
 @query("o1_plot_list", with_tables("parcel", rest="SELECT tile, pid, place, more FROM (SELECT tile, pid, CAST(row_number() OVER (PARTITION BY tile ORDER BY area DESC, pid) AS INT) AS place, greatest(count(*) OVER (PARTITION BY tile) - 12, 0) AS more FROM parcel WHERE ownership <> 'state') WHERE place <= 12"))
@@ -61,6 +61,11 @@ def u5(spark, d):
     return load(spark, d, "company").select("tunnus").subtract(load(spark, d, "parcel").where("tile < 4").select("tunnus"))
 
 
+@query("u5_all_known_ids", whole("u5_known_ids", " WHERE tile < 4"))
+def u5_all(spark, d):
+    return load(spark, d, "company").select("tunnus").subtract(load(spark, d, "parcel").select("tunnus"))
+
+
 @query("t32_age_band", with_tables("building", rest="SELECT bid, CASE WHEN year IS NULL THEN 'unknown' WHEN year < 1920 THEN 'old' WHEN year < 1945 THEN 'interwar' WHEN year < 1991 THEN 'panel' ELSE 'new' END AS band FROM building"))
 def t32(spark, d):
     b, y = load(spark, d, "building"), F.col("year")

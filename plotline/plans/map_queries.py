@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plotline.functions import geometry as G
 from plotline.operators import quality, raster, roads, search, spatial, transit
 from plotline.plans.demo import load, with_tables
-from plotline.plans.registry import query
+from plotline.plans.registry import query, whole
 
 
 def _id(rows, name):
@@ -192,6 +192,12 @@ def j11(spark, d):
     return spatial.nearest_segment(stops, load(spark, d, "road").select("tile", "rid", "ax", "az", "bx", "bz", "width"), 25.0).select("tile", "id", "rid", F.round("d", 6).alias("d"), "side")
 
 
+@query("j11_all_points_to_road", whole("j11_stop_to_road", " WHERE poi % 5 = 0"))
+def j11_all(spark, d):
+    points = load(spark, d, "poi").selectExpr("tile", "poi AS id", "x % 256 AS x", "z % 256 AS z")
+    return spatial.nearest_segment(points, load(spark, d, "road").select("tile", "rid", "ax", "az", "bx", "bz", "width"), 25.0).select("tile", "id", "rid", F.round("d", 6).alias("d"), "side")
+
+
 @query("w5_arclength", with_tables("stop_time", rest="SELECT id, seq, round(sum(coalesce(sqrt(pow(x - px, 2) + pow(z - pz, 2)), 0)) OVER (PARTITION BY id ORDER BY seq), 6) AS cum FROM (SELECT *, lag(x) OVER w AS px, lag(z) OVER w AS pz FROM (SELECT trip AS id, seq, stop % 97 AS x, stop % 89 AS z FROM stop_time) WINDOW w AS (PARTITION BY id ORDER BY seq))"))
 def w5(spark, d):
     p = load(spark, d, "stop_time").selectExpr("trip AS id", "seq", "stop % 97 AS x", "stop % 89 AS z")
@@ -216,6 +222,11 @@ def a20(spark, d):
     return transit.departures(load(spark, d, "trip"), st, st.where("stop % 2 = 0").select("stop").distinct())
 
 
+@query("a20_all_departures", whole("a20_departures", " WHERE stop % 2 = 0"))
+def a20_all(spark, d):
+    return transit.departures(load(spark, d, "trip"), load(spark, d, "stop_time"))
+
+
 @query("j22_calls", with_tables("stop_time", rest="SELECT trip, array_to_string(list(CAST(stop AS VARCHAR) ORDER BY seq, stop), '>') AS calls FROM stop_time GROUP BY trip"))
 def j22(spark, d):
     return transit.calls_in_order(load(spark, d, "stop_time"))
@@ -289,6 +300,11 @@ def d3(spark, d):
     return quality.dangling(load(spark, d, "company"), "code", "tunnus", load(spark, d, "parcel").where("tile < 5"), "tunnus", "tunnus")
 
 
+@query("d3_all_dangling", whole("d3_dangling", " WHERE tile < 5"))
+def d3_all(spark, d):
+    return quality.dangling(load(spark, d, "company"), "code", "tunnus", load(spark, d, "parcel"), "tunnus", "tunnus")
+
+
 @query("d4_private_text", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS emails FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')")
 def d4(spark, d):
     return quality.private_text(load(spark, d, "documents"), "doc_id", "text")

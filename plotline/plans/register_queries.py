@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plotline.functions import text as T
 from plotline.operators import company, links, market, match
 from plotline.plans.demo import load, with_tables
-from plotline.plans.registry import query
+from plotline.plans.registry import query, whole
 
 _MARKET = """, x AS (SELECT tile, coalesce(purpose, 'SIHTOTSTARBETA_MAA') AS purpose, area, land_value, land_value / area::DOUBLE AS m FROM parcel WHERE land_value > 0 AND area > 0),
 y AS (SELECT * FROM x UNION ALL SELECT tile, 'all', area, land_value, m FROM x),
@@ -151,6 +151,12 @@ def j33(spark, d):
     return links.links(links.shared_owner_pairs(load(spark, d, "holding")), links.immovable_pairs(p), p.where("tile = 0"))
 
 
+@query("j33_all_links", whole("j33_links", " WHERE tile = 0"))
+def j33_all(spark, d):
+    p = load(spark, d, "parcel")
+    return links.links(links.shared_owner_pairs(load(spark, d, "holding")), links.immovable_pairs(p), p)
+
+
 @query("j34_tenants_of_parcel", with_tables("parcel", "company", rest="SELECT p.tunnus, count(c.code) AS tenants, array_to_string(list_sort(list(c.code)), ',') AS codes FROM parcel p JOIN company c ON c.tunnus = p.tunnus AND c.match = 'exact' GROUP BY 1"))
 def j34(spark, d):
     c = load(spark, d, "company").where("match = 'exact'")
