@@ -184,9 +184,9 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _members(wanted: DataFrame, column: str) -> np.ndarray:
-    """A bit for each hash of a wanted value (at most 2**24 bits): rows whose bit is off are surely not wanted."""
+    """A bit for each hash of a wanted value (at most 2**24 bits): rows whose bit is off are surely not wanted. Nulls have no bit."""
     h = F.pmod(F.col(column), F.lit(1 << 24)) + 1  # the bitmap functions count from 1
-    rows = wanted.groupBy(F.bitmap_bucket_number(h).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("v")).collect()
+    rows = wanted.where(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(h).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("v")).collect()
     out = np.zeros(1 << 21, np.uint8)
     for r in rows:
         lo = (r.k - 1) * 4096
