@@ -1,8 +1,9 @@
 """LM scoring: stupid-backoff scores from n-gram count tables, computed relationally.
 
-Words are maximal runs of characters other than ASCII white space, with A-Z lowered. The vocabulary is the set of words with at
-least ``c`` occurrences in the corpus, for the smallest c that leaves no more than ``VOCABULARY`` words; all other words are one
-unknown word. A document is exploded into its bigrams (word, next word) with their numbers of occurrences; they are dealt by
+Words are maximal runs of characters other than ASCII white space, with A-Z lowered. Every word of the corpus is known. Those with
+at least ``c`` occurrences, for the smallest c that leaves no more than ``VOCABULARY`` words, are numbered and their counts
+broadcast; the others go by their hashes, and their counts are joined to what asks for them, summed by document and word before.
+If ``capped``, all words without a number are one unknown word instead. A document is exploded into its bigrams (word, next word) with their numbers of occurrences; they are dealt by
 hash of the bigram, where each bigram's count over the whole corpus is summed beside the rows that ask for it, so that the
 exploded rows move once. The score of a bigram is count(a b) / count(a) if the bigram occurs at least ``MIN_COUNT`` times, else
 BACKOFF * count(b) / words; the first word of a document has count(b) / words. Logarithms are summed per document.
@@ -30,14 +31,21 @@ VOCABULARY = 1 << 16
 MIN_COUNT = 2
 BACKOFF = 0.4
 FREQUENT = 256
+#: Stands before the first word of a document. Numbers are small, and names of words without a number are negative.
+START = 1 << 62
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Negative 64-bit names of words."""
+    return span_hash(data, starts, ends).view(np.int64) | np.int64(-1 << 63)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (a 64-bit hash), n: occurrences of every word of the corpus, pre-counted in each task."""
+    """word (its name), n: occurrences of every word of the corpus, pre-counted in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, n, waiting = np.empty(0, np.int64), np.empty(0, np.int64), []
@@ -51,7 +59,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for _, data, off in chunks(batches, "text"):
             starts, ends, _ = words(data, off)
-            waiting.append(span_hash(data, starts, ends).view(np.int64))
+            waiting.append(_named(data, starts, ends))
             if sum(map(len, waiting)) > 3_000_000:
                 merge()
         if waiting:
@@ -63,7 +71,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes of the vocabulary's words and their counts, most frequent first, and the number of words of the corpus.
+    """Names of the vocabulary's words and their counts, most frequent first, and the number of words of the corpus.
 
     Only sums by count come to the driver, then at most ``most`` words."""
     tally = counts.groupBy("n").agg(F.count("*").alias("w")).groupBy(F.when(F.col("n") < 1 << 20, F.col("n")).otherwise(1 << 20).alias("c")).agg(F.sum("w").alias("w"), F.sum(F.col("n") * F.col("w")).alias("t")).orderBy(F.desc("c")).collect()
@@ -77,31 +85,43 @@ def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> tuple[np.ndarray, n
     return np.array([r.word for r in rows], np.int64), np.array([r.n for r in rows], np.int64), total
 
 
-def _grams(data: np.ndarray, off: np.ndarray, names: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, ...]:
-    """doc, a, b, m of each document's distinct bigrams of word numbers (0: unknown; -1 stands before the first word), and words."""
+def _grams(data: np.ndarray, off: np.ndarray, names: np.ndarray, numbers: np.ndarray, capped: bool) -> tuple[np.ndarray, ...]:
+    """doc, a, b, m of each document's distinct bigrams, and words. Words are numbers, or else names (0: unknown, if ``capped``);
+    START stands before the first word."""
     starts, ends, first = words(data, off)
-    h = span_hash(data, starts, ends).view(np.int64)
+    h = _named(data, starts, ends)
     at = np.minimum(np.searchsorted(names, h), max(len(names) - 1, 0))
-    ids = np.where(names[at] == h, numbers[at], 0) if len(names) else np.zeros(len(h), np.int64)
+    found = names[at] == h if len(names) else np.zeros(len(h), bool)
+    ids = np.where(found, numbers[at], 0) if len(names) else np.zeros(len(h), np.int64)
+    base = len(names) + 1
+    others = np.empty(0, np.int64)
+    if not capped:  # names are numbered within the slice, after the vocabulary
+        others, local = np.unique(h[~found], return_inverse=True)
+        ids[~found] = base + local
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     before[first[:-1][first[1:] > first[:-1]]] = -1
-    side = VOCABULARY + 2
+    side = base + len(others) + 1
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    key, m = np.unique(doc * side**2 + (before + 1) * side + ids, return_counts=True)
-    doc, gram = np.divmod(key, side**2)
-    return doc, gram // side - 1, gram % side, m, np.diff(first)
+    if (len(first) - 1) * side**2 < 1 << 63:
+        key, m = np.unique(doc * side**2 + (before + 1) * side + ids, return_counts=True)
+        doc, gram = np.divmod(key, side**2)
+        a, b = gram // side - 1, gram % side
+    else:
+        (doc, a, b), m = np.unique(np.stack([doc, before, ids]), axis=1, return_counts=True)
+    outer = np.concatenate([np.arange(base), others, [START]])  # -1 is the last place
+    return doc, outer[a], outer[b], m, np.diff(first)
 
 
 def frequent_counts(texts: DataFrame, numbered: Broadcast) -> np.ndarray:
-    """Counts of all bigrams of the FREQUENT most frequent words (and the unknown one), summed in each task first."""
+    """Counts of all bigrams of the FREQUENT most frequent words (and the unknown one, if any), summed in each task first."""
     side = FREQUENT + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(side * side, np.int64)
         for _, data, off in chunks(batches, "text"):
             _, a, b, m, _ = _grams(data, off, *numbered.value)
-            hot = (a >= 0) & (a < side) & (b < side)
+            hot = (a >= 0) & (a < side) & (b >= 0) & (b < side)
             total += np.bincount(a[hot] * side + b[hot], weights=m[hot], minlength=side * side).astype(np.int64)
         nz = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(nz), pa.array(total[nz])], names=["k", "n"])
@@ -113,8 +133,8 @@ def frequent_counts(texts: DataFrame, numbered: Broadcast) -> np.ndarray:
 
 
 def exploded(texts: DataFrame, numbered: Broadcast, frequent: Broadcast) -> DataFrame:
-    """rid, doc_id, key, m, n_words, log_score. One row for each document without a key, with what is known without the count
-    table (its first word and its bigrams of two frequent words), and one for each other bigram."""
+    """rid, doc_id, a, b, m, n_words, log_score. One row for each document without a bigram, with what is known without the count
+    table (its first word, if it has a number, and its bigrams of two frequent words), and one for each other bigram."""
     side = FREQUENT + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,45 +143,55 @@ def exploded(texts: DataFrame, numbered: Broadcast, frequent: Broadcast) -> Data
         hot_log = np.where(table >= MIN_COUNT, np.log(np.maximum(table, 1) / np.maximum(n[:side], 1)[: table.shape[0], None]), np.log(BACKOFF) + unigram[:side][None, :]) if len(n) >= side else None
         for rows, data, off in chunks(batches, "text"):
             doc, a, b, m, size = _grams(data, off, *numbered.value)
-            hot = (a < side) & (b < side) & (a >= 0) if hot_log is not None else np.zeros(len(a), bool)
-            first = a < 0
+            hot = (a < side) & (b < side) & (a >= 0) & (b >= 0) if hot_log is not None else np.zeros(len(a), bool)
+            first = (a == START) & (b >= 0)
             known = np.bincount(doc[first], weights=unigram[b[first]], minlength=len(size)).astype(np.float64)
             if hot.any():
                 known += np.bincount(doc[hot], weights=m[hot] * hot_log[a[hot], b[hot]], minlength=len(size))
             rest = ~hot & ~first
             rid, ids = rows.column("rid"), rows.column("doc_id")
             none = pa.nulls(len(size), pa.int64())
-            yield pa.RecordBatch.from_arrays([rid, ids, none, none, pa.array(size), pa.array(known)], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([rid, ids, none, none, none, pa.array(size), pa.array(known)], names=_NAMES)
             k = int(rest.sum())
             at = pa.array(doc[rest])
-            yield pa.RecordBatch.from_arrays([rid.take(at), pa.nulls(k, pa.int64()), pa.array((a[rest] << 20) | b[rest]), pa.array(m[rest]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64())], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([rid.take(at), pa.nulls(k, pa.int64()), pa.array(a[rest]), pa.array(b[rest]), pa.array(m[rest]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64())], names=_NAMES)
 
-    return texts.mapInArrow(run, "rid long, doc_id long, key long, m long, n_words long, log_score double")
+    return texts.mapInArrow(run, "rid long, doc_id long, a long, b long, m long, n_words long, log_score double")
 
 
-_NAMES = ["rid", "doc_id", "key", "m", "n_words", "log_score"]
+_NAMES = ["rid", "doc_id", "a", "b", "m", "n_words", "log_score"]
 
 
-def stupid_backoff(docs: DataFrame) -> DataFrame:
+def stupid_backoff(docs: DataFrame, capped: bool = False, most: int = VOCABULARY) -> DataFrame:
     """doc_id, n_words, score (mean log score of its words) of every row, under the counts of all rows."""
     spark = docs.sparkSession
     counts, path = stored(word_counts(docs), "words")
-    known, n, total = vocabulary(counts)
-    forget(spark, path)
-    n = np.array([total - n.sum(), *n.tolist()], np.int64)  # number 0 is the unknown word
+    known, n, total = vocabulary(counts, most)
+    if capped:
+        forget(spark, path)
+    n = np.array([total - n.sum() if capped else 0, *n.tolist()], np.int64)  # number 0 is the unknown word
     order = np.argsort(known)
-    numbered = spark.sparkContext.broadcast((known[order], (order + 1).astype(np.int64)))
+    numbered = spark.sparkContext.broadcast((known[order], (order + 1).astype(np.int64), capped))
     texts = _texts(docs)
     frequent = spark.sparkContext.broadcast((frequent_counts(texts, numbered), n, total))
     rows = exploded(texts.withColumn("rid", F.monotonically_increasing_id()), numbered, frequent)
-    table = F.broadcast(spark.createDataFrame(list(enumerate(n.tolist())), "w long, c long"))  # at most VOCABULARY + 1 rows
-    some = rows.select("rid", "doc_id", "key", "m", "n_words", "log_score")
+    table = F.broadcast(spark.createDataFrame(list(enumerate(n.tolist())), "needed long, c long"))  # at most VOCABULARY + 1 rows
     # Count of each bigram beside the rows that ask for it: the count table and the exploded bigrams share one exchange.
-    counted = some.withColumn("c_ab", F.sum("m").over(W.partitionBy(F.col("key"), F.when(F.col("key").isNull(), F.col("rid")))))
-    a, b = F.shiftright("key", 20), F.col("key").bitwiseAND(F.lit((1 << 20) - 1))
-    counted = counted.withColumns({"a": a, "b": b})
-    counted = counted.join(table.select(F.col("w").alias("a"), F.col("c").alias("c_a")), "a", "left").join(table.select(F.col("w").alias("b"), F.col("c").alias("c_b")), "b", "left")
-    s = F.when(F.col("c_ab") >= MIN_COUNT, F.col("c_ab") / F.col("c_a")).otherwise(F.lit(BACKOFF) * F.col("c_b") / F.lit(float(max(total, 1))))
-    log = F.coalesce("log_score", F.col("m") * F.log(s))
-    sums = counted.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(log).alias("log_score"))
+    counted = rows.withColumn("c_ab", F.sum("m").over(W.partitionBy("a", "b", F.when(F.col("a").isNull(), F.col("rid")))))
+    # The logarithm of a score takes in that of one word's count: less that of the first, or else that of the second word.
+    first, often = F.col("a") == START, F.col("c_ab") >= MIN_COUNT
+    counted = counted.withColumns({"needed": F.when(~first & often, F.col("a")).otherwise(F.col("b")), "sign": F.when(~first & often, -F.col("m")).otherwise(F.col("m"))})
+    words_log = float(np.log(max(total, 1)))
+    base = F.col("m") * F.when(first, F.lit(-words_log)).when(often, F.log("c_ab")).otherwise(F.lit(float(np.log(BACKOFF)) - words_log))
+    counted = counted.join(table, "needed", "left")
+    log = F.coalesce("log_score", base + F.coalesce(F.col("sign") * F.log("c"), F.lit(0.0)))
+    if capped:
+        sums = counted.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(log).alias("log_score"))
+    else:
+        # Words without a number: their counts are joined to one row for each document and word.
+        asked = counted.groupBy("rid", F.when(F.col("c").isNull(), F.col("needed")).alias("word")).agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(log).alias("log_score"), F.sum(F.when(F.col("c").isNull(), F.col("sign"))).alias("times"))
+        asked, _ = stored(asked, "asked")
+        late = asked.where("word IS NOT NULL").join(counts, "word").withColumn("log_score", F.col("log_score") + F.col("times") * F.log("n"))
+        both = asked.where("word IS NULL").drop("word", "times").unionByName(late.drop("word", "times", "n"))
+        sums = both.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("log_score").alias("log_score"))
     return sums.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("score"))

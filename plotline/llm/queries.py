@@ -68,6 +68,12 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plotline.llm.lm_scoring import stupid_backoff
 
+    return stupid_backoff(_table(spark, sf_dir, "documents"), capped=True)
+
+
+def op10_lm_scoring_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm.lm_scoring import stupid_backoff
+
     return stupid_backoff(_table(spark, sf_dir, "documents"))
 
 
@@ -91,6 +97,9 @@ SELECT d.doc_id, coalesce(r.n, 0) AS n_words, round(r.l / r.n, 6) AS score
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(l) AS l FROM s GROUP BY doc_id) r USING (doc_id)
 """
 
+#: Without this filter every word is known.
+_CAP = " WHERE n >= (SELECT min(n) FROM tally WHERE upto <= 65536)"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_lm_scoring": _OP10}
+    return {"op10_lm_scoring": _OP10, "op10_lm_scoring_all_words": _OP10.replace(_CAP, "")}
