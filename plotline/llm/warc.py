@@ -117,42 +117,89 @@ def _check(fields: dict[str, str], block: bytes) -> None:
             raise Damaged("payload digest differs")
 
 
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What comes out of the gzip member at ``at``, the end of what was read, and why the member is damaged, if it is."""
+    z, out, step = zlib.decompressobj(31), [], 1 << 16
+    while at < len(data) and not z.eof:
+        before = z.copy() if step > 1 else z
+        try:
+            out.append(z.decompress(data[at : at + step]))
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), at, f"bad member: {e}"
+            z, step = before, 1  # again byte by byte, up to the error
+            continue
+        at = min(at + step, len(data))
+    return b"".join(out), at - len(z.unused_data), "" if z.eof else "member without end"
+
+
+def _inside(member: bytes, vouched: bool) -> tuple[list[tuple[dict[str, str], bytes]], list[str]]:
+    """The records of a member's bytes, and what lies between them. If ``vouched``, only records that a digest vouches for."""
+    found, gaps, at, gap, why = [], [], 0, None, ""
+    while at < len(member):
+        try:
+            fields, block, end = parse_record(member, at)
+            if vouched and not (fields.get("warc-block-digest", "").startswith("sha1:") or fields.get("warc-type") == "response" and fields.get("warc-payload-digest", "").startswith("sha1:")):
+                raise Damaged("no digest in a bad member")
+        except Damaged as e:
+            if gap is None:
+                gap, why = at, str(e)
+            m = _VERSION.search(member, at + 1)
+            at = m.start() if m else len(member)
+            continue
+        if gap is not None:
+            gaps.append(f"bytes {gap} to {at} of the member: {why}")
+            gap = None
+        found.append((fields, block))
+        at = end
+    if gap is not None:
+        gaps.append(f"bytes {gap} to {len(member)} of the member: {why}")
+    return found, gaps
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str, bytes]]:
-    """("record", start, end, fields, block) and ("gap", start, end, reason, b"") in file order; together they cover the file."""
-    at, gap, why = 0, None, ""
+    """("record", start, end, fields, block) and ("gap", start, end, reason, b"") in file order; together they cover the file.
+
+    Records of one member share its range, and so do gaps inside it. A member that cannot be read to its end is a gap, after the
+    records that came out of it."""
+    at, gap, why, plain = 0, None, "", 0
     while at < len(data):
+        bad, gaps = "", []
         try:
             if data[at : at + 3] == b"\x1f\x8b\x08":
-                z = zlib.decompressobj(31)
-                try:
-                    member = z.decompress(data[at:]) + z.flush()
-                except zlib.error as e:
-                    raise Damaged(f"bad member: {e}") from e
-                if not z.eof:
-                    raise Damaged("member without end")
-                end, found, inner = len(data) - len(z.unused_data), [], 0
-                while inner < len(member):
-                    fields, block, inner = parse_record(member, inner)
-                    found.append((fields, block))
+                member, end, bad = _inflated(data, at)
+                found, gaps = _inside(member, bad.startswith("bad"))
+                if not found and (bad or gaps):
+                    raise Damaged(bad or gaps[0])
             else:
                 fields, block, end = parse_record(data, at)
                 found = [(fields, block)]
         except Damaged as e:
             if gap is None:
                 gap, why = at, str(e)
-            m = _START.search(data, at + 1)
-            at = m.start() if m else len(data)
+            at = _next_start(data, at + 1, plain)
             continue
         if gap is not None:
             yield "gap", gap, at, why, b""
             gap = None
         for fields, block in found:
             yield "record", at, end, fields, block
-        at = end
+        for reason in gaps:
+            yield "gap", at, end, reason, b""
+        if bad:  # the next member can begin before the error shows; stored bytes of this one are not read again as plain records
+            gap, why, plain = at, bad, end
+            at = _next_start(data, at + 1, plain)
+        else:
+            at = end
     if gap is not None:
         yield "gap", gap, len(data), why, b""
 
 
+def _next_start(data: bytes, at: int, plain: int) -> int:
+    """The next place from ``at`` on where a member can begin, or a plain record if it is not before ``plain``."""
+    return next((m.start() for m in _START.finditer(data, at) if m.start() >= plain or m[0][:1] == b"\x1f"), len(data))
+
+
 _SCHEMA = "kind string, path string, start long, stop long, reason string, page_id long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
