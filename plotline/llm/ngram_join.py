@@ -2,42 +2,47 @@
 
 A document is the set of its distinct five-word shingles as sorted 64-bit hashes. Two sets link at Jaccard ``THRESHOLD`` or more.
 
-1. A count sketch of fixed size over all shingles of all documents tells frequent ones apart. It only sets an order: a set's
-   *prefix* is its rarest n - ceil(0.8 n) + 1 shingles, and sets that link share one of them whatever the order.
-2. Equal sets are one class. A tile is the classes of one size band (factor 1.25; linked sizes lie in the same or neighbouring
-   bands) that share a prefix shingle. Shingles that occur once make no tile.
-3. In tiles of rare shingles all pairs of fitting sizes are candidates; in tiles of frequent ones each class first meets a few pivots.
-4. Parity bitmaps of the hashed sets: differing bits bound the overlap from above; most false candidates end here.
-5. Sets of the classes left are built again from the texts and intersected exactly.
-6. Frequent tiles whose classes are not yet all connected then give all pairs of classes in different components, through 4 and 5.
-   So no link between different components is lost, while groups of thousands of near copies never expand into all their pairs.
+1. Shingles that repeat within the share of a task are counted over all documents; the most frequent of them (at most
+   ``FREQUENT``, 9 bytes each) are broadcast. They only set an order, rare shingles first: a set's *prefix* is its first
+   n - ceil(0.8 n) + 1 shingles, and sets that link share one of them whatever the order.
+2. Equal sets are one class, named by 128 bits. A tile is the classes of one size band (factor 1.25; linked sizes lie in the same or
+   neighbouring bands) that share a prefix shingle. In each tile every class meets the tile's pivots, the classes with the fewest rarer
+   shingles (an original before its copies), and those of the band below: so a tile gives no more pairs than it has rows.
+3. Places in the order bound the overlap: sets whose first common shingle stands at places i and j share min(|A| - i, |B| - j) at most.
+   Parity bitmaps of the hashed sets bound it too: differing bits count against it. Most false candidates end here.
+4. Sets of the classes left are built again from the texts and intersected exactly; links give components.
+5. Shingles of three or more classes that are not yet all in one component: their classes are dealt to squares of at most a fixed number
+   of rows (blocks of those outside the largest component against all blocks), and all pairs of different components in a square go
+   through 3 and 4. First each class takes its two best partners in a square, then, for what is still apart, all that the bitmaps allow.
+   So no link between different components is lost, while groups of near copies never expand into all their pairs.
 
 Cases: null, empty and white-space texts have no shingles and are their own component; texts of one to four words are one shingle of
-their own. Repeated rows are equal documents. A null doc_id never names a component unless it is alone. Extra columns are not read."""
+their own. Repeated rows are equal documents. A null doc_id never names a component unless it is alone. Very long texts have bitmaps
+as long as their sets; one document is held at a time. An empty table gives no rows. Extra columns, whatever their names, are not read."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plotline.llm._text import U, chunks, span_hash, splitmix, words
 from plotline.llm.components import components
-from plotline.session import cut, forget, stored
+from plotline.session import forget, stored
 
 SIZE = 5
 THRESHOLD = (4, 5)
-SLOT_BITS, RANGE_BITS = 26, 18
+#: Shingles whose order the broadcast sets, and the least number of counted repeats that puts one there.
+FREQUENT, REPEATS = 1 << 20, 8
 #: Bits of the smallest signature; sets of more shingles get the next power of two that is no smaller than their size.
 BITMAP = 512
-PIVOTS = 3
-STAR_ROUNDS = 3
+#: Rows of a block of a tile that is searched in full; a square holds two blocks.
+BLOCK = 1024
+#: Wanted classes whose ids are broadcast (16 bytes each); more are joined by shuffle.
+WANTED = 1 << 20
 _MULTIPLIERS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -62,9 +67,11 @@ def shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _class(x: np.ndarray) -> int:
-    """A 64-bit name of a set: equal sets share it, whatever task built them."""
-    return int(splitmix(np.array([splitmix(x ^ U(0xB5297A4D3F84D5B5)).sum(dtype=U) + U(len(x))]))[0].astype(np.int64))
+def _class(x: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of a set: equal sets share it, whatever task built them."""
+    sums = [splitmix(x ^ U(c)).sum(dtype=U) + U(len(x)) for c in (0xB5297A4D3F84D5B5, 0x8EBC6AF09C88C6E3)]
+    k1, k2 = splitmix(np.array(sums)).view(np.int64).tolist()
+    return k1, k2
 
 
 def _parity(x: np.ndarray) -> np.ndarray:
@@ -73,82 +80,100 @@ def _parity(x: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((x & U(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).view(np.int64)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _prefix_length(n: int) -> int:
+    return n - -(-THRESHOLD[0] * n // THRESHOLD[1]) + 1 if n else 0
 
 
-def frequency_levels(docs: DataFrame) -> np.ndarray:
-    """uint8 for each of 2**SLOT_BITS hash slots: 0 for slots that are not clearly above the usual load, else 4 * log2(count).
+def _longs(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
 
-    Tasks send compressed lists of the slots they saw; the table has a fixed size whatever the corpus."""
-    ranges = 1 << (SLOT_BITS - RANGE_BITS)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
+def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most frequent shingles, and levels that grow with their counts.
+
+    Each task counts its own documents (equal sets once) and sends what repeats there; the sums over all tasks are stored, and only
+    the FREQUENT largest come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, counts = np.empty(0, U), np.empty(0, np.int64)
         waiting: list[np.ndarray] = []
+        seen: set[tuple[int, int]] = set()
 
         def merge() -> None:
-            nonlocal slots, counts
-            u, c = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.empty(0, np.uint32), np.empty(0, np.int64))
+            nonlocal have, counts
+            u, c = np.unique(np.concatenate(waiting), return_counts=True)
             waiting.clear()
-            both = np.concatenate([slots, u])
-            slots, at = np.unique(both, return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate([counts, c]), minlength=len(slots)).astype(np.int64)
+            have, at = np.unique(np.concatenate([have, u]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([counts, c]), minlength=len(have)).astype(np.int64)
+
+        def repeated() -> Iterator[pa.RecordBatch]:
+            some = np.flatnonzero(counts > 1)
+            for lo in range(0, len(some), 500_000):
+                at = some[lo : lo + 500_000]
+                yield pa.RecordBatch.from_arrays([pa.array(have[at].view(np.int64)), pa.array(counts[at])], names=["token", "n"])
 
         for _, data, off in chunks(batches, "text"):
-            waiting.append((np.concatenate(shingle_sets(data, off)) >> U(64 - SLOT_BITS)).astype(np.uint32))
-            if sum(map(len, waiting)) > 4_000_000:
+            for x in shingle_sets(data, off):
+                if len(x) and (c := _class(x)) not in seen:
+                    seen.add(c)
+                    waiting.append(x)
+            if sum(map(len, waiting)) > 3_000_000:
                 merge()
-        merge()
-        z = zstandard.ZstdCompressor(level=1)
-        edges = np.searchsorted(slots, np.arange(ranges + 1, dtype=np.int64) << RANGE_BITS)
-        some = [r for r in range(ranges) if edges[r + 1] > edges[r]]
-        pack = lambda r: z.compress(np.diff(slots[edges[r] : edges[r + 1]].astype(np.int64) - (r << RANGE_BITS), prepend=0).astype("<u4").tobytes() + np.minimum(counts[edges[r] : edges[r + 1]], 2**32 - 1).astype("<u4").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack(r) for r in some], pa.binary())], names=["r", "blob"])
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = np.zeros(1 << RANGE_BITS, np.int64)
-        for blob in pdf.blob:
-            x = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4")
-            np.add.at(n, np.cumsum(x[: len(x) // 2], dtype=np.int64), x[len(x) // 2 :])
-        level = np.minimum(4 * np.log2(np.maximum(n, 1)), 255).astype(np.uint8)
-        return pd.DataFrame({"r": [int(pdf.r.iloc[0])], "n": [int(n.sum())], "blob": [zstandard.ZstdCompressor(level=1).compress(level.tobytes())]})
-
-    levels, load = np.zeros(1 << SLOT_BITS, np.uint8), 0
-    for row in _texts(docs).mapInArrow(count, "r int, blob binary").groupBy("r").applyInPandas(total, "r int, n long, blob binary").collect():
-        levels[row.r << RANGE_BITS : (row.r + 1) << RANGE_BITS] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.blob), np.uint8)
-        load += row.n
-    usual = load / (1 << SLOT_BITS)
-    levels[levels < 4 * np.log2(max(8.0, usual + 6 * usual**0.5))] = 0
-    return levels
-
-
-def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, class, bits ARRAY<BIGINT>, rare ARRAY<BIGINT>, common ARRAY<BIGINT>: a set's size, name, bitmap and prefix."""
-    held = docs.sparkSession.sparkContext.broadcast(levels)  # 2**SLOT_BITS bytes
+                if len(have) > 12_000_000:  # a task's share beyond which it begins anew
+                    yield from repeated()
+                    have, counts = np.empty(0, U), np.empty(0, np.int64)
+                    seen.clear()
+        if waiting:
+            merge()
+        yield from repeated()
+
+    spark = texts.sparkSession
+    sums, path = stored(texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= REPEATS), "frequent")
+    level = F.least(F.floor(4 * F.log2("n")), F.lit(255)).cast("int")
+    held, floor = 0, 256
+    for r in sums.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 256 rows
+        if held + r["count"] > FREQUENT:
+            break
+        held, floor = held + r["count"], r.level
+    got = sums.select("token", level.alias("level")).where(F.col("level") >= floor).toArrow()
+    forget(spark, path)
+    tokens = got.column("token").to_numpy().view(U)
+    order = np.argsort(tokens)
+    return tokens[order], got.column("level").to_numpy().astype(np.uint8)[order]
+
+
+def prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, n, k1, k2, bits, cold and hot ARRAY<BIGINT>: a set's size, name, bitmap and prefix (rare shingles, then frequent ones)."""
+    held = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = held.value
+        tokens, levels = held.value
+        maybe = np.zeros(1 << 24, bool)
+        maybe[tokens >> U(40)] = True
         for rows, data, off in chunks(batches, "text"):
             sets = shingle_sets(data, off)
-            names, bits, rare, common = [], [], [], []
+            names, bits, cold, hot = [], [], [], []
             for x in sets:
-                n = len(x)
-                length = n - -(-THRESHOLD[0] * n // THRESHOLD[1]) + 1 if n else 0
-                lev = level[x >> U(64 - SLOT_BITS)]
-                cold = x[lev == 0][:length]
-                hot = np.empty(0, U)
-                if len(cold) < length:
-                    some, its = x[lev > 0], lev[lev > 0]
-                    hot = some[np.lexsort((some, its))][: length - len(cold)]
-                names.append(_class(x) if n else None)
+                length = _prefix_length(len(x))
+                known = maybe[x >> U(40)]
+                some, its = x[known], np.empty(0, np.uint8)
+                if len(some):
+                    at = np.minimum(np.searchsorted(tokens, some), len(tokens) - 1)
+                    is_hot = tokens[at] == some
+                    known[known] = is_hot
+                    some, its = some[is_hot], levels[at[is_hot]]
+                rare = x[~known][:length] if len(some) else x[:length]
+                names.append(_class(x) if len(x) else (None, None))
                 bits.append(_parity(x))
-                rare.append(cold.view(np.int64))
-                common.append(hot.view(np.int64))
-            longs = lambda a: pa.ListArray.from_arrays(np.cumsum([0, *map(len, a)]).astype(np.int32), pa.array(np.concatenate(a) if a else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(names, pa.int64()), longs(bits), longs(rare), longs(common)], names=["doc_id", "n", "class", "bits", "rare", "common"])
+                cold.append(rare.view(np.int64))
+                hot.append(some[np.lexsort((some, its))][: length - len(rare)].view(np.int64))
+            k1, k2 = zip(*names, strict=True) if names else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _longs(bits), _longs(cold), _longs(hot)],
+                names=["doc_id", "n", "k1", "k2", "bits", "cold", "hot"],
+            )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, class long, bits array<long>, rare array<long>, common array<long>")
+    return texts.mapInArrow(run, "doc_id long, n int, k1 long, k2 long, bits array<long>, cold array<long>, hot array<long>")
 
 
 def _band(n: Column) -> Column:
@@ -156,9 +181,10 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(1.25, n) + 1e-9).cast("int")
 
 
-def _fits(na: Column, nb: Column) -> Column:
-    """Sizes that can reach the threshold."""
-    return F.least(na, nb) * THRESHOLD[1] >= F.greatest(na, nb) * THRESHOLD[0]
+def _fits(na, nb, pa_, pb, least=F.least, greatest=F.greatest):
+    """Sizes that can reach the threshold, and places of a first common shingle that can."""
+    num, den = THRESHOLD
+    return (least(na, nb) * den >= greatest(na, nb) * num) & (least(na - pa_, nb - pb) * (num + den) >= (na + nb) * num)
 
 
 def _may_link(na: Column, nb: Column, xa: Column, xb: Column) -> Column:
@@ -171,58 +197,117 @@ def _may_link(na: Column, nb: Column, xa: Column, xb: Column) -> Column:
         return F.when(F.size(p) > half, xor(F.slice(p, F.lit(1), half), F.slice(p, half + 1, half))).otherwise(p)
 
     differ = F.aggregate(xor(folded(xa, xb), folded(xb, xa)), F.lit(0), lambda s, v: s + F.bit_count(v))
-    over = THRESHOLD[0] + THRESHOLD[1]  # overlap * over >= (|A| + |B|) * THRESHOLD[0]
+    over = THRESHOLD[0] + THRESHOLD[1]
     return differ * over <= (na + nb) * (over - 2 * THRESHOLD[0])
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of fitting sizes whose bitmaps allow a link."""
+    """Distinct pairs (a, b) whose bitmaps allow a link."""
     x = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     y = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    out = pairs.join(x, "a").join(y, "b").where(_fits(F.col("na"), F.col("nb")))
-    return out.where(_may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"))).select("a", "b")
-
-
-def _members(wanted: DataFrame, column: str) -> np.ndarray:
-    """A bit for each hash of a wanted value (at most 2**24 bits): rows whose bit is off are surely not wanted. Nulls have no bit."""
-    h = F.pmod(F.col(column), F.lit(1 << 24)) + 1  # the bitmap functions count from 1
-    rows = wanted.where(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(h).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("v")).collect()
-    out = np.zeros(1 << 21, np.uint8)
-    for r in rows:
-        lo = (r.k - 1) * 4096
-        out[lo : lo + 4096] = np.frombuffer(r.v, np.uint8)
-    return np.unpackbits(out, bitorder="little").astype(bool)
-
-
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, ids: the sets of the classes in ``wanted`` (class, least_doc), built from their documents with the least ids.
-
-    Membership bitmaps of both columns let some unwanted sets through; the join with the pairs drops them."""
-    tables = [np.packbits(_members(wanted, c)) for c in ("class", "least_doc")]
-    held = docs.sparkSession.sparkContext.broadcast(tables)
+    return pairs.distinct().join(x, "a").join(y, "b").where(_may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"))).select("a", "b")
+
+
+_TILE_NAMES = ["kind", "token", "a", "b", "n", "pos"]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, band, pos, n, cls) sorted in this order. Out: kind 0, pairs (a, b) of each row with its tile's first two rows and the
+    first of the band below; kind 1, the rows of tokens that three rows or more have.
+
+    Only the rows of one token that a batch may break off are held, and of a long one only its pivots."""
+    names = ["token", "band", "pos", "n", "cls"]
+    held: list[np.ndarray] = [np.empty(0, np.int64)] * 5
+    skip, long = 0, False  # leading rows of ``held`` that are there as pivots only; whether its token has three rows already
+
+    def out(cols: list[np.ndarray], skip: int, long: bool) -> pa.RecordBatch | None:
+        token, band, pos, n, cls = cols
+        m = len(token)
+        if not m:
+            return None
+        new_token = np.concatenate(([True], token[1:] != token[:-1]))
+        new_run = new_token | np.concatenate(([True], band[1:] != band[:-1]))
+        first = np.flatnonzero(new_token)
+        count = np.diff(np.append(first, m))[np.cumsum(new_token) - 1]
+        run = np.flatnonzero(new_run)
+        number = np.cumsum(new_run) - 1
+        lead, at = run[number], np.arange(m)
+        below = np.full(len(run), -1)
+        if len(run) > 1:
+            near = (token[run[1:]] == token[run[:-1]]) & (band[run[1:]] == band[run[:-1]] + 1)
+            below[1:][near] = run[:-1][near]
+        second = np.minimum(lead + 1, m - 1)
+        x = np.concatenate([lead, np.where(number[second] == number, second, at), np.where(below[number] >= 0, below[number], at)])
+        y = np.tile(at, 3)
+        some = x != y
+        x, y = x[some], y[some]
+        ok = _fits(n[x], n[y], pos[x], pos[y], np.minimum, np.maximum) & (cls[x] != cls[y])
+        a, b = np.minimum(cls[x], cls[y])[ok], np.maximum(cls[x], cls[y])[ok]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        if len(a):
+            once = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            a, b = a[once], b[once]
+        tile = count > 2
+        if long:
+            tile |= token == token[0]
+        tile[:skip] = False
+        none, some = np.zeros(len(a), np.int64), int(tile.sum())
+        cols = [np.repeat([0, 1], [len(a), some]), np.concatenate([none, token[tile]]), np.concatenate([a, cls[tile]]), np.concatenate([b, np.zeros(some, np.int64)]), np.concatenate([none, n[tile]]), np.concatenate([none, pos[tile]])]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=_TILE_NAMES)
+
+    for b in batches:
+        cols = [np.concatenate([h, b.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, names, strict=True)]
+        if not len(cols[0]):
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if cut:
+            if (done := out([c[:cut] for c in cols], skip, long)) is not None:
+                yield done
+            held, skip, long = [c[cut:] for c in cols], 0, False
+        else:
+            held = cols
+        if len(held[0]) > 20_000:
+            yield out(held, skip, True)
+            last = held[1] == held[1][-1]
+            at = np.flatnonzero(last)[:2]
+            held, skip, long = [c[at] for c in held], len(at), True
+    if (done := out(held, skip, long)) is not None:
+        yield done
+
+
+def _spokes(hot: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the classes of tiles of frequent shingles with their tile's pivots and those of the band below. Pivots are
+    aggregated with map-side minima, so that one shingle may have any number of rows."""
+    row = F.struct("pos", F.xxhash64("cls").alias("h"), "cls", "n")
+    pivots = hot.groupBy("token", "band").agg(F.min(row).alias("p0"), F.min_by(row, F.xxhash64("cls")).alias("p1"))
+    pivots = pivots.select("token", "band", F.explode(F.array("p0", "p1")).alias("p"))
+    pivots = pivots.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("p.cls").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp"))
+    met = hot.join(pivots, ["token", "band"]).where((F.col("cls") != F.col("pivot")) & _fits(F.col("n"), F.col("pn"), F.col("pos"), F.col("pp")))
+    return met.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
+
+
+def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, str]:
+    """The pairs (a, b) that really link, stored."""
+    spark = texts.sparkSession
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted, wanted_path = stored(classes.select("k1", "k2", "cls", "least_doc").join(named, "cls"), "wanted")
+    ids = wanted.select("least_doc").distinct()
+    few = F.broadcast(ids) if wanted.count() <= WANTED else ids
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, ids = map(np.unpackbits, held.value)
-        seen: set[int] = set()
-        for rows, data, off in chunks(batches, "text"):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for _, data, off in chunks(batches, "text"):
             names, sets = [], []
-            for doc, x in zip(rows.column("doc_id").to_pylist(), shingle_sets(data, off), strict=True):
-                if len(x) and (doc is None or ids[doc % (1 << 24)]) and classes[(c := _class(x)) % (1 << 24)] and c not in seen:
+            for x in shingle_sets(data, off):
+                if len(x) and (c := _class(x)) not in seen:
                     seen.add(c)
                     names.append(c)
                     sets.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["class", "ids"])
+            k1, k2 = zip(*names, strict=True) if names else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sets, pa.binary())], names=["k1", "k2", "ids"])
 
-    return _texts(docs).mapInArrow(run, "class long, ids binary")
-
-
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that really link."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = cut(classes.select("class", "cls", "least_doc").join(named, "cls"))
-    sets, path = stored(_sets_of(docs, wanted), "sets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
             for p, q in zip(b.column("p"), b.column("q"), strict=True):
@@ -231,83 +316,163 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
                 ok.append(both * THRESHOLD[1] >= (len(x) + len(y) - both) * THRESHOLD[0])
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    names = wanted.select("cls", "class")
-    both = pairs.join(names.select(F.col("cls").alias("a"), F.col("class").alias("ka")), "a").join(names.select(F.col("cls").alias("b"), F.col("class").alias("kb")), "b")
-    both = both.join(sets.select(F.col("class").alias("ka"), F.col("ids").alias("p")), "ka").join(sets.select(F.col("class").alias("kb"), F.col("ids").alias("q")), "kb")
-    out = cut(both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long").distinct())
-    forget(docs.sparkSession, path)
+    asked = texts.join(few, texts.doc_id.eqNullSafe(F.col("least_doc")), "left_semi")
+    built = asked.mapInArrow(build, "k1 long, k2 long, ids binary")
+    sets, sets_path = stored(built.join(wanted.select("k1", "k2", "cls"), ["k1", "k2"]).select("cls", "ids").dropDuplicates(["cls"]), "sets")
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("ids").alias("p")), "a").join(sets.select(F.col("cls").alias("b"), F.col("ids").alias("q")), "b")
+    out = stored(both.select("a", "b", "p", "q").mapInArrow(verify, "a long, b long"), "links")
+    forget(spark, wanted_path, sets_path)
     return out
 
 
-def _in_rare_tiles(tiles: DataFrame) -> DataFrame:
-    """Distinct pairs a < b that share a rare token, of one band or neighbouring ones and of fitting sizes."""
-    left, right = (tiles.select("token", F.col("cls").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & _fits(F.col("na"), F.col("nb")))
-    return pairs.select("a", "b").distinct()
+def _squares(tiles: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (token, lo, hi, own, cls, n, pos, comp, bits) of the squares of tokens whose classes are in several components."""
+    comps = found.select(F.col("v").alias("cls"), "comp")
+    now = tiles.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    sizes = now.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    sizes = sizes.groupBy("token").agg(F.sum("k").alias("all"), F.max("k").alias("most"), F.max_by("comp", F.struct("k", "comp")).alias("giant"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sizes = sizes.select("token", "giant", blocks(F.col("all") - F.col("most")).alias("outside"), blocks(F.col("most")).alias("inside"))
+    rows = now.join(sizes, "token")
+    h, stray = F.xxhash64("cls", "token"), F.col("comp") != F.col("giant")
+    own = F.when(stray, F.pmod(h, F.col("outside"))).otherwise(F.col("outside") + F.pmod(h, F.col("inside"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(stray, F.col("outside") + F.col("inside")).otherwise(F.col("outside")) - 1)
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    rows = rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "n", "pos", "comp")
+    rows = rows.join(classes.select("cls", "bits"), "cls")
+    key = ["token", "lo", "hi"]
+    return rows.select(*key, "own", "cls", "n", "pos", "comp", "bits").repartition(*key).sortWithinPartitions(*key)
+
+
+def _differ(values: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of the bitmaps of rows x and y; the longer one is folded to the length of the shorter."""
+    width = np.diff(off)
+    least = np.minimum(width[x], width[y])
+    out = np.empty(len(x), np.int64)
+    for w in np.unique(least).tolist():
+        pairs = np.flatnonzero(least == w)
+        rows, at = np.unique(np.concatenate([x[pairs], y[pairs]]), return_inverse=True)
+        places = off[rows][:, None] + np.arange(w)
+        m = values[places]
+        wide = width[rows] > w
+        m[wide] ^= values[places[wide] + w]
+        left, right = at[: len(pairs)], at[len(pairs) :]
+        step = max(1, 2_000_000 // w)
+        for lo in range(0, len(pairs), step):
+            out[pairs[lo : lo + step]] = np.bitwise_count(m[left[lo : lo + step]] ^ m[right[lo : lo + step]]).sum(axis=1)
+    return out
+
 
+def _within_squares(best: bool):
+    """A task over rows of squares: pairs (a, b) of different components that places and bitmaps allow; each row's two best if ``best``."""
+
+    def pairs(c: dict[str, np.ndarray], values: np.ndarray, off: np.ndarray, square: np.ndarray) -> pa.RecordBatch:
+        m = len(square)
+        edges = np.flatnonzero(np.concatenate(([True], square[1:] != square[:-1])))
+        size = np.diff(np.append(edges, m))[square - square[0]]
+        found: list[np.ndarray] = []
+
+        def keep(x: np.ndarray, y: np.ndarray) -> None:
+            ok = (c["comp"][x] != c["comp"][y]) & ((c["own"][x] != c["own"][y]) | (c["lo"][x] == c["hi"][x])) & (c["cls"][x] != c["cls"][y])
+            x, y = x[ok], y[ok]
+            ok = _fits(c["n"][x], c["n"][y], c["pos"][x], c["pos"][y], np.minimum, np.maximum)
+            x, y = x[ok], y[ok]
+            if len(x):
+                d = _differ(values, off, x, y)
+                ok = d * (THRESHOLD[0] + THRESHOLD[1]) <= (c["n"][x] + c["n"][y]) * (THRESHOLD[1] - THRESHOLD[0])
+                found.append(np.stack([x[ok], y[ok], d[ok]]))
+
+        small = np.flatnonzero(size <= 48)
+        for step in range(1, 48):
+            x = small[small + step < m]
+            x = x[square[x] == square[x + step]]
+            if not len(x):
+                break
+            keep(x, x + step)
+        for lo in edges[size[edges] > 48].tolist():
+            hi = lo + int(size[lo])
+            for i in range(lo, hi, 128):
+                x, y = np.meshgrid(np.arange(i, min(i + 128, hi)), np.arange(i, hi), indexing="ij")
+                up = x < y
+                keep(x[up], y[up])
+        x, y, d = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        if best and len(x):
+            row, pair = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
+            order = np.lexsort((np.tile(d, 2), row))
+            row, pair = row[order], pair[order]
+            first = np.concatenate(([True, True], row[2:] != row[:-2]))
+            pair = np.unique(pair[first])
+            x, y = x[pair], y[pair]
+        a, b = c["cls"][x], c["cls"][y]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    names = ["token", "lo", "hi", "own", "cls", "n", "pos", "comp"]
 
-def _mixed(tiles: DataFrame, found: DataFrame) -> DataFrame:
-    """``tiles`` with the components found so far, of tokens whose classes are in more than one."""
-    now = tiles.drop("comp").join(found.select(F.col("v").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    several = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    return cut(now.join(several, "token"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
 
+        def numbered(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+            c = {k: t.column(k).to_numpy().astype(np.int64) for k in names}
+            new = np.concatenate(([False], np.any([c[k][1:] != c[k][:-1] for k in ("token", "lo", "hi")], axis=0)))
+            return c, np.cumsum(new)
 
-def _spokes(tiles: DataFrame, round_: int) -> DataFrame:
-    """Distinct pairs (a, b): each class of a tile with at most three of the tile's pivots, of fitting sizes and other components."""
-    pivots = tiles.groupBy("token", "band").agg(*(F.min_by(F.struct("cls", "n", "comp"), F.xxhash64("cls", F.lit(round_ * PIVOTS + r))).alias(f"p{r}") for r in range(PIVOTS)))
-    pivots = pivots.select("token", "band", F.explode(F.array(*(f"p{r}" for r in range(PIVOTS)))).alias("p")).select("token", "band", F.col("p.cls").alias("pivot"), F.col("p.n").alias("np"), F.col("p.comp").alias("cp"))
-    spokes = tiles.join(pivots, ["token", "band"]).where((F.col("comp") != F.col("cp")) & _fits(F.col("n"), F.col("np")))
-    spokes = spokes.groupBy("cls", "pivot").agg(F.count("*").alias("shared"))
-    spokes = spokes.groupBy("cls").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("p1"), F.min_by("pivot", F.xxhash64("cls", "pivot")).alias("p2"), F.max("pivot").alias("p3"))
-    return spokes.select("cls", F.explode(F.array("p1", "p2", "p3")).alias("p")).select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
+        def done(t: pa.Table) -> pa.RecordBatch:
+            c, square = numbered(t)
+            bits = t.column("bits").combine_chunks()
+            bits = pa.concat_arrays(bits.chunks) if isinstance(bits, pa.ChunkedArray) else bits
+            off = bits.offsets.to_numpy().astype(np.int64)
+            return pairs(c, bits.values.to_numpy().view(U), off, square)
 
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows < 4 * BLOCK:  # a square has about two blocks of rows at most
+                continue
+            _, square = numbered(held)
+            last = int(np.searchsorted(square, square[-1]))
+            if last:
+                yield done(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield done(held)
 
-def _in_tiles(tiles: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of different components within tiles (token, band, cls, n, comp, bits) and their upper neighbours, of
-    fitting sizes and with bitmaps that allow a link."""
-    left = tiles.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("tile"), F.col("band").alias("low"), F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("bits").alias("bx"))
-    right = tiles.select(F.col("token").alias("own_token"), F.col("band").alias("own_band"), F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("bits").alias("by"))
-    once = (F.col("low") < F.col("tile")) | (F.col("x") < F.col("y"))
-    apart = (F.col("cx") != F.col("cy")) & _fits(F.col("nx"), F.col("ny")) & _may_link(F.col("nx"), F.col("ny"), F.col("bx"), F.col("by"))
-    pairs = left.join(right, (F.col("token") == F.col("own_token")) & (F.col("tile") == F.col("own_band")) & once & apart)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return run
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
-    base, base_path = stored(prefixes(docs, frequency_levels(docs)).withColumn("rid", F.monotonically_increasing_id()), "prefixes")
-    some = base.where("n > 0")
-    classes = some.groupBy("class", "n").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("least_doc"), F.first("bits").alias("bits"))
-    classes, class_path = stored(classes, "classes")
-    members, _ = stored(base.select("rid", "doc_id", "n", "class").join(classes.select("class", "n", "cls"), ["class", "n"], "left").select("rid", "doc_id", "n", "cls"), "members")
-    # Tiles: (token, class). Rare tokens that one row has are dropped; the others are joined with their class.
-    rare = some.select(F.explode("rare").alias("token"), "rid", "n").withColumn("rows", F.count("*").over(W.partitionBy("token"))).where("rows > 1").drop("rows")
-    common = some.select(F.explode("common").alias("token"), "rid", "n")
-    own = members.where("n > 0").select("rid", "cls")
-    tiles, tile_path = stored(rare.withColumn("common", F.lit(False)).unionByName(common.withColumn("common", F.lit(True))).join(own, "rid").select("token", "cls", "n", "common").distinct(), "tiles")
-    forget(spark, base_path)
-    all_rare = _in_rare_tiles(tiles.where("NOT common"))
-    tiles = tiles.where("common").withColumns({"band": _band(F.col("n")), "comp": F.col("cls")})
-    tried = cut(_bounded(all_rare.unionByName(_spokes(tiles, 0)).distinct(), classes))
-    links = _links(tried, classes, docs)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base, _ = stored(prefixes(texts, frequent_shingles(texts)).withColumn("rid", F.monotonically_increasing_id()), "prefixes")
+    same = base.where("n > 0").groupBy("k1", "k2")
+    classes, class_path = stored(same.agg(F.min("rid").alias("cls"), F.min("doc_id").alias("least_doc"), *(F.first(c).alias(c) for c in ("n", "bits", "cold", "hot"))), "classes")
+    # Tiles of rare shingles, which few classes have, go by shingle; those of frequent ones are aggregated first.
+    rows = lambda column: classes.select(F.posexplode(column).alias("at", "token"), (F.lit(0) if column == "cold" else F.size("cold")).alias("base"), "n", "cls").select("token", _band(F.col("n")).alias("band"), (F.col("at") + F.col("base")).alias("pos"), "n", "cls")
+    rare = rows("cold").repartition("token").sortWithinPartitions("token", "band", "pos", "cls")
+    rare, rare_path = stored(rare.mapInArrow(_runs, "kind int, token long, a long, b long, n int, pos int"), "tiles")
+    hot, hot_path = stored(rows("hot"), "tiles")
+    tried, tried_path = stored(_bounded(rare.where("kind = 0").select("a", "b").unionByName(_spokes(hot)), classes), "pairs")
+    links, links_path = _links(tried, classes, texts)
     found = components(links)
-    for r in range(1, STAR_ROUNDS):  # frequent tiles whose classes are in several components meet new pivots
-        spokes = _spokes(_mixed(tiles, found), r).join(tried, ["a", "b"], "left_anti")
-        spokes = cut(_bounded(spokes, classes))
-        if spokes.isEmpty():
+    forget(spark, tried_path, links_path)
+    tiles = rare.where("kind = 1").select("token", F.col("a").alias("cls"), "n", "pos").unionByName(hot.select("token", "cls", "n", "pos"))
+    for best in (True, False):  # what is still apart meets in full, so that no link is lost
+        rest, rest_path = stored(_squares(tiles, found, classes).mapInArrow(_within_squares(best), "a long, b long").distinct(), "pairs")
+        if rest.isEmpty():
+            forget(spark, rest_path)
             break
-        more = _links(spokes, classes, docs)
-        tried, links = cut(tried.unionByName(spokes)), cut(links.unionByName(more))
-        found = components(links)
-    # What is still apart meets in full, so that no link is lost.
-    rest = _in_tiles(_mixed(tiles, found).join(classes.select("cls", "bits"), "cls"))
-    rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        found = components(links.unionByName(_links(rest, classes, docs)))
-    named = classes.select("cls", "least_doc").join(found.select(F.col("v").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        more, more_path = _links(rest, classes, texts)
+        # Components of components: the new links run between those found so far.
+        of = found.select(F.col("v").alias("x"), "comp")
+        for end in ("a", "b"):
+            more = more.join(of, F.col(end) == F.col("x"), "left").withColumn(end, F.coalesce("comp", end)).select("a", "b")
+        merged = components(more).select(F.col("v").alias("old"), F.col("comp").alias("new"))
+        alone = merged.join(found.select(F.col("v").alias("old")), "old", "left_anti").select(F.col("old").alias("v"), F.col("new").alias("comp"))
+        found, _ = stored(found.join(merged, F.col("comp") == F.col("old"), "left").select("v", F.coalesce("new", "comp").alias("comp")).unionByName(alone), "components")
+        forget(spark, rest_path, more_path)
+    named = classes.select("k1", "k2", "cls", "least_doc").join(found.select(F.col("v").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
-    named = cut(named.join(least, "comp").select("cls", "component_id"))
-    forget(spark, tile_path, class_path)
-    return members.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named, _ = stored(named.join(least, "comp").select("k1", "k2", "component_id"), "named")
+    forget(spark, class_path, rare_path, hot_path)
+    members = base.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "k1", "k2")
+    return members.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
