@@ -37,6 +37,8 @@ SIZE = 5
 THRESHOLD = (4, 5)
 #: Shingles whose order the broadcast sets, and the least number of counted repeats that puts one there.
 FREQUENT, REPEATS = 1 << 20, 8
+#: Distinct shingles that a task counts before it sends what repeated and begins anew.
+WINDOW = 3_000_000
 #: Bits of the smallest signature; sets of more shingles get the next power of two that is no smaller than their size.
 BITMAP = 512
 #: Rows of a block of a tile that is searched in full; a square holds two blocks.
@@ -117,9 +119,9 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 if len(x) and (c := _class(x)) not in seen:
                     seen.add(c)
                     waiting.append(x)
-            if sum(map(len, waiting)) > 3_000_000:
+            if sum(map(len, waiting)) > 1_000_000:
                 merge()
-                if len(have) > 12_000_000:  # a task's share beyond which it begins anew
+                if len(have) > WINDOW:
                     yield from repeated()
                     have, counts = np.empty(0, U), np.empty(0, np.int64)
                     seen.clear()
