@@ -1,17 +1,18 @@
 """Best-fit packing, bulk-synchronously.
 
-Documents are tokenised, ended by id 0, and cut into pieces only if they are longer than a sequence; a full piece is a sequence of
-its own. The remaining pieces are packed in rounds over two distributed tables, pieces and gaps. In a round both are sorted by
-size over range partitions; each partition sweeps its rows upwards, and every gap takes the largest piece below it that is
-still free (so every piece meets its successor among the gaps that nearer pieces left over), again and again while it has room for
-one of the partition's pieces. The first round does so in lanes that hold all sizes each; in the later ones the partitions divide the whole
-range of sizes, and what stays open in a partition is
-resolved between partitions by rank: the per-partition counts of open pieces and gaps decide which stretch of ranks meets which, and
-equal match numbers are joined. Gaps shrink by what they took, and the next round begins. When a round places nothing or nothing is
-open, as many new sequences are opened as the rest needs at least.
-
-Cases: a null or empty text is the single id 0. Repeated rows are packed separately. Ties of size are broken by row number. An
-empty table gives no rows. Other input columns than ``doc_id`` and ``text`` are not read."""
+Documents are tokenised, ended by id 0, and cut into pieces only if they are longer than a sequence. The pieces are range-sorted by
+size over Spark's partitions, which ranks them among those of their size. As sizes are bounded by the sequence length, pieces and
+gaps sorted by size are at most ``capacity`` runs of equal size each, whatever the corpus: a sweep matches runs, not rows. In a round
+every run of pieces, from the largest, goes to its successor among the gaps (the tightest room that holds it); where several runs
+want one run of gaps, rank decides: the larger pieces, then the lower ranks, come first, and the others go to the next room. After
+the sweep the gaps that took a piece have what is left of their room, and the next round begins; gaps that took nothing have no piece
+that fits and never will. When no gap is left, as many new sequences are opened as the rest needs at least. A matched run says which
+ranks of a size go to which sequences; it is broadcast (its number is bounded by sizes and rounds), and every piece finds its run by
+its rank, where it lies. So a piece moves once, in the range sort, however many rounds there are.
+
+Cases: a null or empty text is the single id 0. Repeated rows are packed separately. Ties of size are broken by a hash of the row
+number. Very long texts are many pieces, of which the first takes what whole pieces leave over. An empty table gives no rows. Other
+input columns than ``doc_id`` and ``text``, whatever their names, are not read."""
 
 from __future__ import annotations
 
@@ -24,9 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plotline.session import cut, forget, stored
+from plotline.session import stored
 
 CAPACITY = 2048
 END = 0
@@ -81,124 +83,63 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts (a partition, or a lane of it), each sorted by (size, kind): each gap (kind 1) takes the largest free piece (kind 0) that fits, and goes on with
-    what it has left until nothing in the partition fits.
-
-    Out: part, kind, id, size and, for a placed piece, its gap's id and room before it (``gap``); a gap that took something with
-    its room left (kind 2); and for what stays open its rank: open gaps in order of their sizes, open pieces from the largest."""
-    part, n_open, free_id, free_size = None, 0, [], []
-    got: list[tuple] = []
-
-    def close() -> None:
-        got.extend((part, 0, i, s, None, None, r) for r, (i, s) in enumerate(zip(reversed(free_id), reversed(free_size), strict=True)))
-        free_id.clear()
-        free_size.clear()
-
-    for b in batches:
-        for p, kind, i, size in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "id", "size")), strict=True):
-            if p != part:
-                close()
-                part, n_open = p, 0
-            if kind == 0:
-                free_id.append(i)
-                free_size.append(size)
-                continue
-            room = size
-            while room and (at := bisect.bisect_right(free_size, room)):
-                got.append((p, 0, free_id.pop(at - 1), piece := free_size.pop(at - 1), i, room, None))
-                room -= piece
-            if room == size:
-                got.append((p, 1, i, size, None, None, n_open))
-                n_open += 1
-            elif room:
-                got.append((p, 2, i, room, None, None, None))
-    close()
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-    cols = list(zip(*got, strict=True)) if got else [[]] * 7
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "kind", "id", "size", "gap_id", "gap", "rank"])
-
-
-def _between(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """(match number, gap part, gap rank, piece part, piece rank, length) stretches: a partition's open gaps take the largest
-    pieces that smaller partitions left open. ``counts``: part -> (open pieces, open gaps)."""
-    stack: list[list[int]] = []  # part, next rank, left
-    out, number = [], 0
-    for part in sorted(counts):
-        pieces, gaps = counts[part]
-        at = 0
-        while at < gaps and stack:
-            p, r, left = stack[-1]
-            n = min(gaps - at, left)
-            out.append((number, part, at, p, r, n))
-            number, at = number + n, at + n
-            stack[-1][1:] = [r + n, left - n]
-            if left == n:
-                stack.pop()
-        if pieces:
-            stack.append([part, 0, pieces])
+def match_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(size, first rank, length, pieces a sequence, first sequence, offset) of the runs that ``counts`` (size -> pieces) are matched
+    in: the pieces of a size with ranks from ``first rank`` on go to consecutive sequences. In a round a gap takes one piece, or a
+    quarter of the equal pieces that it has room for if that is more: rounds grow with the logarithm of the capacity then, and work
+    and result with the number of sizes, not with that of pieces."""
+    left, rank = dict(counts), dict.fromkeys(counts, 0)
+    gaps: dict[int, list[tuple[int, int]]] = {}  # room -> runs (first sequence, length)
+    out, opened = [], 0
+    while left:
+        if not gaps:
+            fresh = -(-sum(s * n for s, n in left.items()) // capacity)
+            gaps[capacity] = [(opened, fresh)]
+            opened += fresh
+        rooms, after = sorted(gaps), {}
+        for s in sorted(left, reverse=True):
+            at = bisect.bisect_left(rooms, s)  # the successor of s among the rooms
+            while left[s] and at < len(rooms):
+                room = rooms[at]
+                sequence, n = gaps[room].pop()
+                each = min(max(1, room // s // 4), left[s])
+                m = min(n, left[s] // each)
+                out.append((s, rank[s], m * each, each, sequence, capacity - room))
+                rank[s], left[s] = rank[s] + m * each, left[s] - m * each
+                if n > m:
+                    gaps[room].append((sequence + m, n - m))
+                elif not gaps[room]:
+                    rooms.pop(at)
+                if room > each * s:
+                    after.setdefault(room - each * s, []).append((sequence, m))
+        left = {s: n for s, n in left.items() if n}
+        gaps = after
     return out
 
 
-def best_fit(items: DataFrame, capacity: int = CAPACITY, lane_rows: int = 20_000) -> DataFrame:
-    """id, sequence_id, offset for ``items`` (id, size), each size below ``capacity``. The first round is swept in lanes of about
-    ``lane_rows`` rows of all sizes; all later ones over the whole range of sizes."""
+def best_fit(items: DataFrame, capacity: int = CAPACITY, size: str = "size") -> DataFrame:
+    """``items`` with sequence_id and offset; ``size`` names a column of values from 1 to ``capacity``."""
     spark = items.sparkSession
-    items, old = stored(items.select("id", "size"), "pieces")
-    placed, gaps, opened, first = [], None, 0, True
-    while True:
-        left = items.agg(F.count("*").alias("n"), F.sum("size").alias("s")).first()
-        if not left.n:
-            break
-        if gaps is None:
-            fresh = max(1, -(-left.s // capacity))
-            new = spark.range(opened, opened + fresh).select("id", F.lit(capacity).cast("long").alias("size"))
-            opened += fresh
-            gaps = new
-        both = items.select(F.lit(0).alias("kind"), "id", "size").unionByName(gaps.select(F.lit(1).alias("kind"), "id", "size"))
-        lanes = left.n // lane_rows if first else 0
-        if lanes > 1:  # lanes with all sizes in each, swept side by side
-            both = both.withColumn("part", F.pmod(F.xxhash64("kind", "id"), F.lit(lanes)).cast("int"))
-            both = both.repartition("part").sortWithinPartitions("part", "size", "kind", "id")
-        else:
-            order = ["size", "kind", F.xxhash64("id")]  # a piece stands before the gaps of its size
-            both = both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-        swept, path = stored(both.mapInArrow(_sweep, "part int, kind int, id long, size long, gap_id long, gap long, rank long"), "sweep")
-        counts = {r.part: (r.p, r.g) for r in swept.where("rank IS NOT NULL").groupBy("part").agg(F.count_if(F.col("kind") == 0).alias("p"), F.count_if(F.col("kind") == 1).alias("g")).collect()}
-        stretches = _between(counts) if lanes <= 1 else []
-        here = swept.where("gap_id IS NOT NULL").select("id", "size", "gap_id", "gap")
-        left_over = swept.where("kind = 2" if lanes <= 1 else "kind > 0").select("id", "size")
-        open_rows = swept.where("rank IS NOT NULL")
-        if stretches:  # at most two for each partition: bounded by the number of partitions
-            s = F.broadcast(spark.createDataFrame(stretches, "number long, g_part int, g_rank long, p_part int, p_rank long, n long"))
-            at = lambda k: (F.col("part") == F.col(f"{k}_part")) & (F.col("rank") >= F.col(f"{k}_rank")) & (F.col("rank") < F.col(f"{k}_rank") + F.col("n"))
-            wide = open_rows.where("kind = 0").join(s, at("p"), "left").select("kind", "id", "size", (F.col("number") + F.col("rank") - F.col("p_rank")).alias("number"))
-            takers = open_rows.where("kind = 1").join(s, at("g")).select(F.col("id").alias("gap_id"), F.col("size").alias("gap"), (F.col("number") + F.col("rank") - F.col("g_rank")).alias("number"))
-            pairs = wide.join(takers, "number")
-            pairs = cut(pairs)
-            here = here.unionByName(pairs.select("id", "size", "gap_id", "gap"))
-            left_over = left_over.unionByName(pairs.where("gap > size").select(F.col("gap_id").alias("id"), (F.col("gap") - F.col("size")).alias("size")))
-            open_rows = wide.where("number IS NULL")
-        here, _ = stored(here, "placed")
-        n_here = here.count()
-        placed.append(here.select("id", F.col("gap_id").alias("sequence_id"), (F.lit(capacity) - F.col("gap")).alias("offset")))
-        # Over the whole range a gap that took nothing had no free piece below it, and never will: only those that took one go on.
-        left_over = cut(left_over)
-        rest, rest_path = stored(open_rows.where("kind = 0").select("id", "size"), "open")
-        forget(spark, path, old)
-        items, old = rest, rest_path
-        gaps, first = left_over if n_here else None, False
-    out = placed[0] if placed else items.select("id", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    for p in placed[1:]:
-        out = out.unionByName(p)
-    return out
+    items = items.withColumn("_id", F.monotonically_increasing_id())
+    order = [F.col(size), F.xxhash64("_id"), F.col("_id")]
+    place = F.monotonically_increasing_id()  # partition and place in it
+    ranked, _ = stored(items.repartitionByRange(*order).sortWithinPartitions(*order).drop("_id").withColumn("_place", place), "ranked")
+    # Ranks among the pieces of a size: a partition holds a range of sizes, so there is a row for each size and each further partition.
+    part = F.shiftright("_place", 33)
+    parts, parts_path = stored(ranked.groupBy(part.alias("_part"), F.col(size).alias("_size")).agg(F.min("_place").alias("first"), F.count("*").alias("n")), "parts")
+    w = W.partitionBy("_size").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts_before = parts.select("_part", "_size", (F.coalesce(F.sum("n").over(w), F.lit(0)) - F.col("first")).alias("_shift"))
+    counts = {r._size: r.n for r in parts.groupBy("_size").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
+    runs = spark.createDataFrame(match_runs(counts, capacity), "r_size long, r_first long, r_n long, r_each long, r_sequence long, r_offset long")
+    ranked = ranked.join(F.broadcast(parts_before), (part == F.col("_part")) & (F.col(size) == F.col("_size")))
+    rank = F.col("_place") + F.col("_shift")
+    found = ranked.join(F.broadcast(runs), (F.col(size) == F.col("r_size")) & (rank >= F.col("r_first")) & (rank < F.col("r_first") + F.col("r_n")))
+    at = rank - F.col("r_first")
+    sequence, offset = F.col("r_sequence") + (at - at % F.col("r_each")) / F.col("r_each"), F.col("r_offset") + at % F.col("r_each") * F.col(size)
+    return found.select(*(c for c in items.columns if c != "_id"), sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row."""
-    pieces, _ = stored(tokenised_pieces(docs, capacity, ranks_path).withColumn("id", F.monotonically_increasing_id()), "tokens")
-    full = F.col("length") == capacity
-    some = best_fit(pieces.where(~full).select("id", F.col("length").alias("size")), capacity)
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    own = pieces.where(full).select(*columns, (-1 - F.col("id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return pieces.where(~full).join(some, "id").select(*columns, "sequence_id", "offset").unionByName(own)
+    pieces, _ = stored(tokenised_pieces(docs, capacity, ranks_path), "tokens")  # the range sort reads them twice
+    return best_fit(pieces, capacity, "length")
