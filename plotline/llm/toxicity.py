@@ -72,7 +72,8 @@ class Ftrl:
 
 
 def train(sampled: DataFrame, passes: int = 4) -> dict[str, list]:
-    """Sparse weights from rows (text, label). The rows must be few: FTRL sees them one after another, in one task."""
+    """Sparse weights from rows (text, label, ord). The rows must be few: FTRL sees them one after another, in one task. They are
+    moved there by a shuffle, so that what selects them stays parallel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[tuple[int, np.ndarray, float]] = []
@@ -91,7 +92,7 @@ def train(sampled: DataFrame, passes: int = 4) -> dict[str, list]:
         nz = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([nz], pa.list_(pa.int64())), pa.array([w[nz]], pa.list_(pa.float64())), pa.array([len(seen)])], names=["at", "w", "n"])
 
-    got = sampled.coalesce(1).mapInArrow(run, "at array<long>, w array<double>, n long").collect()
+    got = sampled.repartition(1).mapInArrow(run, "at array<long>, w array<double>, n long").collect()
     return {"at": got[0].at, "w": got[0].w} if got else {"at": [], "w": []}
 
 
