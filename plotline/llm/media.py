@@ -11,8 +11,10 @@ bytes are the 64 coefficients (in zigzag order) of an 8x8 block, byte b as the v
 coefficient (code bit, then its six upper bits), and each refinement one bit.
 
 Cases: null and empty texts have the payload of 64 zero bytes; equal texts give equal files and features, in whatever batch they
-stand (the transform is exact in integers). Repeated rows stay repeated; ids may be null. Damaged files raise ``ValueError`` in
-``decode``. Only ``doc_id`` and ``text`` of the input are read."""
+stand (the transform is exact in integers). Repeated rows stay repeated; ids may be null. A null or damaged file raises in ``decode``;
+in a column it gives its row nulls and the reason, and other rows are not touched. Files may be grey, have any quantisers (16 bits as
+well), sampling factors and component numbers. Very long texts are one file each. An empty table gives no rows. ``store_texts`` reads
+``doc_id`` and ``text`` only; ``read_media`` keeps the other columns."""
 
 from __future__ import annotations
 
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotline.llm._text import chunks, flat
+from plotline.session import stored
 
 BLOCK = 64
 OFFSET = 256
@@ -463,6 +466,10 @@ def tensor_features(x: np.ndarray) -> str:
     return f"{x.shape[1]}x{x.shape[0]};" + ",".join(f"{a / n:.3f}:{b / n - (a / n) ** 2:.2f}" for a, b in zip(s.tolist(), sq.tolist(), strict=True)) + f";{right / (3 * n):.3f},{down / (3 * n):.3f}"
 
 
+#: What damaged files raise.
+_DAMAGE = (ValueError, IndexError, KeyError, TypeError, AttributeError)
+
+
 # --- the operators ----------------------------------------------------------------------------------------------------------
 
 
@@ -484,42 +491,67 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, media binary")
 
 
-def read_media(stored: DataFrame, tensors: bool = True) -> DataFrame:
-    """Decode ``media``: the columns that came, then payload (the coefficients as bytes), height, width, feature and, with
-    ``tensors``, rgb (height * width * 3 bytes). ``payload_bytes`` says how much of the payload is meant."""
-    names = stored.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
+def _accumulated(files: list[bytes | None]) -> tuple[list[Picture | None], list[dict[int, np.ndarray]], list[str | None]]:
+    """``coefficients`` of the files that can be read, and for each file what is wrong with it, if anything."""
+    pics: list[Picture | None] = [None] * len(files)
+    coefs: list[dict[int, np.ndarray]] = [{} for _ in files]
+    wrong: list[str | None] = [None if f is not None else "no media" for f in files]
+    some = [i for i, f in enumerate(files) if f is not None]
+    try:
+        for i, pic, k in zip(some, *coefficients([files[i] for i in some]), strict=True):
+            pics[i], coefs[i] = pic, k
+    except _DAMAGE:  # one by one, to tell which
+        for i in some:
+            try:
+                (pics[i],), (coefs[i],) = coefficients([files[i]])
+            except _DAMAGE as e:
+                pics[i], coefs[i], wrong[i] = None, {}, f"damaged: {e}"
+    return pics, coefs, wrong
+
+
+def read_media(media: DataFrame, tensors: bool = True) -> DataFrame:
+    """Decode ``media``: the columns that came, then payload (the coefficients as bytes, if ``payload_bytes`` says how many are meant),
+    height, width, feature, with ``tensors`` rgb (height * width * 3 bytes), and media_error: null, or why all of these are null."""
+    names = media.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, _ in chunks(batches, "media", 2 << 20):
-            pics, coefs = coefficients(rows.column("media").to_pylist())
+            pics, coefs, wrong = _accumulated(rows.column("media").to_pylist())
             sizes = rows.column("payload_bytes").to_pylist()
+            alike: dict[bytes, list[tuple[int, int]]] = {}  # one transform for all planes of the slice with the same quantisers
+            for i, pic in enumerate(pics):
+                for c in pic.comps if pic else ():
+                    alike.setdefault(pic.quant[c].tobytes(), []).append((i, c))
+            samples: list[dict[int, np.ndarray]] = [{} for _ in pics]
+            for group in alike.values():
+                i, c = group[0]
+                all_of = planes(np.concatenate([coefs[i][c] for i, c in group]), pics[i].quant[c])
+                at = 0
+                for i, c in group:
+                    samples[i][c] = all_of[at : at + len(coefs[i][c])]
+                    at += len(coefs[i][c])
             payload, features, whole, shape = [], [], [], []
-            joined = {c: np.concatenate([k[c] for k in coefs]) for c in (1, 2, 3)}  # one transform for all pictures of the slice
-            samples = {c: planes(joined[c], pics[0].quant[c]) for c in joined}
-            at = dict.fromkeys(joined, 0)
-            for pic, k, size in zip(pics, coefs, sizes, strict=True):
-                own = {}
-                for c in k:
-                    own[c] = samples[c][at[c] : at[c] + len(k[c])]
-                    at[c] += len(k[c])
-                payload.append((np.concatenate([k[c] for c in (1, 2, 3)]).reshape(-1)[:size] - OFFSET).astype(np.uint8).tobytes())
-                x = rgb(pic, k, own)
-                features.append(tensor_features(x))
-                shape.append(x.shape)
+            for pic, k, own, size in zip(pics, coefs, samples, sizes, strict=True):
+                x = rgb(pic, k, own) if pic else None
+                payload.append(None if pic is None or size is None else (np.concatenate([k[c] for c in pic.comps]).reshape(-1)[:size] - OFFSET).astype(np.uint8).tobytes())
+                features.append(tensor_features(x) if pic else None)
+                shape.append(x.shape if pic else (None, None))
                 if tensors:
-                    whole.append(x.tobytes())
-            out = [*rows.columns, pa.array(payload, pa.binary()), pa.array([s[0] for s in shape], pa.int32()), pa.array([s[1] for s in shape], pa.int32()), pa.array(features)]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(whole, pa.binary())] * tensors, names=[*names, "payload", "height", "width", "feature"] + ["rgb"] * tensors)
+                    whole.append(x.tobytes() if pic else None)
+            out = [*rows.columns, pa.array(payload, pa.binary()), pa.array([s[0] for s in shape], pa.int32()), pa.array([s[1] for s in shape], pa.int32()), pa.array(features, pa.string())]
+            out += [pa.array(whole, pa.binary())] * tensors + [pa.array(wrong, pa.string())]
+            yield pa.RecordBatch.from_arrays(out, names=[*names, "payload", "height", "width", "feature"] + ["rgb"] * tensors + ["media_error"])
 
-    return stored.mapInArrow(run, f"{kinds}, payload binary, height int, width int, feature string" + ", rgb binary" * tensors)
+    return media.mapInArrow(run, f"{kinds}, payload binary, height int, width int, feature string" + ", rgb binary" * tensors + ", media_error string")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """What was stored and read back, for each document: sizes, digests of payload and file, and the features."""
-    got = read_media(store_texts(docs), tensors=False)
+    kept, _ = stored(store_texts(docs), "media")
+    got = read_media(kept, tensors=False)
     return got.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("right(payload, 64)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"), "feature",
     )
