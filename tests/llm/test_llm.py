@@ -92,12 +92,17 @@ def test_packing_is_near_the_bound(spark, real):
     assert n <= math.ceil(total / 2048) * 1.02 + 1
 
 
-@pytest.mark.parametrize("lane_rows", [20_000, 50])
-def test_best_fit_places_everything(spark, lane_rows):
+@pytest.mark.parametrize("partitions", [1, 4, 31])
+def test_best_fit_places_everything(spark, partitions):
     rng = np.random.default_rng(3)
     sizes = np.concatenate([rng.integers(1, 100, 300), np.full(150, 700), [1, 1, 1]]).tolist()
-    items = spark.createDataFrame(list(enumerate(sizes)), "id long, size long")
-    got = packing.best_fit(items, 1000, lane_rows).join(items, "id").collect()
+    items = spark.createDataFrame(list(enumerate(sizes)), "id long, size long").repartition(partitions)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = packing.best_fit(items, 1000).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted(r.id for r in got) == list(range(len(sizes)))
     seqs = {}
     for r in got:
@@ -211,14 +216,43 @@ def test_blocks_are_dealt_once(spark, real):
 
 
 def test_split_tree_is_exact():
-    counts = np.array([10, 0, 7, 1])
-    out = mixing.split_tree(counts, np.array([5, 5, 4, 4]), np.random.default_rng(0))
-    assert (out.sum(0) == counts).all() and (out.sum(1) == [5, 5, 4, 4]).all() and (out >= 0).all()
+    counts, seats = [10, 0, 7, 1], [5, 5, 4, 4]
+    out = np.array(mixing.split_tree(counts, seats, np.random.default_rng(0)))
+    assert (out.sum(0) == counts).all() and (out.sum(1) == seats).all() and (out >= 0).all()
+    large = [3 * 10**11, 5, 10**12]
+    out = np.array(mixing.split_tree(large, [sum(large) // 2, sum(large) - sum(large) // 2], np.random.default_rng(0)))
+    assert (out.sum(0) == large).all() and abs(out[0, 0] / (out[0, 0] + out[0, 2]) - 3 / 13) < 1e-5
+
+
+def test_hypergeometric_law():
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((7, 5, 6), (1, 30, 4), (40, 2, 41), (3, 0, 2), (0, 4, 3)):
+        want = np.array([math.comb(good, k) * math.comb(bad, n - k) for k in range(min(good, n) + 1) if n - k <= bad], float)
+        lo = max(0, n - bad)
+        got = np.bincount([mixing.hypergeometric(good, bad, n, rng) - lo for _ in range(8000)], minlength=len(want)) / 8000
+        assert len(got) == len(want) and abs(got - want / want.sum()).max() < 0.02
+
+
+def test_rows_come_through_the_tree(spark, real, monkeypatch):
+    monkeypatch.setattr(mixing, "shard_quotas", lambda strata, shards, seed: strata.select("sid", "pass", F.array(*[F.lit(0).cast("long")] * shards).alias("ends")))
+    assert mixing.mix_documents(real).where("taken > 0").isEmpty()
+
+
+def test_shards_are_dealt_and_shuffled(spark, real):
+    sized = real.select("doc_id", "source", mixing.word_count("text").alias("words"), F.lit(1).alias("shard"))
+    mixed = mixing.mix(sized, F.col("source"), F.col("words"), shards=4, block_words=256)
+    want = sorted((r["row"].doc_id, p["pass"], p.shard, p.from_word, p.to_word) for r in mixed.collect() for p in r.placements)
+    rows = mixing.dealt(mixed).collect()
+    assert sorted((r["row"].doc_id, r["pass"], r.shard, r.from_word, r.to_word) for r in rows) == want
+    for k in range(4):
+        own = sorted((r.place, r["row"].source or "") for r in rows if r.shard == k)
+        assert [x for x, _ in own] == list(range(len(own)))
+        assert sum(x != y for (_, x), (_, y) in zip(own, own[1:])) > len(own) / 4  # sources are mixed, not in stretches
 
 
 def test_take_words(spark):
-    df = spark.createDataFrame([("a  bb c", 2), ("a", 5), (None, 1), ("x y", 0)], "t string, n long")
-    assert [r.v for r in df.select(mixing.take_words(F.col("t"), F.col("n")).alias("v")).collect()] == ["a  bb", "a", None, ""]
+    df = spark.createDataFrame([("a  bb c ", 0, 2), ("a", 0, 5), (None, 0, 1), ("x y", 0, 0), (" a b c ", 1, 2), (" a b c ", 1, 3), ("a b", 5, 7), (" a b ", 0, 2)], "t string, i long, n long")
+    assert [r[0] for r in df.select(mixing.take_words(F.col("t"), F.col("i"), F.col("n"))).collect()] == ["a  bb", "a", None, "", "b", "b c ", "", " a b "]
 
 
 # --- sharding
