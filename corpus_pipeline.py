@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotline.llm.mixing import mix, take_words, word_count
+from plotline.llm.mixing import dealt, mix, take_words, word_count
 from plotline.llm.ngram_join import near_duplicates
 from plotline.llm.packing import pack_documents
 from plotline.llm.quality import classify_quality
@@ -43,16 +43,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass that takes words of a document; its text is cut where its source's share ends inside it."""
+    """A row for each part of a document that a shard takes in a pass (the whole document, unless it lies on the border of two blocks
+    or is where its source's share ends), written in the shards' shuffled order."""
     sized = docs.select("*", word_count("text").alias("size"))
-    mixed = mix(sized, F.col("source"), F.col("size"))
-    passes = F.filter(
-        F.transform(F.array(F.lit(0), F.lit(1)), lambda p: F.aggregate("placements", F.lit(0).cast("long"), lambda n, x: n + F.when(x["pass"] == p, x.to_word - x.from_word).otherwise(0))),
-        lambda n: n > 0,
-    )
-    rows = mixed.select("row", "size", F.explode(passes).alias("words"))
-    text = F.when(F.col("words") < F.col("size"), take_words(F.col("row.text"), F.col("words"))).otherwise(F.col("row.text"))
-    return rows.select("row.doc_id", text.alias("text"), "row.lang", "row.source", F.length(text).cast("long").alias("n_chars"))
+    rows = dealt(mix(sized, F.col("source"), F.col("size")))
+    whole = (F.col("from_word") == 0) & (F.col("to_word") == F.col("size"))
+    text = F.when(whole, F.col("row.text")).otherwise(take_words(F.when(~whole, F.col("row.text")), F.col("from_word"), F.col("to_word")))
+    return rows.select("row.doc_id", text.alias("text"), "row.lang", "row.source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
