@@ -1,17 +1,19 @@
 """LM scoring: stupid-backoff scores from n-gram count tables, computed relationally.
 
-Words are maximal runs of characters other than ASCII white space, with A-Z lowered. Every word of the corpus is known. Those with
-at least ``c`` occurrences, for the smallest c that leaves no more than ``VOCABULARY`` words, are numbered and their counts
-broadcast; the others go by their hashes, and their counts are joined to what asks for them, summed by document and word before.
-If ``capped``, all words without a number are one unknown word instead. A document is exploded into its bigrams (word, next word) with their numbers of occurrences; they are dealt by
-hash of the bigram, where each bigram's count over the whole corpus is summed beside the rows that ask for it, so that the
-exploded rows move once. The score of a bigram is count(a b) / count(a) if the bigram occurs at least ``MIN_COUNT`` times, else
-BACKOFF * count(b) / words; the first word of a document has count(b) / words. Logarithms are summed per document.
-Bigrams of two very frequent words would make hot keys; there are at most ``(FREQUENT + 1) ** 2`` of them, so their counts are
-summed in each task first and broadcast, and their rows never move.
-
-Cases: null, empty and white-space texts have no words and score null. Repeated rows count as separate documents. Ids may be null.
-An empty table gives no rows. Columns other than ``doc_id`` and ``text`` are not read."""
+Words are maximal runs of characters other than ASCII white space, with A-Z lowered; every word of the corpus is known. The score of
+a bigram (word, next word) is count(a b) / count(a) if the bigram occurs at least ``MIN_COUNT`` times, else BACKOFF * count(b) / words;
+the first word of a document has count(b) / words. Logarithms are summed per document and divided by its words.
+
+A document is exploded into its distinct bigrams with their numbers of occurrences, partitioned by hash of the bigram. The count table
+of the bigrams is aggregated over these partitions and joined to them there, so that the exploded rows move once. Word counts are
+aggregated from each task's own sums; those of the most frequent words (at most ``VOCABULARY``) are broadcast as numbers, all others
+are joined by hash to one row for each document and word that asks for them.
+Hot keys: bigrams that repeat within tasks are looked for first; the most frequent (at most ``HOT``) are counted exactly, summed in each
+task, and broadcast, so that their rows never move. What is left of a bigram is a few in ``HOT`` of all rows at most, however many copies
+of a text the corpus holds.
+
+Cases: null, empty and white-space texts have no words and score null. Repeated rows count as separate documents. Ids may be null. Very
+long texts are one document each, held alone. An empty table gives no rows. Other columns than ``doc_id`` and ``text`` are not read."""
 
 from __future__ import annotations
 
@@ -19,24 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plotline.llm._text import chunks, span_hash, words
+from plotline.llm._text import U, chunks, span_hash, splitmix, words
 from plotline.session import forget, stored
 
-VOCABULARY = 1 << 16
+#: Words and bigrams whose counts are broadcast (16 bytes each).
+VOCABULARY, HOT = 1 << 19, 1 << 19
 MIN_COUNT = 2
 BACKOFF = 0.4
-FREQUENT = 256
-#: Stands before the first word of a document. Numbers are small, and names of words without a number are negative.
-START = 1 << 62
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+#: Distinct n-grams that a task counts before it sends its sums and begins anew.
+WINDOW = 1_000_000
+#: Stand before the first word of a document, and for a document itself. Numbers are small, names of words negative.
+START, DOCUMENT = 1 << 62, (1 << 62) + 1
 
 
 def _named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -44,154 +42,209 @@ def _named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return span_hash(data, starts, ends).view(np.int64) | np.int64(-1 << 63)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (its name), n: occurrences of every word of the corpus, pre-counted in each task."""
+def _pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the words that have one before them in their document, and the names of these bigrams."""
+    at = np.ones(len(h), bool)
+    at[first[:-1][first[1:] > first[:-1]]] = False
+    at = np.flatnonzero(at)
+    return at, splitmix(h[at - 1].view(U) * U(0x9E3779B97F4A7C15) + h[at].view(U)).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, n, waiting = np.empty(0, np.int64), np.empty(0, np.int64), []
 
-        def merge() -> None:
-            nonlocal have, n
-            u, c = np.unique(np.concatenate(waiting), return_counts=True)
-            waiting.clear()
-            have, at = np.unique(np.concatenate([have, u]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([n, c]), minlength=len(have)).astype(np.int64)
+class Index:
+    """Places of names in a sorted array, by a table of their low bits; -1 for others."""
 
-        for _, data, off in chunks(batches, "text"):
-            starts, ends, _ = words(data, off)
-            waiting.append(_named(data, starts, ends))
-            if sum(map(len, waiting)) > 3_000_000:
-                merge()
-        if waiting:
-            merge()
-        for lo in range(0, len(have), 500_000):
-            yield pa.RecordBatch.from_arrays([pa.array(have[lo : lo + 500_000]), pa.array(n[lo : lo + 500_000])], names=["word", "n"])
-
-    return _texts(docs).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, int]:
-    """Names of the vocabulary's words and their counts, most frequent first, and the number of words of the corpus.
-
-    Only sums by count come to the driver, then at most ``most`` words."""
-    tally = counts.groupBy("n").agg(F.count("*").alias("w")).groupBy(F.when(F.col("n") < 1 << 20, F.col("n")).otherwise(1 << 20).alias("c")).agg(F.sum("w").alias("w"), F.sum(F.col("n") * F.col("w")).alias("t")).orderBy(F.desc("c")).collect()
-    total, held, floor = sum(r.t for r in tally), 0, None
-    for r in tally:
-        if held + r.w > most:
+    BITS = 22
+
+    def __init__(self, names: np.ndarray):
+        self.names = names
+        self.table = np.full(1 << self.BITS, -1, np.int32)
+        self.table[names & ((1 << self.BITS) - 1)] = np.arange(len(names), dtype=np.int32)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.full(len(x), -1)
+        at = self.table[x & ((1 << self.BITS) - 1)].astype(np.int64)
+        unsure = np.flatnonzero((at >= 0) & (self.names[at] != x))
+        place = np.minimum(np.searchsorted(self.names, x[unsure]), len(self.names) - 1)
+        at[unsure] = np.where(self.names[place] == x[unsure], place, -1)
+        return at
+
+
+class _Counter:
+    """Counts of 64-bit names, merged now and then."""
+
+    def __init__(self):
+        self.have, self.n, self.waiting = np.empty(0, np.int64), np.empty(0, np.int64), []
+
+    def add(self, names: np.ndarray) -> bool:
+        """Whether it is full."""
+        self.waiting.append(names)
+        if sum(map(len, self.waiting)) > 1_000_000:
+            self.merge()
+        return len(self.have) > WINDOW
+
+    def merge(self) -> None:
+        if self.waiting:
+            u, c = np.unique(np.concatenate(self.waiting), return_counts=True)
+            self.have, at = np.unique(np.concatenate([self.have, u]), return_inverse=True)
+            self.n = np.bincount(at, weights=np.concatenate([self.n, c]), minlength=len(self.have)).astype(np.int64)
+            self.waiting.clear()
+
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """size (1 or 2), gram (its name), n, before: occurrences of every word, and of the bigrams as far as they repeat in a task's
+    share. ``before`` is the name of a bigram's first word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters, firsts = (_Counter(), _Counter()), {}
+
+        def sums(size: int) -> Iterator[pa.RecordBatch]:
+            c = counters[size - 1]
+            c.merge()
+            some = np.flatnonzero(c.n >= size)
+            for lo in range(0, len(some), 500_000):
+                at = some[lo : lo + 500_000]
+                before = pa.nulls(len(at), pa.int64()) if size == 1 else pa.array(first_words(c.have[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int32)), pa.array(c.have[at]), pa.array(c.n[at]), before], names=["size", "gram", "n", "before"])
+            counters[size - 1].__init__()
+            firsts.clear() if size == 2 else None
+
+        def first_words(grams: np.ndarray) -> np.ndarray:
+            names, before = (np.concatenate(x) for x in zip(*firsts.values(), strict=True))
+            order = np.argsort(names, kind="stable")
+            return before[order][np.searchsorted(names, grams, sorter=order)]
+
+        for k, (_, data, off) in enumerate(chunks(batches, "text")):
+            starts, ends, first = words(data, off)
+            h = _named(data, starts, ends)
+            at, pairs = _pairs(h, first)
+            names, place = np.unique(pairs, return_index=True)
+            firsts[k] = names, h[at[place] - 1]
+            if counters[0].add(h):
+                yield from sums(1)
+            if counters[1].add(pairs):
+                yield from sums(2)
+        for size in (1, 2):
+            yield from sums(size)
+
+    found = texts.mapInArrow(run, "size int, gram long, n long, before long")
+    return found.groupBy("size", "gram").agg(F.sum("n").alias("n"), F.first("before").alias("before"))
+
+
+def _most_frequent(counts: DataFrame, most: int) -> pa.Table:
+    """gram, n, before of the most frequent n-grams, at most ``most`` of them, by steps of a sixteenth of a doubling."""
+    level = F.floor(16 * F.log2("n")).cast("int")
+    held, floor = 0, None
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 1,024 rows
+        if held + r["count"] > most:
             break
-        held, floor = held + r.w, r.c
-    rows = counts.where(F.col("n") >= F.lit(floor)).collect() if floor is not None else []
-    rows.sort(key=lambda r: (-r.n, r.word))
-    return np.array([r.word for r in rows], np.int64), np.array([r.n for r in rows], np.int64), total
-
-
-def _grams(data: np.ndarray, off: np.ndarray, names: np.ndarray, numbers: np.ndarray, capped: bool) -> tuple[np.ndarray, ...]:
-    """doc, a, b, m of each document's distinct bigrams, and words. Words are numbers, or else names (0: unknown, if ``capped``);
-    START stands before the first word."""
-    starts, ends, first = words(data, off)
-    h = _named(data, starts, ends)
-    at = np.minimum(np.searchsorted(names, h), max(len(names) - 1, 0))
-    found = names[at] == h if len(names) else np.zeros(len(h), bool)
-    ids = np.where(found, numbers[at], 0) if len(names) else np.zeros(len(h), np.int64)
-    base = len(names) + 1
-    others = np.empty(0, np.int64)
-    if not capped:  # names are numbered within the slice, after the vocabulary
-        others, local = np.unique(h[~found], return_inverse=True)
-        ids[~found] = base + local
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[first[:-1][first[1:] > first[:-1]]] = -1
-    side = base + len(others) + 1
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    if (len(first) - 1) * side**2 < 1 << 63:
-        key, m = np.unique(doc * side**2 + (before + 1) * side + ids, return_counts=True)
-        doc, gram = np.divmod(key, side**2)
-        a, b = gram // side - 1, gram % side
-    else:
-        (doc, a, b), m = np.unique(np.stack([doc, before, ids]), axis=1, return_counts=True)
-    outer = np.concatenate([np.arange(base), others, [START]])  # -1 is the last place
-    return doc, outer[a], outer[b], m, np.diff(first)
-
-
-def frequent_counts(texts: DataFrame, numbered: Broadcast) -> np.ndarray:
-    """Counts of all bigrams of the FREQUENT most frequent words (and the unknown one, if any), summed in each task first."""
-    side = FREQUENT + 1
+        held, floor = held + r["count"], r.level
+    return counts.where(level >= (floor if floor is not None else 1 << 20)).select("gram", "n", "before").toArrow()
+
+
+def hot_bigrams(texts: DataFrame, candidates: pa.Table, known: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted names of the candidates whose first word has a number, and the logarithms of their scores, from exact counts."""
+    names, before = candidates.column("gram").to_numpy(), candidates.column("before").to_numpy()
+    first = Index(known).find(before)
+    order = np.argsort(names[first >= 0])
+    names, first = names[first >= 0][order], first[first >= 0][order]
+    held = texts.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(side * side, np.int64)
+        index = Index(held.value)
+        total = np.zeros(len(held.value), np.int64)
         for _, data, off in chunks(batches, "text"):
-            _, a, b, m, _ = _grams(data, off, *numbered.value)
-            hot = (a >= 0) & (a < side) & (b >= 0) & (b < side)
-            total += np.bincount(a[hot] * side + b[hot], weights=m[hot], minlength=side * side).astype(np.int64)
-        nz = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(nz), pa.array(total[nz])], names=["k", "n"])
+            starts, ends, first = words(data, off)
+            at = index.find(_pairs(_named(data, starts, ends), first)[1])
+            total += np.bincount(at[at >= 0], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["k", "n"])
 
-    out = np.zeros(side * side, np.int64)
-    for r in texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most side ** 2 rows
-        out[r.k] = r.n
-    return out.reshape(side, side)
+    got = texts.mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # at most HOT rows
+    count = np.ones(len(names), np.int64)
+    count[got.column("k").to_numpy()] = got.column("n").to_numpy()
+    return names, np.log(count) - np.log(n[first])
 
 
-def exploded(texts: DataFrame, numbered: Broadcast, frequent: Broadcast) -> DataFrame:
-    """rid, doc_id, a, b, m, n_words, log_score. One row for each document without a bigram, with what is known without the count
-    table (its first word, if it has a number, and its bigrams of two frequent words), and one for each other bigram."""
-    side = FREQUENT + 1
+def exploded(texts: DataFrame, known: tuple[np.ndarray, np.ndarray], hot: tuple[np.ndarray, np.ndarray], total: int) -> DataFrame:
+    """rid, a, b, m, doc_id, log_score. A row (DOCUMENT) for each document, with its number of words as ``m`` and the logarithms that
+    need no table: of its first word, if that has a number, and of its hot bigrams. A row for each other bigram of a document; START
+    stands before a first word without a number."""
+    held = texts.sparkSession.sparkContext.broadcast((*known, *hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n, total = frequent.value
-        unigram = np.log(np.maximum(n, 1) / max(total, 1))
-        hot_log = np.where(table >= MIN_COUNT, np.log(np.maximum(table, 1) / np.maximum(n[:side], 1)[: table.shape[0], None]), np.log(BACKOFF) + unigram[:side][None, :]) if len(n) >= side else None
+        vocabulary, n, hot_names, hot_log = held.value
+        index, hot_index = Index(vocabulary), Index(hot_names)
+        unigram = np.log(np.maximum(n, 1)) - np.log(max(total, 1))
         for rows, data, off in chunks(batches, "text"):
-            doc, a, b, m, size = _grams(data, off, *numbered.value)
-            hot = (a < side) & (b < side) & (a >= 0) & (b >= 0) if hot_log is not None else np.zeros(len(a), bool)
-            first = (a == START) & (b >= 0)
-            known = np.bincount(doc[first], weights=unigram[b[first]], minlength=len(size)).astype(np.float64)
-            if hot.any():
-                known += np.bincount(doc[hot], weights=m[hot] * hot_log[a[hot], b[hot]], minlength=len(size))
-            rest = ~hot & ~first
+            starts, ends, first = words(data, off)
+            h = _named(data, starts, ends)
+            docs, size = len(first) - 1, np.diff(first)
+            doc = np.repeat(np.arange(docs), size)
+            ids = index.find(h)
+            others, local = np.unique(h[ids < 0], return_inverse=True)  # words without a number, numbered within the slice
+            ids[ids < 0] = len(vocabulary) + local
+            at, names = _pairs(h, first)
+            place = hot_index.find(names)
+            score = np.bincount(doc[at[place >= 0]], weights=hot_log[place[place >= 0]], minlength=docs).astype(np.float64)
+            at = at[place < 0]
+            heads = first[:-1][size > 0]
+            easy = ids[heads] < len(vocabulary)
+            score[doc[heads[easy]]] += unigram[ids[heads[easy]]]
+            heads = heads[~easy]
+            start = len(vocabulary) + len(others)
+            who, a, b = np.concatenate([doc[at], doc[heads]]), np.concatenate([ids[at - 1], np.full(len(heads), start)]), np.concatenate([ids[at], ids[heads]])
+            side = start + 1
+            if docs * side**2 < 1 << 63:
+                key, m = np.unique((who * side + a) * side + b, return_counts=True)
+                who, a, b = key // side**2, key // side % side, key % side
+            else:
+                (who, a, b), m = np.unique(np.stack([who, a, b]), axis=1, return_counts=True)
+            outer = np.concatenate([np.arange(len(vocabulary)), others, [START]])
             rid, ids = rows.column("rid"), rows.column("doc_id")
-            none = pa.nulls(len(size), pa.int64())
-            yield pa.RecordBatch.from_arrays([rid, ids, none, none, none, pa.array(size), pa.array(known)], names=_NAMES)
-            k = int(rest.sum())
-            at = pa.array(doc[rest])
-            yield pa.RecordBatch.from_arrays([rid.take(at), pa.nulls(k, pa.int64()), pa.array(a[rest]), pa.array(b[rest]), pa.array(m[rest]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64())], names=_NAMES)
+            mark = pa.array(np.full(docs, DOCUMENT))
+            yield pa.RecordBatch.from_arrays([rid, rid, mark, pa.array(size), ids, pa.array(score)], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([rid.take(pa.array(who)), pa.array(outer[a]), pa.array(outer[b]), pa.array(m), pa.nulls(len(m), pa.int64()), pa.nulls(len(m), pa.float64())], names=_NAMES)
 
-    return texts.mapInArrow(run, "rid long, doc_id long, a long, b long, m long, n_words long, log_score double")
+    return texts.mapInArrow(run, "rid long, a long, b long, m long, doc_id long, log_score double")
 
 
-_NAMES = ["rid", "doc_id", "a", "b", "m", "n_words", "log_score"]
+_NAMES = ["rid", "a", "b", "m", "doc_id", "log_score"]
 
 
-def stupid_backoff(docs: DataFrame, capped: bool = False, most: int = VOCABULARY) -> DataFrame:
+def stupid_backoff(docs: DataFrame, most: int = VOCABULARY, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, score (mean log score of its words) of every row, under the counts of all rows."""
     spark = docs.sparkSession
-    counts, path = stored(word_counts(docs), "words")
-    known, n, total = vocabulary(counts, most)
-    if capped:
-        forget(spark, path)
-    n = np.array([total - n.sum() if capped else 0, *n.tolist()], np.int64)  # number 0 is the unknown word
-    order = np.argsort(known)
-    numbered = spark.sparkContext.broadcast((known[order], (order + 1).astype(np.int64), capped))
-    texts = _texts(docs)
-    frequent = spark.sparkContext.broadcast((frequent_counts(texts, numbered), n, total))
-    rows = exploded(texts.withColumn("rid", F.monotonically_increasing_id()), numbered, frequent)
-    table = F.broadcast(spark.createDataFrame(list(enumerate(n.tolist())), "needed long, c long"))  # at most VOCABULARY + 1 rows
-    # Count of each bigram beside the rows that ask for it: the count table and the exploded bigrams share one exchange.
-    counted = rows.withColumn("c_ab", F.sum("m").over(W.partitionBy("a", "b", F.when(F.col("a").isNull(), F.col("rid")))))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    counts, path = stored(gram_counts(texts), "grams")
+    single = counts.where("size = 1")
+    total = single.agg(F.sum("n").alias("n")).first().n or 0
+    frequent = _most_frequent(single, most)
+    order = np.argsort(frequent.column("gram").to_numpy())
+    known, n = frequent.column("gram").to_numpy()[order], frequent.column("n").to_numpy()[order]
+    candidates = _most_frequent(counts.where(f"size = 2 AND n >= {MIN_COUNT}"), hot)
+    rows = exploded(texts.withColumn("rid", F.monotonically_increasing_id()), (known, n), hot_bigrams(texts, candidates, known, n), total)
+    # One exchange holds the exploded bigrams and, aggregated over it, their count table.
+    rows = rows.repartition("a", "b")
+    table = rows.groupBy("a", "b").agg(F.sum("m").alias("c_ab"))
+    counted = rows.join(table, ["a", "b"])
     # The logarithm of a score takes in that of one word's count: less that of the first, or else that of the second word.
-    first, often = F.col("a") == START, F.col("c_ab") >= MIN_COUNT
-    counted = counted.withColumns({"needed": F.when(~first & often, F.col("a")).otherwise(F.col("b")), "sign": F.when(~first & often, -F.col("m")).otherwise(F.col("m"))})
+    document, first, often = F.col("b") == DOCUMENT, F.col("a") == START, F.col("c_ab") >= MIN_COUNT
+    of_first = ~first & often
+    counted = counted.withColumns({"needed": F.when(document, None).when(of_first, F.col("a")).otherwise(F.col("b")), "sign": F.when(of_first, -F.col("m")).otherwise(F.col("m"))})
     words_log = float(np.log(max(total, 1)))
     base = F.col("m") * F.when(first, F.lit(-words_log)).when(often, F.log("c_ab")).otherwise(F.lit(float(np.log(BACKOFF)) - words_log))
-    counted = counted.join(table, "needed", "left")
-    log = F.coalesce("log_score", base + F.coalesce(F.col("sign") * F.log("c"), F.lit(0.0)))
-    if capped:
-        sums = counted.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(log).alias("log_score"))
-    else:
-        # Words without a number: their counts are joined to one row for each document and word.
-        asked = counted.groupBy("rid", F.when(F.col("c").isNull(), F.col("needed")).alias("word")).agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(log).alias("log_score"), F.sum(F.when(F.col("c").isNull(), F.col("sign"))).alias("times"))
-        asked, _ = stored(asked, "asked")
-        late = asked.where("word IS NOT NULL").join(counts, "word").withColumn("log_score", F.col("log_score") + F.col("times") * F.log("n"))
-        both = asked.where("word IS NULL").drop("word", "times").unionByName(late.drop("word", "times", "n"))
-        sums = both.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("log_score").alias("log_score"))
-    return sums.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("score"))
+    numbers = spark.createDataFrame(pa.table({"needed": pa.array(np.arange(len(n))), "log_c": pa.array(np.log(n), pa.float64())}))  # at most VOCABULARY rows
+    counted = counted.join(F.broadcast(numbers), "needed", "left")
+    log = F.when(document, F.col("log_score")).otherwise(base + F.coalesce(F.col("sign") * F.col("log_c"), F.lit(0.0)))
+    late = F.col("needed") < 0  # words without a number: their counts are joined to one row for each document and word
+    asked = counted.groupBy("rid", F.when(late, F.col("needed")).alias("word")).agg(
+        F.max("doc_id").alias("doc_id"), F.max(F.when(document, F.col("m"))).alias("n_words"), F.sum(log).alias("log_score"), F.sum(F.when(late, F.col("sign"))).alias("times")
+    )
+    asked, _ = stored(asked, "asked")
+    found = asked.where("word IS NOT NULL").join(single.select(F.col("gram").alias("word"), "n"), "word").withColumn("log_score", F.col("log_score") + F.col("times") * F.log("n"))
+    found, _ = stored(found.groupBy("rid").agg(F.sum("log_score").alias("more")), "found")
+    forget(spark, path)
+    sums = asked.where("word IS NULL").join(found, "rid", "left")  # every document has one such row
+    score = (F.col("log_score") + F.coalesce("more", F.lit(0.0))) / F.col("n_words")
+    return sums.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round(score, 6)).alias("score"))

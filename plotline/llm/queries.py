@@ -68,7 +68,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plotline.llm.lm_scoring import stupid_backoff
 
-    return stupid_backoff(_table(spark, sf_dir, "documents"), capped=True)
+    return stupid_backoff(_table(spark, sf_dir, "documents"))
 
 
 def op10_lm_scoring_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,22 +84,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _OP10 = r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM t),
-c AS (SELECT word, count(*) AS n FROM x GROUP BY word),
-tally AS (SELECT n, sum(count(*)) OVER (ORDER BY n DESC) AS upto FROM c GROUP BY n),
-known AS (SELECT word, n FROM c WHERE n >= (SELECT min(n) FROM tally WHERE upto <= 65536)),
-total AS (SELECT coalesce(sum(n), 0) AS t, coalesce(sum(n), 0) - (SELECT coalesce(sum(n), 0) FROM known) AS u FROM c),
-y AS (SELECT x.doc_id, x.i, known.word AS b, coalesce(known.n, total.u) AS c_b FROM x LEFT JOIN known USING (word) CROSS JOIN total),
+known AS (SELECT word, count(*) AS n FROM x GROUP BY word),
+total AS (SELECT coalesce(sum(n), 0) AS t FROM known),
+y AS (SELECT x.doc_id, x.i, word AS b, known.n AS c_b FROM x JOIN known USING (word)),
 z AS (SELECT *, lag(b) OVER w AS a, lag(c_b) OVER w AS c_a FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 g AS (SELECT a, b, count(*) AS c_ab FROM z WHERE i > 0 GROUP BY a, b),
 s AS (SELECT z.doc_id, ln(CASE WHEN i = 0 THEN c_b / total.t::DOUBLE WHEN c_ab >= 2 THEN c_ab / c_a::DOUBLE ELSE 0.4 * (c_b / total.t::DOUBLE) END) AS l
-      FROM z LEFT JOIN g ON g.a IS NOT DISTINCT FROM z.a AND g.b IS NOT DISTINCT FROM z.b CROSS JOIN total)
+      FROM z LEFT JOIN g ON g.a = z.a AND g.b = z.b CROSS JOIN total)
 SELECT d.doc_id, coalesce(r.n, 0) AS n_words, round(r.l / r.n, 6) AS score
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(l) AS l FROM s GROUP BY doc_id) r USING (doc_id)
 """
 
-#: Without this filter every word is known.
-_CAP = " WHERE n >= (SELECT min(n) FROM tally WHERE upto <= 65536)"
-
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_lm_scoring": _OP10, "op10_lm_scoring_all_words": _OP10.replace(_CAP, "")}
+    return {"op10_lm_scoring": _OP10, "op10_lm_scoring_all_words": _OP10}

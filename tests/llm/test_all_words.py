@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from plotline.llm import lm_scoring
-from plotline.llm.queries import _OP10, oracle_sql
+from plotline.llm.queries import oracle_sql
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = ["a b c a b d", "a b c a x y", "x y", "rare words only here", "rare words", "q", None, "", "a a a b b", "B c x Y rare", "z z z z"]
@@ -26,16 +27,27 @@ def same(got, want):
         assert (r.doc_id, r.n_words) == (i, n) and (r.score is None) == (s is None) and (s is None or abs(r.score - s) < 2e-6), (r, s)
 
 
-@pytest.mark.parametrize("most,frequent", [(0, 256), (1, 256), (3, 2), (5, 2), (1 << 16, 2)])
-def test_words_without_a_number_keep_their_counts(spark, monkeypatch, most, frequent):
-    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+@pytest.mark.parametrize("most,hot", [(0, 0), (1, 256), (3, 2), (5, 0), (1 << 16, 1 << 16)])
+def test_words_without_a_number_keep_their_counts(spark, most, hot):
     docs = [WORD.findall((t or "").lower()) for t in TEXTS]
-    table = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    same(lm_scoring.stupid_backoff(table, most=most).collect(), by_hand(docs))
-    counts = Counter(b for w in docs for b in w)
-    least = min((n for n in counts.values() if sum(x >= n for x in counts.values()) <= most), default=math.inf)
-    same(lm_scoring.stupid_backoff(table, capped=True, most=most).collect(), by_hand([[b if counts[b] >= least else "" for b in w] for w in docs]))
+    table = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1)  # bigrams repeat within the task
+    same(lm_scoring.stupid_backoff(table, most=most, hot=hot).collect(), by_hand(docs))
 
 
-def test_sql_of_all_words_has_no_cap():
-    assert "65536" in _OP10 and "65536" not in oracle_sql()["op10_lm_scoring_all_words"].split("known AS")[1]
+def test_many_words_of_one_count(spark):
+    """No count is too large, and no number of equal counts too many, for the vocabulary."""
+    grams = spark.range(70_000).select(F.lit(1).alias("size"), F.col("id").alias("gram"), F.lit(1 << 21).cast("long").alias("n"), F.lit(None).cast("long").alias("before"))
+    assert lm_scoring._most_frequent(grams, 1 << 16).num_rows == 0 and lm_scoring._most_frequent(grams, 70_000).num_rows == 70_000
+
+
+def test_counts_begin_anew(spark, monkeypatch):
+    docs = [WORD.findall((t or "").lower()) for t in TEXTS] * 3
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    monkeypatch.setattr(lm_scoring, "WINDOW", 3)
+    same(lm_scoring.stupid_backoff(table, most=4, hot=3).collect(), by_hand(docs))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sql_has_no_cap():
+    assert all("65536" not in x for x in oracle_sql().values())
