@@ -212,12 +212,17 @@ def mix(docs: DataFrame, source: Column, size: Column, shards: int = 8, weights:
     return rows.select("row", "size", "source_size", "target", F.concat(taken(0), taken(1)).alias("placements"))
 
 
-def dealt(mixed: DataFrame) -> DataFrame:
-    """A row for each placement, with the columns of ``mixed`` but its placements: shard, place (from 0, gapless in the shard),
-    pass, block, from_word, to_word. Shards are range partitions of (shard, ord), sorted: that is their local shuffle."""
+def in_shard_order(mixed: DataFrame) -> DataFrame:
+    """A row for each placement, with the columns of ``mixed`` but its placements, and x, the placement. Shards are range partitions of
+    (shard, ord), sorted: that is their local shuffle."""
     one = mixed.withColumn("x", F.explode("placements")).drop("placements")
     order = [F.col("x.shard"), F.col("x.ord"), F.col("x.pass"), F.col("x.block"), F.col("x.from_word")]
-    placed, _ = stored(one.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "shards")
+    return one.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def dealt(mixed: DataFrame) -> DataFrame:
+    """``in_shard_order``, stored, with shard, place (from 0, gapless in the shard), pass, block, from_word, to_word."""
+    placed, _ = stored(in_shard_order(mixed).withColumn("_place", F.monotonically_increasing_id()), "shards")
     part = F.shiftright("_place", 33)
     parts = placed.groupBy(F.col("x.shard").alias("_shard"), part.alias("_part")).agg(F.min("_place").alias("first"), F.count("*").alias("n"))
     w = W.partitionBy("_shard").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)

@@ -38,7 +38,7 @@ THRESHOLD = (4, 5)
 #: Shingles whose order the broadcast sets, and the least number of counted repeats that puts one there.
 FREQUENT, REPEATS = 1 << 20, 8
 #: Distinct shingles that a task counts before it sends what repeated and begins anew.
-WINDOW = 3_000_000
+WINDOW = 1_500_000
 #: Bits of the smallest signature; sets of more shingles get the next power of two that is no smaller than their size.
 BITMAP = 512
 #: Rows of a block of a tile that is searched in full; a square holds two blocks.
@@ -445,7 +445,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base, _ = stored(prefixes(texts, frequent_shingles(texts)).withColumn("rid", F.monotonically_increasing_id()), "prefixes")
+    base, base_path = stored(prefixes(texts, frequent_shingles(texts)).withColumn("rid", F.monotonically_increasing_id()), "prefixes")
     same = base.where("n > 0").groupBy("k1", "k2")
     classes, class_path = stored(same.agg(F.min("rid").alias("cls"), F.min("doc_id").alias("least_doc"), *(F.first(c).alias(c) for c in ("n", "bits", "cold", "hot"))), "classes")
     # Tiles of rare shingles, which few classes have, go by shingle; those of frequent ones are aggregated first.
@@ -474,7 +474,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         forget(spark, rest_path, more_path)
     named = classes.select("k1", "k2", "cls", "least_doc").join(found.select(F.col("v").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
-    named, _ = stored(named.join(least, "comp").select("k1", "k2", "component_id"), "named")
+    named, named_path = stored(named.join(least, "comp").select("k1", "k2", "component_id"), "named")
     forget(spark, class_path, rare_path, hot_path)
     members = base.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "k1", "k2")
-    return members.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = members.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out, _ = stored(out, "groups")
+    forget(spark, base_path, named_path)
+    return out
