@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotline.llm.mixing import dealt, mix, take_words, word_count
+from plotline.llm.mixing import in_shard_order, mix, take_words, word_count
 from plotline.llm.ngram_join import near_duplicates
 from plotline.llm.packing import pack_documents
 from plotline.llm.quality import classify_quality
@@ -46,9 +46,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each part of a document that a shard takes in a pass (the whole document, unless it lies on the border of two blocks
     or is where its source's share ends), written in the shards' shuffled order."""
     sized = docs.select("*", word_count("text").alias("size"))
-    rows = dealt(mix(sized, F.col("source"), F.col("size")))
-    whole = (F.col("from_word") == 0) & (F.col("to_word") == F.col("size"))
-    text = F.when(whole, F.col("row.text")).otherwise(take_words(F.when(~whole, F.col("row.text")), F.col("from_word"), F.col("to_word")))
+    rows = in_shard_order(mix(sized, F.col("source"), F.col("size")))
+    lo, hi = F.col("x.from_word"), F.col("x.to_word")
+    whole = (lo == 0) & (hi == F.col("size"))
+    text = F.when(whole, F.col("row.text")).otherwise(take_words(F.when(~whole, F.col("row.text")), lo, hi))
     return rows.select("row.doc_id", text.alias("text"), "row.lang", "row.source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
