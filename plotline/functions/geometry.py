@@ -138,3 +138,13 @@ def clip(ring: Column, xmin: float, zmin: float, xmax: float, zmax: float) -> Co
 
 def storeys(eave: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(40), F.round(eave / 3.0).cast("int")))
+
+
+def circle_radius(employees: Column) -> Column:
+    """Radius of a company's circle, from 3 to 40."""
+    return F.greatest(F.lit(3.0), F.least(F.lit(40.0), 3 + 2.2 * F.sqrt(F.coalesce(employees, F.lit(0)).cast("double"))))
+
+
+def sheet_centre(c: Column, step: int = 1000) -> Column:
+    """Middle of the map sheet that holds a coordinate; the middle itself stays."""
+    return F.floor(c / step).cast("long") * step + step // 2

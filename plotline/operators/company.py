@@ -14,10 +14,12 @@ def last_quarters(quarters: DataFrame, n: int) -> DataFrame:
 
 
 def recent_totals(quarters: DataFrame) -> DataFrame:
-    """code, turnover_4q, taxes_4q, employees (latest known)."""
-    recent = last_quarters(quarters, 4).groupBy("code").agg(F.sum("turnover").alias("turnover_4q"), F.sum("taxes").alias("taxes_4q"))
-    known = quarters.where("employees IS NOT NULL").groupBy("code").agg(F.max_by("employees", F.struct("year", "q")).alias("employees"))
-    return recent.join(known, "code", "left")
+    """code, turnover_4q (last four quarters that have one), taxes_4q (state and payroll taxes of the last four quarters), employees (of
+    the last quarter)."""
+    sold = last_quarters(quarters.where("turnover IS NOT NULL"), 4).groupBy("code").agg(F.sum("turnover").alias("turnover_4q"))
+    paid = F.coalesce("taxes", F.lit(0)) + F.coalesce("labour", F.lit(0))
+    recent = last_quarters(quarters, 4).groupBy("code").agg(F.sum(paid).alias("taxes_4q"), F.max_by("employees", F.struct("year", "q")).alias("employees"))
+    return recent.join(sold, "code", "left").select("code", "turnover_4q", "taxes_4q", "employees")
 
 
 def full_years(quarters: DataFrame) -> DataFrame:
@@ -33,9 +35,12 @@ def year_on_year(years: DataFrame) -> DataFrame:
 
 def health(companies: DataFrame, quarters: DataFrame) -> DataFrame:
     """code, health, rule, from_year, from_turnover, to_year, to_turnover, by ordered rules: status; four published quarters
-    without tax though someone works there; an overdue report; turnover of the last two full years down by more than 40 %."""
+    without any state or payroll tax though someone works there (a blank is not a zero); an overdue report; turnover of the last two
+    full years down by more than 40 %."""
+    published = F.col("taxes").isNotNull() | F.col("labour").isNotNull()
+    paid = (F.coalesce("taxes", F.lit(0)) + F.coalesce("labour", F.lit(0))) != 0
     last4 = last_quarters(quarters, 4).groupBy("code").agg(
-        F.count("*").alias("n"), F.count("taxes").alias("published"), F.coalesce(F.sum("taxes"), F.lit(0)).alias("tax"), F.max(F.coalesce("employees", F.lit(0))).alias("staff")
+        F.count_if(published).alias("published"), F.count_if(published & paid).alias("paid"), F.max(F.coalesce("employees", F.lit(0))).alias("staff")
     )
     w = W.partitionBy("code").orderBy(F.desc("year"))
     falls = year_on_year(full_years(quarters)).withColumn("r", F.row_number().over(w)).where("r = 1 AND before > 0 AND turnover < 0.6 * before")
@@ -43,7 +48,7 @@ def health(companies: DataFrame, quarters: DataFrame) -> DataFrame:
     x = companies.join(last4, "code", "left").join(falls, "code", "left")
     rule = (
         F.when(F.col("status").isin("N", "L"), "status")
-        .when((F.col("n") == 4) & (F.col("published") == 4) & (F.col("tax") == 0) & (F.col("staff") > 0), "zero_taxes")
+        .when((F.col("published") == 4) & (F.col("paid") == 0) & (F.col("staff") > 0), "zero_taxes")
         .when(F.col("overdue"), "report")
         .when(F.col("to_year").isNotNull(), "turnover")
     )

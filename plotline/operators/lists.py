@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plotline.session import stored
+
 
 def page(rows: DataFrame, by: str, order: list[Column], limit: int) -> DataFrame:
     """The first ``limit`` rows of each group with their place and how many more there are."""
@@ -42,3 +44,13 @@ def rolling_mean(rows: DataFrame, key: str, order: list[str], value: str, n: int
     """Mean of the last n observations."""
     w = W.partitionBy(key).orderBy(*order).rowsBetween(-(n - 1), 0)
     return rows.withColumn("mean", F.avg(value).over(w))
+
+
+def global_rank(rows: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+    """``rows`` with their rank in ``order``: range partitions, a count of each, and the place in the partition; no task holds all rows."""
+    placed, _ = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranks")
+    part = F.shiftright("_at", 33)
+    w = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))  # a row for each partition
+    before = counts.select("_part", (F.coalesce(F.sum("n").over(w), F.lit(0)) + start).alias("_before"))
+    return placed.join(F.broadcast(before), part == F.col("_part")).select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))

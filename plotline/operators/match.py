@@ -3,25 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plotline.functions import text as T
 
 
-def _keys(rows: DataFrame, address: str = "address") -> DataFrame:
-    a = F.col(address)
-    return rows.withColumns({"stem": T.fold(T.address_stem(a)), "num": T.house_number(a), "sub": T.house_letter(a)})
-
-
-def address_alternates(rows: DataFrame, key: str, address: str) -> DataFrame:
-    """key, pos, stem, num, sub: 'A 16 // B 14 // 16' has three alternates; a bare number continues the street before it."""
-    parts = rows.select(key, F.posexplode(F.split(F.col(address), r"\s*//\s*")).alias("pos", "part"))
-    bare = F.rlike("part", F.lit(r"^\s*\d"))
-    stem = F.when(~bare, T.address_stem(F.col("part")))
-    w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    padded = F.concat(F.lit(" "), F.trim("part"))
-    return parts.select(key, "pos", F.last(stem, ignorenulls=True).over(w).alias("stem"), T.house_number(F.when(bare, padded).otherwise(F.col("part"))).alias("num"), T.house_letter(F.when(bare, padded).otherwise(F.col("part"))).alias("sub"))
+def address_keys(rows: DataFrame, key: str, address: str) -> DataFrame:
+    """key, pos, stem, num, sub: a row for each alternate of an address."""
+    return rows.select(key, F.posexplode(T.address_alternates(F.col(address))).alias("pos", "_parts")).select(key, "pos", "_parts.stem", "_parts.num", "_parts.sub")
 
 
 def best_building(buildings: DataFrame, key: list[str]) -> DataFrame:
@@ -30,20 +19,36 @@ def best_building(buildings: DataFrame, key: list[str]) -> DataFrame:
 
 
 def match_cascade(companies: DataFrame, parcels: DataFrame, buildings: DataFrame) -> DataFrame:
-    """code, via, tunnus, bid: full address to a parcel, then street and number to the only parcel that has them (companies without
-    a letter), then the best building of the full address, then the street is known, then nothing.
+    """code, match, via, pid, bid for companies (code, address, adr_id), parcels (pid, address) and buildings (bid, address, kind, w, d,
+    adr_id, pid): the building with the company's address id; the first parcel with the full address; the only parcel with street and
+    number, for companies without a letter; the best building of the full address; the street is known; without a number, the first
+    parcel of that farm name. A matched building brings its parcel along.
 
     Each step is an equi-join to a key table with one row for each key, so no company multiplies."""
-    c = _keys(companies).select("code", "stem", "num", "sub")
-    p, b = _keys(parcels), _keys(buildings)
-    full = p.groupBy("stem", "num", "sub").agg(F.min("pid").alias("p_full"))
-    alone = p.groupBy("stem", "num").agg(F.min("pid").alias("p_alone"), F.count("*").alias("k")).where("k = 1").drop("k")
-    house = best_building(b, ["stem", "num", "sub"])
-    streets = p.select("stem").union(b.select("stem")).distinct().withColumn("known", F.lit(True))
-    x = c.join(full, ["stem", "num", "sub"], "left").join(alone, ["stem", "num"], "left").join(house, ["stem", "num", "sub"], "left").join(streets, "stem", "left")
-    lone = F.col("p_alone").isNotNull() & (F.col("sub") == "")
-    via = F.when(F.col("p_full").isNotNull(), "address").when(lone, "unique").when(F.col("bid").isNotNull(), "building").when(F.col("known"), "street").otherwise("none")
-    return x.select("code", via.alias("via"), F.when(F.col("p_full").isNotNull(), F.col("p_full")).when(lone, F.col("p_alone")).alias("pid"), F.when((via == "building"), F.col("bid")).alias("bid"))
+    c = companies.select("code", "adr_id", T.address_parts(F.coalesce("address", F.lit(""))).alias("k")).select("code", "adr_id", "k.*")
+    p, b = address_keys(parcels, "pid", "address"), address_keys(buildings, "bid", "address")
+    shape = buildings.select("bid", "kind", "w", "d", F.col("pid").alias("b_pid"), F.col("adr_id").alias("b_adr"))
+    of = lambda rows, key, name: best_building(rows, key).withColumnRenamed("bid", name).join(shape.select(F.col("bid").alias(name), F.col("b_pid").alias(f"{name}_pid")), name)
+    ads = of(shape.where("b_adr IS NOT NULL").withColumn("adr_id", F.col("b_adr")), ["adr_id"], "by_id")
+    numbered = p.where("num <> ''")
+    full = numbered.groupBy("stem", "num", "sub").agg(F.min("pid").alias("p_full"))
+    alone = numbered.groupBy("stem", "num").agg(F.min("pid").alias("p_alone"), F.count("*").alias("k")).where("k = 1").drop("k")
+    house = of(b.where("num <> ''").join(shape, "bid"), ["stem", "num", "sub"], "by_key")
+    streets = numbered.select("stem").union(b.where("num <> ''").select("stem")).distinct().withColumn("known", F.lit(True))
+    farms = p.where("num = '' AND stem <> ''").groupBy("stem").agg(F.min("pid").alias("p_farm"))
+    x = c.join(ads, "adr_id", "left").join(full, ["stem", "num", "sub"], "left").join(alone, ["stem", "num"], "left").join(house, ["stem", "num", "sub"], "left").join(streets, "stem", "left").join(farms, "stem", "left")
+    has_number = F.col("num") != ""
+    via = (
+        F.when(F.col("by_id").isNotNull(), "ads")
+        .when(has_number & (F.col("p_full").isNotNull() | F.col("p_alone").isNotNull() & (F.col("sub") == "")), "address")
+        .when(has_number & F.col("by_key").isNotNull(), "building")
+        .when(~has_number & F.col("p_farm").isNotNull(), "farm")
+    )
+    x = x.withColumn("via", via)
+    pid = F.when(F.col("via") == "ads", F.col("by_id_pid")).when(F.col("via") == "address", F.coalesce("p_full", "p_alone")).when(F.col("via") == "building", F.col("by_key_pid")).when(F.col("via") == "farm", F.col("p_farm"))
+    bid = F.when(F.col("via") == "ads", F.col("by_id")).when(F.col("via") == "building", F.col("by_key"))
+    kind = F.when(F.col("via").isNotNull(), "exact").when(has_number & F.col("known"), "street").otherwise("none")
+    return x.select("code", kind.alias("match"), "via", pid.alias("pid"), bid.alias("bid"))
 
 
 def name_matches(left: DataFrame, right: DataFrame, block: str, least: float = 0.5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plotline.functions import geometry as G
 from plotline.session import cut
 
 
@@ -35,6 +36,11 @@ def erode(mask: DataFrame, radius: int, size: int) -> DataFrame:
     return s.where(F.col("n") == span("y") * span("x")).select("tile", "y", "x")
 
 
+def opening(mask: DataFrame, radius: int, size: int) -> DataFrame:
+    """Erosion, then dilation: what is narrower than the box goes, what is left keeps its outline."""
+    return dilate(erode(mask, radius, size), radius, size)
+
+
 def grid_points(points: DataFrame) -> DataFrame:
     """tile, y, x: mean ground (class 2), highest vegetation (5), highest roof (6), ground hits, all returns, water (9) and bridge (17) flags; noise
     (7, 18) is left out."""
@@ -62,12 +68,17 @@ def coverage(gridded: DataFrame) -> DataFrame:
 
 
 def gradient(cells: DataFrame) -> DataFrame:
-    """tile, y, x, gx: central difference along rows between present neighbours, one-sided at the ends; 0 for a lone cell."""
-    w = W.partitionBy("tile", "y").orderBy("x")
-    before, after = F.lag("v").over(w), F.lead("v").over(w)
-    x0, x1 = F.coalesce(F.lag("x").over(w), F.col("x")), F.coalesce(F.lead("x").over(w), F.col("x"))
-    rise = F.coalesce(after, F.col("v")) - F.coalesce(before, F.col("v"))
-    return cells.select("tile", "y", "x", F.when(x1 > x0, rise / F.when(x1 > x0, x1 - x0).otherwise(1)).otherwise(0.0).alias("gx"))
+    """tile, y, x, gx, gy, slope: central differences along rows and columns between present neighbours, one-sided at the ends (0 for a
+    lone cell), and the length of both together."""
+
+    def along(line: str, axis: str):
+        w = W.partitionBy("tile", line).orderBy(axis)
+        a0, a1 = F.coalesce(F.lag(axis).over(w), F.col(axis)), F.coalesce(F.lead(axis).over(w), F.col(axis))
+        rise = F.coalesce(F.lead("v").over(w), F.col("v")) - F.coalesce(F.lag("v").over(w), F.col("v"))
+        return F.when(a1 > a0, rise / F.when(a1 > a0, a1 - a0).otherwise(1)).otherwise(0.0)
+
+    both = cells.withColumn("gx", along("y", "x")).withColumn("gy", along("x", "y"))
+    return both.select("tile", "y", "x", "gx", "gy", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("slope"))
 
 
 def zonal(cells: DataFrame, zones: DataFrame, q: float, least: int) -> DataFrame:
@@ -99,7 +110,7 @@ def components(mask: DataFrame) -> DataFrame:
         if nxt.where("moved").isEmpty():
             break
     named = runs.select("tile", "y", "run", F.struct("y", "lo").alias("id")).join(labels, ["tile", "id"])
-    return cells.join(named, ["tile", "y", "run"]).select("tile", "y", "x", (F.col("label.y") * 100_000 + F.col("label.lo")).alias("label"))
+    return cells.join(named, ["tile", "y", "run"]).select("tile", "y", "x", (F.shiftleft(F.col("label.y").cast("long"), 32) + F.col("label.lo")).alias("label"))
 
 
 def blob_shapes(labelled: DataFrame, cells: DataFrame) -> DataFrame:
@@ -119,16 +130,72 @@ def mosaic(sheets: DataFrame) -> DataFrame:
     return sheets.where("v IS NOT NULL").groupBy("tile", "y", "x").agg(F.max_by("v", "sheet").alias("v"))
 
 
-def fill_from_neighbours(cells: DataFrame, size: int) -> DataFrame:
-    """Every missing cell of the raster that has neighbours takes the largest of them."""
+def fill_from_neighbours(cells: DataFrame, size: int, times: int = 2) -> DataFrame:
+    """Every missing cell of the raster that has neighbours takes the largest of them; ``times`` over, so that gaps of two cells close."""
     steps = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    around = cells.withColumn("dy", steps).withColumn("dx", steps).select("tile", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "v")
-    around = around.where(F.col("y").between(0, size - 1) & F.col("x").between(0, size - 1)).groupBy("tile", "y", "x").agg(F.max("v").alias("m"))
-    return around.join(cells, ["tile", "y", "x"], "left").select("tile", "y", "x", F.coalesce("v", "m").alias("v"))
+    for _ in range(times):
+        around = cells.withColumn("dy", steps).withColumn("dx", steps).select("tile", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "v")
+        around = around.where(F.col("y").between(0, size - 1) & F.col("x").between(0, size - 1)).groupBy("tile", "y", "x").agg(F.max("v").alias("m"))
+        cells = around.join(cells, ["tile", "y", "x"], "left").select("tile", "y", "x", F.coalesce("v", "m").alias("v"))
+    return cells
+
+
+def pixel_indices(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Value, saturation and green excess of colours from 0 to 1."""
+    value = F.greatest(r, g, b)
+    return value, F.when(value == 0, 0.0).otherwise((value - F.least(r, g, b)) / value), g - F.greatest(r, b)
+
+
+def classify_cover(pixels: DataFrame, r: Column, g: Column, b: Column, canopy: Column) -> DataFrame:
+    """``pixels`` with cover: 0 meadow, 1 field, 2 canopy, 3 gravel or bright hard ground, 4 soil or water. Colour decides, and measured
+    canopy height (null: unknown) overrides it: tall vegetation is canopy, and dark ground on which nothing stands is not."""
+    value, saturation, green = pixel_indices(r, g, b)
+    seen = (
+        F.when((value > 0.62) & (saturation < 0.22), 3)
+        .when(green > 0.03, F.when((value > 0.5) & (saturation > 0.35), 1).when(value > 0.36, 0).otherwise(2))
+        .when(value < 0.25, 2)
+        .otherwise(4)
+    )
+    tall, bare = F.coalesce(canopy >= 2.5, F.lit(False)), F.coalesce(canopy < 1.0, F.lit(False))
+    return pixels.withColumn("cover", F.when(tall & (seen != 3), 2).when((seen == 2) & bare & (value < 0.3), 4).otherwise(seen))
+
+
+def heights_above_ground(cells: DataFrame) -> DataFrame:
+    """tile, y, x, canopy, roof: vegetation between 0.3 and 200 m above the ground counts, up to 60 m; roofs count from 0.5 m; else 0."""
+    over = lambda c: F.col(c) - F.col("ground")
+    canopy = F.when((over("vegetation") > 0.3) & (over("vegetation") < 200), F.least(over("vegetation"), F.lit(60.0))).otherwise(0.0)
+    return cells.select("tile", "y", "x", canopy.alias("canopy"), F.when(over("roof") > 0.5, over("roof")).otherwise(0.0).alias("roof"))
+
+
+def rasterise(shapes: DataFrame) -> DataFrame:
+    """tile, shape, y, x of the cells whose middle lies inside a ring (tile, shape, ring)."""
+    e = shapes.withColumn("e", G.envelope(F.col("ring")))
+    span = lambda a, b: F.sequence(F.floor(F.col(f"e.{a}")), F.ceil(F.col(f"e.{b}")) - 1)
+    cells = e.withColumn("x", F.explode(span("xmin", "xmax"))).withColumn("y", F.explode(span("zmin", "zmax")))
+    return cells.where(G.inside(F.col("x") + 0.5, F.col("y") + 0.5, F.col("ring"))).select("tile", "shape", "y", "x")
+
+
+def discs(points: DataFrame) -> DataFrame:
+    """tile, y, x of the cells within ``radius`` of a point (tile, y, x, radius), each once."""
+    reach = F.sequence(-F.col("radius"), F.col("radius"))
+    x = points.withColumn("dy", F.explode(reach)).withColumn("dx", F.explode(reach)).where("dy * dy + dx * dx <= radius * radius")
+    return x.select("tile", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).distinct()
+
+
+def lowest_under(outlines: DataFrame, cells: DataFrame, key: str) -> DataFrame:
+    """key, ground: the lowest value of the cells under an outline's vertices (key, tile, ring of x, y)."""
+    at = outlines.select(key, "tile", F.explode("ring").alias("p")).select(key, "tile", "p.x", "p.y")
+    return at.join(cells, ["tile", "y", "x"]).groupBy(key).agg(F.min("v").alias("ground"))
+
+
+def bright_half_colour(pixels: DataFrame, zone: str) -> DataFrame:
+    """zone, r, g, b: medians over the pixels of a zone that are at least as bright as its median brightness."""
+    p = pixels.withColumn("value", F.greatest("r", "g", "b"))
+    middle = p.groupBy(zone).agg(F.percentile("value", F.lit(0.5)).alias("middle"))
+    return p.join(middle, zone).where("value >= middle").groupBy(zone).agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in "rgb"))
 
 
-def classify_cover(pixels: DataFrame, r: Column, g: Column, b: Column) -> DataFrame:
-    """Land cover by value, saturation and green excess."""
-    hi, lo = F.greatest(r, g, b), F.least(r, g, b)
-    cls = F.when(hi < 40, "water").when(g * 2 - r - b > 30, "green").when(hi - lo < 12, "hard").when(r > g, "bare").otherwise("other")
-    return pixels.withColumn("cover", cls)
+def blank(pixels: DataFrame, image: list[str], luminance: str) -> DataFrame:
+    """Images without content: bright (mean over 240) and even (deviation under 12)."""
+    stats = pixels.groupBy(*image).agg(F.avg(luminance).alias("mean"), F.stddev_pop(luminance).alias("spread"))
+    return stats.where("mean > 240 AND spread < 12").select(*image)

@@ -61,3 +61,15 @@ def longest_per_name(segments: DataFrame) -> DataFrame:
     """tile, name, rid: the longest stretch of each name."""
     d2 = (F.col("bx") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("bz") - F.col("az")) * (F.col("bz") - F.col("az"))
     return segments.groupBy("tile", "name").agg(F.max_by("rid", F.struct(d2, -F.col("rid"))).alias("rid"))
+
+
+def point_at(points: DataFrame, s: float) -> DataFrame:
+    """id, x, z: the point at arclength ``s`` of each polyline (id, seq, x, z); polylines that are shorter have none."""
+    w = W.partitionBy("id").orderBy("seq")
+    back = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("z") - F.lag("z").over(w), 2))
+    seg = points.withColumns({"nx": F.lead("x").over(w), "nz": F.lead("z").over(w), "step": F.coalesce(back, F.lit(0.0))})
+    seg = seg.withColumn("cum", F.sum("step").over(w.rowsBetween(W.unboundedPreceding, 0))).where("nx IS NOT NULL")
+    dx, dz = F.col("nx") - F.col("x"), F.col("nz") - F.col("z")
+    seg = seg.withColumn("len", F.sqrt((dx * dx + dz * dz).cast("double"))).where((F.col("cum") <= s) & (F.lit(s) < F.col("cum") + F.col("len")))
+    u = (F.lit(s) - F.col("cum")) / F.col("len")
+    return seg.select("id", (F.col("x") + u * dx).alias("x"), (F.col("z") + u * dz).alias("z"))

@@ -81,3 +81,15 @@ def open_at(hours: DataFrame, day: int, minute: int, key: str = "poi") -> DataFr
     today = (F.col("day") == day) & (F.col("open") <= minute) & (F.col("close") > minute)
     night = (F.col("day") == (day + 6) % 7) & (F.col("close") > minute + 1440)
     return hours.where(today | night).select(key).distinct()
+
+
+def lines_by(trips: DataFrame, key: str) -> DataFrame:
+    """key, trips, n, lines: counts, and the distinct lines by length, then text."""
+    listed = F.transform(F.array_sort(F.collect_set(F.struct(F.length("line").alias("k"), "line"))), lambda x: x.line)
+    return trips.groupBy(key).agg(F.count("*").alias("trips"), F.count_distinct("line").alias("n"), F.array_join(listed, ",").alias("lines"))
+
+
+def routes_at(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
+    """stop, routes: the distinct lines and headsigns that call at a stop, in line order."""
+    x = stop_times.join(trips, "trip").groupBy("stop").agg(F.array_sort(F.collect_set(F.struct(line_key(F.col("line")).alias("k"), "headsign", "line"))).alias("r"))
+    return x.select("stop", F.array_join(F.transform("r", lambda r: F.concat_ws(" ", r.line, r.headsign)), ";").alias("routes"))

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-STREET = "CASE {k} % 6 WHEN 0 THEN 'Aeru tn' WHEN 1 THEN 'Jõe tänav' WHEN 2 THEN 'Kesk maantee' WHEN 3 THEN 'Madruse tn' WHEN 4 THEN 'Klaose tee' ELSE 'Õie puiestee' END || ' ' || CAST(1 + {k} % 50 AS STRING) || CASE WHEN {k} % 10 = 3 THEN 'b' ELSE '' END"
+STREET = "CASE {k} % 8 WHEN 0 THEN 'Aeru tn' WHEN 1 THEN 'Jõe tänav' WHEN 2 THEN 'Kesk maantee' WHEN 3 THEN 'Madruse tn' WHEN 4 THEN 'Klaose tee' WHEN 5 THEN 'Õie puiestee' WHEN 6 THEN 'Lille põik' ELSE 'Pargi allee' END || ' ' || CAST(1 + {k} % 50 AS STRING) || CASE WHEN {k} % 10 = 3 THEN 'b' ELSE '' END"
+#: Addresses as registers write them: farms without a number, several alternates, flats, corner houses, commas, unknown streets, none.
+FULL = "CASE WHEN {k} % 23 = 5 THEN CASE {k} % 3 WHEN 0 THEN 'Kasemäe' WHEN 1 THEN 'Vana-Jaani' ELSE 'Oru talu' END WHEN {k} % 19 = 4 THEN {street} || ' // ' || CAST(1 + {k} % 30 AS STRING) WHEN {k} % 29 = 7 THEN 'Lille põik ' || CAST(1 + {k} % 20 AS STRING) || 'a // ' || {street} || ' // ' || CAST(1 + {k} % 40 AS STRING) || 'B' WHEN {k} % 17 = 3 THEN {street} || '-12' WHEN {k} % 13 = 6 THEN {street} || '/3' WHEN {k} % 41 = 1 THEN 'Olematu tänav 3.' WHEN {k} % 37 = 1 THEN '' ELSE {street} END"
+
+
+
+def _full(k: str) -> str:
+    return FULL.format(k=k, street="(" + STREET.format(k=k) + ")") + " AS full_address"
+
 
 #: name -> (tables it reads, SQL with {table} holes)
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -16,23 +24,27 @@ SELECT p_partkey AS pid, CAST(p_partkey AS STRING) AS tunnus, p_partkey % 9 AS t
        CAST(p_size * 20 AS BIGINT) AS area,
        CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(floor(p_retailprice * p_size) AS BIGINT) END AS land_value,
        CASE p_partkey % 3 WHEN 0 THEN 'private' WHEN 1 THEN 'municipal' ELSE 'state' END AS ownership,
-       """ + STREET.format(k="p_partkey") + """ AS address,
+       """ + STREET.format(k="p_partkey") + """ AS address, """ + _full("p_partkey") + """,
        CASE WHEN p_partkey % 13 = 0 THEN 'korteriomand' WHEN p_partkey % 4 = 0 THEN CAST(100 + p_partkey % 97 AS STRING) ELSE NULL END AS land_registry,
        'vald' || CAST(p_partkey % 4 AS STRING) AS municipality, 'kyla' || CAST(p_partkey % 17 AS STRING) AS settlement, CASE WHEN p_partkey % 6 = 1 THEN NULL ELSE 'mk' || CAST(p_partkey % 3 AS STRING) END AS county
 FROM {part}"""),
     "building": (("supplier",), """
 SELECT s_suppkey AS bid, s_suppkey % 9 AS tile, (s_suppkey * 53) % 1024 AS x, (s_suppkey * 29) % 1024 AS z, 6 + s_suppkey % 7 AS w, 5 + s_suppkey % 5 AS d,
        CASE s_suppkey % 3 WHEN 0 THEN 'dwelling' WHEN 1 THEN 'outbuilding' ELSE 'other' END AS kind, CASE WHEN s_suppkey % 8 = 0 THEN NULL ELSE 1900 + s_suppkey % 120 END AS year,
-       1 + s_suppkey % 5 AS floors, """ + STREET.format(k="s_suppkey") + """ AS address
+       1 + s_suppkey % 5 AS floors, """ + STREET.format(k="s_suppkey") + """ AS address, """ + _full("s_suppkey") + """,
+       CASE WHEN s_suppkey % 3 = 0 THEN 'A' || CAST(s_suppkey % 40 AS STRING) END AS adr_id, CASE WHEN s_suppkey % 4 <> 0 THEN (s_suppkey * 17) % 190 + 1 END AS pid
 FROM {supplier}"""),
     "company": (("customer",), """
 SELECT c_custkey AS code, c_name AS name, CASE c_custkey % 11 WHEN 0 THEN 'L' WHEN 1 THEN 'N' ELSE 'R' END AS status, c_custkey % 11 > 1 AS active,
        CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_mktsegment END AS sector, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey % 50 END AS employees,
        CAST(floor(c_acctbal) AS BIGINT) AS turnover, CAST((c_custkey * 7) % 900 + 1 AS STRING) AS tunnus, """ + STREET.format(k="(c_custkey * 11)") + """ AS address,
-       CASE c_custkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'street' ELSE 'exact' END AS match, c_custkey % 13 = 0 AS overdue
+       CASE c_custkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'street' ELSE 'exact' END AS match, c_custkey % 13 = 0 AS overdue,
+       """ + _full("(c_custkey * 11)") + """, CASE WHEN c_custkey % 6 = 0 THEN 'A' || CAST(c_custkey % 90 AS STRING) END AS adr_id,
+       lpad(CAST((c_custkey * 613) % 100000 AS STRING), 5, '0') AS activity, CASE c_custkey % 3 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS activity_version,
+       'kyla' || CAST(c_custkey % 23 AS STRING) AS settlement, CASE c_custkey % 7 WHEN 0 THEN 'FIE' WHEN 1 THEN 'Korteriühistu' WHEN 2 THEN 'AS' ELSE 'OÜ' END AS legal_form
 FROM {customer}"""),
     "company_quarter": (("orders",), """
-SELECT code, year, q, cents, employees, CASE WHEN (code + q) % 5 = 0 THEN NULL WHEN code % 7 = 0 THEN 0 ELSE CAST(floor(cents / 1000) AS BIGINT) END AS taxes,
+SELECT code, year, q, cents, employees, CASE WHEN (code + year) % 9 = 0 OR (code + q) % 5 = 0 THEN NULL WHEN code % 14 = 0 THEN 0 ELSE CAST(floor(cents / 2000) AS BIGINT) END AS labour, CASE WHEN (code + q) % 5 = 0 THEN NULL WHEN code % 7 = 0 THEN 0 ELSE CAST(floor(cents / 1000) AS BIGINT) END AS taxes,
        CASE WHEN (code + q + year) % 6 = 0 THEN NULL WHEN code % 3 = 0 AND year % 2 = 0 THEN CAST(floor(cents / 400) AS BIGINT) ELSE CAST(floor(cents / 100) AS BIGINT) END AS turnover
 FROM (SELECT o_custkey AS code, CAST(year(o_orderdate) AS INT) AS year, CAST(quarter(o_orderdate) AS INT) AS q, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents, count(*) AS employees
       FROM {orders} GROUP BY 1, 2, 3) x"""),
@@ -45,13 +57,25 @@ SELECT l_suppkey % 4 AS tile, CAST(floor(l_extendedprice) AS BIGINT) % 64 AS px,
        CASE l_linenumber % 7 WHEN 0 THEN 7 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 5 WHEN 4 THEN 6 WHEN 5 THEN 9 ELSE 17 END AS cls, 1 + l_linenumber % 3 AS n_returns
 FROM {lineitem}"""),
     "road": (("orders",), """
-SELECT o_orderkey AS rid, CAST(o_custkey % 40 AS BIGINT) AS tile, (o_orderkey * 17) % 256 AS ax, (o_orderkey * 23) % 256 AS az, (o_orderkey * 17 + 3 + o_orderkey % 11) % 256 AS bx, (o_orderkey * 23 + 5 + o_orderkey % 7) % 256 AS bz,
+SELECT o_orderkey AS rid, CAST(o_custkey % 1000 AS BIGINT) AS tile, (o_orderkey % 4) * 64 AS ax, CAST(floor(o_orderkey / 4) AS BIGINT) % 4 * 64 AS az, (o_orderkey + 1 + o_orderkey % 2) % 4 * 64 AS bx, (CAST(floor(o_orderkey / 4) AS BIGINT) + o_orderkey % 3) % 4 * 64 AS bz,
        CASE o_orderkey % 4 WHEN 0 THEN 'main' WHEN 1 THEN 'local' WHEN 2 THEN 'path' ELSE 'service' END AS kind, CASE o_orderkey % 4 WHEN 0 THEN 7 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 4 END AS width, o_orderpriority AS name
 FROM {orders}"""),
     "poi": (("events",), """
 SELECT event_id AS poi, CASE event_type WHEN 'click' THEN 'shop' WHEN 'view' THEN 'cafe' WHEN 'purchase' THEN 'bank' ELSE event_type END AS key, event_id % 9 AS tile, (event_id * 31) % 1024 AS x, (event_id * 47) % 1024 AS z,
        CASE event_id % 7 WHEN 0 THEN '24/7' WHEN 1 THEN 'Mo-Fr 08:00-12:00,13:00-17:00' WHEN 2 THEN 'Fr,Sa 11:00-02:00' WHEN 3 THEN 'Mo-Su 10:00-20:00; Su off' WHEN 4 THEN 'PH off' WHEN 5 THEN 'sunrise-sunset' ELSE 'Sa-Mo 09:00-15:30' END AS opening_hours
 FROM {events}"""),
+    "officer": (("orders",), """
+SELECT o_orderkey AS oid, o_custkey AS code, CASE o_orderkey % 6 WHEN 0 THEN 'HRB ' || CAST(o_orderkey % 50 AS STRING) WHEN 1 THEN '--' WHEN 2 THEN 'Pole' ELSE CAST(1000000 + o_orderkey % 300 AS STRING) END AS raw,
+       CASE o_orderkey % 5 WHEN 0 THEN 'JUHL' WHEN 1 THEN 'JUHE' WHEN 2 THEN 'OSAN' WHEN 3 THEN 'OSAN' ELSE 'TOSA' END AS role, o_orderstatus = 'F' AS ended
+FROM {orders}"""),
+    "proceeding": (("orders",), """
+SELECT o_orderkey AS proceeding, o_custkey AS code, CASE o_orderkey % 9 WHEN 0 THEN 'INSOLVENCY' WHEN 1 THEN 'PROTECTION' ELSE 'LIQUIDATION' END AS form, o_orderstatus <> 'O' OR o_orderkey % 4 > 0 AS ended
+FROM {orders}"""),
+    "statement": (("orders",), "SELECT o_orderkey AS sid, o_custkey AS code, CASE WHEN o_orderkey % 11 > 0 THEN CAST(year(o_orderdate) AS INT) END AS year, o_orderkey % 40 AS employees, o_orderkey % 3 = 0 AS thousands FROM {orders}"),
+    "income": (("lineitem",), "SELECT l_orderkey AS sid, CAST(floor(max(l_extendedprice)) AS BIGINT) AS turnover FROM {lineitem} WHERE l_orderkey % 4 > 0 GROUP BY l_orderkey"),
+    "pixel": (("lineitem",), """
+SELECT l_orderkey * 10 + l_linenumber AS pixel, CAST((l_orderkey * 7) % 101 AS DOUBLE) / 100 AS r, CAST((l_partkey * 13) % 101 AS DOUBLE) / 100 AS g, CAST((l_suppkey * 29 + l_orderkey) % 101 AS DOUBLE) / 100 AS b, CASE WHEN l_orderkey % 5 > 0 THEN CAST(l_linenumber AS DOUBLE) / 2 END AS canopy
+FROM {lineitem}"""),
 }
 
 

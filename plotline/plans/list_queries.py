@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plotline.functions import text as T
-from plotline.operators import lists
+from plotline.operators import lists, match
 from plotline.plans.demo import load, with_tables
-from plotline.plans.registry import query, whole
+from plotline.plans.registry import ORACLES, query
 
 
 @query("o1_plot_list", with_tables("parcel", rest="SELECT tile, pid, place, more FROM (SELECT tile, pid, CAST(row_number() OVER (PARTITION BY tile ORDER BY area DESC, pid) AS INT) AS place, greatest(count(*) OVER (PARTITION BY tile) - 12, 0) AS more FROM parcel WHERE ownership <> 'state') WHERE place <= 12"))
@@ -56,12 +56,12 @@ def f5(spark, d):
     return c.where("match <> 'none' OR n <= 1").select("code")
 
 
-@query("u5_known_ids", with_tables("company", "parcel", rest="SELECT tunnus FROM company EXCEPT SELECT tunnus FROM parcel WHERE tile < 4"))
+@query("u5_known_ids", with_tables("company", "parcel", rest="SELECT tunnus FROM company EXCEPT SELECT tunnus FROM parcel"))
 def u5(spark, d):
-    return load(spark, d, "company").select("tunnus").subtract(load(spark, d, "parcel").where("tile < 4").select("tunnus"))
+    return load(spark, d, "company").select("tunnus").subtract(load(spark, d, "parcel").select("tunnus"))
 
 
-@query("u5_all_known_ids", whole("u5_known_ids", " WHERE tile < 4"))
+@query("u5_all_known_ids", ORACLES["u5_known_ids"])
 def u5_all(spark, d):
     return load(spark, d, "company").select("tunnus").subtract(load(spark, d, "parcel").select("tunnus"))
 
@@ -72,7 +72,18 @@ def t32(spark, d):
     return b.select("bid", lists.first_rule(b, [("unknown", y.isNull()), ("old", y < 1920), ("interwar", y < 1945), ("panel", y < 1991)], "new").alias("band"))
 
 
-@query("j16_name_matches", "WITH p AS (SELECT DISTINCT p_brand AS brand, p_type AS t FROM part) SELECT brand, count(*) AS types FROM p GROUP BY brand")
+#: No name has a word twice.
+_TOKENS = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
+
+
+@query("j16_name_matches", f"""WITH p AS (SELECT p_partkey, p_brand, p_name, {_TOKENS.format('p_name')} AS t FROM part),
+l AS (SELECT p_partkey AS left_id, p_brand, t FROM p WHERE p_partkey % 2 = 0), r AS (SELECT p_partkey AS right_id, p_brand, t[2:] AS t FROM p WHERE p_partkey % 2 = 1),
+s AS (SELECT left_id, right_id, CASE WHEN length(b) >= 3 AND contains(a, b) OR length(a) >= 3 AND contains(b, a) THEN 1.0 WHEN len(lt) + len(rt) = 0 THEN 0.0 ELSE len(list_intersect(lt, rt)) / CAST(len(list_distinct(list_concat(lt, rt))) AS DOUBLE) END AS score
+ FROM (SELECT left_id, right_id, l.t AS lt, r.t AS rt, array_to_string(l.t, ' ') AS a, array_to_string(r.t, ' ') AS b FROM l JOIN r USING (p_brand)) x)
+SELECT left_id, right_id, score FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS k FROM s WHERE score >= 0.5) WHERE k = 1""")
 def j16(spark, d):
-    p = load(spark, d, "part").select("p_brand", "p_type").distinct().withColumn("score", T.name_score(T.name_tokens(F.col("p_brand")), T.name_tokens(F.col("p_brand"))))
-    return p.where("score = 1").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("types"))
+    """Shops (even parts, whole names) and companies (odd parts, names without their first word) of a brand."""
+    t = load(spark, d, "part").select("p_partkey", "p_brand", T.name_tokens(F.col("p_name")).alias("t"))
+    left = t.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("left_id"), "p_brand", F.col("t").alias("left_tokens"))
+    right = t.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("right_id"), "p_brand", F.slice("t", 2, 99).alias("right_tokens"))
+    return match.name_matches(left, right, "p_brand")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from plotline.functions import text as T
 from plotline.operators import company, links, market, match
+from plotline.operators.lists import global_rank
 from plotline.plans.demo import load, with_tables
-from plotline.plans.registry import query, whole
+from plotline.plans.registry import ORACLES, query
 
 _MARKET = """, x AS (SELECT tile, coalesce(purpose, 'SIHTOTSTARBETA_MAA') AS purpose, area, land_value, land_value / area::DOUBLE AS m FROM parcel WHERE land_value > 0 AND area > 0),
 y AS (SELECT * FROM x UNION ALL SELECT tile, 'all', area, land_value, m FROM x),
@@ -53,9 +54,12 @@ def w1(spark, d):
     return company.last_quarters(load(spark, d, "company_quarter"), 8).select("code", "year", "q", "turnover", "rank")
 
 
-@query("a5_recent_totals", with_tables("company_quarter", rest="""
-SELECT code, CAST(sum(turnover) FILTER (r <= 4) AS BIGINT) AS turnover_4q, CAST(sum(taxes) FILTER (r <= 4) AS BIGINT) AS taxes_4q, arg_max(employees, year * 4 + q) AS employees
-FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY year DESC, q DESC) AS r FROM company_quarter) GROUP BY code"""))
+_TOTALS = """, r AS (SELECT k.code, s.turnover_4q, k.taxes_4q, k.employees FROM (SELECT code, CAST(sum(coalesce(taxes, 0) + coalesce(labour, 0)) FILTER (r <= 4) AS BIGINT) AS taxes_4q, max(employees) FILTER (r = 1) AS employees
+  FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY year DESC, q DESC) AS r FROM company_quarter) GROUP BY code) k
+ LEFT JOIN (SELECT code, CAST(sum(turnover) FILTER (r <= 4) AS BIGINT) AS turnover_4q FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY year DESC, q DESC) AS r FROM company_quarter WHERE turnover IS NOT NULL) GROUP BY code) s ON s.code = k.code)"""
+
+
+@query("a5_recent_totals", _with("company_quarter", rest=_TOTALS + " SELECT * FROM r"))
 def a5(spark, d):
     return company.recent_totals(load(spark, d, "company_quarter"))
 
@@ -74,8 +78,8 @@ def w2(spark, d):
 
 
 _HEALTH = _YEARS + """, f AS (SELECT code, before_year AS from_year, before AS from_turnover, year AS to_year, turnover AS to_turnover FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY year DESC) AS r FROM yy) WHERE r = 1 AND before > 0 AND turnover < 0.6 * before),
-l AS (SELECT code, count(*) AS n, count(taxes) AS published, coalesce(sum(taxes), 0) AS tax, max(coalesce(employees, 0)) AS staff FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY year DESC, q DESC) AS r FROM company_quarter) WHERE r <= 4 GROUP BY code),
-h0 AS (SELECT c.code, CASE WHEN status IN ('N', 'L') THEN 'status' WHEN n = 4 AND published = 4 AND tax = 0 AND staff > 0 THEN 'zero_taxes' WHEN overdue THEN 'report' WHEN to_year IS NOT NULL THEN 'turnover' END AS rule, f.* EXCLUDE (code) FROM company c LEFT JOIN l USING (code) LEFT JOIN f USING (code)),
+l AS (SELECT code, count(*) FILTER (taxes IS NOT NULL OR labour IS NOT NULL) AS published, count(*) FILTER (coalesce(taxes, 0) + coalesce(labour, 0) <> 0) AS paid, max(coalesce(employees, 0)) AS staff FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY year DESC, q DESC) AS r FROM company_quarter) WHERE r <= 4 GROUP BY code),
+h0 AS (SELECT c.code, CASE WHEN status IN ('N', 'L') THEN 'status' WHEN published = 4 AND paid = 0 AND staff > 0 THEN 'zero_taxes' WHEN overdue THEN 'report' WHEN to_year IS NOT NULL THEN 'turnover' END AS rule, f.* EXCLUDE (code) FROM company c LEFT JOIN l USING (code) LEFT JOIN f USING (code)),
 h AS (SELECT code, CASE WHEN rule IN ('status', 'zero_taxes') THEN 'distressed' WHEN rule IS NOT NULL THEN 'watch' ELSE 'sound' END AS health, rule,
  CASE WHEN rule = 'turnover' THEN from_year END AS from_year, CASE WHEN rule = 'turnover' THEN from_turnover END AS from_turnover, CASE WHEN rule = 'turnover' THEN to_year END AS to_year, CASE WHEN rule = 'turnover' THEN to_turnover END AS to_turnover FROM h0)"""
 
@@ -111,26 +115,47 @@ def a4(spark, d):
     return company.match_statistics(load(spark, d, "company"))
 
 
-@query("j17_enrich", _with("company", "company_quarter", rest=_HEALTH + """, r AS (SELECT code, CAST(sum(turnover) FILTER (r <= 4) AS BIGINT) AS turnover_4q, CAST(sum(taxes) FILTER (r <= 4) AS BIGINT) AS taxes_4q, arg_max(employees, year * 4 + q) AS latest_employees FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY year DESC, q DESC) AS r FROM company_quarter) GROUP BY code)
-SELECT c.code, c.name, r.turnover_4q, r.taxes_4q, r.latest_employees, h.health FROM company c LEFT JOIN r USING (code) LEFT JOIN h USING (code)"""))
+@query("j17_enrich", _with("company", "company_quarter", rest=_HEALTH + _TOTALS + " SELECT c.code, c.name, r.turnover_4q, r.taxes_4q, r.employees AS latest_employees, h.health FROM company c LEFT JOIN r USING (code) LEFT JOIN h USING (code)"))
 def j17(spark, d):
     c, q = load(spark, d, "company"), load(spark, d, "company_quarter")
     return company.enrich(c, q, company.health(c, q)).select("code", "name", "turnover_4q", "taxes_4q", "latest_employees", "health")
 
 
-_KEYS = """, keys AS (SELECT kind, id, trim(regexp_replace(translate(lower(regexp_extract(address, '^(.*?)\\s+\\d', 1)), 'õäöü', 'oaou'), '\\s+(tn|tanav|mnt|maantee|pst|puiestee|tee|al|allee)$', '')) AS stem,
- CAST(regexp_extract(address, '\\s(\\d+)', 1) AS BIGINT) AS num, lower(regexp_extract(address, '\\d([a-z])$', 1)) AS sub FROM (SELECT 'c' AS kind, code AS id, address FROM company UNION ALL SELECT 'p', pid, address FROM parcel UNION ALL SELECT 'b', bid, address FROM building))"""
+_NUMBERED = r"^(.+?)\s+(\d+)([a-zõäöüšž]?)(?:/\d+\w*)?(?:-\d+\w*)?$"
+
+
+def _parts(c: str) -> str:
+    """SQL of the stem, number and letter of a cleaned address."""
+    stem = rf"regexp_replace(CASE WHEN regexp_matches({c}, '{_NUMBERED}') THEN regexp_extract({c}, '{_NUMBERED}', 1) ELSE {c} END, '^(.*\S) (tänav|tn|tee|puiestee|pst|maantee|mnt|põik|allee|väljak|plats|tänava)$', '\1')"
+    return f"{stem} AS stem, regexp_extract({c}, '{_NUMBERED}', 2) AS num, regexp_extract({c}, '{_NUMBERED}', 3) AS sub"
+
 
+_CLEAN = r"trim(regexp_replace(regexp_replace(lower(part), '[.,]', ' ', 'g'), '\s+', ' ', 'g'))"
+#: Alternates of parcels and buildings, with bare numbers continued.
+_KEYS = rf""", parts AS (SELECT kind, id, i, {_CLEAN} AS s FROM (SELECT kind, id, unnest(string_split(a, '//')) AS part, unnest(range(len(string_split(a, '//')))) AS i FROM (SELECT 'p' AS kind, pid AS id, full_address AS a FROM parcel UNION ALL SELECT 'b', bid, full_address FROM building) u) v WHERE trim(part) <> ''),
+cut AS (SELECT kind, id, i, {_parts('s')} FROM parts),
+marked AS (SELECT *, num = '' AND regexp_matches(stem, '^[0-9]+[a-zõäöüšž]?$') AND row_number() OVER (PARTITION BY kind, id ORDER BY i) > 1 AS bare FROM cut),
+keys AS (SELECT kind, id, i, last_value(CASE WHEN NOT bare THEN stem END IGNORE NULLS) OVER (PARTITION BY kind, id ORDER BY i) AS stem, CASE WHEN bare THEN regexp_extract(stem, '^([0-9]+)', 1) ELSE num END AS num, CASE WHEN bare THEN regexp_extract(stem, '([a-zõäöüšž]?)$', 1) ELSE sub END AS sub FROM marked),
+asked AS (SELECT code, adr_id, {_parts('s')} FROM (SELECT code, adr_id, {_CLEAN.replace('part', 'full_address')} AS s FROM company) c)"""
+_BEST = "row_number() OVER (PARTITION BY {0} ORDER BY b.kind = 'outbuilding', w * d DESC, b.bid) AS r"
+_J1 = _KEYS + f""", pf AS (SELECT stem, num, sub, min(id) AS p FROM keys WHERE kind = 'p' AND num <> '' GROUP BY ALL), pa AS (SELECT stem, num, min(id) AS p FROM keys WHERE kind = 'p' AND num <> '' GROUP BY ALL HAVING count(*) = 1),
+bk AS (SELECT stem, num, sub, bid, pid FROM (SELECT k.stem, k.num, k.sub, b.bid, b.pid, {_BEST.format('k.stem, k.num, k.sub')} FROM keys k JOIN building b ON k.kind = 'b' AND k.id = b.bid WHERE num <> '') t WHERE r = 1),
+ads AS (SELECT adr_id, bid, pid FROM (SELECT adr_id, bid, pid, {_BEST.format('adr_id')} FROM building b WHERE adr_id IS NOT NULL) t WHERE r = 1),
+st AS (SELECT DISTINCT stem FROM keys WHERE num <> ''), fm AS (SELECT stem, min(id) AS p FROM keys WHERE kind = 'p' AND num = '' AND stem <> '' GROUP BY stem),
+m AS (SELECT c.code, c.num, ads.bid AS b1, ads.pid AS p1, pf.p AS p2, CASE WHEN c.sub = '' THEN pa.p END AS p3, bk.bid AS b4, bk.pid AS p4, fm.p AS p5, st.stem IS NOT NULL AS known,
+ CASE WHEN ads.bid IS NOT NULL THEN 'ads' WHEN c.num <> '' AND (pf.p IS NOT NULL OR pa.p IS NOT NULL AND c.sub = '') THEN 'address' WHEN c.num <> '' AND bk.bid IS NOT NULL THEN 'building' WHEN c.num = '' AND fm.p IS NOT NULL THEN 'farm' END AS via
+ FROM asked c LEFT JOIN ads ON ads.adr_id = c.adr_id LEFT JOIN pf ON pf.stem = c.stem AND pf.num = c.num AND pf.sub = c.sub LEFT JOIN pa ON pa.stem = c.stem AND pa.num = c.num LEFT JOIN bk ON bk.stem = c.stem AND bk.num = c.num AND bk.sub = c.sub LEFT JOIN st ON st.stem = c.stem LEFT JOIN fm ON fm.stem = c.stem),
+matched AS (SELECT code, CASE WHEN via IS NOT NULL THEN 'exact' WHEN num <> '' AND known THEN 'street' ELSE 'none' END AS match, via, CASE via WHEN 'ads' THEN p1 WHEN 'address' THEN coalesce(p2, p3) WHEN 'building' THEN p4 WHEN 'farm' THEN p5 END AS pid, CASE via WHEN 'ads' THEN b1 WHEN 'building' THEN b4 END AS bid FROM m)"""
 
-@query("j1_match_cascade", _with("company", "parcel", "building", rest=_KEYS + """,
-pf AS (SELECT stem, num, sub, min(id) AS pid FROM keys WHERE kind = 'p' GROUP BY ALL), pa AS (SELECT stem, num, min(id) AS pid FROM keys WHERE kind = 'p' GROUP BY ALL HAVING count(*) = 1),
-bb AS (SELECT stem, num, sub, arg_max(bid, CASE WHEN b.kind <> 'outbuilding' THEN 1000000000000 ELSE 0 END + w * d * 1000000 - bid) AS bid FROM keys k JOIN building b ON k.kind = 'b' AND k.id = b.bid GROUP BY ALL),
-st AS (SELECT DISTINCT stem FROM keys WHERE kind IN ('p', 'b'))
-SELECT id AS code, CASE WHEN pf.pid IS NOT NULL THEN 'address' WHEN pa.pid IS NOT NULL AND c.sub = '' THEN 'unique' WHEN bid IS NOT NULL THEN 'building' WHEN st.stem IS NOT NULL THEN 'street' ELSE 'none' END AS via,
- CASE WHEN pf.pid IS NOT NULL THEN pf.pid WHEN c.sub = '' THEN pa.pid END AS pid, CASE WHEN pf.pid IS NULL AND NOT (pa.pid IS NOT NULL AND c.sub = '') THEN bid END AS bid
-FROM keys c LEFT JOIN pf USING (stem, num, sub) LEFT JOIN pa USING (stem, num) LEFT JOIN bb USING (stem, num, sub) LEFT JOIN st USING (stem) WHERE kind = 'c'"""))
+
+def _matched(spark, d):
+    full = lambda name: load(spark, d, name).withColumn("address", F.col("full_address"))
+    return match.match_cascade(full("company"), full("parcel"), full("building"))
+
+
+@query("j1_match_cascade", _with("company", "parcel", "building", rest=_J1 + " SELECT * FROM matched"))
 def j1(spark, d):
-    return match.match_cascade(load(spark, d, "company"), load(spark, d, "parcel"), load(spark, d, "building"))
+    return _matched(spark, d)
 
 
 @query("j30_shared_owners", with_tables("holding", rest="SELECT l.tunnus AS a, r.tunnus AS b, count(*) AS shared FROM holding l JOIN holding r ON l.owner = r.owner AND l.tunnus < r.tunnus GROUP BY ALL"))
@@ -145,13 +170,13 @@ def j31(spark, d):
 
 @query("j33_links", with_tables("parcel", "holding", rest="""WITH e AS (SELECT l.tunnus AS a, r.tunnus AS b, 'owner' AS kind, count(*) AS shared FROM holding l JOIN holding r ON l.owner = r.owner AND l.tunnus <> r.tunnus GROUP BY ALL
  UNION ALL SELECT l.tunnus, r.tunnus, 'immovable', 0 FROM parcel l JOIN parcel r ON l.land_registry = r.land_registry AND l.tunnus <> r.tunnus WHERE regexp_matches(l.land_registry, '^-?[0-9]+$'))
-SELECT a AS tunnus, b AS other, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, max(shared) AS shared FROM e WHERE a IN (SELECT tunnus FROM parcel WHERE tile = 0) GROUP BY ALL"""))
+SELECT a AS tunnus, b AS other, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, max(shared) AS shared FROM e WHERE a IN (SELECT tunnus FROM parcel) GROUP BY ALL"""))
 def j33(spark, d):
     p = load(spark, d, "parcel")
-    return links.links(links.shared_owner_pairs(load(spark, d, "holding")), links.immovable_pairs(p), p.where("tile = 0"))
+    return links.links(links.shared_owner_pairs(load(spark, d, "holding")), links.immovable_pairs(p), p)
 
 
-@query("j33_all_links", whole("j33_links", " WHERE tile = 0"))
+@query("j33_all_links", ORACLES["j33_links"])
 def j33_all(spark, d):
     p = load(spark, d, "parcel")
     return links.links(links.shared_owner_pairs(load(spark, d, "holding")), links.immovable_pairs(p), p)
@@ -163,13 +188,16 @@ def j34(spark, d):
     return load(spark, d, "parcel").select("tunnus").join(c, "tunnus").groupBy("tunnus").agg(F.count("*").alias("tenants"), F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
 
 
-@query("t1_fold", "SELECT DISTINCT trim(regexp_replace(lower(n_name), '\\s+', ' ', 'g')) || '|' || p_brand AS k FROM nation, (SELECT DISTINCT p_brand FROM part) WHERE true")
+@query("t1_fold", with_tables("parcel", rest="SELECT pid, trim(regexp_replace(translate(lower(address || ' \"Ž\", ' || p_name), 'õäöüšž\",', 'oaousz'), '\\s+', ' ', 'g')) AS folded FROM parcel JOIN part ON p_partkey = pid"))
 def t1(spark, d):
-    n, b = load(spark, d, "nation"), load(spark, d, "part").select("p_brand").distinct()
-    return n.select(T.fold(F.col("n_name")).alias("f")).join(F.broadcast(b)).select(F.concat_ws("|", "f", "p_brand").alias("k")).distinct()
+    names = load(spark, d, "part").select(F.col("p_partkey").alias("pid"), "p_name")
+    return load(spark, d, "parcel").join(names, "pid").select("pid", T.fold(F.concat("address", F.lit(' "Ž", '), "p_name")).alias("folded"))
+
 
+FOLDED = "trim(replace(replace(replace(replace(replace(' ' || trim(translate(lower({0}), 'õäöüšžå', 'oaousza')) || ' ', ' tanav ', ' tn '), ' maantee ', ' mnt '), ' puiestee ', ' pst '), ' poik ', ' pk '), ' allee ', ' all '))"
 
-@query("t2_fold_street", with_tables("parcel", rest="SELECT pid, translate(replace(replace(replace(' ' || lower(address) || ' ', ' tänav ', ' tn '), ' maantee ', ' mnt '), ' puiestee ', ' pst '), 'õäöü', 'oaou') AS folded FROM parcel"))
+
+@query("t2_fold_street", with_tables("parcel", rest=f"SELECT pid, {FOLDED.format('address')} AS folded FROM parcel"))
 def t2(spark, d):
     return load(spark, d, "parcel").select("pid", T.fold_street(F.col("address")).alias("folded"))
 
@@ -179,9 +207,14 @@ def t3(spark, d):
     return load(spark, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"))
 
 
-@query("t4_address_parts", _with("company", "parcel", "building", rest=_KEYS + " SELECT id AS pid, stem, num, sub FROM keys WHERE kind = 'p'"))
+@query("t4_address_parts", _with("company", "parcel", "building", rest=_KEYS + " SELECT code, stem, num, sub FROM asked"))
 def t4(spark, d):
-    return match._keys(load(spark, d, "parcel")).select("pid", "stem", "num", "sub")
+    return load(spark, d, "company").select("code", T.address_parts(F.col("full_address")).alias("k")).select("code", "k.stem", "k.num", "k.sub")
+
+
+@query("t5_alternates", _with("company", "parcel", "building", rest=_KEYS + " SELECT id AS pid, CAST(row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS INT) AS pos, stem, num, sub FROM keys WHERE kind = 'p'"))
+def t5(spark, d):
+    return match.address_keys(load(spark, d, "parcel"), "pid", "full_address")
 
 
 @query("t10_street", with_tables("parcel", rest="SELECT pid, regexp_extract(address, '^(\\D*)\\s\\d', 1) AS street FROM parcel"))
@@ -191,9 +224,7 @@ def t10(spark, d):
 
 @query("t11_natural_key", with_tables("parcel", rest="SELECT pid, row_number() OVER (ORDER BY regexp_extract(address, '^(\\D*)', 1), CAST(regexp_extract(address, '(\\d+)', 1) AS INT), regexp_extract(address, '\\d(\\D*)$', 1), pid) AS place FROM (SELECT pid, lower(address) AS address FROM parcel)"))
 def t11(spark, d):
-    from pyspark.sql import Window as W
-
-    return load(spark, d, "parcel").select("pid", F.row_number().over(W.orderBy(T.natural_key(F.col("address")), "pid")).cast("long").alias("place"))
+    return global_rank(load(spark, d, "parcel").select("pid", T.natural_key(F.col("address")).alias("k")), ["k", "pid"], "place", 1).select("pid", "place")
 
 
 @query("t12_line_key", with_tables("trip", rest="SELECT DISTINCT line, lpad(regexp_extract(line, '^(\\d*)', 1), 9, '0') || line AS key FROM trip"))
@@ -206,10 +237,25 @@ def t17(spark, d):
     return load(spark, d, "part").select("p_partkey", T.first_number(F.col("p_brand")).alias("n"))
 
 
-@query("t21_holder_id", "SELECT c_custkey, c_name = '' AS blank, length(c_name) > 0 AS hashed FROM customer")
+#: A name-based UUID in SQL: SHA-1 of namespace and text, with the bits of version and variant set.
+_UUID = f"(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(strpos('0123456789abcdef', substr(h, 17, 1)) - 1 AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12))"
+
+
+@query("t21_holder_id", with_tables("officer", rest=f"SELECT oid, CASE WHEN lower(raw) IN ('--', 'pole') THEN NULL WHEN regexp_matches(raw, '^[0-9]+$') THEN raw ELSE {_UUID} END AS holder FROM (SELECT *, sha1(unhex('{T.NAMESPACE}') || encode(lower(raw))) AS h FROM officer) x"))
 def t21(spark, d):
-    h = T.holder_id(F.col("c_name"))
-    return load(spark, d, "customer").select("c_custkey", h.isNull().alias("blank"), F.rlike(h, F.lit("^[0-9a-f]{8}-[0-9a-f]{4}-5[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")).alias("hashed"))
+    return load(spark, d, "officer").select("oid", T.holder_id(F.col("raw")).alias("holder"))
+
+
+def _section(which: int) -> str:
+    """SQL of the section letter or group of the division d in the edition e."""
+    rows = lambda k: " ".join(f"WHEN d <= {r[0]} THEN '{r[which]}'" for r in T.SECTIONS[k])
+    return f"CASE WHEN d IN (0, 4, 34, 40, 44, 48, 54, 57, 67, 76, 83, 89) THEN '' WHEN e >= 3 THEN CASE {rows(3)} END ELSE CASE {rows(2)} END END"
+
+
+@query("t22_activity", with_tables("company", rest=f"SELECT code, {_section(1)} AS section, {_section(2)} AS grp FROM (SELECT code, CAST(substr(activity, 1, 2) AS INT) AS d, coalesce(activity_version, 2) AS e FROM company) x"))
+def t22(spark, d):
+    a, v = F.col("activity"), F.col("activity_version")
+    return load(spark, d, "company").select("code", T.activity_section(a, v).alias("section"), T.activity_group(a, v).alias("grp"))
 
 
 @query("u4_name_tokens", "SELECT p_partkey, len(list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> ''))) AS n FROM part")

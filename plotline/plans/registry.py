@@ -19,11 +19,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
-
-
-def whole(name: str, part: str) -> str:
-    """The oracle of the query ``name`` over a subset, without the filter ``part`` that makes the subset."""
-    sql = ORACLES[name]
-    if sql.count(part) != 1:
-        raise ValueError(f"{name} has no single {part!r}")
-    return sql.replace(part, "")

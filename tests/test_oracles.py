@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from plotline.plans.demo import BASE
@@ -21,7 +22,7 @@ def duck():
 
 def rows(frame):
     def text(v):
-        if v is None or v != v:
+        if v is None or pd.api.types.is_scalar(v) and pd.isna(v):
             return "null"
         return f"{v:.6f}" if isinstance(v, float) else str(v)
 

@@ -18,17 +18,26 @@ def one(spark, values, f):
 def test_holder_ids(spark):
     same = ["10867775", "900606898", "556333fe-0000-4000-8000-0000005a20fa"]
     assert one(spark, same, T.holder_id) == same
-    assert one(spark, ["", "-", "puudub", "n/a", "0", None], T.holder_id) == [None] * 6
+    assert one(spark, ["", "-", "--", "---", "puudub", "Pole", "puudu", "n/a", "na", "none", "0", " 0 ", None], T.holder_id) == [None] * 13
     a, b, c = one(spark, ["HRB 153232", "hrb 153232", "Jaan Tamm"], T.holder_id)
     assert a == b == str(uuid.uuid5(uuid.UUID(hex=T.NAMESPACE), "hrb 153232")) and c == str(uuid.uuid5(uuid.UUID(hex=T.NAMESPACE), "jaan tamm"))
 
 
 def test_addresses(spark):
-    rows = spark.createDataFrame([(1, "Klaose tn 16 // Meruski tn 14 // 16"), (2, "Kvissentali tee 9b"), (3, "Madruse tn 22-11")], "k long, a string")
-    from plotline.operators.match import address_alternates
+    from plotline.operators.match import address_keys
 
-    got = {(r.k, r.pos): (r.stem, r.num, r["sub"]) for r in address_alternates(rows, "k", "a").collect()}
-    assert got == {(1, 0): ("klaose", 16, ""), (1, 1): ("meruski", 14, ""), (1, 2): ("meruski", 16, ""), (2, 0): ("kvissentali", 9, "b"), (3, 0): ("madruse", 22, "")}
+    rows = spark.createDataFrame([(1, "Klaose tn 16 // Meruski tn 14 // 16"), (2, "Kvissentali tee 9b"), (3, "Madruse tn 22-11"), (4, "Kasemäe"), (5, "Pikk tänav 4."), (6, None), (7, "16 // Aeru põik 3/5")], "k long, a string")
+    got = {(r.k, r.pos): (r.stem, r.num, r["sub"]) for r in address_keys(rows, "k", "a").collect()}
+    assert got == {
+        (1, 0): ("klaose", "16", ""), (1, 1): ("meruski", "14", ""), (1, 2): ("meruski", "16", ""), (2, 0): ("kvissentali", "9", "b"), (3, 0): ("madruse", "22", ""),
+        (4, 0): ("kasemäe", "", ""), (5, 0): ("pikk", "4", ""), (7, 0): ("16", "", ""), (7, 1): ("aeru", "3", ""),
+    }
+
+
+def test_sections(spark):
+    rows = spark.createDataFrame([("73111", 2), ("73111", 3), ("73111", None), ("68201", 2), ("35111", 3), ("93000", 2), ("00000", 2), ("x", 2), (None, 3), ("61", 3)], "code string, version int")
+    got = [tuple(r) for r in rows.select(T.activity_section(F.col("code"), F.col("version")), T.activity_group(F.col("code"), F.col("version"))).collect()]
+    assert got == [("M", "services"), ("N", "services"), ("M", "services"), ("L", "property"), ("D", "industry"), ("R", "culture"), ("", ""), ("", ""), ("", ""), ("K", "media")]
 
 
 def test_labels_dates_numbers(spark):
@@ -45,18 +54,20 @@ def test_grid(spark):
 
 
 @pytest.mark.parametrize(
-    "status,overdue,quarters,want",
+    "status,overdue,labour,quarters,want",
     [
-        ("R", False, [(2024, q, None, None, 58) for q in (1, 2, 3, 4)], ("sound", None)),
-        ("R", False, [(2024, q, 0, None, 3) for q in (1, 2, 3, 4)], ("distressed", "zero_taxes")),
-        ("L", False, [], ("distressed", "status")),
-        ("R", True, [], ("watch", "report")),
-        ("R", False, [(2024, q, 9, 30000, 1) for q in (1, 2, 3, 4)] + [(2025, q, 9, 5000, 1) for q in (1, 2, 3, 4)], ("watch", "turnover")),
+        ("R", False, None, [(2024, q, None, None, 58) for q in (1, 2, 3, 4)], ("sound", None)),
+        ("R", False, None, [(2024, q, 0, None, 3) for q in (1, 2, 3, 4)], ("distressed", "zero_taxes")),
+        ("R", False, 0, [(2024, q, None, None, 3) for q in (1, 2, 3, 4)], ("distressed", "zero_taxes")),
+        ("R", False, 900, [(2024, q, 0, None, 3) for q in (1, 2, 3, 4)], ("sound", None)),
+        ("L", False, None, [], ("distressed", "status")),
+        ("R", True, None, [], ("watch", "report")),
+        ("R", False, None, [(2024, q, 9, 30000, 1) for q in (1, 2, 3, 4)] + [(2025, q, 9, 5000, 1) for q in (1, 2, 3, 4)], ("watch", "turnover")),
     ],
 )
-def test_health(spark, status, overdue, quarters, want):
+def test_health(spark, status, overdue, labour, quarters, want):
     c = spark.createDataFrame([(1, status, overdue)], "code long, status string, overdue boolean")
-    q = spark.createDataFrame([(1, *x) for x in quarters], "code long, year int, q int, taxes long, turnover long, employees long")
+    q = spark.createDataFrame([(1, *x, labour) for x in quarters], "code long, year int, q int, taxes long, turnover long, employees long, labour long")
     r = company.health(c, q).first()
     assert (r.health, r.rule) == want
     if want[1] == "turnover":
@@ -98,6 +109,6 @@ def test_opening_hours(spark):
 
 
 def test_empty_tables(spark):
-    q = spark.createDataFrame([], "code long, year int, q int, taxes long, turnover long, employees long")
+    q = spark.createDataFrame([], "code long, year int, q int, taxes long, turnover long, employees long, labour long")
     assert company.recent_totals(q).count() == 0
     assert raster.components(spark.createDataFrame([], "tile long, y long, x long")).count() == 0
