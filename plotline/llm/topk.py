@@ -1,17 +1,18 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors become integers, floor(scale * x). Candidates are grouped into buckets by length (ties of length by a hash of the id, so
-that equal lengths can be split). The bucket of the longest vectors gives every query a first threshold: its k-th best product
-there. A query goes on only to buckets whose longest vector could reach that threshold. Inside a bucket the local cosine threshold,
-threshold / (query length * bucket's largest length), chooses the pruning: where it is low, candidates shorter than
-threshold / query length fall away (length pruning); where it is high, the candidate's coordinate at the query's largest coordinate
-must lie in the interval that the threshold allows (coordinate pruning). What is left is verified by exact products, and the best k
-of each bucket meet by query.
+that equal lengths can be split), the longest first. Buckets are searched in waves, each ``GROWTH`` times as many as all before it:
+after a wave every query has a threshold, its k-th best product so far, and goes on only to buckets whose longest vector could reach it.
+As buckets are in order of length, these are all buckets up to a number that a small table of lengths on a logarithmic scale gives. Inside a
+bucket the local cosine threshold, threshold / (query length * bucket's largest length), chooses the pruning: where it is low,
+candidates shorter than threshold / query length fall away (length pruning); where it is high, the candidate's coordinate at the query's
+largest coordinate must lie in the interval that the threshold allows (coordinate pruning). What is left is verified by exact products,
+and the best k of each bucket meet by query.
 
 Cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Vectors of unequal
 lengths count as padded with zeros. Rows that share an id are all the query's own row when that id asks, which it does with its
-shortest vector. With fewer than k
-candidates all are returned; ties go to the smaller id. An empty table gives no rows. Products that leave the 64-bit range raise."""
+shortest vector. With fewer than k candidates all are returned; ties go to the smaller id. An empty table gives no rows. Products that
+leave the 64-bit range raise. Columns other than ``vec_id`` and ``embedding`` are not read."""
 
 from __future__ import annotations
 
@@ -19,14 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plotline.session import cut
+from plotline.session import forget, stored
 
 #: Below this local cosine threshold length pruning is used, above it coordinate pruning.
 SWITCH = 0.3
+#: Buckets searched after a wave, as a multiple of those before it.
+GROWTH = 4
 
 
 def integer_vectors(table: DataFrame, scale: float) -> DataFrame:
@@ -109,15 +112,34 @@ def _best(i: int, own: int, ids: np.ndarray, s: np.ndarray, floor: float, k: int
     return i, ids[ok], s[ok]
 
 
+def _reach(buckets: DataFrame, n_buckets: int) -> tuple[DataFrame, int, int]:
+    """(cell, last): the last bucket that holds vectors of a logarithmic length cell or above; and the least and greatest cell. The
+    number of cells is bounded by the range of lengths, whatever the number of buckets."""
+    cells = {r.cell: r.last for r in buckets.groupBy(_cell(F.col("longest")).alias("cell")).agg(F.max("bucket").alias("last")).collect()}
+    lo, hi = min(cells, default=0), max(cells, default=0)
+    rows, last = [(hi + 1, -1)], -1
+    for c in range(hi, lo - 1, -1):
+        last = max(last, cells.get(c, -1))
+        rows.append((c, last))
+    return buckets.sparkSession.createDataFrame(rows, "cell int, last int"), lo, hi
+
+
+def _cell(length: Column) -> Column:
+    """32 cells for each doubling."""
+    return F.floor(32 * F.log2(F.greatest(length, F.lit(0.5)))).cast("int")
+
+
 def top_k(table: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0, bucket_rows: int = 4096, block_queries: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every row whose id is divisible by ``every``."""
-    vectors = cut(integer_vectors(table, scale))
+    spark = table.sparkSession
+    vectors, vectors_path = stored(integer_vectors(table, scale), "vectors")
     n = vectors.count()
     n_buckets = max(1, -(-n // bucket_rows))
-    placed = vectors.repartitionByRange(n_buckets, F.col("norm").desc(), F.xxhash64("vec_id")).withColumn("bucket", F.spark_partition_id())
-    placed = cut(placed)
-    longest = placed.groupBy("bucket").agg(F.max("norm").alias("longest"))  # a row for each bucket
-    first = placed.agg(F.min("bucket").alias("b")).first().b
+    placed, _ = stored(vectors.repartitionByRange(n_buckets, F.col("norm").desc(), F.xxhash64("vec_id")).withColumn("bucket", F.spark_partition_id()), "buckets")
+    forget(spark, vectors_path)
+    buckets, _ = stored(placed.groupBy("bucket").agg(F.max("norm").alias("longest")), "longest")
+    reach, lo_cell, hi_cell = _reach(buckets, n_buckets)
+    last_bucket = buckets.agg(F.max("bucket").alias("b")).first().b
     queries = placed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q_id"), F.col("norm").alias("q_norm"), F.col("v").alias("qv"))
     blocks = max(1, -(-n // every // block_queries))
     queries = queries.groupBy("q_id").agg(F.min(F.struct("q_norm", "qv")).alias("q")).select("q_id", "q.q_norm", "q.qv").withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
@@ -144,10 +166,24 @@ def top_k(table: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0, b
 
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     none = F.lit(float("-inf"))
-    seeds = cut(search(queries.withColumns({"bucket": F.lit(first), "floor": none}), placed.where(F.col("bucket") == first)))
-    floors = seeds.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("s")).select(F.col("query_id").alias("q_id"), F.when(F.col("n") >= k, F.col("s")).alias("s"))
-    asked = queries.join(floors, "q_id", "left").withColumn("floor", F.coalesce("s", none)).drop("s")
-    later = longest.where(F.col("bucket") != first)
-    asked = asked.join(F.broadcast(later), (F.col("floor") == none) | (F.col("longest") * F.col("q_norm") * (1 + 1e-12) >= F.col("floor"))).drop("longest")
-    found = seeds.unionByName(search(asked, placed.where(F.col("bucket") != first)))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top, top_path, start = None, None, 0
+    while last_bucket is not None and start <= last_bucket:
+        stop = max(1, start * GROWTH) - 1  # this wave's last bucket
+        if top is None:
+            asked = queries.withColumn("floor", none).withColumn("last", F.lit(stop))
+        else:
+            floors = top.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("s")).select(F.col("query_id").alias("q_id"), F.when(F.col("n") >= k, F.col("s")).alias("s"))
+            asked = queries.join(floors, "q_id", "left").withColumn("floor", F.coalesce("s", none)).drop("s")
+            need = F.when((F.col("floor") > 0) & (F.col("q_norm") > 0), _cell(F.col("floor") / F.col("q_norm") * (1 - 1e-9))).otherwise(lo_cell)
+            asked = asked.withColumn("cell", F.least(F.greatest(need, F.lit(lo_cell)), F.lit(hi_cell + 1))).join(F.broadcast(reach), "cell").drop("cell")
+        asked = asked.where(F.col("last") >= start).withColumn("bucket", F.explode(F.sequence(F.lit(start), F.least("last", F.lit(min(stop, last_bucket)))))).drop("last")
+        found = search(asked, placed.where(F.col("bucket").between(start, stop)))
+        both = found if top is None else top.unionByName(found)
+        before = top_path
+        top, top_path = stored(both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id", "score"), "top")
+        if before:
+            forget(spark, before)
+        start = stop + 1
+    if top is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return top.withColumn("rank", F.row_number().over(best)).select("query_id", "rank", "vec_id", "score")
