@@ -1,10 +1,12 @@
 """Sharding by jump consistent hashing: a stable key and the number of shards decide, without a ring table.
 
 Adding a shard moves rows only into the new one, and only the necessary share of them. ``slot`` numbers the rows of a shard without
-gaps, in the order of a hash of their keys; ranks come from bucket offsets, so no task holds a shard.
+gaps, in the order of a hash of id, size and checksum; ranks come from bucket offsets, so no task holds a shard, and rows that share an id
+(or have none) are spread over the buckets.
 
-Cases: a null doc_id is a key of its own (the number 0 is a different one). A null text has size 1 and the checksum of no bytes.
-Rows with equal ids land in one shard and get different slots, in the order of size and checksum. No rows, no result."""
+Cases: a null doc_id is a key of its own (the number 0 is a different one). A null text has size 1 and the checksum of no bytes. Very long
+texts are a size and a checksum like others. Rows with equal ids land in one shard and get different slots; repeated rows are numbered
+in any order, as they are alike. Other columns than ``doc_id`` and ``text``, whatever their names, are not read. No rows, no result."""
 
 from __future__ import annotations
 
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from plotline.llm._rank import bucket_of, buckets_for, offsets
 from plotline.llm._text import U, splitmix
+from plotline.session import stored
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -51,15 +54,13 @@ def with_shard(rows: DataFrame, key: str, shards: dict[str, int]) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row."""
-    key = F.col("doc_id").cast("long")
-    total = docs.count()
-    buckets = buckets_for(total // max(1, shards) + 1)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(key.alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    order = F.xxhash64("doc_id")
-    rows = with_shard(rows, "doc_id", {"shard": shards, "grown_shard": shards + 1}).withColumns({"h": order, "bucket": bucket_of(order, buckets)})
-    ids = with_shard(docs.select(key.alias("doc_id")), "doc_id", {"shard": shards})  # reads ids only
-    before = offsets(ids.withColumn("bucket", bucket_of(order, buckets)), ["shard"], "bucket", F.lit(1))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = with_shard(rows, "doc_id", {"shard": shards, "grown_shard": shards + 1}).withColumn("h", F.xxhash64("doc_id", "size", "text_crc32"))
+    rows, _ = stored(rows, "shards")  # the texts are read once
+    buckets = buckets_for(rows.count() // max(1, shards) + 1)
+    rows = rows.withColumn("bucket", bucket_of(F.col("h"), buckets))
+    before = offsets(rows, ["shard"], "bucket", F.lit(1))
     w = W.partitionBy("shard", "bucket").orderBy("h", "doc_id", "size", "text_crc32")
     return rows.join(before, ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.row_number().over(w) - 1).alias("slot"), "grown_shard"
