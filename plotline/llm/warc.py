@@ -1,18 +1,19 @@
 """WARC archives: a writer with revisit records, and a salvage reader.
 
 Archives are plain WARC/1.1 files that Spark's own writers put in the shared folder (a record ends with CRLF CRLF, which is the
-line separator of the writer), a bounded number of records to a file. The reader takes plain files and files of gzip members.
+line separator of the writer), in tiers of record sizes with a number of records to a file for each, so that files are bounded by bytes. The reader takes plain files and files of gzip members.
 It checks every record (version line, header, Content-Length, end mark, digests); after a failed check it searches for the next
 gzip member or version line that passes, goes on from there, and logs the bytes between as a quarantined gap.
 
 Cases: a null html is an empty payload, a null url leaves the header out, a null page_id stays null. Of rows with equal payloads
 of at least ``least`` bytes, those with the largest page_id are responses and the others revisit it; if all their ids are null all
-are responses; repeated rows give repeated records. Control characters in a url are percent-encoded. An empty table gives no
+are responses; repeated rows give repeated records. A very long page is a file of its own. Control characters in a url are percent-encoded. An empty table gives no
 records. Only ``page_id``, ``url`` and ``html`` are read."""
 
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from plotline.session import forget, new_path, stored
 
 END = "\r\n\r\n"
+_log = logging.getLogger(__name__)
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _DATE = "2024-01-01T00:00:00Z"
@@ -65,10 +67,19 @@ def _records(pages: DataFrame, seen: DataFrame) -> DataFrame:
     )
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 1000, records_per_file: int = 4000) -> None:
-    """Write one record per row of ``pages`` below ``path``."""
+#: (bytes of a record at most, records to a file): no file of smaller records is larger than 64 MB, and those that are larger stand alone.
+TIERS = ((1 << 14, 4096), (1 << 18, 256), (1 << 22, 16), (None, 1))
+
+
+def write_warc(pages: DataFrame, path: str, least: int = 1000, tiers: tuple[tuple[int | None, int], ...] = TIERS) -> None:
+    """Write one record per row of ``pages`` below ``path``, in a folder for each tier of record sizes, so that files are bounded by bytes."""
     seen, kept = stored(revisits(pages, least), "revisits")  # its size is known then: broadcast if it is small, else joined by digest
-    _records(pages, seen).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    records, over = _records(pages, seen), F.lit(True)
+    size = F.octet_length("value")
+    for i, (most, per_file) in enumerate(tiers):
+        fits = size <= most if most else F.lit(True)
+        records.where(over & fits).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(f"{path}/{i}")
+        over = size > most if most else over
     forget(pages.sparkSession, kept)
 
 
@@ -241,10 +252,21 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     return files.mapInArrow(run, _SCHEMA + ", payload binary" * payloads)
 
 
+def quarantine(read: DataFrame) -> DataFrame:
+    """The gaps of ``read_warc``: path, start, stop, reason. What they come to goes to the log."""
+    gaps = read.where("kind = 'gap'").select("path", "start", "stop", "reason")
+    n = gaps.agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"), F.sum(F.col("stop") - F.col("start")).alias("bytes")).first()
+    if n.n:
+        _log.warning("%d gaps in %d archives, %d bytes quarantined", n.n, n.files, n.bytes)
+    return gaps
+
+
 def archive_round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """Write ``pages`` as archives in the shared folder, read them back, and say what each record holds."""
+    """Write ``pages`` as archives in the shared folder, read them back, log what could not be read, and say what each record holds."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_warc(pages, path, least)
-    back = read_warc(spark, path, payloads=False).where("kind = 'record'")
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back, _ = stored(read_warc(spark, path, payloads=False), "records")
+    forget(spark, path)
+    quarantine(back)
+    return back.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

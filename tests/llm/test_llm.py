@@ -265,17 +265,18 @@ def test_jump_hash_moves_only_into_the_new_shard():
         assert set(b[a != b]) <= {n} and abs((a != b).mean() - 1 / (n + 1)) < 0.02 and abs(np.bincount(a, minlength=n) / len(a) - 1 / n).max() < 0.02
 
 
-def test_jump_hash_is_the_published_one():
-    def plain(key, n):
-        b, j = -1, 0
-        while j < n:
-            b = j
-            key = (key * 2862933555777941757 + 1) % (1 << 64)
-            j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
-        return b
+def published_jump(key, n):
+    b, j = -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) % (1 << 64)
+        j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+    return b
+
 
+def test_jump_hash_is_the_published_one():
     keys = [0, 1, 7, 2**63 + 5, 2**64 - 1, 123456789]
-    assert sharding.jump_hash(np.array(keys, np.uint64), 9).tolist() == [plain(k, 9) for k in keys]
+    assert sharding.jump_hash(np.array(keys, np.uint64), 9).tolist() == [published_jump(k, 9) for k in keys]
 
 
 def test_sharding(spark, odd, none, real):
@@ -286,6 +287,9 @@ def test_sharding(spark, odd, none, real):
         for s in range(8):
             assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
         assert all(r.law == "key" and r.grown_shard in (r.shard, 8) for r in rows)
+        for r in rows:  # the published function, key by key
+            key = sharding.splitmix(np.array([(r.doc_id or 0) ^ (0x5851F42D4C957F2D if r.doc_id is None else 0)], np.uint64))[0]
+            assert (r.shard, r.grown_shard) == (published_jump(int(key), 8), published_jump(int(key), 9))
     assert sharding.shard_documents(none).count() == 0
 
 
@@ -426,7 +430,7 @@ def test_top_k(spark):
         for r in topk.top_k(table, k=k, bucket_rows=bucket).collect():
             got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
         ok = [(i, np.floor(64 * np.array(v + [0.0] * (8 - len(v))))) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-        asked = dict(reversed([(i, v) for i, v in ok if i % 20 == 0 and i != 20]))
+        asked = dict(sorted(((i, v) for i, v in ok if i % 20 == 0), key=lambda x: -float(x[1] @ x[1])))  # a shared id asks with its shortest vector
         for q, v in asked.items():
             want = sorted(((-int(v @ c), i) for i, c in ok if i != q))[:k]
             assert [(i, -s) for s, i in want] == [(i, s) for _, i, s in sorted(got[q])], q
