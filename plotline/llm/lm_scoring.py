@@ -33,8 +33,10 @@ MIN_COUNT = 2
 BACKOFF = 0.4
 #: Distinct n-grams that a task counts before it sends its sums and begins anew.
 WINDOW = 1_000_000
-#: Stand before the first word of a document, and for a document itself. Numbers are small, names of words negative.
-START, DOCUMENT = 1 << 62, (1 << 62) + 1
+#: Stand before the first word of a document, and for facts about a document. Numbers are small, names of words negative.
+START, WORDS, ID, SCORE = ((1 << 62) + i for i in range(4))
+#: Logarithms are carried as whole numbers of this fraction.
+UNIT = 1e-9
 
 
 def _named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -167,9 +169,9 @@ def hot_bigrams(texts: DataFrame, candidates: pa.Table, known: np.ndarray, n: np
 
 
 def exploded(texts: DataFrame, known: tuple[np.ndarray, np.ndarray], hot: tuple[np.ndarray, np.ndarray], total: int) -> DataFrame:
-    """rid, a, b, m, doc_id, log_score. A row (DOCUMENT) for each document, with its number of words as ``m`` and the logarithms that
-    need no table: of its first word, if that has a number, and of its hot bigrams. A row for each other bigram of a document; START
-    stands before a first word without a number."""
+    """rid, a, b, m. A row for each distinct bigram (a, b) of a document that is not hot, m times in it; START stands before a first word
+    without a number. Facts about a document (b says which): its number of words, its id, and the logarithms that need no table, of its
+    first word, if that has a number, and of its hot bigrams."""
     held = texts.sparkSession.sparkContext.broadcast((*known, *hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,15 +203,16 @@ def exploded(texts: DataFrame, known: tuple[np.ndarray, np.ndarray], hot: tuple[
             else:
                 (who, a, b), m = np.unique(np.stack([who, a, b]), axis=1, return_counts=True)
             outer = np.concatenate([np.arange(len(vocabulary)), others, [START]])
-            rid, ids = rows.column("rid"), rows.column("doc_id")
-            mark = pa.array(np.full(docs, DOCUMENT))
-            yield pa.RecordBatch.from_arrays([rid, rid, mark, pa.array(size), ids, pa.array(score)], names=_NAMES)
-            yield pa.RecordBatch.from_arrays([rid.take(pa.array(who)), pa.array(outer[a]), pa.array(outer[b]), pa.array(m), pa.nulls(len(m), pa.int64()), pa.nulls(len(m), pa.float64())], names=_NAMES)
+            rid, own = rows.column("rid"), rows.column("doc_id")
+            facts = ((WORDS, pa.array(size)), (ID, own), (SCORE, pa.array(np.round(score / UNIT).astype(np.int64))))
+            for what, m_ in facts:
+                yield pa.RecordBatch.from_arrays([rid, rid, pa.array(np.full(docs, what)), m_], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([rid.take(pa.array(who)), pa.array(outer[a]), pa.array(outer[b]), pa.array(m)], names=_NAMES)
 
-    return texts.mapInArrow(run, "rid long, a long, b long, m long, doc_id long, log_score double")
+    return texts.mapInArrow(run, "rid long, a long, b long, m long")
 
 
-_NAMES = ["rid", "a", "b", "m", "doc_id", "log_score"]
+_NAMES = ["rid", "a", "b", "m"]
 
 
 def stupid_backoff(docs: DataFrame, most: int = VOCABULARY, hot: int = HOT) -> DataFrame:
@@ -224,22 +227,25 @@ def stupid_backoff(docs: DataFrame, most: int = VOCABULARY, hot: int = HOT) -> D
     known, n = frequent.column("gram").to_numpy()[order], frequent.column("n").to_numpy()[order]
     candidates = _most_frequent(counts.where(f"size = 2 AND n >= {MIN_COUNT}"), hot)
     rows = exploded(texts.withColumn("rid", F.monotonically_increasing_id()), (known, n), hot_bigrams(texts, candidates, known, n), total)
-    # One exchange holds the exploded bigrams and, aggregated over it, their count table.
-    rows = rows.repartition("a", "b")
-    table = rows.groupBy("a", "b").agg(F.sum("m").alias("c_ab"))
-    counted = rows.join(table, ["a", "b"])
+    # One exchange holds the exploded bigrams and, aggregated over it, their count table: both sides of the join read the same columns
+    # (``last`` is there for that alone, and always holds), so Spark shuffles them once.
+    rows = rows.where("rid IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").repartition("a", "b")
+    table = rows.groupBy("a", "b").agg(F.sum("m").alias("c_ab"), F.max("rid").alias("last")).hint("merge")  # grows with the corpus: never broadcast
+    counted = rows.alias("r").join(table.alias("t"), (F.col("r.a") == F.col("t.a")) & (F.col("r.b") == F.col("t.b")) & (F.col("r.rid") <= F.col("t.last"))).select("rid", "r.a", "r.b", "m", "c_ab")
     # The logarithm of a score takes in that of one word's count: less that of the first, or else that of the second word.
-    document, first, often = F.col("b") == DOCUMENT, F.col("a") == START, F.col("c_ab") >= MIN_COUNT
+    fact, first, often = F.col("b") > START, F.col("a") == START, F.col("c_ab") >= MIN_COUNT
     of_first = ~first & often
-    counted = counted.withColumns({"needed": F.when(document, None).when(of_first, F.col("a")).otherwise(F.col("b")), "sign": F.when(of_first, -F.col("m")).otherwise(F.col("m"))})
+    counted = counted.withColumns({"needed": F.when(fact, None).when(of_first, F.col("a")).otherwise(F.col("b")), "sign": F.when(of_first, -F.col("m")).otherwise(F.col("m"))})
     words_log = float(np.log(max(total, 1)))
     base = F.col("m") * F.when(first, F.lit(-words_log)).when(often, F.log("c_ab")).otherwise(F.lit(float(np.log(BACKOFF)) - words_log))
     numbers = spark.createDataFrame(pa.table({"needed": pa.array(np.arange(len(n))), "log_c": pa.array(np.log(n), pa.float64())}))  # at most VOCABULARY rows
     counted = counted.join(F.broadcast(numbers), "needed", "left")
-    log = F.when(document, F.col("log_score")).otherwise(base + F.coalesce(F.col("sign") * F.col("log_c"), F.lit(0.0)))
+    known_log = F.when(F.col("b") == SCORE, F.col("m") * UNIT).otherwise(0.0)
+    log = F.when(fact, known_log).otherwise(base + F.coalesce(F.col("sign") * F.col("log_c"), F.lit(0.0)))
     late = F.col("needed") < 0  # words without a number: their counts are joined to one row for each document and word
+    said = lambda what: F.max(F.when(F.col("b") == what, F.col("m")))
     asked = counted.groupBy("rid", F.when(late, F.col("needed")).alias("word")).agg(
-        F.max("doc_id").alias("doc_id"), F.max(F.when(document, F.col("m"))).alias("n_words"), F.sum(log).alias("log_score"), F.sum(F.when(late, F.col("sign"))).alias("times")
+        said(ID).alias("doc_id"), said(WORDS).alias("n_words"), F.sum(log).alias("log_score"), F.sum(F.when(late, F.col("sign"))).alias("times")
     )
     asked, _ = stored(asked, "asked")
     found = asked.where("word IS NOT NULL").join(single.select(F.col("gram").alias("word"), "n"), "word").withColumn("log_score", F.col("log_score") + F.col("times") * F.log("n"))
