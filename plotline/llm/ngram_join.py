@@ -145,7 +145,7 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, k1, k2, bits, cold and hot ARRAY<BIGINT>: a set's size, name, bitmap and prefix (rare shingles, then frequent ones)."""
+    """doc_id, text_hash, n, k1, k2, bits, cold and hot ARRAY<BIGINT>: a set's size, name, bitmap and prefix (rare shingles, then frequent ones)."""
     held = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,11 +171,11 @@ def prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataF
                 hot.append(some[np.lexsort((some, its))][: length - len(rare)].view(np.int64))
             k1, k2 = zip(*names, strict=True) if names else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _longs(bits), _longs(cold), _longs(hot)],
-                names=["doc_id", "n", "k1", "k2", "bits", "cold", "hot"],
+                [rows.column("doc_id"), rows.column("text_hash"), pa.array([len(x) for x in sets], pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _longs(bits), _longs(cold), _longs(hot)],
+                names=["doc_id", "text_hash", "n", "k1", "k2", "bits", "cold", "hot"],
             )
 
-    return texts.mapInArrow(run, "doc_id long, n int, k1 long, k2 long, bits array<long>, cold array<long>, hot array<long>")
+    return texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n int, k1 long, k2 long, bits array<long>, cold array<long>, hot array<long>")
 
 
 def _band(n: Column) -> Column:
@@ -442,7 +442,8 @@ def _within_squares(best: bool):
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+    """doc_id, n_shingles, component_id, component, text_hash for every row. Ids may repeat: ``component`` names a component whatever the
+    ids in it (null: no shingles), and the hash tells rows apart that share an id."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base, base_path = stored(prefixes(texts, frequent_shingles(texts)).withColumn("rid", F.monotonically_increasing_id()), "prefixes")
@@ -473,11 +474,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found, _ = stored(found.join(merged, F.col("comp") == F.col("old"), "left").select("v", F.coalesce("new", "comp").alias("comp")).unionByName(alone), "components")
         forget(spark, rest_path, more_path)
     named = classes.select("k1", "k2", "cls", "least_doc").join(found.select(F.col("v").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    least = named.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
-    named, named_path = stored(named.join(least, "comp").select("k1", "k2", "component_id"), "named")
-    forget(spark, class_path, rare_path, hot_path)
-    members = base.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "k1", "k2")
-    out = members.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least, least_path = stored(named.groupBy("comp").agg(F.min("least_doc").alias("component_id")), "least")  # a plain table, so that Spark can split a large component
+    named, named_path = stored(named.join(least, "comp").select("k1", "k2", "component_id", F.col("comp").alias("component")), "named")
+    forget(spark, class_path, rare_path, hot_path, least_path)
+    members = base.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "k1", "k2", "text_hash")
+    out = members.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", "text_hash")
     out, _ = stored(out, "groups")
     forget(spark, base_path, named_path)
     return out

@@ -84,16 +84,17 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, stats ARRAY<DOUBLE>: one pass over the texts, no shuffle."""
+    """doc_id, text_hash, stats ARRAY<DOUBLE>: one pass over the texts, no shuffle. The hash tells rows apart that share an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in chunks(batches, "text"):
             x = statistics(data, off)
             stats = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), stats], names=["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), stats], names=["doc_id", "text_hash", "stats"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, stats array<double>")
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return docs.mapInArrow(run, "doc_id long, text_hash long, stats array<double>")
 
 
 @dataclass
@@ -158,16 +159,16 @@ def train(stats: DataFrame, labels: DataFrame, shrink: float = 0.3, ridge: float
 
 
 def score(stats: DataFrame, model: QuadraticDiscriminant | None, temper: float = 0.3) -> DataFrame:
-    """doc_id, score. ``temper`` flattens log-density ratios, which correlated statistics exaggerate."""
+    """doc_id, text_hash, score. ``temper`` flattens log-density ratios, which correlated statistics exaggerate."""
     d = len(STATISTICS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.asarray(b.column("stats").flatten()).reshape(-1, d)
             p = np.full(len(x), 0.5) if model is None else model.score(x, temper)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(p)], names=["doc_id", "text_hash", "score"])
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return stats.mapInArrow(run, "doc_id long, text_hash long, score double")
 
 
 def is_held_out(column: str = "doc_id", folds: int = 5):
@@ -175,10 +176,10 @@ def is_held_out(column: str = "doc_id", folds: int = 5):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % folds == 0, F.lit(False))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``, learnt from ``labels`` (doc_id, quality) outside the
+def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted, text_hash for every row of ``docs``, learnt from ``labels`` (doc_id, quality) outside the
     held-out fold."""
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(~is_held_out())
     stats, _ = stored(document_statistics(docs), "stats")
     model = train(stats, taught)
-    return score(stats, model).select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score(stats, model).select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")

@@ -104,7 +104,7 @@ def bounded_sample(labels: DataFrame, sample: int) -> DataFrame:
 
 
 def score(docs: DataFrame, model: dict[str, list]) -> DataFrame:
-    """doc_id, score: the logistic of the summed weights of a document's distinct features."""
+    """doc_id, text_hash, score: the logistic of the summed weights of a document's distinct features."""
     at, w = np.array(model["at"], np.int64), np.array(model["w"], float)
     held = docs.sparkSession.sparkContext.broadcast((at, w))
 
@@ -122,16 +122,16 @@ def score(docs: DataFrame, model: dict[str, list]) -> DataFrame:
             doc, f = key >> 21, key & ((1 << 21) - 1)
             total = bias + per_doc(dense[f], np.searchsorted(doc, np.arange(rows.num_rows + 1)))
             p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(p)], names=["doc_id", "text_hash", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, score double")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, score double")
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 12_000, passes: int = 4) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``, learnt from ``labels`` (doc_id, toxic) outside the held-out
+    """doc_id, held_out, score, predicted, text_hash for every row of ``docs``, learnt from ``labels`` (doc_id, toxic) outside the held-out
     fold, over at most ``sample`` of them."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("label")).where(~is_held_out())
     few = F.broadcast(bounded_sample(taught, sample))  # at most `sample` rows of 24 bytes
     model = train(docs.join(few, "doc_id").select("text", "label", "ord"), passes)
-    return score(docs, model).select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")
