@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not base:
         jdir = sc._jsc.sc().getCheckpointDir()
+        if not jdir.isDefined() and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = jdir.get() if jdir.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(base)
@@ -58,11 +60,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/plotline-{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, tag: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back, so that its size is known to the optimizer."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path), path
 
 
