@@ -548,7 +548,7 @@ def read_media(media: DataFrame, tensors: bool = True) -> DataFrame:
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """What was stored and read back, for each document: sizes, digests of payload and file, and the features."""
-    kept, _ = stored(store_texts(docs), "media")
+    kept, _ = stored(store_texts(docs), "media", "zstd")
     got = read_media(kept, tensors=False)
     return got.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),

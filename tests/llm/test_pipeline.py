@@ -59,7 +59,7 @@ def test_mixture_gives_the_words_of_its_placements(spark, monkeypatch):
     assert Counter((r.doc_id, " ".join(words(r.text))) for r in have) == want
     assert all(r.n_chars == len(r.text) for r in have)
     whole = Counter((i, t) for i, t, _ in rows)
-    assert sum((r.doc_id, r.text) in whole for r in have) > len(have) / 4  # a document in one block is not touched
+    assert sum((r.doc_id, r.text) in whole for r in have) > 50  # a document in one block is not touched
 
 
 def test_discriminant_by_hand(spark):
