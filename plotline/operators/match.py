@@ -51,6 +51,56 @@ def match_cascade(companies: DataFrame, parcels: DataFrame, buildings: DataFrame
     return x.select("code", kind.alias("match"), "via", pid.alias("pid"), bid.alias("bid"))
 
 
+def match_lv(companies: DataFrame, parcels: DataFrame, buildings: DataFrame) -> DataFrame:
+    """code, match, via, pid, bid for companies (code, addressid, address), parcels (pid, ads_oid, address, settlement) and buildings
+    (bid, var_code, address, kind, w, d, pid): the building, then the parcel with the company's address code; for companies of a town that
+    has parcels, the first of the address's keys that a building or, failing that, a parcel has; one of its streets is known."""
+    shape = buildings.select("bid", "kind", "w", "d")
+    b_pid = buildings.select("bid", F.col("pid").alias("b_pid"))
+    code_b = buildings.where("var_code IS NOT NULL").groupBy(F.col("var_code").alias("addressid")).agg(F.max("bid").alias("c_bid"))
+    code_p = parcels.where("ads_oid IS NOT NULL").groupBy(F.col("ads_oid").alias("addressid")).agg(F.max("pid").alias("c_pid"))
+    keys = lambda rows, key: rows.select(key, F.explode(T.lv_address_keys(F.col("address"))).alias("_k")).select(key, "_k.street", "_k.num")
+    kb, kp = keys(buildings, "bid"), keys(parcels, "pid")
+    best = best_building(kb.join(shape, "bid"), ["street", "num"])
+    first = kp.groupBy("street", "num").agg(F.min("pid").alias("k_pid"))
+    streets = kb.select("street").union(kp.select("street")).distinct().withColumn("known", F.lit(True))
+    towns = parcels.where("settlement IS NOT NULL").select(F.lower("settlement").alias("town")).distinct().withColumn("here", F.lit(True))
+    place = T.lv_town_and_street(F.col("address"))
+    c = companies.select("code", "addressid", place.alias("_p")).select("code", "addressid", "_p.town", "_p.part")
+    asked = c.select("code", F.posexplode(T.lv_address_keys(F.col("part"))).alias("ord", "_k")).select("code", "ord", "_k.street", "_k.num")
+    hits = asked.join(best, ["street", "num"], "left").join(first, ["street", "num"], "left").join(streets, "street", "left")
+    found = F.col("bid").isNotNull() | F.col("k_pid").isNotNull()
+    hits = hits.groupBy("code").agg(F.min_by(F.struct("bid", "k_pid"), F.when(found, F.col("ord"))).alias("h"), F.bool_or(F.coalesce("known", F.lit(False))).alias("known"))
+    x = c.join(code_b, "addressid", "left").join(code_p, "addressid", "left").join(towns, "town", "left").join(hits, "code", "left")
+    here = F.coalesce("here", F.lit(False))
+    via = F.when(F.col("c_bid").isNotNull() | F.col("c_pid").isNotNull(), "var").when(here & (F.col("h.bid").isNotNull() | F.col("h.k_pid").isNotNull()), "address")
+    x = x.withColumn("via", via).withColumn("bid", F.when(F.col("via") == "var", F.col("c_bid")).when(F.col("via") == "address", F.col("h.bid"))).join(b_pid, "bid", "left")
+    pid = F.when(F.col("bid").isNotNull(), F.col("b_pid")).when(F.col("via") == "var", F.col("c_pid")).when(F.col("via") == "address", F.col("h.k_pid"))
+    kind = F.when(F.col("via").isNotNull(), "exact").when(here & F.col("known"), "street").otherwise("none")
+    return x.select("code", kind.alias("match"), "via", pid.alias("pid"), "bid")
+
+
+def match_fi(addresses: DataFrame, parcels: DataFrame, buildings: DataFrame) -> DataFrame:
+    """code, match, pid, bid for company addresses (code, type, ord, street, number, municipality), parcels (pid, address, municipality) and
+    buildings (bid, address, kind, w, d, pid): visiting addresses (type 1) first, those of other municipalities left out; of the forms of
+    the house number the first that a building or, failing that, a parcel has; else the street is known."""
+    parts = lambda rows, key: rows.select(key, T.fi_street_and_number(F.col("address")).alias("_a")).where("_a.street IS NOT NULL").select(key, F.col("_a.street").alias("street"), F.explode("_a.forms").alias("num"))
+    kb, kp = parts(buildings, "bid"), parts(parcels, "pid")
+    best = best_building(kb.join(buildings.select("bid", "kind", "w", "d"), "bid"), ["street", "num"]).join(buildings.select("bid", F.col("pid").alias("b_pid")), "bid")
+    first = kp.groupBy("street", "num").agg(F.min("pid").alias("k_pid"))
+    streets = kb.select("street").union(kp.select("street")).distinct().withColumn("known", F.lit(True))
+    towns = parcels.where("municipality IS NOT NULL").select("municipality").distinct().withColumn("here", F.lit(True))
+    a = addresses.join(towns, "municipality", "left").where("municipality IS NULL OR here")
+    a = a.select("code", (F.col("type") != 1).cast("int").alias("later"), "ord", F.trim(F.regexp_replace(F.lower("street"), r"\s+", " ")).alias("street"), T.house_forms(F.col("number")).alias("forms"))
+    asked = a.select("code", "later", "ord", "street", F.posexplode_outer("forms").alias("at", "num"))
+    hits = asked.join(best, ["street", "num"], "left").join(first, ["street", "num"], "left").join(streets, "street", "left")
+    found = F.col("bid").isNotNull() | F.col("k_pid").isNotNull()
+    hit = F.min_by(F.struct("bid", F.when(F.col("bid").isNotNull(), F.col("b_pid")).otherwise(F.col("k_pid")).alias("pid")), F.when(found, F.struct("later", "ord", "at")))
+    x = hits.groupBy("code").agg(hit.alias("h"), F.bool_or(found).alias("exact"), F.bool_or(F.coalesce("known", F.lit(False))).alias("known"))
+    x = addresses.select("code").distinct().join(x, "code", "left")
+    return x.select("code", F.when(F.col("exact"), "exact").when(F.col("known"), "street").otherwise("none").alias("match"), "h.pid", "h.bid")
+
+
 def name_matches(left: DataFrame, right: DataFrame, block: str, least: float = 0.5) -> DataFrame:
     """left_id, right_id, score: for each left name the best right name of its block with a score of at least ``least``."""
     pairs = left.join(right, block).withColumn("score", T.name_score(F.col("left_tokens"), F.col("right_tokens"))).where(F.col("score") >= least)

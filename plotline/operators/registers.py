@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plotline.functions.text import holder_id
+from plotline.operators.links import pairs_within
 
 #: Roles of board members in the companies register.
 BOARD_ROLES = ("JUHL", "JUHE", "JUHT", "TEGJ", "PROK")
@@ -82,7 +83,7 @@ def purposes_by_area(rows: DataFrame) -> DataFrame:
 def straddling_pairs(buildings: DataFrame) -> DataFrame:
     """a < b: parcels that one building (bid, cadastral ARRAY) stands on together."""
     on = buildings.select("bid", F.explode(F.array_distinct(F.array_compact("cadastral"))).alias("tunnus"))
-    return on.withColumnRenamed("tunnus", "a").join(on.withColumnRenamed("tunnus", "b"), "bid").where("a < b").select("a", "b").distinct()
+    return pairs_within(on, "bid", "tunnus").select("a", "b").distinct()
 
 
 def without_strangers(matched: DataFrame, parcels: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotline.functions import geometry as G
+from plotline.session import forget, stored
 
 
 def cell(c: Column, size: float) -> Column:
@@ -85,8 +86,62 @@ def box_filter(rows: DataFrame, xmin: float, zmin: float, xmax: float, zmax: flo
     return rows.where((F.col("x") >= xmin) & (F.col("x") < xmax) & (F.col("z") >= zmin) & (F.col("z") < zmax))
 
 
-def outside_circles(rows: DataFrame, circles: DataFrame) -> DataFrame:
-    """Rows in no exclusion circle (x, z, r) of their tile."""
+def outside_circles(rows: DataFrame, circles: DataFrame, size: float = 64.0) -> DataFrame:
+    """Rows in no exclusion circle (x, z, r) of their tile. Circles are filed under the cells that they touch, rows under their own."""
     c = circles.select("tile", F.col("x").alias("ex"), F.col("z").alias("ez"), "r")
-    inside = (F.col("x") - F.col("ex")) * (F.col("x") - F.col("ex")) + (F.col("z") - F.col("ez")) * (F.col("z") - F.col("ez")) <= F.col("r") * F.col("r")
-    return rows.alias("p").join(c.alias("c"), (F.col("p.tile") == F.col("c.tile")) & inside, "left_anti")
+    c = cover(c, F.col("ex") - F.col("r"), F.col("ez") - F.col("r"), F.col("ex") + F.col("r"), F.col("ez") + F.col("r"), size).alias("c")
+    p = rows.alias("p")
+    inside = (F.col("p.x") - F.col("ex")) * (F.col("p.x") - F.col("ex")) + (F.col("p.z") - F.col("ez")) * (F.col("p.z") - F.col("ez")) <= F.col("r") * F.col("r")
+    at = (F.col("p.tile") == F.col("c.tile")) & (cell(F.col("p.x"), size) == F.col("c.cx")) & (cell(F.col("p.z"), size) == F.col("c.cz"))
+    return p.join(c, at & inside, "left_anti")
+
+
+def nearest_arclength(points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
+    """tile, id, line, s, d: for points (tile, id, x, z) the nearest place on the lines (tile, line, cum, ax, az, bx, bz: segments with the
+    arclength of their starts) within ``radius``; ties go to the smaller line, then to the earlier place."""
+    box = segments.withColumns({"xmin": F.least("ax", "bx") - radius, "xmax": F.greatest("ax", "bx") + radius, "zmin": F.least("az", "bz") - radius, "zmax": F.greatest("az", "bz") + radius})
+    cells = cover(box, F.col("xmin"), F.col("zmin"), F.col("xmax"), F.col("zmax"), radius * 2).drop("xmin", "xmax", "zmin", "zmax")
+    at = points.withColumns({"cx": cell(F.col("x"), radius * 2), "cz": cell(F.col("z"), radius * 2)})
+    ux, uz = F.col("bx") - F.col("ax"), F.col("bz") - F.col("az")
+    len2 = (ux * ux + uz * uz).cast("double")
+    u = F.when(len2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * ux + (F.col("z") - F.col("az")) * uz) / F.when(len2 > 0, len2)))).otherwise(0.0)
+    near = at.join(cells, ["tile", "cx", "cz"]).withColumn("u", u)
+    dx, dz = F.col("x") - F.col("ax") - F.col("u") * ux, F.col("z") - F.col("az") - F.col("u") * uz
+    near = near.withColumns({"d": F.sqrt(dx * dx + dz * dz), "s": F.col("cum") + F.col("u") * F.sqrt(len2)}).where(F.col("d") <= radius)
+    key = F.struct(F.round("d", 9).alias("k"), "line", "s")
+    return near.groupBy("tile", "id").agg(F.min_by(F.struct("line", "s", "d"), key).alias("m")).select("tile", "id", "m.line", "m.s", "m.d")
+
+
+def thinned_stops(stops: DataFrame, radius: float) -> DataFrame:
+    """Stops (tile, id, kind, name, x, z) without those within ``radius`` of an earlier kept one of their kind and name (earlier: smaller id).
+
+    Round by round, a stop all of whose earlier neighbours are gone is kept, and one with a kept earlier neighbour goes; every round
+    settles at least the earliest open stop of each group of neighbours."""
+    spark = stops.sparkSession
+    label = F.concat_ws("\u0001", F.col("tile").cast("string"), "kind", F.coalesce("name", F.lit("\u0002")))
+    s = stops.select(label.alias("tile"), "id", "x", "z")
+    pairs = near_pairs(s, s, radius).where((F.col("left") > F.col("right")) & (F.col("d2") < radius * radius)).select(F.col("left").alias("id"), F.col("right").alias("earlier"))
+    pairs, _ = stored(pairs, "pairs")
+    state, path = stored(stops.select("id", F.lit(None).cast("boolean").alias("kept")), "stops")
+    while not state.where("kept IS NULL").isEmpty():
+        e = state.select(F.col("id").alias("earlier"), F.col("kept").alias("before"))
+        seen = pairs.join(e, "earlier").groupBy("id").agg(F.bool_or(F.coalesce("before", F.lit(False))).alias("hit"), F.bool_or(F.col("before").isNull()).alias("open"))
+        x = state.join(seen, "id", "left")
+        now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True)
+        nxt, nxt_path = stored(x.select("id", now.alias("kept")), "stops")
+        forget(spark, path)
+        state, path = nxt, nxt_path
+    return stops.join(state.where("kept").select("id"), "id")
+
+
+def adjacent_tiles(tiles: DataFrame) -> DataFrame:
+    """tile, other, side: tiles (tile, xmin, ymin, xmax, ymax) that share an edge, to within a metre (coordinates are rounded to keys)."""
+    k = lambda c: F.round(c).cast("long")
+    left = tiles.select("tile", *(k(c).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+    right = left.select(F.col("tile").alias("other"), *(F.col(c).alias(f"o_{c}") for c in ("xmin", "ymin", "xmax", "ymax")))
+    sides = {"w": ("xmin", "xmax", "ymin"), "e": ("xmax", "xmin", "ymin"), "s": ("ymin", "ymax", "xmin"), "n": ("ymax", "ymin", "xmin")}
+    out = None
+    for side, (own, theirs, along) in sides.items():
+        x = left.join(right, (F.col(own) == F.col(f"o_{theirs}")) & (F.col(along) == F.col(f"o_{along}"))).select("tile", "other", F.lit(side).alias("side"))
+        out = x if out is None else out.unionByName(x)
+    return out

@@ -275,3 +275,127 @@ def o8(spark, d):
 
     rank = F.when(F.col("match") == "exact", 0).when(F.col("match") == "street", 1).otherwise(2)
     return global_rank(load(spark, d, "company").select("code", "name", rank.alias("k")), ["k", "name", "code"], "place", 1).select("code", "place")
+
+
+#: Latvian and Finnish rows: addresses in the registers' manner, from the driver's tables.
+_LV = """CASE {k} % 4 WHEN 0 THEN 'Kaļķu iela ' WHEN 1 THEN 'Tirgoņu iela ' WHEN 2 THEN 'Republikas laukums ' ELSE 'Pils iela ' END || CAST(1 + {k} % 30 AS {s}) || CASE {k} % 5 WHEN 1 THEN 'A' WHEN 2 THEN '/13;15' WHEN 3 THEN ' - 8' ELSE '' END"""
+_LV_C = "CASE c_custkey % 7 WHEN 0 THEN 'Cēsis, ' WHEN 1 THEN 'Ādažu nov., Rīga, ' ELSE 'Rīga, ' END || " + _LV.format(k="(c_custkey * 7)", s="{s}")
+_LV_P = "SELECT p_partkey AS pid, CASE WHEN p_partkey % 6 = 0 THEN 'V' || CAST(p_partkey % 80 AS {s}) END AS ads_oid, " + _LV.format(k="p_partkey", s="{s}") + " AS address, CASE WHEN p_partkey % 9 > 0 THEN 'Rīga' END AS settlement FROM part"
+_LV_B = "SELECT s_suppkey AS bid, CASE WHEN s_suppkey % 3 = 0 THEN 'V' || CAST(s_suppkey % 90 AS {s}) END AS var_code, " + _LV.format(k="(s_suppkey * 3)", s="{s}") + " AS address, CASE s_suppkey % 3 WHEN 1 THEN 'outbuilding' ELSE 'dwelling' END AS kind, 6 + s_suppkey % 7 AS w, 5 + s_suppkey % 5 AS d, CASE WHEN s_suppkey % 4 > 0 THEN (s_suppkey * 17) % 190 + 1 END AS pid FROM supplier"
+_LV_Q = "SELECT c_custkey AS code, CASE WHEN c_custkey % 8 = 0 THEN 'V' || CAST(c_custkey % 100 AS {s}) END AS addressid, " + _LV_C + " AS address FROM customer"
+#: The keys of an address, alternates numbered; written for the forms that the rows above have.
+_LV_KEYS = r"""SELECT {id}, i AS ord, street, lower(CASE i WHEN 0 THEN regexp_extract(rest, '^([0-9]+[A-Za-z]?(/[0-9]+)?)', 1) ELSE '15' END) AS num FROM (SELECT {id}, lower(regexp_extract({a}, '^(.*?) [0-9]', 1)) AS street, regexp_extract({a}, ' ([0-9].*)$', 1) AS rest, unnest(range(CASE WHEN contains({a}, ';') THEN 2 ELSE 1 END)) AS i FROM {t}) k"""
+
+
+def _lv(spark, d, sql):
+    return spark.sql(sql.format(s="STRING").replace("FROM part", "FROM {part}").replace("FROM supplier", "FROM {supplier}").replace("FROM customer", "FROM {customer}"), **{n: load(spark, d, n) for n in ("part", "supplier", "customer") if f"FROM {n}" in sql})
+
+
+_LV_ALL = f"""WITH p AS ({_LV_P.format(s='VARCHAR')}), b AS ({_LV_B.format(s='VARCHAR')}), c AS ({_LV_Q.format(s='VARCHAR')}),
+t AS (SELECT code, addressid, CASE code % 7 WHEN 0 THEN 'cēsis' ELSE 'rīga' END AS town, regexp_extract(address, '([^,]*)$', 1) AS part FROM c),
+kp AS ({_LV_KEYS.format(id='pid', a='address', t='p')}), kb AS ({_LV_KEYS.format(id='bid', a='address', t='b')}), kc AS ({_LV_KEYS.format(id='code', a='trim(part)', t='t')})"""
+
+
+@query("t6_lv_keys", _LV_ALL + " SELECT pid, CAST(ord AS INT) AS ord, street, num FROM kp")
+def t6(spark, d):
+    return _lv(spark, d, _LV_P).select("pid", F.posexplode(T.lv_address_keys(F.col("address"))).alias("ord", "k")).select("pid", "ord", "k.street", "k.num")
+
+
+@query("t7_lv_town", _LV_ALL + " SELECT code, town, trim(part) AS part FROM t")
+def t7(spark, d):
+    return _lv(spark, d, _LV_Q).select("code", T.lv_town_and_street(F.col("address")).alias("p")).select("code", "p.town", "p.part")
+
+
+@query("j2_match_lv", _LV_ALL + """, vb AS (SELECT var_code, max(bid) AS bid FROM b WHERE var_code IS NOT NULL GROUP BY 1), vp AS (SELECT ads_oid, max(pid) AS pid FROM p WHERE ads_oid IS NOT NULL GROUP BY 1),
+best AS (SELECT street, num, bid FROM (SELECT kb.street, kb.num, b.bid, row_number() OVER (PARTITION BY kb.street, kb.num ORDER BY b.kind = 'outbuilding', w * d DESC, b.bid) AS r FROM kb JOIN b USING (bid)) x WHERE r = 1), fst AS (SELECT street, num, min(pid) AS pid FROM kp GROUP BY ALL), st AS (SELECT street FROM kb UNION SELECT street FROM kp),
+h AS (SELECT code, bid, pid FROM (SELECT kc.code, best.bid, fst.pid, row_number() OVER (PARTITION BY kc.code ORDER BY ord) AS r FROM kc LEFT JOIN best USING (street, num) LEFT JOIN fst USING (street, num) WHERE best.bid IS NOT NULL OR fst.pid IS NOT NULL) x WHERE r = 1), kn AS (SELECT DISTINCT code FROM kc WHERE street IN (SELECT street FROM st)),
+m AS (SELECT t.code, vb.bid AS b1, vp.pid AS p1, town = 'rīga' AS here, h.bid AS b2, h.pid AS p2, kn.code IS NOT NULL AS known FROM t LEFT JOIN vb ON var_code = addressid LEFT JOIN vp ON ads_oid = addressid LEFT JOIN h ON h.code = t.code LEFT JOIN kn ON kn.code = t.code),
+v AS (SELECT *, CASE WHEN b1 IS NOT NULL OR p1 IS NOT NULL THEN 'var' WHEN here AND (b2 IS NOT NULL OR p2 IS NOT NULL) THEN 'address' END AS via FROM m)
+SELECT v.code, CASE WHEN via IS NOT NULL THEN 'exact' WHEN here AND known THEN 'street' ELSE 'none' END AS match, via, CASE via WHEN 'var' THEN CASE WHEN b1 IS NOT NULL THEN x.pid ELSE p1 END WHEN 'address' THEN CASE WHEN b2 IS NOT NULL THEN x.pid ELSE p2 END END AS pid, CASE via WHEN 'var' THEN b1 WHEN 'address' THEN b2 END AS bid
+FROM v LEFT JOIN b x ON x.bid = CASE via WHEN 'var' THEN b1 WHEN 'address' THEN b2 END""")
+def j2(spark, d):
+    from plotline.operators import match
+
+    return match.match_lv(_lv(spark, d, _LV_Q), _lv(spark, d, _LV_P), _lv(spark, d, _LV_B))
+
+
+_FI = "CASE {k} % 4 WHEN 0 THEN 'Aleksanterinkatu ' WHEN 1 THEN 'Mariankatu ' WHEN 2 THEN 'Pohjoinen Makasiinikatu ' ELSE 'Unioninkatu ' END"
+_FI_P = "SELECT p_partkey AS pid, " + _FI.format(k="p_partkey") + " || CAST(1 + p_partkey % 25 AS {s}) AS address, CAST(91 + p_partkey % 2 AS {s}) AS municipality FROM part"
+_FI_B = "SELECT s_suppkey AS bid, " + _FI.format(k="(s_suppkey * 3)") + " || CAST(1 + s_suppkey % 40 AS {s}) || CASE WHEN s_suppkey % 3 = 0 THEN ' A' ELSE '' END AS address, CASE s_suppkey % 3 WHEN 1 THEN 'outbuilding' ELSE 'dwelling' END AS kind, 6 + s_suppkey % 7 AS w, 5 + s_suppkey % 5 AS d, CASE WHEN s_suppkey % 4 > 0 THEN (s_suppkey * 17) % 190 + 1 END AS pid FROM supplier"
+_FI_A = "SELECT c_custkey AS code, CASE WHEN ord = 0 THEN 2 ELSE 1 END AS type, ord, trim(" + _FI.format(k="(c_custkey * 5 + ord)") + ") AS street, CAST(1 + (c_custkey + ord * 3) % 60 AS {s}) || CASE c_custkey % 3 WHEN 1 THEN 'a' ELSE '' END AS number, CASE c_custkey % 5 WHEN 0 THEN '49' WHEN 1 THEN NULL ELSE '91' END AS municipality FROM (SELECT c_custkey, 0 AS ord FROM customer UNION ALL SELECT c_custkey, 1 FROM customer WHERE c_custkey % 2 = 0) x"
+
+
+@query("j3_match_fi", f"""WITH p AS ({_FI_P.format(s='VARCHAR')}), b AS ({_FI_B.format(s='VARCHAR')}), a AS ({_FI_A.format(s='VARCHAR')}),
+kp AS (SELECT pid, lower(regexp_extract(address, '^(.*) [0-9]', 1)) AS street, regexp_extract(address, '([0-9]+)$', 1) AS num FROM p),
+kb AS (SELECT bid, lower(regexp_extract(address, '^(.*?) [0-9]', 1)) AS street, unnest(CASE WHEN address LIKE '% A' THEN [regexp_extract(address, ' ([0-9]+)', 1) || 'a', regexp_extract(address, ' ([0-9]+)', 1)] ELSE [regexp_extract(address, ' ([0-9]+)', 1)] END) AS num FROM b),
+best AS (SELECT street, num, bid, pid FROM (SELECT kb.street, kb.num, b.bid, b.pid, row_number() OVER (PARTITION BY kb.street, kb.num ORDER BY b.kind = 'outbuilding', w * d DESC, b.bid) AS r FROM kb JOIN b USING (bid)) x WHERE r = 1), fst AS (SELECT street, num, min(pid) AS pid FROM kp GROUP BY ALL), st AS (SELECT street FROM kb UNION SELECT street FROM kp),
+ok AS (SELECT code, type, ord, lower(street) AS street, number FROM a WHERE municipality IS NULL OR municipality IN (SELECT municipality FROM p)),
+f AS (SELECT code, type, ord, street, unnest(range(CASE WHEN number LIKE '%a' THEN 2 ELSE 1 END)) AS i, number FROM ok), kc AS (SELECT code, type, ord, street, i, CASE WHEN i = 1 THEN replace(number, 'a', '') ELSE number END AS num FROM f),
+h AS (SELECT code, bid, pid FROM (SELECT kc.code, best.bid, CASE WHEN best.bid IS NOT NULL THEN best.pid ELSE fst.pid END AS pid, row_number() OVER (PARTITION BY kc.code ORDER BY type <> 1, ord, i) AS r FROM kc LEFT JOIN best USING (street, num) LEFT JOIN fst USING (street, num) WHERE best.bid IS NOT NULL OR fst.pid IS NOT NULL) x WHERE r = 1)
+SELECT c.code, CASE WHEN h.code IS NOT NULL THEN 'exact' WHEN c.code IN (SELECT code FROM ok WHERE street IN (SELECT street FROM st)) THEN 'street' ELSE 'none' END AS match, h.pid, h.bid FROM (SELECT DISTINCT code FROM a) c LEFT JOIN h ON h.code = c.code""")
+def j3(spark, d):
+    from plotline.operators import match
+
+    return match.match_fi(_lv(spark, d, _FI_A), _lv(spark, d, _FI_P), _lv(spark, d, _FI_B))
+
+
+@query("t16_sign_name", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'SIA \"' || c_name || '\"' WHEN 1 THEN 'AS \"' || c_name || '\" Rīga' WHEN 2 THEN 'Biedrība \"' || c_name || '\"' ELSE c_name END AS sign FROM customer")
+def t16(spark, d):
+    k, c = F.col("c_custkey") % 4, load(spark, d, "customer")
+    before = F.when(k == 0, "Sabiedrība ar ierobežotu atbildību").when(k == 1, "akciju sabiedrība").when(k == 2, "Biedrība")
+    after, quoted = F.when(k == 1, "Rīga"), F.when(k < 3, F.col("c_name"))
+    name = F.when(k < 3, F.concat(before, F.lit(' "'), "c_name", F.lit('"'), F.coalesce(F.concat(F.lit(" "), after), F.lit("")))).otherwise(F.col("c_name"))
+    return c.select("c_custkey", T.sign_name(name, before, quoted, after).alias("sign"))
+
+
+@query("tm5_service_day", "SELECT o_orderkey, CASE isodow(o_orderdate) WHEN 6 THEN 'saturday' WHEN 7 THEN 'sunday' ELSE 'weekday' END AS day FROM orders")
+def tm5(spark, d):
+    return load(spark, d, "orders").select("o_orderkey", T.day_of(F.to_date("o_orderdate")).alias("day"))
+
+
+@query("t18_money", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL ELSE CAST(floor(o_totalprice) AS BIGINT) END AS n FROM orders")
+def t18(spark, d):
+    whole = F.floor("o_totalprice").cast("string")
+    text = F.when(F.col("o_orderkey") % 4 == 0, " ").when(F.col("o_orderkey") % 4 == 1, F.concat(F.expr("left(floor(o_totalprice), length(floor(o_totalprice)) - 2)"), F.lit(" "), F.expr("right(floor(o_totalprice), 2)"), F.lit(",9"))).otherwise(whole)
+    return load(spark, d, "orders").select("o_orderkey", T.whole_money(text).alias("n"))
+
+
+@query("t19_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders")
+def t19(spark, d):
+    text = F.when(F.col("o_orderkey") % 5 > 0, F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(F.date_format("o_orderdate", "yyyy"))
+    return load(spark, d, "orders").select("o_orderkey", T.iso_date(text).cast("string").alias("day"))
+
+
+@query("t20_parcel_label", "SELECT p_partkey, CASE WHEN p_partkey % 6 > 0 THEN '91-' || CAST(p_partkey % 900 AS VARCHAR) || '-' || CAST(p_size AS VARCHAR) || '-' || CAST(p_partkey % 7000 AS VARCHAR) END AS label FROM part")
+def t20(spark, d):
+    p = load(spark, d, "part")
+    code = F.concat(F.lit("091"), F.lpad((F.col("p_partkey") % 900).cast("string"), 3, "0"), F.lpad(F.col("p_size").cast("string"), 4, "0"), F.lpad((F.col("p_partkey") % 7000).cast("string"), 4, "0"))
+    return p.select("p_partkey", T.parcel_label(F.when(F.col("p_partkey") % 6 > 0, code).otherwise("91-1")).alias("label"))
+
+
+@query("j36_adjacent_tiles", """WITH t AS (SELECT r * 5 + c AS tile, c * 1000 AS xmin, r * 1000 AS ymin, c * 1000 + 1000 AS xmax, r * 1000 + 1000 AS ymax FROM (SELECT DISTINCT n_nationkey % 5 AS c, CAST(floor(n_nationkey / 5) AS BIGINT) AS r FROM nation) x)
+SELECT a.tile, b.tile AS other, CASE WHEN a.xmin = b.xmax AND a.ymin = b.ymin THEN 'w' WHEN a.xmax = b.xmin AND a.ymin = b.ymin THEN 'e' WHEN a.ymin = b.ymax AND a.xmin = b.xmin THEN 's' ELSE 'n' END AS side FROM t a JOIN t b ON (a.xmin = b.xmax OR a.xmax = b.xmin) AND a.ymin = b.ymin OR (a.ymin = b.ymax OR a.ymax = b.ymin) AND a.xmin = b.xmin""")
+def j36(spark, d):
+    c, r = F.col("n_nationkey") % 5, F.floor(F.col("n_nationkey") / 5)
+    t = load(spark, d, "nation").select(c.alias("c"), r.alias("r")).distinct()
+    jitter = F.when(F.col("c") % 2 == 0, 0.3).otherwise(0.0)  # edges need only be within a metre
+    t = t.select((F.col("r") * 5 + F.col("c")).cast("long").alias("tile"), (F.col("c") * 1000 + jitter).alias("xmin"), (F.col("r") * 1000).alias("ymin"), (F.col("c") * 1000 + 1000 + jitter).alias("xmax"), (F.col("r") * 1000 + 1000).alias("ymax"))
+    return spatial.adjacent_tiles(t)
+
+
+@query("g25_nearest_arclength", with_tables("road", "poi", rest="""WITH s AS (SELECT poi AS id, q.tile, rid, ax, az, bx - ax AS ux, bz - az AS uz, q.x % 256 AS px, q.z % 256 AS pz FROM poi q JOIN road r ON q.tile = r.tile),
+u AS (SELECT *, greatest(0.0, least(1.0, ((px - ax) * ux + (pz - az) * uz) / CAST(ux * ux + uz * uz AS DOUBLE))) AS u FROM s), e AS (SELECT *, sqrt(pow(px - ax - u * ux, 2) + pow(pz - az - u * uz, 2)) AS d, 10 + u * sqrt(ux * ux + uz * uz) AS s FROM u)
+SELECT tile, id, rid AS line, round(s, 5) AS s, round(d, 5) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 9), rid, s) AS k FROM e WHERE d <= 25) x WHERE k = 1"""))
+def g25(spark, d):
+    points = load(spark, d, "poi").selectExpr("tile", "poi AS id", "x % 256 AS x", "z % 256 AS z")
+    lines = load(spark, d, "road").selectExpr("tile", "rid AS line", "CAST(10 AS DOUBLE) AS cum", "ax", "az", "bx", "bz")
+    return spatial.nearest_arclength(points, lines, 25.0).select("tile", "id", "line", F.round("s", 5).alias("s"), F.round("d", 5).alias("d"))
+
+
+@query("w13_thinned_stops")
+def w13(spark, d):
+    return spatial.thinned_stops(_stops(spark, d), 15.0).select("id")
+
+
+def _stops(spark, d):
+    return load(spark, d, "poi").selectExpr("tile", "poi AS id", "key AS kind", "CASE WHEN poi % 7 > 0 THEN key || CAST(poi % 2 AS STRING) END AS name", "x % 200 AS x", "z % 200 AS z")

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 
 def register_csv(spark: SparkSession, path: str, schema: str, sep: str = ";", encoding: str = "UTF-8") -> DataFrame:
-    """Delimited dump with a header; rows that don't fit the schema are left out."""
-    return spark.read.schema(schema).option("sep", sep).option("header", True).option("encoding", encoding).option("mode", "DROPMALFORMED").csv(path)
+    """Delimited dump with a header. Rows with fewer fields than the header are left out; a field that doesn't fit its type is null."""
+    names = [c.strip().split()[0] for c in schema.split(",")]
+    text = ", ".join(f"`{n}` string" for n in names)
+    rows = spark.read.schema(text).option("sep", sep).option("header", True).option("encoding", encoding).option("mode", "DROPMALFORMED").option("enforceSchema", True).csv(path)
+    kinds = [c.strip().split(None, 1)[1] for c in schema.split(",")]
+    return rows.select(*(F.col(n).try_cast(k).alias(n) for n, k in zip(names, kinds, strict=True)))
 
 
 def bilingual_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
@@ -19,9 +23,12 @@ def bilingual_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str
 
 
 def gtfs_table(spark: SparkSession, path: str, want: list[str]) -> DataFrame:
-    """The wanted columns of a timetable file, trimmed; columns that the file lacks are null."""
+    """The wanted columns of a timetable file, trimmed; columns that the file lacks are null, and a file that is not there is an empty table."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in want))
     rows = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
-    rows = rows.toDF(*(c.strip().lstrip("﻿") for c in rows.columns))
+    rows = rows.toDF(*(c.strip().lstrip("\ufeff") for c in rows.columns))
     return rows.select(*(F.trim(c).alias(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in want))
 
 
@@ -43,13 +50,20 @@ def xml_records(spark: SparkSession, path: str, tag: str, schema: str, wanted: D
     return rows if wanted is None else rows.join(wanted.select(key), key, "left_semi")
 
 
-def feature_collection(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """properties.*, ring ARRAY<STRUCT<x, z>> (the longest ring) of a polygon feature collection."""
-    schema = f"features array<struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
+def feature_collection(spark: SparkSession, path: str, properties: str, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """properties.*, ring ARRAY<STRUCT<x, z>> (the longest ring of a polygon or multipolygon) of a feature collection; with ``bbox`` (xmin,
+    zmin, xmax, zmax) only those whose ring's envelope meets it."""
+    schema = f"features array<struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: string>>>"
     f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    rings = F.col("f.geometry.coordinates")
-    longest = F.filter(rings, lambda r: F.size(r) == F.array_max(F.transform(rings, lambda q: F.size(q))))[0]
-    return f.select("f.properties.*", F.transform(longest, lambda p: F.struct(p[0].alias("x"), p[1].alias("z"))).alias("ring"))
+    rings, text = "array<array<array<double>>>", F.col("f.geometry.coordinates")
+    of = F.when(F.col("f.geometry.type") == "MultiPolygon", F.flatten(F.from_json(text, f"array<{rings}>"))).otherwise(F.from_json(text, rings))
+    f = f.withColumn("rings", of)
+    longest = F.filter("rings", lambda r: F.size(r) == F.array_max(F.transform("rings", lambda q: F.size(q))))[0]
+    out = f.select("f.properties.*", F.transform(longest, lambda p: F.struct(p[0].alias("x"), p[1].alias("z"))).alias("ring"))
+    if bbox is None:
+        return out
+    lo, hi = (lambda c: F.array_min(F.transform("ring", lambda p: p[c]))), (lambda c: F.array_max(F.transform("ring", lambda p: p[c])))
+    return out.where((lo("x") <= bbox[2]) & (hi("x") >= bbox[0]) & (lo("z") <= bbox[3]) & (hi("z") >= bbox[1]))
 
 
 def link_index(spark: SparkSession, path: str, extensions: tuple[str, str], partial: str = "partial") -> DataFrame:
