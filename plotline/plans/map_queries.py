@@ -84,7 +84,7 @@ def o6(spark, d):
     return spatial.nearest_k(_id(load(spark, d, "building"), "bid"), _id(load(spark, d, "parcel"), "pid"), 200, 8)
 
 
-@query("j7_largest_overlap", with_tables("building", "parcel", rest="""WITH x AS (SELECT b.tile, bid AS a, pid AS b, greatest(0, least(b.x + w * 4, p.x + side * 4) - greatest(b.x, p.x)) * greatest(0, least(b.z + d * 4, p.z + side * 4) - greatest(b.z, p.z)) AS overlap, w * d * 16 AS whole FROM building b JOIN parcel p USING (tile))
+@query("j7_largest_overlap", with_tables("building", "parcel", rest="""WITH x AS (SELECT b.tile, bid AS a, p.pid AS b, greatest(0, least(b.x + w * 4, p.x + side * 4) - greatest(b.x, p.x)) * greatest(0, least(b.z + d * 4, p.z + side * 4) - greatest(b.z, p.z)) AS overlap, w * d * 16 AS whole FROM building b JOIN parcel p USING (tile))
 SELECT tile, a, b, overlap FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY overlap DESC, b) AS r FROM x WHERE overlap > whole * 0.1) WHERE r = 1"""))
 def j7(spark, d):
     b, p = load(spark, d, "building"), load(spark, d, "parcel")
