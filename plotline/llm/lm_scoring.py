@@ -230,7 +230,8 @@ def stupid_backoff(docs: DataFrame, most: int = VOCABULARY, hot: int = HOT) -> D
     # One exchange holds the exploded bigrams and, aggregated over it, their count table: both sides of the join read the same columns
     # (``last`` is there for that alone, and always holds), so Spark shuffles them once.
     rows = rows.where("rid IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").repartition("a", "b")
-    table = rows.groupBy("a", "b").agg(F.sum("m").alias("c_ab"), F.max("rid").alias("last")).hint("merge")  # grows with the corpus: never broadcast
+    # The count table grows with the corpus and is never broadcast: each partition's part is hashed beside its rows, and nothing is sorted.
+    table = rows.groupBy("a", "b").agg(F.sum("m").alias("c_ab"), F.max("rid").alias("last")).hint("shuffle_hash")
     counted = rows.alias("r").join(table.alias("t"), (F.col("r.a") == F.col("t.a")) & (F.col("r.b") == F.col("t.b")) & (F.col("r.rid") <= F.col("t.last"))).select("rid", "r.a", "r.b", "m", "c_ab")
     # The logarithm of a score takes in that of one word's count: less that of the first, or else that of the second word.
     fact, first, often = F.col("b") > START, F.col("a") == START, F.col("c_ab") >= MIN_COUNT
