@@ -148,3 +148,28 @@ def circle_radius(employees: Column) -> Column:
 def sheet_centre(c: Column, step: int = 1000) -> Column:
     """Middle of the map sheet that holds a coordinate; the middle itself stays."""
     return F.floor(c / step).cast("long") * step + step // 2
+
+
+def photo_square(ring: Column, pad: float = 8.0, least: float = 60.0) -> Column:
+    """STRUCT<x, z, span>: the square box around a ring, padded, and at least ``least`` wide."""
+    e = envelope(ring)
+    span = F.greatest(F.greatest(e.xmax - e.xmin, e.zmax - e.zmin) + 2 * pad, F.lit(least))
+    return F.struct(((e.xmin + e.xmax) / 2 - span / 2).alias("x"), ((e.zmin + e.zmax) / 2 - span / 2).alias("z"), span.alias("span"))
+
+
+def smoothstep(t: Column) -> Column:
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    return t * t * (3.0 - 2.0 * t)
+
+
+def pond_depth(x: Column, z: Column, width: Column, length: Column, area: Column, deepest: float) -> Column:
+    """Depth of a pond (box around its middle) at a place: rises smoothly over three metres from the edge, the more the larger it is."""
+    edge = F.least(width / 2 - F.abs(x), length / 2 - F.abs(z))
+    most = F.greatest(F.lit(0.7), F.least(F.lit(deepest), F.sqrt(area.cast("double")) / 18.0))
+    return F.when(edge <= 0, 0.0).otherwise(most * smoothstep(edge / 3.0))
+
+
+def arm_group(dx: Column, dz: Column, axis_x: Column, axis_z: Column) -> Column:
+    """0 for arms of a junction along its axis (within 45 degrees, either way), 1 for those across; null without a direction."""
+    dot = (dx * axis_x + dz * axis_z) / F.sqrt(((dx * dx + dz * dz) * (axis_x * axis_x + axis_z * axis_z)).cast("double"))
+    return F.when(F.abs(dot) >= 0.7071, 0).when(dot.isNotNull(), 1)

@@ -54,3 +54,19 @@ def global_rank(rows: DataFrame, order: list[str], name: str, start: int = 0) ->
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))  # a row for each partition
     before = counts.select("_part", (F.coalesce(F.sum("n").over(w), F.lit(0)) + start).alias("_before"))
     return placed.join(F.broadcast(before), part == F.col("_part")).select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+
+
+def credit_lines(layers: DataFrame, text: str) -> DataFrame:
+    """line: the distinct credit lines of all layers; a layer's credits are parted by semicolons."""
+    return layers.select(F.explode(F.split(text, ";")).alias("line")).select(F.trim("line").alias("line")).where("line <> ''").distinct()
+
+
+def addresses_of(rows: DataFrame, key: str, number: str, text: str) -> DataFrame:
+    """key, addresses: a building's addresses by their number (unknown ones last), then by text."""
+    listed = F.array_sort(F.collect_list(F.struct(F.coalesce(number, F.lit(99)).alias("n"), F.col(text).alias("t"))))
+    return rows.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x.t), "; ").alias("addresses"))
+
+
+def bounds(rows: DataFrame, key: str, x: str, z: str) -> DataFrame:
+    """key, xmin, zmin, xmax, zmax of a relation's members."""
+    return rows.groupBy(key).agg(F.min(x).alias("xmin"), F.min(z).alias("zmin"), F.max(x).alias("xmax"), F.max(z).alias("zmax"))

@@ -199,3 +199,12 @@ def blank(pixels: DataFrame, image: list[str], luminance: str) -> DataFrame:
     """Images without content: bright (mean over 240) and even (deviation under 12)."""
     stats = pixels.groupBy(*image).agg(F.avg(luminance).alias("mean"), F.stddev_pop(luminance).alias("spread"))
     return stats.where("mean > 240 AND spread < 12").select(*image)
+
+
+def blend_west_edge(cells: DataFrame, neighbour: DataFrame, reach: int = 40) -> DataFrame:
+    """tile, y, x, v: heights bent over ``reach`` cells so that column 0 meets the last column of the western neighbour (tile, y, v): the whole
+    difference at the edge, none from ``reach`` on, smoothly between. Rows without a neighbour or without an edge cell stay."""
+    edge = cells.where("x = 0").select("tile", "y", F.col("v").alias("own"))
+    step = neighbour.select("tile", "y", F.col("v").alias("theirs")).join(edge, ["tile", "y"]).select("tile", "y", (F.col("theirs") - F.col("own")).alias("step"))
+    w = G.smoothstep(1.0 - F.col("x") / float(reach))
+    return cells.join(step, ["tile", "y"], "left").select("tile", "y", "x", (F.col("v") + F.coalesce("step", F.lit(0.0)) * w).alias("v"))

@@ -73,3 +73,12 @@ def point_at(points: DataFrame, s: float) -> DataFrame:
     seg = seg.withColumn("len", F.sqrt((dx * dx + dz * dz).cast("double"))).where((F.col("cum") <= s) & (F.lit(s) < F.col("cum") + F.col("len")))
     u = (F.lit(s) - F.col("cum")) / F.col("len")
     return seg.select("id", (F.col("x") + u * dx).alias("x"), (F.col("z") + u * dz).alias("z"))
+
+
+def node_uses(ways: DataFrame) -> DataFrame:
+    """node, uses: how often ways (id, nodes ARRAY) pass a node; a way that loops back onto its first or last node meets itself there."""
+    each = ways.select(F.explode("nodes").alias("node"))
+    inner = F.slice("nodes", 2, F.greatest(F.size("nodes") - 2, F.lit(0)))
+    ends = F.array_distinct(F.array(F.element_at("nodes", 1), F.element_at("nodes", -1)))
+    again = ways.where(F.size("nodes") > 0).select(F.explode(F.array_intersect(inner, ends)).alias("node"))
+    return each.unionByName(again).groupBy("node").agg(F.count("*").alias("uses"))

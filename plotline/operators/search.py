@@ -40,3 +40,13 @@ def words_in_key(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     x = rows.join(F.broadcast(asked.withColumn("words", words))).where(F.forall("words", lambda w: F.contains(F.lower("key"), w)))
     w = W.partitionBy("q").orderBy(F.length("key"), "key")
     return x.select("q", "key").distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("q", "place", "key")
+
+
+def addresses_starting(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """q, place, name for queries (q, town): distinct names of addresses (first, second, town: two languages) that start with the query, in
+    the town if one is asked for; the second language's name if only that starts with it."""
+    starts = lambda c: F.startswith(fold_street(F.col(c)), fold_street(F.col("q")))
+    x = rows.withColumnRenamed("town", "at").join(F.broadcast(asked), (starts("first") | starts("second")) & (F.col("town").isNull() | F.startswith(F.lower("at"), F.lower("town"))))
+    name = F.concat_ws(", ", F.when(~starts("first"), F.col("second")).otherwise(F.col("first")), F.initcap("at"))
+    x = x.select("q", name.alias("name")).distinct()
+    return x.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy("name"))).where(F.col("place") <= limit).select("q", "place", "name")

@@ -145,3 +145,14 @@ def adjacent_tiles(tiles: DataFrame) -> DataFrame:
         x = left.join(right, (F.col(own) == F.col(f"o_{theirs}")) & (F.col(along) == F.col(f"o_{along}"))).select("tile", "other", F.lit(side).alias("side"))
         out = x if out is None else out.unionByName(x)
     return out
+
+
+def home_of_points(points: DataFrame, polygons: DataFrame, reach: float, size: float = 64.0) -> DataFrame:
+    """tile, point, polygon, d: the polygon that holds a point (the smallest id), else the nearest within ``reach`` of its outline."""
+    e = polygons.withColumn("e", G.envelope(F.col("ring")))
+    cells = cover(e, F.col("e.xmin") - reach, F.col("e.zmin") - reach, F.col("e.xmax") + reach, F.col("e.zmax") + reach, size).drop("e")
+    x = points.withColumns({"cx": cell(F.col("x"), size), "cz": cell(F.col("z"), size)}).join(cells, ["tile", "cx", "cz"])
+    at = F.col("x").cast("double"), F.col("z").cast("double")
+    x = x.withColumn("d", F.when(G.inside(*at, F.col("ring")), 0.0).otherwise(G.to_outline(*at, F.col("ring"))))
+    x = x.withColumn("out", F.when(G.inside(*at, F.col("ring")), 0).otherwise(1)).where((F.col("out") == 0) | (F.col("d") < reach))
+    return x.groupBy("tile", "point").agg(F.min_by(F.struct("polygon", "d"), F.struct("out", F.round("d", 9).alias("k"), "polygon")).alias("m")).select("tile", "point", "m.polygon", "m.d")

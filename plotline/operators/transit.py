@@ -93,3 +93,10 @@ def routes_at(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
     """stop, routes: the distinct lines and headsigns that call at a stop, in line order."""
     x = stop_times.join(trips, "trip").groupBy("stop").agg(F.array_sort(F.collect_set(F.struct(line_key(F.col("line")).alias("k"), "headsign", "line"))).alias("r"))
     return x.select("stop", F.array_join(F.transform("r", lambda r: F.concat_ws(" ", r.line, r.headsign)), ";").alias("routes"))
+
+
+def day_text(hours: DataFrame, key: str = "poi") -> DataFrame:
+    """key, day, text: the spans of a day as HH:MM-HH:MM, in order."""
+    clock = lambda m: F.concat(F.lpad(F.floor(m / 60).cast("int").cast("string"), 2, "0"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"))
+    spans = F.transform(F.array_sort(F.collect_list(F.struct("open", "close"))), lambda s: F.concat(clock(s.open), F.lit("-"), clock(s.close)))
+    return hours.groupBy(key, "day").agg(F.array_join(spans, ", ").alias("text"))

@@ -399,3 +399,131 @@ def w13(spark, d):
 
 def _stops(spark, d):
     return load(spark, d, "poi").selectExpr("tile", "poi AS id", "key AS kind", "CASE WHEN poi % 7 > 0 THEN key || CAST(poi % 2 AS STRING) END AS name", "x % 200 AS x", "z % 200 AS z")
+
+
+_WAY = """SELECT o_orderkey AS way, CASE o_orderkey % 9 WHEN 0 THEN 'primary' WHEN 1 THEN 'residential' WHEN 2 THEN 'footway' WHEN 3 THEN 'track' WHEN 4 THEN 'trunk_link' WHEN 5 THEN 'odd_link' WHEN 6 THEN 'busway' WHEN 7 THEN 'service' ELSE 'steps' END AS highway,
+ CASE o_custkey % 4 WHEN 0 THEN 'gravel' WHEN 1 THEN 'asphalt' END AS surface, CASE o_orderkey % 7 WHEN 0 THEN '3,5 m' WHEN 1 THEN '70' WHEN 2 THEN 'wide' END AS width, CASE o_orderkey % 5 WHEN 0 THEN '2' WHEN 1 THEN '3;2' WHEN 2 THEN '20' END AS lanes FROM {t}"""
+_WIDTH = "CASE w " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in T.WIDTHS) + " ELSE CASE WHEN highway LIKE '%\\_link' ESCAPE '\\' THEN 6.0 ELSE 4.0 END END"
+
+
+@query("t25_roads", f"""WITH x AS ({_WAY.format(t='orders')}), y AS (SELECT *, replace(highway, '_link', '') AS w FROM x)
+SELECT way, CASE WHEN highway IN ('footway', 'steps') THEN 'path' WHEN highway = 'track' THEN 'trail' WHEN surface = 'gravel' THEN 'road' ELSE 'street' END AS kind, CASE WHEN width = '3,5 m' THEN 3.5 WHEN lanes = '2' THEN 6.4 WHEN lanes = '3;2' THEN 9.6 ELSE {_WIDTH} END AS width FROM y""")
+def t25(spark, d):
+    w = spark.sql(_WAY.format(t="{orders}"), orders=load(spark, d, "orders"))
+    c = F.col
+    return w.select("way", T.road_kind(c("highway"), c("surface")).alias("kind"), F.round(T.road_width(c("highway"), c("width"), c("lanes")), 6).alias("width"))
+
+
+_USE = "SELECT bid, CASE bid % 5 WHEN 0 THEN 'Elu- ja ühiskondlik' WHEN 1 THEN 'Kõrvalhoone' WHEN 2 THEN 'Muu' END AS words, CASE bid % 7 WHEN 0 THEN '11101' WHEN 1 THEN '12744' WHEN 2 THEN '12711' WHEN 3 THEN '12201' END AS code FROM {t}"
+
+
+@query("t24_building_class", with_tables("building", rest=f"SELECT bid, CASE WHEN code = '11101' OR words LIKE 'Elu-%' THEN CASE WHEN code = '12744' THEN 'outbuilding' ELSE 'dwelling' END WHEN words LIKE 'Kõrval%' OR code IN ('12711', '12744') THEN 'outbuilding' WHEN code IS NOT NULL THEN 'other' ELSE 'outbuilding' END AS cls FROM ({_USE.format(t='building')}) x"))
+def t24(spark, d):
+    b = spark.sql(_USE.format(t="{building}"), building=load(spark, d, "building"))
+    return b.select("bid", T.building_class(F.col("words"), F.col("code")).alias("cls"))
+
+
+@query("t33_blended", with_tables("pixel", rest="SELECT pixel, round(0.75 * r + 0.25 * 0.6012, 3) AS r, round(0.75 * g + 0.25 * 0.3012, 3) AS g, round(0.75 * b + 0.25 * 0.2012, 3) AS b FROM pixel"))
+def t33(spark, d):
+    c = T.blended(F.array("r", "g", "b"), F.array(F.lit(0.6012), F.lit(0.3012), F.lit(0.2012)))
+    return load(spark, d, "pixel").select("pixel", c.alias("c")).select("pixel", F.col("c")[0].alias("r"), F.col("c")[1].alias("g"), F.col("c")[2].alias("b"))
+
+
+@query("g27_photo_square", with_tables("parcel", rest="SELECT pid, x + side * 5 / 2.0 - s / 2.0 AS x, z + side * 5 / 2.0 - s / 2.0 AS z, s AS span FROM (SELECT *, greatest(side * 5 + 16, 60) * 1.0 AS s FROM parcel) p"))
+def g27(spark, d):
+    q = G.photo_square(G.square(F.col("x"), F.col("z"), F.col("side") * 5))
+    return load(spark, d, "parcel").select("pid", q.alias("q")).select("pid", "q.x", "q.z", "q.span")
+
+
+@query("g31_pond_depth", with_tables("parcel", rest="""WITH p AS (SELECT pid, least(side * 2 / 2.0 - abs(x % 30 - 10), side * 3 / 2.0 - abs(z % 30 - 10)) AS edge, greatest(0.7, least(2.5, sqrt(side * side * 6) / 18.0)) AS most FROM parcel), q AS (SELECT *, greatest(0.0, least(1.0, edge / 3.0)) AS t FROM p)
+SELECT pid, round(CASE WHEN edge <= 0 THEN 0.0 ELSE most * t * t * (3.0 - 2.0 * t) END, 6) AS depth FROM q"""))
+def g31(spark, d):
+    c = F.col
+    depth = G.pond_depth(c("x") % 30 - 10, c("z") % 30 - 10, c("side") * 2, c("side") * 3, c("side") * c("side") * 6, 2.5)
+    return load(spark, d, "parcel").select("pid", F.round(depth, 6).alias("depth"))
+
+
+@query("gr5_arm_groups", with_tables("road", rest="""WITH e AS (SELECT tile, ax AS x, az AS z, rid, bx - ax AS dx, bz - az AS dz FROM road UNION ALL SELECT tile, bx, bz, rid, ax - bx, az - bz FROM road), f AS (SELECT *, first_value(dx) OVER w AS ux, first_value(dz) OVER w AS uz FROM e WINDOW w AS (PARTITION BY tile, x, z ORDER BY rid))
+SELECT tile, x, z, count(*) FILTER (g) AS along, count(*) FILTER (NOT g) AS across FROM (SELECT *, abs((dx * ux + dz * uz) / sqrt(CAST((dx * dx + dz * dz) * (ux * ux + uz * uz) AS DOUBLE))) >= 0.7071 AS g FROM f) y GROUP BY ALL"""))
+def gr5(spark, d):
+    r, c = load(spark, d, "road"), F.col
+    a = r.select("tile", c("ax").alias("x"), c("az").alias("z"), "rid", (c("bx") - c("ax")).alias("dx"), (c("bz") - c("az")).alias("dz"))
+    e = a.unionByName(r.select("tile", c("bx").alias("x"), c("bz").alias("z"), "rid", (c("ax") - c("bx")).alias("dx"), (c("az") - c("bz")).alias("dz")))
+    axis = e.groupBy("tile", "x", "z").agg(F.min_by(F.struct("dx", "dz"), "rid").alias("u"))
+    e = e.join(axis, ["tile", "x", "z"]).withColumn("g", G.arm_group(c("dx"), c("dz"), c("u.dx"), c("u.dz")))
+    return e.groupBy("tile", "x", "z").agg(F.count_if(c("g") == 0).alias("along"), F.count_if(c("g") == 1).alias("across"))
+
+
+@query("j9_home_of_points", with_tables("building", "poi", rest="""WITH p AS (SELECT q.tile, poi AS point, bid AS polygon, q.x >= b.x AND q.x < b.x + w * 3 AND q.z >= b.z AND q.z < b.z + d * 3 AS ins, sqrt(pow(greatest(b.x - q.x, 0, q.x - b.x - w * 3), 2) + pow(greatest(b.z - q.z, 0, q.z - b.z - d * 3), 2)) AS far FROM poi q JOIN building b USING (tile)),
+k AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY NOT ins, CASE WHEN ins THEN 0 ELSE round(far, 9) END, polygon) AS r FROM p WHERE ins OR far < 8)
+SELECT tile, point, polygon, round(CASE WHEN ins THEN 0.0 ELSE far END, 6) AS d FROM k WHERE r = 1"""))
+def j9(spark, d):
+    c = F.col
+    at = lambda a, b: F.struct((c("x") + a).cast("double").alias("x"), (c("z") + b).cast("double").alias("z"))
+    w, h, o = c("w") * 3, c("d") * 3, F.lit(0)
+    b = load(spark, d, "building").select("tile", c("bid").alias("polygon"), F.array(at(o, o), at(w, o), at(w, h), at(o, h)).alias("ring"))
+    return spatial.home_of_points(load(spark, d, "poi").select("tile", c("poi").alias("point"), "x", "z"), b, 8.0).withColumn("d", F.round("d", 6))
+
+
+@query("tm3_day_text", with_tables("poi", rest="SELECT poi, day, CASE opening_hours WHEN '24/7' THEN '00:00-24:00' WHEN 'Mo-Fr 08:00-12:00,13:00-17:00' THEN '08:00-12:00, 13:00-17:00' WHEN 'Fr,Sa 11:00-02:00' THEN '11:00-26:00' WHEN 'Sa-Mo 09:00-15:30' THEN '09:00-15:30' ELSE '10:00-20:00' END AS text FROM (SELECT poi, opening_hours, unnest(CASE opening_hours WHEN '24/7' THEN [0,1,2,3,4,5,6] WHEN 'Mo-Fr 08:00-12:00,13:00-17:00' THEN [0,1,2,3,4] WHEN 'Fr,Sa 11:00-02:00' THEN [4,5] WHEN 'Sa-Mo 09:00-15:30' THEN [0,5,6] ELSE [0,1,2,3,4,5] END) AS day FROM poi WHERE opening_hours NOT IN ('PH off', 'sunrise-sunset')) x"))
+def tm3(spark, d):
+    return transit.day_text(transit.opening_hours(load(spark, d, "poi")))
+
+
+@query("a25_credits", with_tables("trip", rest="SELECT DISTINCT line FROM (SELECT unnest(['feed ' || line, 'service ' || CAST(service AS VARCHAR)]) AS line FROM trip) x"))
+def a25(spark, d):
+    from plotline.operators import lists
+
+    t = load(spark, d, "trip").select(F.concat(F.lit("feed "), "line", F.lit("; service "), F.col("service").cast("string"), F.lit(" ;")).alias("credit"))
+    return lists.credit_lines(t, "credit")
+
+
+@query("a22_addresses", with_tables("company", rest="SELECT tunnus, array_to_string(list(name ORDER BY coalesce(employees, 99), name), '; ') AS addresses FROM company GROUP BY tunnus"))
+def a22(spark, d):
+    from plotline.operators import lists
+
+    return lists.addresses_of(load(spark, d, "company"), "tunnus", "employees", "name")
+
+
+@query("a28_bounds", with_tables("parcel", rest="SELECT settlement, min(x) AS xmin, min(z) AS zmin, max(x) AS xmax, max(z) AS zmax FROM parcel GROUP BY settlement"))
+def a28(spark, d):
+    from plotline.operators import lists
+
+    return lists.bounds(load(spark, d, "parcel"), "settlement", "x", "z")
+
+
+@query("a26_place_page", with_tables("parcel", "company", rest="SELECT p.tile, p.parcels, c.exact, p.locality FROM (SELECT tile, count(*) AS parcels, arg_min(county, pid) FILTER (county IS NOT NULL) AS locality FROM parcel GROUP BY tile) p LEFT JOIN (SELECT q.tile, count(*) AS exact FROM company k JOIN parcel q ON q.tunnus = k.tunnus WHERE match = 'exact' GROUP BY q.tile) c ON c.tile = p.tile"))
+def a26(spark, d):
+    p = load(spark, d, "parcel")
+    page = p.groupBy("tile").agg(F.count("*").alias("parcels"), F.min_by("county", F.when(F.col("county").isNotNull(), F.col("pid"))).alias("locality"))
+    exact = load(spark, d, "company").where("match = 'exact'").select("tunnus").join(p.select("tunnus", "tile"), "tunnus").groupBy("tile").agg(F.count("*").alias("exact"))
+    return page.join(exact, "tile", "left").select("tile", "parcels", "exact", "locality")
+
+
+@query("w8_node_uses", with_tables("stop_time", rest="""WITH n AS (SELECT trip, seq, stop % 40 AS node, max(seq) OVER (PARTITION BY trip) AS m FROM stop_time), e AS (SELECT DISTINCT trip, node FROM n WHERE seq = 1 OR seq = m), a AS (SELECT DISTINCT n.trip, n.node FROM n JOIN e ON e.trip = n.trip AND e.node = n.node WHERE seq > 1 AND seq < m)
+SELECT node, count(*) AS uses FROM (SELECT node FROM n UNION ALL SELECT node FROM a) x GROUP BY node"""))
+def w8(spark, d):
+    from plotline.operators import roads
+
+    w = load(spark, d, "stop_time").groupBy("trip").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", (F.col("stop") % 40).alias("node")))), lambda x: x.node).alias("nodes"))
+    return roads.node_uses(w)
+
+
+@query("r16_seam", with_tables("cell", rest="""WITH n AS (SELECT tile + 1 AS tile, y, v FROM cell WHERE x = 47), s AS (SELECT n.tile, n.y, n.v - c.v AS step FROM n JOIN cell c ON c.tile = n.tile AND c.y = n.y AND c.x = 0)
+SELECT c.tile, c.y, c.x, round(c.v + coalesce(step, 0) * t * t * (3 - 2 * t), 6) AS v FROM (SELECT *, greatest(0.0, 1.0 - x / 40.0) AS t FROM cell) c LEFT JOIN s ON s.tile = c.tile AND s.y = c.y"""))
+def r16(spark, d):
+    c = load(spark, d, "cell")
+    west = c.where("x = 47").select((F.col("tile") + 1).alias("tile"), "y", "v")
+    return raster.blend_west_edge(c, west).withColumn("v", F.round("v", 6))
+
+
+@query("q5_address_prefix", with_tables("parcel", rest="""WITH a AS (SELECT address AS f, replace(address, 'Aeru', 'Årgatan') AS s, municipality AS m FROM parcel), q AS (SELECT * FROM (VALUES ('aeru', NULL), ('argat', 'vald1'), ('kesk maantee 2', NULL)) AS t(q, town)),
+z AS (SELECT q, town, f, s, m, trim(replace(replace(translate(lower(' ' || f || ' '), 'õäöüå', 'oaoua'), ' tanav ', ' tn '), ' maantee ', ' mnt ')) AS ff, trim(replace(replace(translate(lower(' ' || s || ' '), 'õäöüå', 'oaoua'), ' tanav ', ' tn '), ' maantee ', ' mnt ')) AS fs, trim(replace(' ' || q || ' ', ' maantee ', ' mnt ')) AS fq FROM a, q),
+n AS (SELECT DISTINCT q, CASE WHEN NOT starts_with(ff, fq) THEN s ELSE f END || ', ' || upper(m[1]) || m[2:] AS name FROM z WHERE (starts_with(ff, fq) OR starts_with(fs, fq)) AND (town IS NULL OR starts_with(m, town)))
+SELECT q, place, name FROM (SELECT q, name, CAST(row_number() OVER (PARTITION BY q ORDER BY name) AS INT) AS place FROM n) x WHERE place <= 8"""))
+def q5(spark, d):
+    from plotline.operators import search
+
+    rows = load(spark, d, "parcel").select(F.col("address").alias("first"), F.replace(F.col("address"), F.lit("Aeru"), F.lit("Årgatan")).alias("second"), F.col("municipality").alias("town"))
+    asked = spark.createDataFrame([("aeru", None), ("argat", "vald1"), ("kesk maantee 2", None)], "q string, town string")
+    return search.addresses_starting(rows, asked, 8)
