@@ -70,3 +70,15 @@ def addresses_of(rows: DataFrame, key: str, number: str, text: str) -> DataFrame
 def bounds(rows: DataFrame, key: str, x: str, z: str) -> DataFrame:
     """key, xmin, zmin, xmax, zmax of a relation's members."""
     return rows.groupBy(key).agg(F.min(x).alias("xmin"), F.min(z).alias("zmin"), F.max(x).alias("xmax"), F.max(z).alias("zmax"))
+
+
+def with_context(rows: DataFrame, key: str, order: str, spike: Column) -> DataFrame:
+    """Spikes and, before each run of them, the last ordinary row of the key: each context once, marked by ``spike``."""
+    w = W.partitionBy(key).orderBy(order)
+    x = rows.withColumn("spike", F.coalesce(spike, F.lit(False)))
+    return x.withColumn("_next", F.lead("spike").over(w)).where(F.col("spike") | F.coalesce("_next", F.lit(False))).drop("_next")
+
+
+def stale(packs: DataFrame, version: Column, current: int) -> DataFrame:
+    """Packs that are to be built anew: those of an older version, or of none."""
+    return packs.where(F.coalesce(version < current, F.lit(True)))

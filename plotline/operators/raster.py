@@ -208,3 +208,10 @@ def blend_west_edge(cells: DataFrame, neighbour: DataFrame, reach: int = 40) ->
     step = neighbour.select("tile", "y", F.col("v").alias("theirs")).join(edge, ["tile", "y"]).select("tile", "y", (F.col("theirs") - F.col("own")).alias("step"))
     w = G.smoothstep(1.0 - F.col("x") / float(reach))
     return cells.join(step, ["tile", "y"], "left").select("tile", "y", "x", (F.col("v") + F.coalesce("step", F.lit(0.0)) * w).alias("v"))
+
+
+def masked_out(cells: DataFrame, mask: DataFrame, value: str = "v") -> DataFrame:
+    """Cells with ``value`` set to 0 where the mask (tile, y, x) is set."""
+    m = mask.select("tile", "y", "x").distinct().withColumn("_set", F.lit(True))
+    x = cells.join(m, ["tile", "y", "x"], "left")
+    return x.withColumn(value, F.when(F.col("_set"), F.lit(0).cast(cells.schema[value].dataType)).otherwise(F.col(value))).drop("_set")

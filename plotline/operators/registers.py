@@ -137,3 +137,16 @@ def nearest_copy(copies: DataFrame, key: str, distance: Column) -> DataFrame:
     """Of the copies of a row in several tiles, that of the nearest tile."""
     rest = [c for c in copies.columns if c != key]
     return copies.groupBy(key).agg(F.min_by(F.struct(*rest), distance).alias("r")).select(key, "r.*")
+
+
+def merged_across(own: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """A side's rows and, of the other side's, those that are not already there."""
+    return own.unionByName(other.join(own.select(key), key, "left_anti").select(*own.columns))
+
+
+def tenants_across(tenants: DataFrame, parcels: DataFrame, buildings: DataFrame) -> DataFrame:
+    """Tenants (code, match, pid, bid) of the other side: exact matches on a parcel or building that was kept; the reference that was not is
+    null."""
+    p, b = parcels.select("pid", F.lit(True).alias("has_p")), buildings.select("bid", F.lit(True).alias("has_b"))
+    x = tenants.where("match = 'exact'").join(p, "pid", "left").join(b, "bid", "left").where("has_p OR has_b")
+    return x.select("code", "match", F.when(F.col("has_p"), F.col("pid")).alias("pid"), F.when(F.col("has_b"), F.col("bid")).alias("bid"))

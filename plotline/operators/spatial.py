@@ -156,3 +156,12 @@ def home_of_points(points: DataFrame, polygons: DataFrame, reach: float, size: f
     x = x.withColumn("d", F.when(G.inside(*at, F.col("ring")), 0.0).otherwise(G.to_outline(*at, F.col("ring"))))
     x = x.withColumn("out", F.when(G.inside(*at, F.col("ring")), 0).otherwise(1)).where((F.col("out") == 0) | (F.col("d") < reach))
     return x.groupBy("tile", "point").agg(F.min_by(F.struct("polygon", "d"), F.struct("out", F.round("d", 9).alias("k"), "polygon")).alias("m")).select("tile", "point", "m.polygon", "m.d")
+
+
+def entrance_of_points(points: DataFrame, entrances: DataFrame, radius: float) -> DataFrame:
+    """tile, left, right, d2: the nearest entrance (tile, id, x, z, main) of each point within ``radius``; of equally near ones a main entrance,
+    then the smallest id."""
+    main = entrances.select("tile", F.col("id").alias("right"), "main")
+    near = near_pairs(points, entrances, radius).join(main, ["tile", "right"])
+    best = F.min_by(F.struct("right", "d2"), F.struct("d2", (~F.col("main")).alias("side"), "right"))
+    return near.groupBy("tile", "left").agg(best.alias("m")).select("tile", "left", "m.right", "m.d2")

@@ -527,3 +527,53 @@ def q5(spark, d):
     rows = load(spark, d, "parcel").select(F.col("address").alias("first"), F.replace(F.col("address"), F.lit("Aeru"), F.lit("Årgatan")).alias("second"), F.col("municipality").alias("town"))
     asked = spark.createDataFrame([("aeru", None), ("argat", "vald1"), ("kesk maantee 2", None)], "q string, town string")
     return search.addresses_starting(rows, asked, 8)
+
+
+@query("j10_entrances", with_tables("building", "poi", rest="""WITH e AS (SELECT tile, bid AS id, x, z, kind = 'dwelling' AS main FROM building UNION ALL SELECT tile, bid + 1000000, x, z, kind <> 'dwelling' FROM building)
+SELECT tile, "left", "right", d2 FROM (SELECT q.tile, q.poi AS "left", e.id AS "right", (q.x - e.x) * (q.x - e.x) + (q.z - e.z) * (q.z - e.z) AS d2, row_number() OVER (PARTITION BY q.poi ORDER BY (q.x - e.x) * (q.x - e.x) + (q.z - e.z) * (q.z - e.z), NOT main, e.id) AS r FROM poi q JOIN e ON e.tile = q.tile AND (q.x - e.x) * (q.x - e.x) + (q.z - e.z) * (q.z - e.z) <= 3600) y WHERE r = 1"""))
+def j10(spark, d):
+    b, c = load(spark, d, "building"), F.col
+    doors = b.select("tile", c("bid").alias("id"), "x", "z", (c("kind") == "dwelling").alias("main"))
+    doors = doors.unionByName(b.select("tile", (c("bid") + 1000000).alias("id"), "x", "z", (c("kind") != "dwelling").alias("main")))
+    return spatial.entrance_of_points(load(spark, d, "poi").select("tile", c("poi").alias("id"), "x", "z"), doors, 60.0)
+
+
+@query("w16_spikes_with_context", "WITH x AS (SELECT user_id, event_id, coalesce(value >= 90, false) AS spike, lead(value >= 90) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) SELECT user_id, event_id, spike FROM x WHERE spike OR coalesce(n, false)")
+def w16(spark, d):
+    from plotline.operators import lists
+
+    return lists.with_context(load(spark, d, "events"), "user_id", "event_id", F.col("value") >= 90).select("user_id", "event_id", "spike")
+
+
+@query("st8_stale_packs", with_tables("building", rest="SELECT bid FROM building WHERE year IS NULL OR year < 1980"))
+def st8(spark, d):
+    from plotline.operators import lists
+
+    return lists.stale(load(spark, d, "building"), F.col("year"), 1980).select("bid")
+
+
+_SIDES = "o AS (SELECT pid, area FROM parcel WHERE ownership IN ('private', 'municipal')), t AS (SELECT pid, area + 1 AS area FROM parcel WHERE ownership IN ('municipal', 'state') AND purpose IS NOT NULL), k AS (SELECT * FROM o UNION ALL SELECT * FROM t WHERE pid NOT IN (SELECT pid FROM o))"
+
+
+@query("j38_merged_parcels", with_tables("parcel", rest=f"WITH {_SIDES} SELECT pid, area FROM k"))
+def j38(spark, d):
+    p = load(spark, d, "parcel")
+    return registers.merged_across(p.where("ownership IN ('private', 'municipal')").select("pid", "area"), p.where("ownership IN ('municipal', 'state') AND purpose IS NOT NULL").select("pid", (F.col("area") + 1).alias("area")), "pid")
+
+
+@query("j38_merged_tenants", _with("company", "parcel", "building", rest=_J1 + f", {_SIDES}, kb AS (SELECT bid FROM building WHERE kind <> 'other') SELECT m.code, m.match, k.pid, kb.bid FROM matched m LEFT JOIN k ON k.pid = m.pid LEFT JOIN kb ON kb.bid = m.bid WHERE m.match = 'exact' AND (k.pid IS NOT NULL OR kb.bid IS NOT NULL)"))
+def j38b(spark, d):
+    return registers.tenants_across(_matched(spark, d), j38(spark, d), load(spark, d, "building").where("kind <> 'other'"))
+
+
+@query("r18_canopy_masked", with_tables("cell", "building", rest="WITH f AS (SELECT DISTINCT tile % 4 AS tile, z % 40 + b AS y, x % 40 + a AS x FROM building, (SELECT unnest(range(0, 12)) AS a), (SELECT unnest(range(0, 9)) AS b) WHERE a < w AND b < d) SELECT c.tile, c.y, c.x, CASE WHEN f.tile IS NOT NULL THEN 0 ELSE v END AS v FROM cell c LEFT JOIN f ON f.tile = c.tile AND f.y = c.y AND f.x = c.x"))
+def r18(spark, d):
+    b = load(spark, d, "building").selectExpr("tile % 4 AS tile", "z % 40 AS y0", "x % 40 AS x0", "w", "d")
+    at = b.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("w") - 1))).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("d") - 1)))
+    return raster.masked_out(load(spark, d, "cell"), at.select("tile", (F.col("y0") + F.col("b")).alias("y"), (F.col("x0") + F.col("a")).alias("x"))).select("tile", "y", "x", "v")
+
+
+@query("a31_all_bounds", with_tables("parcel", rest="SELECT min(x) AS xmin, min(z) AS zmin, max(x + side) AS xmax, max(z + side) AS zmax FROM parcel"))
+def a31(spark, d):
+    e = load(spark, d, "parcel").select(G.envelope(G.square(F.col("x"), F.col("z"), F.col("side"))).alias("e"))
+    return e.agg(*(f(f"e.{c}").cast("long").alias(c) for f, c in ((F.min, "xmin"), (F.min, "zmin"), (F.max, "xmax"), (F.max, "zmax"))))
