@@ -89,6 +89,9 @@ def test_ftrl_by_hand(spark):
     import zlib
 
     import numpy as np
+    import pyarrow as pa
+
+    from plotline.llm._text import flat
 
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -97,9 +100,17 @@ def test_ftrl_by_hand(spark):
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-    def features(t):
+    def plain(t):
         w = [x.translate(low) for x in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", t)]
-        return {(0, x) for x in w} | {(k, a, b) for k in (1, 2, 3) for a, b in zip(w, w[k:])} | {"bias"}
+        return {(0, x) for x in w} | {(k, a, b) for k in (1, 2, 3) for a, b in zip(w, w[k:])}
+
+    def features(t):  # the coordinates that hashing gives, which distinct features may share
+        at, _ = toxicity.features(*flat(pa.array([t])))
+        return {*at.tolist(), "bias"}
+
+    short = [t for t in texts.values() if len(t) < 400][:60]
+    assert [len(features(t)) - 1 for t in short] == [len(plain(t)) for t in short] and short
+    assert len({*features("a b c d"), *features("A, b - c d")}) == len(features("a b c d"))
 
     z, n = {}, {}
     weight = lambda f: 0.0 if abs(z.get(f, 0.0)) <= 8 else -math.copysign(abs(z[f]) - 8, z[f]) / ((1 + math.sqrt(n[f])) / 2 + 0.1)
@@ -115,5 +126,5 @@ def test_ftrl_by_hand(spark):
                 z[x] = z.get(x, 0.0) + g - (math.sqrt(a + g * g) - math.sqrt(a)) / 2 * w[x]
                 n[x] = a + g * g
     got = toxicity.classify_toxicity(docs, labels).collect()
-    far = [r for r in got if abs(r.score - 1 / (1 + math.exp(-sum(map(weight, features(texts[r.doc_id])))))) > 0.02]  # hashed features meet now and then
-    assert len(far) < 0.02 * len(got)
+    for r in got:
+        assert abs(r.score - 1 / (1 + math.exp(-sum(map(weight, features(texts[r.doc_id])))))) < 1e-6
