@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 from plotline.functions.text import fold_street, street_of
 
 
+#: Queries that are asked at once; each is compared with every row, so more of them go in several calls.
+MOST_ASKED = 10_000
+
+
+def _few(asked: DataFrame) -> DataFrame:
+    """``asked``, to be sent to every task, if it is small enough for that."""
+    if asked.count() > MOST_ASKED:
+        raise ValueError(f"more than {MOST_ASKED} queries at once")
+    return F.broadcast(asked)
+
+
 def score(haystack: Column, needle: Column) -> Column:
     """4 exact, 3 prefix, 2 substring, 0 otherwise, on folded text; needles under two letters find nothing."""
     h, n = F.trim(fold_street(haystack)), F.trim(fold_street(needle))
@@ -23,9 +34,9 @@ def streets(parcels: DataFrame) -> DataFrame:
 def find(asked: DataFrame, layers: dict[str, tuple[DataFrame, int]], limit: int) -> DataFrame:
     """q, place, kind, label for queries (q): layers are kind -> (rows with label, bonus). The best of each kind comes first, then
     the score, then the label. Only scored candidates are kept before ranking; the queries are the small side."""
-    found = None
+    found, few = None, _few(asked)
     for kind, (rows, bonus) in layers.items():
-        x = rows.select("label").join(F.broadcast(asked)).withColumn("score", score(F.col("label"), F.col("q"))).where("score > 0")
+        x = rows.select("label").join(few).withColumn("score", score(F.col("label"), F.col("q"))).where("score > 0")
         x = x.select("q", F.lit(kind).alias("kind"), "label", (F.col("score") + bonus).alias("score"))
         found = x if found is None else found.unionByName(x)
     best = W.partitionBy("q", "kind").orderBy(F.desc("score"), "label")
@@ -37,7 +48,7 @@ def find(asked: DataFrame, layers: dict[str, tuple[DataFrame, int]], limit: int)
 def words_in_key(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     """q, place, key: every word of the query is in the key; shorter keys first."""
     words = F.filter(F.split(F.lower("q"), r"\s+"), lambda w: w != "")
-    x = rows.join(F.broadcast(asked.withColumn("words", words))).where(F.forall("words", lambda w: F.contains(F.lower("key"), w)))
+    x = rows.join(_few(asked.withColumn("words", words))).where(F.forall("words", lambda w: F.contains(F.lower("key"), w)))
     w = W.partitionBy("q").orderBy(F.length("key"), "key")
     return x.select("q", "key").distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("q", "place", "key")
 
@@ -46,7 +57,7 @@ def addresses_starting(rows: DataFrame, asked: DataFrame, limit: int) -> DataFra
     """q, place, name for queries (q, town): distinct names of addresses (first, second, town: two languages) that start with the query, in
     the town if one is asked for; the second language's name if only that starts with it."""
     starts = lambda c: F.startswith(fold_street(F.col(c)), fold_street(F.col("q")))
-    x = rows.withColumnRenamed("town", "at").join(F.broadcast(asked), (starts("first") | starts("second")) & (F.col("town").isNull() | F.startswith(F.lower("at"), F.lower("town"))))
+    x = rows.withColumnRenamed("town", "at").join(_few(asked), (starts("first") | starts("second")) & (F.col("town").isNull() | F.startswith(F.lower("at"), F.lower("town"))))
     name = F.concat_ws(", ", F.when(~starts("first"), F.col("second")).otherwise(F.col("first")), F.initcap("at"))
     x = x.select("q", name.alias("name")).distinct()
     return x.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy("name"))).where(F.col("place") <= limit).select("q", "place", "name")
