@@ -28,7 +28,9 @@ from plotline.llm._text import U, chunks, span_hash, splitmix, words
 from plotline.session import forget, stored
 
 #: Words and bigrams whose counts are broadcast (16 bytes each).
-VOCABULARY, HOT = 1 << 19, 1 << 19
+VOCABULARY, HOT = 1 << 19, 1 << 20
+#: Occurrences within a task's share from which a bigram may be among the most frequent ones.
+REPEATS = 3
 MIN_COUNT = 2
 BACKOFF = 0.4
 #: Distinct n-grams that a task counts before it sends its sums and begins anew.
@@ -103,7 +105,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
         def sums(size: int) -> Iterator[pa.RecordBatch]:
             c = counters[size - 1]
             c.merge()
-            some = np.flatnonzero(c.n >= size)
+            some = np.flatnonzero(c.n >= (1 if size == 1 else REPEATS))
             for lo in range(0, len(some), 500_000):
                 at = some[lo : lo + 500_000]
                 before = pa.nulls(len(at), pa.int64()) if size == 1 else pa.array(first_words(c.have[at]))

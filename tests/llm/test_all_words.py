@@ -28,7 +28,8 @@ def same(got, want):
 
 
 @pytest.mark.parametrize("most,hot", [(0, 0), (1, 256), (3, 2), (5, 0), (1 << 16, 1 << 16)])
-def test_words_without_a_number_keep_their_counts(spark, most, hot):
+def test_words_without_a_number_keep_their_counts(spark, monkeypatch, most, hot):
+    monkeypatch.setattr(lm_scoring, "REPEATS", 2)  # few texts repeat more often
     docs = [WORD.findall((t or "").lower()) for t in TEXTS]
     table = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1)  # bigrams repeat within the task
     same(lm_scoring.stupid_backoff(table, most=most, hot=hot).collect(), by_hand(docs))
