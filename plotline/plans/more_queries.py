@@ -510,11 +510,11 @@ def w8(spark, d):
 
 
 @query("r16_seam", with_tables("cell", rest="""WITH n AS (SELECT tile + 1 AS tile, y, v FROM cell WHERE x = 47), s AS (SELECT n.tile, n.y, n.v - c.v AS step FROM n JOIN cell c ON c.tile = n.tile AND c.y = n.y AND c.x = 0)
-SELECT c.tile, c.y, c.x, round(c.v + coalesce(step, 0) * t * t * (3 - 2 * t), 6) AS v FROM (SELECT *, greatest(0.0, 1.0 - x / 40.0) AS t FROM cell) c LEFT JOIN s ON s.tile = c.tile AND s.y = c.y"""))
+SELECT c.tile, c.y, c.x, round(c.v + coalesce(step, 0) * t * t * (3 - 2 * t), 9) AS v FROM (SELECT *, greatest(0.0, 1.0 - x / 40.0) AS t FROM cell) c LEFT JOIN s ON s.tile = c.tile AND s.y = c.y"""))
 def r16(spark, d):
     c = load(spark, d, "cell")
     west = c.where("x = 47").select((F.col("tile") + 1).alias("tile"), "y", "v")
-    return raster.blend_west_edge(c, west).withColumn("v", F.round("v", 6))
+    return raster.blend_west_edge(c, west).withColumn("v", F.round("v", 9))
 
 
 @query("q5_address_prefix", with_tables("parcel", rest="""WITH a AS (SELECT address AS f, replace(address, 'Aeru', 'Årgatan') AS s, municipality AS m FROM parcel), q AS (SELECT * FROM (VALUES ('aeru', NULL), ('argat', 'vald1'), ('kesk maantee 2', NULL)) AS t(q, town)),
