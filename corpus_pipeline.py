@@ -27,14 +27,23 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+#: Rejected texts (16 bytes each) that are sent to every task; more of them are joined by shuffle.
+MOST_BROADCAST = 1 << 20
+
+
+def _hinted(table: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if its checked size allows it."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
+
+
 def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (F.xxhash64(a["text"]) == b["text_hash"])
 
 
 def _without(docs: DataFrame, rejected: DataFrame, tag: str) -> DataFrame:
-    """``docs`` without the rows whose id and text (by its hash) are in ``rejected``; that table is written first, so that Spark knows its
-    size and broadcasts it if it is small."""
-    gone, _ = stored(rejected.select("doc_id", "text_hash").distinct(), tag)
+    """``docs`` without the rows whose id and text (by its hash) are in ``rejected``; that table is written first, so that its size is known
+    and texts need not move while it is small."""
+    gone = _hinted(stored(rejected.select("doc_id", "text_hash").distinct(), tag)[0])
     return docs.join(gone, _same(docs, gone), "left_anti").select(*docs.columns)
 
 
@@ -56,7 +65,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     x = rows.join(kept.select("component", "k", "texts"), "component")
     stays = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash"))
     left = _without(docs, x.where(~stays), "dropped")
-    twins, _ = stored(x.where(stays & (F.col("n") > 1)).select("doc_id", "text_hash"), "twins")  # kept texts that several rows hold
+    twins = _hinted(stored(x.where(stays & (F.col("n") > 1)).select("doc_id", "text_hash"), "twins")[0])  # kept texts that several rows hold
     once = left.join(twins, _same(left, twins), "left_semi").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
     return left.join(twins, _same(left, twins), "left_anti").select(*docs.columns).unionByName(once)
 
