@@ -77,6 +77,12 @@ def op10_lm_scoring_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stupid_backoff(_table(spark, sf_dir, "documents"))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm.runs import run_digests
+
+    return run_digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
