@@ -122,3 +122,13 @@ def per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     if some.any():
         out[some] = np.add.reduceat(values.astype(np.float64), first[:-1][some])
     return out
+
+
+def joined(data: np.ndarray, starts: np.ndarray, size: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words (by number) each with a space behind it, and where each one begins in these bytes."""
+    size = size[kept]
+    at = np.concatenate(([0], np.cumsum(size + 1)))
+    out = np.full(at[-1], 32, np.uint8)
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[place + np.repeat(at[:-1], size)] = data[place + np.repeat(starts[kept], size)]
+    return out, at

@@ -77,6 +77,12 @@ def op10_lm_scoring_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stupid_backoff(_table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plotline.llm.runs import run_digests
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm._text import chunks, owners, words
+from plotline.llm._text import chunks, joined, owners, words
 
 MIN_LENGTH = 12
 #: Bytes of text that are searched at once (one longer document stands alone).
@@ -222,16 +222,6 @@ def _rewritten(n: np.ndarray, first: np.ndarray, seed: np.ndarray) -> np.ndarray
     return src
 
 
-def _joined(data: np.ndarray, starts: np.ndarray, size: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words (by number) each with a space behind it, and where each one begins in these bytes."""
-    size = size[kept]
-    at = np.concatenate(([0], np.cumsum(size + 1)))
-    out = np.full(at[-1], 32, np.uint8)
-    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    out[place + np.repeat(at[:-1], size)] = data[place + np.repeat(starts[kept], size)]
-    return out, at
-
-
 def periodic_runs(docs: DataFrame, rewrite: bool = False) -> DataFrame:
     """doc_id, runs (by start, then period), collapsed: the text's words without those that lie in a run after its first period, joined
     by one space. With ``rewrite`` a tenth of the documents (by the CRC-32 of their ids) first get a periodic tail."""
@@ -254,7 +244,7 @@ def periodic_runs(docs: DataFrame, rewrite: bool = False) -> DataFrame:
             np.add.at(gone, start + period, 1)
             np.add.at(gone, start + length, -1)
             kept = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
-            text, at = _joined(data, starts, size, src[kept])
+            text, at = joined(data, starts, size, src[kept])
             bounds = at[np.searchsorted(kept, first)]
             some = np.flatnonzero(np.diff(bounds))
             cut = np.ones(len(text), bool)
