@@ -77,6 +77,12 @@ def op10_lm_scoring_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stupid_backoff(_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm.simhash import simhash_groups
+
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plotline.llm.whitening import whiten
 
