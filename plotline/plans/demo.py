@@ -15,6 +15,24 @@ def _full(k: str) -> str:
     return FULL.format(k=k, street="(" + STREET.format(k=k) + ")") + " AS full_address"
 
 
+#: Turned footprints: width, depth, angle in radians, and middles far enough apart for rasters of one metre.
+_W, _D, _A = "(10 + 2 * ({k} % 5))", "(6 + 2 * ({k} % 3))", "(({k} * 7) % 180 * 3.141592653589793 / 180)"
+_CX, _CZ = "(CAST(floor({k} / 9) AS BIGINT) % 30 * 34 + 16)", "(CAST(floor({k} / 270) AS BIGINT) * 34 + 16)"
+
+
+def _corners(table: str, k: str) -> str:
+    """The corners of turned rectangles, every fifth with a corner cut out: shape, tile, seq, x, z."""
+    whole = [("-1", "-1"), ("1", "-1"), ("1", "1"), ("-1", "1")]
+    cut = [("-1", "-1"), ("1", "-1"), ("1", "1"), ("0", "1"), ("0", "0"), ("-1", "0")]
+    a, w, d, cx, cz = (t.format(k=k) for t in (_A, _W, _D, _CX, _CZ))
+    each = []
+    for is_cut, ring in ((False, whole), (True, cut)):
+        for seq, (u, v) in enumerate(ring):
+            x, z = f"{u} * {w} / 2.0", f"{v} * {d} / 2.0"
+            each.append(f"SELECT {k} AS shape, {k} % 9 AS tile, {seq} AS seq, {cx} + ({x}) * cos({a}) - ({z}) * sin({a}) AS x, {cz} + ({x}) * sin({a}) + ({z}) * cos({a}) AS z FROM {{{table}}} WHERE {k} % 5 {'=' if is_cut else '<>'} 0")
+    return " UNION ALL ".join(each)
+
+
 #: name -> (tables it reads, SQL with {table} holes)
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "parcel": (("part",), """
@@ -76,6 +94,14 @@ FROM {orders}"""),
     "pixel": (("lineitem",), """
 SELECT l_orderkey * 10 + l_linenumber AS pixel, CAST((l_orderkey * 7) % 101 AS DOUBLE) / 100 AS r, CAST((l_partkey * 13) % 101 AS DOUBLE) / 100 AS g, CAST((l_suppkey * 29 + l_orderkey) % 101 AS DOUBLE) / 100 AS b, CASE WHEN l_orderkey % 5 > 0 THEN CAST(l_linenumber AS DOUBLE) / 2 END AS canopy
 FROM {lineitem}"""),
+    "corner": (("part",), _corners("part", "p_partkey")),
+    "wall": (("supplier",), _corners("supplier", "s_suppkey")),
+    "roof_cell": (("lineitem",), """
+SELECT k % 9 AS tile, y, x, CASE WHEN k % 11 = 0 THEN 1.0 ELSE noise + CASE k % 4 WHEN 0 THEN 6.0 WHEN 1 THEN 3 + 4 * (1 - abs(v) / (d / 2.0)) WHEN 2 THEN 3 + 4 * (1 - abs(u) / (w / 2.0)) ELSE 3 + 4 * greatest(0.0, least(1.0, least(1 - abs(v) / (d / 2.0), (w / 2.0 - abs(u)) / (d / 2.0)))) END END AS v
+FROM (SELECT k, y, x, noise, w, d, (x + 0.5 - cx) * cos(a) + (y + 0.5 - cz) * sin(a) AS u, (y + 0.5 - cz) * cos(a) - (x + 0.5 - cx) * sin(a) AS v
+      FROM (SELECT k, i + cx - 16 AS x, j + cz - 16 AS y, noise, cx, cz, w, d, a
+            FROM (SELECT k, i, j, max(q) / 100.0 AS noise, """ + ", ".join(f"{t.format(k='k')} AS {n}" for t, n in ((_CX, "cx"), (_CZ, "cz"), (_W, "w"), (_D, "d"), (_A, "a"))) + """
+                  FROM (SELECT l_suppkey AS k, (l_orderkey * 7 + l_linenumber * 13 + l_partkey) % 31 AS i, (l_partkey * 5 + l_orderkey + l_linenumber) % 31 AS j, CAST(l_quantity AS BIGINT) AS q FROM {lineitem}) r GROUP BY k, i, j) g) h) c"""),
 }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotline.plans import list_queries, map_queries, more_queries, register_queries, stream_queries  # noqa: F401
+from plotline.plans import list_queries, map_queries, more_queries, osm_queries, register_queries, shape_queries, stream_queries  # noqa: F401
 from plotline.plans.registry import FOUND, ORACLES
 
 
