@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotline.functions import text as T
+from plotline.operators import spatial
 
 
 def address_keys(rows: DataFrame, key: str, address: str) -> DataFrame:
@@ -18,37 +19,53 @@ def best_building(buildings: DataFrame, key: list[str]) -> DataFrame:
     return buildings.groupBy(*key).agg(F.max_by("bid", F.struct(F.col("kind") != "outbuilding", F.col("w") * F.col("d"), -F.col("bid"))).alias("bid"))
 
 
+def parcel_of_building(buildings: DataFrame, parcels: DataFrame) -> DataFrame:
+    """bid, pid: the parcel that a building (bid, pid, tile, x, z) names, else the one (pid, tile, ring) that holds it; the smallest id if several do."""
+    lost = buildings.where("pid IS NULL").select("tile", F.col("bid").alias("point"), "x", "z")
+    held = spatial.point_in_polygon(lost, parcels.where("ring IS NOT NULL").select("tile", F.col("pid").alias("polygon"), "ring"))
+    return buildings.where("pid IS NOT NULL").select("bid", "pid").unionByName(held.select(F.col("point").alias("bid"), F.col("polygon").alias("pid")))
+
+
 def match_cascade(companies: DataFrame, parcels: DataFrame, buildings: DataFrame) -> DataFrame:
-    """code, match, via, pid, bid for companies (code, address, adr_id), parcels (pid, address) and buildings (bid, address, kind, w, d,
-    adr_id, pid): the building with the company's address id; the first parcel with the full address; the only parcel with street and
-    number, for companies without a letter; the best building of the full address; the street is known; without a number, the first
-    parcel of that farm name. A matched building brings its parcel along.
-
-    Each step is an equi-join to a key table with one row for each key, so no company multiplies."""
-    c = companies.select("code", "adr_id", T.address_parts(F.coalesce("address", F.lit(""))).alias("k")).select("code", "adr_id", "k.*")
-    p, b = address_keys(parcels, "pid", "address"), address_keys(buildings, "bid", "address")
-    shape = buildings.select("bid", "kind", "w", "d", F.col("pid").alias("b_pid"), F.col("adr_id").alias("b_adr"))
-    of = lambda rows, key, name: best_building(rows, key).withColumnRenamed("bid", name).join(shape.select(F.col("bid").alias(name), F.col("b_pid").alias(f"{name}_pid")), name)
-    ads = of(shape.where("b_adr IS NOT NULL").withColumn("adr_id", F.col("b_adr")), ["adr_id"], "by_id")
-    numbered = p.where("num <> ''")
-    full = numbered.groupBy("stem", "num", "sub").agg(F.min("pid").alias("p_full"))
-    alone = numbered.groupBy("stem", "num").agg(F.min("pid").alias("p_alone"), F.count("*").alias("k")).where("k = 1").drop("k")
-    house = of(b.where("num <> ''").join(shape, "bid"), ["stem", "num", "sub"], "by_key")
-    streets = numbered.select("stem").union(b.where("num <> ''").select("stem")).distinct().withColumn("known", F.lit(True))
-    farms = p.where("num = '' AND stem <> ''").groupBy("stem").agg(F.min("pid").alias("p_farm"))
-    x = c.join(ads, "adr_id", "left").join(full, ["stem", "num", "sub"], "left").join(alone, ["stem", "num"], "left").join(house, ["stem", "num", "sub"], "left").join(streets, "stem", "left").join(farms, "stem", "left")
-    has_number = F.col("num") != ""
-    via = (
-        F.when(F.col("by_id").isNotNull(), "ads")
-        .when(has_number & (F.col("p_full").isNotNull() | F.col("p_alone").isNotNull() & (F.col("sub") == "")), "address")
-        .when(has_number & F.col("by_key").isNotNull(), "building")
-        .when(~has_number & F.col("p_farm").isNotNull(), "farm")
-    )
+    """code, match, via, pid, bid for companies (code, address, adr_id), parcels (pid, address, tile, ring) and buildings (bid, address, addresses
+    ARRAY, ids ARRAY, kind, w, d, pid, tile, x, z): the building with the company's address id among its own; the first parcel with the
+    full address; the only parcel with street and number, for companies without a letter; the best building of the full address,
+    under any of its addresses; the street is known; without a number, the first parcel of that farm name. A matched building brings its
+    parcel along, or the one around it.
+
+    All keys are one table, aggregated once: full addresses, street and number, street, and address ids, each with the parcels and
+    buildings there. A company asks for the keys that concern it, so there is one join, and one row for each company again."""
+    home = buildings.join(parcel_of_building(buildings, parcels).withColumnRenamed("pid", "b_pid"), "bid", "left")
+    rank = F.struct(F.coalesce(F.col("kind") != "outbuilding", F.lit(True)).alias("main"), (F.col("w") * F.col("d")).cast("double").alias("size"), (-F.col("bid")).alias("first"))
+    home = home.select("bid", "address", "addresses", "ids", F.struct(rank.alias("rank"), "bid", "b_pid").alias("b"))
+    known = F.array_distinct(F.filter(F.concat(F.array("address"), F.coalesce("addresses", F.array().cast("array<string>"))), lambda a: a.isNotNull()))
+    none = F.lit(None)
+    parts = T.address_alternates(F.col("a"))
+    each = parcels.select(F.col("address").alias("a"), "pid", none.cast(home.schema["b"].dataType).alias("b")).withColumn("k", F.explode(parts))
+    each = each.select("k", F.col("pid").cast("long").alias("pid"), "b").union(home.select(F.explode(known).alias("a"), "b").select(F.explode(parts).alias("k"), none.cast("long").alias("pid"), "b"))
+    key = lambda level, a, b, c: F.struct(F.lit(level).alias("level"), a.alias("a"), b.alias("b"), c.alias("c"))
+    blank, at = F.lit(""), F.col("k")
+    numbered = at["num"] != ""
+    levels = F.array(key("full", at["stem"], at["num"], at["sub"]), key("house", at["stem"], at["num"], blank), key("street", at["stem"], blank, blank))
+    rows = each.where((at["stem"] != "") & (numbered | F.col("pid").isNotNull())).select(F.explode(F.when(numbered, levels).otherwise(F.slice(levels, 1, 1))).alias("key"), "pid", "b")
+    by_id = home.select(F.explode("ids").alias("id"), "b").where("id IS NOT NULL").select(key("id", F.col("id"), blank, blank).alias("key"), none.cast("long").alias("pid"), "b")
+    table = rows.union(by_id).groupBy("key").agg(F.min("pid").alias("pid"), F.count("pid").alias("pids"), F.max("b").alias("b"))
+    c = companies.select("code", "adr_id", T.address_parts(F.coalesce("address", F.lit(""))).alias("k"))
+    asked = F.filter(F.concat(F.array(key("id", F.col("adr_id"), blank, blank)), F.when(at["num"] != "", levels).otherwise(F.slice(levels, 1, 1))), lambda x: x["a"].isNotNull())
+    found = c.select("code", "k", F.explode(asked).alias("key")).join(table, "key", "left")
+    of = lambda level, what: F.any_value(F.when(F.col("key.level") == level, what), ignoreNulls=True)
+    x = found.groupBy("code").agg(
+        F.any_value("k").alias("k"), of("id", F.col("b")).alias("own"), of("full", F.col("pid")).alias("p_full"), of("full", F.col("b")).alias("here"),
+        of("house", F.when(F.col("pids") == 1, F.col("pid"))).alias("p_alone"), of("street", F.col("pids")).alias("on_street"),
+    )
+    has_number = at["num"] != ""
+    alone = F.when(at["sub"] == "", F.col("p_alone"))
+    via = F.when(F.col("own").isNotNull(), "ads").when(has_number & F.coalesce("p_full", alone).isNotNull(), "address").when(has_number & F.col("here").isNotNull(), "building").when(~has_number & F.col("p_full").isNotNull(), "farm")
     x = x.withColumn("via", via)
-    pid = F.when(F.col("via") == "ads", F.col("by_id_pid")).when(F.col("via") == "address", F.coalesce("p_full", "p_alone")).when(F.col("via") == "building", F.col("by_key_pid")).when(F.col("via") == "farm", F.col("p_farm"))
-    bid = F.when(F.col("via") == "ads", F.col("by_id")).when(F.col("via") == "building", F.col("by_key"))
-    kind = F.when(F.col("via").isNotNull(), "exact").when(has_number & F.col("known"), "street").otherwise("none")
-    return x.select("code", kind.alias("match"), "via", pid.alias("pid"), bid.alias("bid"))
+    building = F.when(F.col("via") == "ads", F.col("own")).when(F.col("via") == "building", F.col("here"))
+    pid = F.when(F.col("via").isin("ads", "building"), building["b_pid"]).otherwise(F.when(F.col("via").isNotNull(), F.coalesce("p_full", F.when(has_number, alone))))
+    kind = F.when(F.col("via").isNotNull(), "exact").when(has_number & F.col("on_street").isNotNull(), "street").otherwise("none")
+    return x.select("code", kind.alias("match"), "via", pid.alias("pid"), building["bid"].alias("bid"))
 
 
 def match_lv(companies: DataFrame, parcels: DataFrame, buildings: DataFrame) -> DataFrame:

@@ -44,9 +44,11 @@ def holders(officers: DataFrame) -> DataFrame:
 
 def statuses(companies: DataFrame, proceedings: DataFrame) -> DataFrame:
     """code, status: N (insolvent), L (in liquidation), P (legal protection) or R, in this order, by proceedings (code, form, ended) that
-    have not ended; liquidations count whether or not they have."""
-    running = lambda form: F.count_if((F.col("form") == form) & ~F.col("ended")) > 0
-    p = proceedings.groupBy("code").agg(running("INSOLVENCY").alias("n"), (F.count_if(F.col("form") == "LIQUIDATION") > 0).alias("l"), running("PROTECTION").alias("p"))
+    have not ended: any form but insolvency and liquidation, or none, protects. Liquidations count whether or not they have."""
+    form, running = F.coalesce("form", F.lit("")), F.coalesce(~F.col("ended"), F.lit(True))
+    is_n, is_l = form == "INSOLVENCY", form == "LIQUIDATION"
+    any_of = lambda c: F.count_if(c) > 0
+    p = proceedings.groupBy("code").agg(any_of(is_n & running).alias("n"), any_of(is_l).alias("l"), any_of(~is_n & ~is_l & running).alias("p"))
     return companies.select("code").join(p, "code", "left").select("code", F.when(F.col("n"), "N").when(F.col("l"), "L").when(F.col("p"), "P").otherwise("R").alias("status"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 STREET = "CASE {k} % 8 WHEN 0 THEN 'Aeru tn' WHEN 1 THEN 'Jõe tänav' WHEN 2 THEN 'Kesk maantee' WHEN 3 THEN 'Madruse tn' WHEN 4 THEN 'Klaose tee' WHEN 5 THEN 'Õie puiestee' WHEN 6 THEN 'Lille põik' ELSE 'Pargi allee' END || ' ' || CAST(1 + {k} % 50 AS STRING) || CASE WHEN {k} % 10 = 3 THEN 'b' ELSE '' END"
 #: Addresses as registers write them: farms without a number, several alternates, flats, corner houses, commas, unknown streets, none.
-FULL = "CASE WHEN {k} % 23 = 5 THEN CASE {k} % 3 WHEN 0 THEN 'Kasemäe' WHEN 1 THEN 'Vana-Jaani' ELSE 'Oru talu' END WHEN {k} % 19 = 4 THEN {street} || ' // ' || CAST(1 + {k} % 30 AS STRING) WHEN {k} % 29 = 7 THEN 'Lille põik ' || CAST(1 + {k} % 20 AS STRING) || 'a // ' || {street} || ' // ' || CAST(1 + {k} % 40 AS STRING) || 'B' WHEN {k} % 17 = 3 THEN {street} || '-12' WHEN {k} % 13 = 6 THEN {street} || '/3' WHEN {k} % 41 = 1 THEN 'Olematu tänav 3.' WHEN {k} % 37 = 1 THEN '' ELSE {street} END"
+FULL = "CASE WHEN {k} % 23 = 5 THEN CASE {k} % 3 WHEN 0 THEN 'Kasemäe' WHEN 1 THEN 'Vana-Jaani' ELSE 'Oru talu' END WHEN {k} % 19 = 4 THEN {street} || ' // ' || CAST(1 + {k} % 30 AS STRING) WHEN {k} % 29 = 7 THEN 'Lille põik ' || CAST(1 + {k} % 20 AS STRING) || 'a // ' || {street} || ' // ' || CAST(1 + {k} % 40 AS STRING) || 'B' WHEN {k} % 17 = 3 THEN {street} || '-12' WHEN {k} % 13 = 6 THEN {street} || '/3' WHEN {k} % 31 = 2 THEN {street} || '/2õ' WHEN {k} % 31 = 5 THEN {street} || '-1ä' WHEN {k} % 31 = 9 THEN 'Jo\u0303e tänav ' || CAST(1 + {k} % 50 AS STRING) || 'a\u0308' WHEN {k} % 41 = 1 THEN 'Olematu tänav 3.' WHEN {k} % 37 = 1 THEN '' ELSE {street} END"
 
 
 
@@ -50,12 +50,12 @@ FROM {part}"""),
 SELECT s_suppkey AS bid, s_suppkey % 9 AS tile, (s_suppkey * 53) % 1024 AS x, (s_suppkey * 29) % 1024 AS z, 6 + s_suppkey % 7 AS w, 5 + s_suppkey % 5 AS d,
        CASE s_suppkey % 3 WHEN 0 THEN 'dwelling' WHEN 1 THEN 'outbuilding' ELSE 'other' END AS kind, CASE WHEN s_suppkey % 8 = 0 THEN NULL ELSE 1900 + s_suppkey % 120 END AS year,
        1 + s_suppkey % 5 AS floors, """ + STREET.format(k="s_suppkey") + """ AS address, """ + _full("s_suppkey") + """,
-       CASE WHEN s_suppkey % 3 = 0 THEN 'A' || CAST(s_suppkey % 40 AS STRING) END AS adr_id, CASE WHEN s_suppkey % 4 <> 0 THEN (s_suppkey * 17) % 190 + 1 END AS pid
+       CASE WHEN s_suppkey % 3 = 0 THEN 'A' || CAST(s_suppkey % 40 AS STRING) END AS adr_id, CASE WHEN s_suppkey % 5 = 1 THEN 'A' || CAST(40 + s_suppkey % 30 AS STRING) END AS aadr_id, CASE WHEN s_suppkey % 4 = 1 THEN """ + STREET.format(k="(s_suppkey * 3)") + """ END AS other_address, CASE WHEN s_suppkey % 4 <> 0 THEN (s_suppkey * 17) % 190 + 1 END AS pid
 FROM {supplier}"""),
     "company": (("customer",), """
 SELECT c_custkey AS code, c_name AS name, CASE c_custkey % 11 WHEN 0 THEN 'L' WHEN 1 THEN 'N' ELSE 'R' END AS status, c_custkey % 11 > 1 AS active,
        CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_mktsegment END AS sector, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey % 50 END AS employees,
-       CAST(floor(c_acctbal) AS BIGINT) AS turnover, CAST((c_custkey * 7) % 900 + 1 AS STRING) AS tunnus, """ + STREET.format(k="(c_custkey * 11)") + """ AS address,
+       CAST(floor(c_acctbal) AS BIGINT) AS turnover, CAST(CASE WHEN c_custkey % 53 = 1 THEN -c_custkey ELSE (c_custkey * 7) % 900 + 1 END AS STRING) AS tunnus, """ + STREET.format(k="(c_custkey * 11)") + """ AS address,
        CASE c_custkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'street' ELSE 'exact' END AS match, c_custkey % 13 = 0 AS overdue,
        """ + _full("(c_custkey * 11)") + """, CASE WHEN c_custkey % 6 = 0 THEN 'A' || CAST(c_custkey % 90 AS STRING) END AS adr_id,
        lpad(CAST((c_custkey * 613) % 100000 AS STRING), 5, '0') AS activity, CASE c_custkey % 3 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS activity_version,
@@ -87,7 +87,7 @@ SELECT o_orderkey AS oid, o_custkey AS code, CASE o_orderkey % 6 WHEN 0 THEN 'HR
        CASE o_orderkey % 5 WHEN 0 THEN 'JUHL' WHEN 1 THEN 'JUHE' WHEN 2 THEN 'OSAN' WHEN 3 THEN 'OSAN' ELSE 'TOSA' END AS role, o_orderstatus = 'F' AS ended
 FROM {orders}"""),
     "proceeding": (("orders",), """
-SELECT o_orderkey AS proceeding, o_custkey AS code, CASE o_orderkey % 9 WHEN 0 THEN 'INSOLVENCY' WHEN 1 THEN 'PROTECTION' ELSE 'LIQUIDATION' END AS form, o_orderstatus <> 'O' OR o_orderkey % 4 > 0 AS ended
+SELECT o_orderkey AS proceeding, o_custkey AS code, CASE o_orderkey % 9 WHEN 0 THEN 'INSOLVENCY' WHEN 1 THEN 'PROTECTION' WHEN 2 THEN 'RESTRUCTURING' WHEN 3 THEN NULL ELSE 'LIQUIDATION' END AS form, o_orderstatus <> 'O' OR o_orderkey % 4 > 0 AS ended
 FROM {orders}"""),
     "statement": (("orders",), "SELECT o_orderkey AS sid, o_custkey AS code, CASE WHEN o_orderkey % 11 > 0 THEN CAST(year(o_orderdate) AS INT) END AS year, o_orderkey % 40 AS employees, o_orderkey % 3 = 0 AS thousands FROM {orders}"),
     "income": (("lineitem",), "SELECT l_orderkey AS sid, CAST(floor(max(l_extendedprice)) AS BIGINT) AS turnover FROM {lineitem} WHERE l_orderkey % 4 > 0 GROUP BY l_orderkey"),

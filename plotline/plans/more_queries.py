@@ -53,9 +53,9 @@ def f8(spark, d):
     return t.where(F.col("route_type").isin(*registers.BUS_TYPES))
 
 
-@query("f11_blank_tiles", with_tables("cell", rest="SELECT tile, y FROM (SELECT tile, y, avg(255 - v / 2.5) AS m, stddev_pop(255 - v / 2.5) AS s FROM cell GROUP BY ALL) x WHERE m > 240 AND s < 12"))
+@query("f11_blank_tiles", with_tables("cell", rest="SELECT tile, y FROM (SELECT tile, y, avg(255 - v / 2.5 / (1 + y % 3)) AS m, stddev_pop(255 - v / 2.5 / (1 + y % 3)) AS s FROM cell GROUP BY ALL) x WHERE m > 240 AND s < 12"))
 def f11(spark, d):
-    return raster.blank(load(spark, d, "cell").withColumn("luminance", 255 - F.col("v") / 2.5), ["tile", "y"], "luminance")
+    return raster.blank(load(spark, d, "cell").withColumn("luminance", 255 - F.col("v") / 2.5 / (1 + F.col("y") % 3)), ["tile", "y"], "luminance")
 
 
 @query("f12_finite", "SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 11 = 0 THEN CAST('-Infinity' AS DOUBLE) WHEN event_id % 13 = 0 THEN NULL ELSE value END AS v FROM events) x WHERE v IS NOT NULL AND isfinite(v)")
@@ -72,7 +72,7 @@ def j6(spark, d):
     return hit.groupBy(F.col("polygon").alias("pid")).agg(F.max_by("point", F.struct(F.col("point") * 37 % 211, -F.col("point"))).alias("poi"))
 
 
-@query("j18_status", with_tables("company", "proceeding", rest="""SELECT code, CASE WHEN n THEN 'N' WHEN l THEN 'L' WHEN p THEN 'P' ELSE 'R' END AS status FROM (SELECT c.code, coalesce(bool_or(form = 'INSOLVENCY' AND NOT ended), false) AS n, coalesce(bool_or(form = 'LIQUIDATION'), false) AS l, coalesce(bool_or(form = 'PROTECTION' AND NOT ended), false) AS p
+@query("j18_status", with_tables("company", "proceeding", rest="""SELECT code, CASE WHEN n THEN 'N' WHEN l THEN 'L' WHEN p THEN 'P' ELSE 'R' END AS status FROM (SELECT c.code, coalesce(bool_or(form = 'INSOLVENCY' AND NOT ended), false) AS n, coalesce(bool_or(form = 'LIQUIDATION'), false) AS l, coalesce(bool_or(coalesce(form, '') NOT IN ('INSOLVENCY', 'LIQUIDATION') AND NOT ended), false) AS p
  FROM company c LEFT JOIN proceeding q ON q.code = c.code GROUP BY c.code) x"""))
 def j18(spark, d):
     return registers.statuses(load(spark, d, "company"), load(spark, d, "proceeding"))
@@ -167,11 +167,11 @@ def d5(spark, d):
     return quality.violations(t.withColumn("at", at), "trip", quality.departure_rules("day", "at", "points"))
 
 
-@query("d6_market", with_tables("parcel", rest="WITH m AS (SELECT tile, purpose, count(land_value) AS n, median(land_value) - 2000 AS median FROM parcel GROUP BY ALL) SELECT 'median' AS rule, tile || ' ' || coalesce(purpose, '') AS key, 'error' AS severity FROM m WHERE median < 0 UNION ALL SELECT 'n', tile || ' ' || coalesce(purpose, ''), 'error' FROM m WHERE n < 5"))
+@query("d6_market", with_tables("parcel", rest="WITH m AS (SELECT tile, purpose, count(land_value) AS n, median(land_value) - 20000 AS median FROM parcel GROUP BY ALL) SELECT 'median' AS rule, tile || ' ' || coalesce(purpose, '') AS key, 'error' AS severity FROM m WHERE median < 0 UNION ALL SELECT 'n', tile || ' ' || coalesce(purpose, ''), 'error' FROM m WHERE n < 25"))
 def d6(spark, d):
-    m = load(spark, d, "parcel").groupBy("tile", "purpose").agg(F.count("land_value").alias("n"), (F.percentile("land_value", F.lit(0.5)) - 2000).alias("median"))
+    m = load(spark, d, "parcel").groupBy("tile", "purpose").agg(F.count("land_value").alias("n"), (F.percentile("land_value", F.lit(0.5)) - 20000).alias("median"))
     m = m.withColumn("key", F.concat_ws(" ", F.col("tile").cast("string"), F.coalesce("purpose", F.lit(""))))
-    return quality.violations(m, "key", {"median": (F.col("median") >= 0, "error"), "n": (F.col("n") >= 5, "error")})
+    return quality.violations(m, "key", {"median": (F.col("median") >= 0, "error"), "n": (F.col("n") >= 25, "error")})
 
 
 @query("r12_cover", with_tables("pixel", rest="""WITH i AS (SELECT pixel, canopy, greatest(r, g, b) AS v, CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) END AS s, g - greatest(r, b) AS e FROM pixel),

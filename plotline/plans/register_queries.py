@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plotline.functions import geometry as G
 from plotline.functions import text as T
 from plotline.operators import company, links, market, match
 from plotline.operators.lists import global_rank
@@ -121,7 +122,7 @@ def j17(spark, d):
     return company.enrich(c, q, company.health(c, q)).select("code", "name", "turnover_4q", "taxes_4q", "latest_employees", "health")
 
 
-_NUMBERED = r"^(.+?)\s+(\d+)([a-zõäöüšž]?)(?:/\d+\w*)?(?:-\d+\w*)?$"
+_NUMBERED = r"^(.+?)\s+(\d+)([a-zõäöüšž]?)(?:/\d+[\p{L}\p{N}_]*)?(?:-\d+[\p{L}\p{N}_]*)?$"
 
 
 def _parts(c: str) -> str:
@@ -130,17 +131,17 @@ def _parts(c: str) -> str:
     return f"{stem} AS stem, regexp_extract({c}, '{_NUMBERED}', 2) AS num, regexp_extract({c}, '{_NUMBERED}', 3) AS sub"
 
 
-_CLEAN = r"trim(regexp_replace(regexp_replace(lower(part), '[.,]', ' ', 'g'), '\s+', ' ', 'g'))"
+_CLEAN = r"trim(regexp_replace(regexp_replace(nfc_normalize(lower(part)), '[.,]', ' ', 'g'), '\s+', ' ', 'g'))"
 #: Alternates of parcels and buildings, with bare numbers continued.
-_KEYS = rf""", parts AS (SELECT kind, id, i, {_CLEAN} AS s FROM (SELECT kind, id, unnest(string_split(a, '//')) AS part, unnest(range(len(string_split(a, '//')))) AS i FROM (SELECT 'p' AS kind, pid AS id, full_address AS a FROM parcel UNION ALL SELECT 'b', bid, full_address FROM building) u) v WHERE trim(part) <> ''),
+_KEYS = rf""", parts AS (SELECT kind, id, i, {_CLEAN} AS s FROM (SELECT kind, id, unnest(string_split(a, '//')) AS part, unnest(range(len(string_split(a, '//')))) AS i FROM (SELECT 'p' AS kind, pid AS id, full_address AS a FROM parcel UNION ALL SELECT 'b', bid, full_address FROM building UNION ALL SELECT 'o', bid, other_address FROM building WHERE other_address IS NOT NULL) u) v WHERE trim(part) <> ''),
 cut AS (SELECT kind, id, i, {_parts('s')} FROM parts),
 marked AS (SELECT *, num = '' AND regexp_matches(stem, '^[0-9]+[a-zõäöüšž]?$') AND row_number() OVER (PARTITION BY kind, id ORDER BY i) > 1 AS bare FROM cut),
 keys AS (SELECT kind, id, i, last_value(CASE WHEN NOT bare THEN stem END IGNORE NULLS) OVER (PARTITION BY kind, id ORDER BY i) AS stem, CASE WHEN bare THEN regexp_extract(stem, '^([0-9]+)', 1) ELSE num END AS num, CASE WHEN bare THEN regexp_extract(stem, '([a-zõäöüšž]?)$', 1) ELSE sub END AS sub FROM marked),
 asked AS (SELECT code, adr_id, {_parts('s')} FROM (SELECT code, adr_id, {_CLEAN.replace('part', 'full_address')} AS s FROM company) c)"""
 _BEST = "row_number() OVER (PARTITION BY {0} ORDER BY b.kind = 'outbuilding', w * d DESC, b.bid) AS r"
-_J1 = _KEYS + f""", pf AS (SELECT stem, num, sub, min(id) AS p FROM keys WHERE kind = 'p' AND num <> '' GROUP BY ALL), pa AS (SELECT stem, num, min(id) AS p FROM keys WHERE kind = 'p' AND num <> '' GROUP BY ALL HAVING count(*) = 1),
-bk AS (SELECT stem, num, sub, bid, pid FROM (SELECT k.stem, k.num, k.sub, b.bid, b.pid, {_BEST.format('k.stem, k.num, k.sub')} FROM keys k JOIN building b ON k.kind = 'b' AND k.id = b.bid WHERE num <> '') t WHERE r = 1),
-ads AS (SELECT adr_id, bid, pid FROM (SELECT adr_id, bid, pid, {_BEST.format('adr_id')} FROM building b WHERE adr_id IS NOT NULL) t WHERE r = 1),
+_J1 = _KEYS + f""", home AS (SELECT b.* EXCLUDE (pid), coalesce(pid, (SELECT min(p.pid) FROM parcel p WHERE p.tile = b.tile AND b.x >= p.x AND b.x < p.x + p.side AND b.z >= p.z AND b.z < p.z + p.side)) AS pid FROM building b), pf AS (SELECT stem, num, sub, min(id) AS p FROM keys WHERE kind = 'p' AND num <> '' GROUP BY ALL), pa AS (SELECT stem, num, min(id) AS p FROM keys WHERE kind = 'p' AND num <> '' GROUP BY ALL HAVING count(*) = 1),
+bk AS (SELECT stem, num, sub, bid, pid FROM (SELECT k.stem, k.num, k.sub, b.bid, b.pid, {_BEST.format('k.stem, k.num, k.sub')} FROM keys k JOIN home b ON k.kind <> 'p' AND k.id = b.bid WHERE num <> '') t WHERE r = 1),
+ads AS (SELECT any_id AS adr_id, bid, pid FROM (SELECT any_id, bid, pid, {_BEST.format('any_id')} FROM (SELECT *, unnest([adr_id, aadr_id]) AS any_id FROM home) b WHERE any_id IS NOT NULL) t WHERE r = 1),
 st AS (SELECT DISTINCT stem FROM keys WHERE num <> ''), fm AS (SELECT stem, min(id) AS p FROM keys WHERE kind = 'p' AND num = '' AND stem <> '' GROUP BY stem),
 m AS (SELECT c.code, c.num, ads.bid AS b1, ads.pid AS p1, pf.p AS p2, CASE WHEN c.sub = '' THEN pa.p END AS p3, bk.bid AS b4, bk.pid AS p4, fm.p AS p5, st.stem IS NOT NULL AS known,
  CASE WHEN ads.bid IS NOT NULL THEN 'ads' WHEN c.num <> '' AND (pf.p IS NOT NULL OR pa.p IS NOT NULL AND c.sub = '') THEN 'address' WHEN c.num <> '' AND bk.bid IS NOT NULL THEN 'building' WHEN c.num = '' AND fm.p IS NOT NULL THEN 'farm' END AS via
@@ -150,7 +151,8 @@ matched AS (SELECT code, CASE WHEN via IS NOT NULL THEN 'exact' WHEN num <> '' A
 
 def _matched(spark, d):
     full = lambda name: load(spark, d, name).withColumn("address", F.col("full_address"))
-    return match.match_cascade(full("company"), full("parcel"), full("building"))
+    buildings = full("building").withColumns({"addresses": F.array("other_address"), "ids": F.array("adr_id", "aadr_id")})
+    return match.match_cascade(full("company"), full("parcel").withColumn("ring", G.square(F.col("x"), F.col("z"), F.col("side"))), buildings)
 
 
 @query("j1_match_cascade", _with("company", "parcel", "building", rest=_J1 + " SELECT * FROM matched"))
@@ -246,18 +248,26 @@ def t21(spark, d):
     return load(spark, d, "officer").select("oid", T.holder_id(F.col("raw")).alias("holder"))
 
 
-def _section(which: int) -> str:
+def _section(name) -> str:
     """SQL of the section letter or group of the division d in the edition e."""
-    rows = lambda k: " ".join(f"WHEN d <= {r[0]} THEN '{r[which]}'" for r in T.SECTIONS[k])
-    return f"CASE WHEN d IN (0, 4, 34, 40, 44, 48, 54, 57, 67, 76, 83, 89) THEN '' WHEN e >= 3 THEN CASE {rows(3)} END ELSE CASE {rows(2)} END END"
+    rows = lambda k: " ".join(f"WHEN d BETWEEN {a} AND {b} THEN '{name(k, x)}'" for a, b, x in T.SECTIONS[k])
+    return f"CASE WHEN e >= 3 THEN CASE {rows(3)} ELSE '' END ELSE CASE {rows(2)} ELSE '' END END"
 
 
-@query("t22_activity", with_tables("company", rest=f"SELECT code, {_section(1)} AS section, {_section(2)} AS grp FROM (SELECT code, CAST(substr(activity, 1, 2) AS INT) AS d, coalesce(activity_version, 2) AS e FROM company) x"))
+@query("t22_activity", with_tables("company", rest=f"SELECT code, {_section(lambda k, x: x)} AS section, {_section(lambda k, x: T.GROUPS[k][x])} AS grp FROM (SELECT code, CAST(substr(activity, 1, 2) AS INT) AS d, coalesce(activity_version, 2) AS e FROM company) x"))
 def t22(spark, d):
     a, v = F.col("activity"), F.col("activity_version")
     return load(spark, d, "company").select("code", T.activity_section(a, v).alias("section"), T.activity_group(a, v).alias("grp"))
 
 
+_PHRASE = "CASE c_custkey % 7 WHEN 0 THEN ' hulgi- ja jaekaubandus; mootorsõidukite remont' WHEN 1 THEN 'Põllumajandus, metsamajandus' WHEN 2 THEN 'ÜLDEHITUS' WHEN 3 THEN 'Töötlev tööstus' WHEN 4 THEN '' WHEN 5 THEN 'kutse-, teadus- ja tehnikaalane tegevus' END"
+
+
+@query("t22_group_of_words", f"SELECT c_custkey, coalesce((SELECT g FROM (VALUES {', '.join(f'({i}, {chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for i, (a, b) in enumerate(T.GROUP_WORDS))}) v(i, a, g) WHERE starts_with(upper(trim({_PHRASE})), a) ORDER BY i LIMIT 1), '') AS grp FROM customer")
+def t22_words(spark, d):
+    return load(spark, d, "customer").select("c_custkey", T.activity_group_of_words(F.expr(_PHRASE)).alias("grp"))
+
+
 @query("u4_name_tokens", "SELECT p_partkey, len(list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> ''))) AS n FROM part")
 def u4(spark, d):
     return load(spark, d, "part").select("p_partkey", F.size(T.name_tokens(F.col("p_name"))).cast("long").alias("n"))
