@@ -6,7 +6,8 @@ covariances are shrunk towards the pooled one and a multiple of the identity; sc
 log-densities with the Cholesky factors computed once.
 
 Cases: a null or empty text has all-zero counts and gets a score like any other. A null label is ignored; a document with several label rows counts as
-good only if all of them do. Repeated documents give repeated rows. Without labels of both classes every score is 0.5.
+good only if all of them do. Repeated documents give repeated rows. Very long texts are single rows, read whole and one at a time. Scores
+may tie; nothing depends on their order. An empty table gives no rows. Without labels of both classes every score is 0.5.
 Columns of the input other than ``doc_id`` and ``text`` are never read."""
 
 from __future__ import annotations

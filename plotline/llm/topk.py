@@ -11,8 +11,8 @@ and the best k of each bucket meet by query.
 
 Cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Vectors of unequal
 lengths count as padded with zeros. Rows that share an id are all the query's own row when that id asks, which it does with its
-shortest vector. With fewer than k candidates all are returned; ties go to the smaller id. An empty table gives no rows. Products that
-leave the 64-bit range raise. Columns other than ``vec_id`` and ``embedding`` are not read."""
+shortest vector. With fewer than k candidates all are returned; ties go to the smaller id. An empty table gives no rows. Products from
+2**53 on are verified in 64-bit integers; components or verified products that leave 63 bits raise. Columns other than ``vec_id`` and ``embedding`` are not read."""
 
 from __future__ import annotations
 
@@ -44,8 +44,8 @@ def integer_vectors(table: DataFrame, scale: float) -> DataFrame:
                 v = np.floor(scale * np.asarray(x.values, np.float64))
                 if not np.isfinite(v).all():
                     continue
-                if len(v) and np.abs(v).max() ** 2 * len(v) >= 2.0**53:
-                    raise OverflowError(f"vector {i}: products are not exact beyond 2**53")
+                if len(v) and np.abs(v).max() >= 2.0**63:
+                    raise OverflowError(f"vector {i}: a component leaves 63 bits")
                 ids.append(i)
                 norms.append(float(np.sqrt(v @ v)))
                 raw.append(v.tobytes())
@@ -63,6 +63,16 @@ def _matrix(raw: pa.ChunkedArray, width: int = 0) -> np.ndarray:
     return out
 
 
+def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of q with those of c: exact in floats below 2**53, else whole numbers."""
+    out = q @ c.T
+    if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1] < 2.0**53:
+        return out
+    if np.abs(out).max(initial=0) >= 2.0**63 * (1 - 1e-9):
+        raise OverflowError("a product leaves 63 bits")
+    return q.astype(np.int64) @ c.astype(np.int64).T
+
+
 def search_bucket(q_ids: np.ndarray, q: np.ndarray, q_norm: np.ndarray, floor: np.ndarray, ids: np.ndarray, c: np.ndarray, norm: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(query position, candidate ids, products) of each query's best k in one bucket; ``floor`` holds thresholds (-inf: none yet)."""
     order = np.argsort(-norm, kind="stable")
@@ -93,18 +103,18 @@ def search_bucket(q_ids: np.ndarray, q: np.ndarray, q_norm: np.ndarray, floor: n
         at, values = sorted_coordinate[f]
         part = at[np.searchsorted(values, lo - 1e-9) : np.searchsorted(values, hi + 1e-9, side="right")]
         if len(part):
-            out.append(_best(i, q_ids[i], ids[part], c[part] @ q[i], floor[i], k))
+            out.append(_best(i, q_ids[i], ids[part], _products(q[i : i + 1], c[part])[0], floor[i], k))
     by_length.sort(key=lambda x: x[1])
     for lo in range(0, len(by_length), 64):
         some = by_length[lo : lo + 64]
-        products = q[[i for i, _ in some]] @ c[: some[-1][1]].T
+        products = _products(q[[i for i, _ in some]], c[: some[-1][1]])
         for (i, n), s in zip(some, products, strict=True):
             out.append(_best(i, q_ids[i], ids[:n], s[:n], floor[i], k))
     return [x for x in out if len(x[1])]
 
 
 def _best(i: int, own: int, ids: np.ndarray, s: np.ndarray, floor: float, k: int) -> tuple[int, np.ndarray, np.ndarray]:
-    ok = np.flatnonzero((s >= floor) & (ids != own))
+    ok = np.flatnonzero((s >= floor - abs(floor) * 1e-12 if np.isfinite(floor) else np.full(len(s), True)) & (ids != own))
     if len(ok) > k:
         kth = np.partition(s[ok], len(ok) - k)[len(ok) - k]
         ok = ok[s[ok] >= kth]
@@ -142,7 +152,7 @@ def top_k(table: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0, b
     last_bucket = buckets.agg(F.max("bucket").alias("b")).first().b
     queries = placed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q_id"), F.col("norm").alias("q_norm"), F.col("v").alias("qv"))
     blocks = max(1, -(-n // every // block_queries))
-    queries = queries.groupBy("q_id").agg(F.min(F.struct("q_norm", "qv")).alias("q")).select("q_id", "q.q_norm", "q.qv").withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
+    queries = queries.groupBy("q_id").agg(F.min(F.struct("q_norm", "qv")).alias("q")).select("q_id", "q.q_norm", "q.qv").withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("long"))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -156,13 +166,15 @@ def top_k(table: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0, b
         return pa.table({
             "query_id": pa.array(np.repeat(ids[[x[0] for x in found]], sizes) if found else [], pa.int64()),
             "vec_id": pa.array(np.concatenate([x[1] for x in found]) if found else [], pa.int64()),
-            "score": pa.array(np.concatenate([x[2] for x in found]).astype(np.int64) if found else [], pa.int64()),
+            "score": pa.array(np.concatenate([x[2].astype(np.int64) for x in found]) if found else [], pa.int64()),
         })
 
     def search(asked: DataFrame, candidates: DataFrame) -> DataFrame:
-        copies = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else candidates.withColumn("block", F.lit(0))
-        copies = copies.withColumn("block", F.col("block").cast("long"))
-        return asked.groupBy("bucket", "block").cogroup(copies.groupBy("bucket", "block")).applyInArrow(run, "query_id long, vec_id long, score long")
+        """Candidates are copied for the blocks of queries that ask for their bucket."""
+        where = asked.select(F.col("bucket").alias("b"), F.col("block").alias("g")).distinct()
+        copies = candidates.join(where, F.col("bucket") == F.col("b")) if blocks > 1 else candidates.withColumn("g", F.lit(0).cast("long"))
+        copies = copies.select(F.col("bucket").alias("c_bucket"), F.col("g").alias("c_block"), "vec_id", "norm", "v")
+        return asked.groupBy("bucket", "block").cogroup(copies.groupBy("c_bucket", "c_block")).applyInArrow(run, "query_id long, vec_id long, score long")
 
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     none = F.lit(float("-inf"))

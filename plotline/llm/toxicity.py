@@ -3,11 +3,14 @@
 Features of a document are the distinct hashes of its words, neighbouring pairs and pairs that skip one or two words, folded to
 ``2**BITS`` coordinates. Every coordinate has its own learning rate, and the L1 term keeps most weights at exactly zero, so the
 model is a short list of (coordinate, weight) that is broadcast. Learning runs over at most ``sample`` labelled rows (the
-documented bound: rows with the lowest hashes of their ids); scoring runs over every row's whole text, without a shuffle.
+documented bound: different texts with the lowest hashes of their ids, then of their texts); scoring runs over every row's whole text,
+without a shuffle.
 
 Cases: a null or empty text has no features and scores the model's bias. A null label is ignored; a document with several label
-rows counts as toxic if any says so. Repeated documents give repeated rows. Without labels of both classes every score is 0.5
-times 0.9, below the threshold. Input columns other than ``doc_id`` and ``text`` are never read."""
+rows counts as toxic if any says so. Repeated documents give repeated rows, and one lesson; an id with many texts gives no more lessons than
+``sample`` allows. Very long texts are single rows, scored whole and one at a time. Scores may tie; nothing depends on their order. An empty
+table gives no rows. Without labels of both classes every score is 0.5 times 0.9, below the threshold. Input columns other than
+``doc_id`` and ``text`` are never read."""
 
 from __future__ import annotations
 
@@ -84,7 +87,7 @@ def train(sampled: DataFrame, passes: int = 4) -> dict[str, list]:
         model = Ftrl()
         bias = 1 << BITS
         rng = np.random.default_rng(7)
-        seen.sort(key=lambda x: x[0])
+        seen.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))  # an order that doesn't depend on how rows arrive
         for _ in range(passes if len({x[2] for x in seen}) == 2 else 0):
             for i in rng.permutation(len(seen)):
                 model.learn(np.append(seen[i][1], bias), seen[i][2])
@@ -103,6 +106,14 @@ def bounded_sample(labels: DataFrame, sample: int) -> DataFrame:
     return labels.select("doc_id", "label", order.alias("ord")).orderBy("ord", "doc_id").limit(sample)
 
 
+def lessons(docs: DataFrame, few: DataFrame, sample: int) -> DataFrame:
+    """text, label, ord of at most ``sample`` rows of ``docs`` whose ids are in ``few`` (doc_id, label, ord), each text of an id once: ids may repeat in
+    the documents, so the rows are bounded after they have met. Only hashes are sorted; texts move for the rows that stay."""
+    x = docs.withColumn("_hash", F.xxhash64("text"))
+    keys = x.select("doc_id", "_hash").join(few, "doc_id").distinct().orderBy("ord", "_hash", "doc_id").limit(sample)
+    return x.join(F.broadcast(keys), ["doc_id", "_hash"]).dropDuplicates(["doc_id", "_hash"]).select("text", "label", "ord")
+
+
 def score(docs: DataFrame, model: dict[str, list]) -> DataFrame:
     """doc_id, text_hash, score: the logistic of the summed weights of a document's distinct features."""
     at, w = np.array(model["at"], np.int64), np.array(model["w"], float)
@@ -133,5 +144,5 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("label")).where(~is_held_out())
     few = F.broadcast(bounded_sample(taught, sample))  # at most `sample` rows of 24 bytes
-    model = train(docs.join(few, "doc_id").select("text", "label", "ord"), passes)
+    model = train(lessons(docs, few, sample), passes)
     return score(docs, model).select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")
