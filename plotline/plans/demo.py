@@ -94,6 +94,12 @@ FROM {orders}"""),
     "pixel": (("lineitem",), """
 SELECT l_orderkey * 10 + l_linenumber AS pixel, CAST((l_orderkey * 7) % 101 AS DOUBLE) / 100 AS r, CAST((l_partkey * 13) % 101 AS DOUBLE) / 100 AS g, CAST((l_suppkey * 29 + l_orderkey) % 101 AS DOUBLE) / 100 AS b, CASE WHEN l_orderkey % 5 > 0 THEN CAST(l_linenumber AS DOUBLE) / 2 END AS canopy
 FROM {lineitem}"""),
+    "street": (("orders",), """
+SELECT k AS rid, tile, 64.0 * (k % 4) + 0.3 * (k % 5) AS ax, 64.0 * (r % 4) AS az, 64.0 * ((k + 1 + k % 2) % 4) + 0.3 * (r % 6) AS bx, 64.0 * ((r + k % 3) % 4) AS bz
+FROM (SELECT o_orderkey AS k, CAST(o_custkey % 1000 AS BIGINT) AS tile, CAST(floor(o_orderkey / 4) AS BIGINT) AS r FROM {orders}) o"""),
+    "track": (("orders",), """
+SELECT k AS rid, tile, CASE WHEN k % 5 = 0 THEN 'rail' ELSE 'tram' END AS kind, 30.0 * (k % 4) AS ax, 2.9 * (r % 24) AS az, 30.0 * (k % 4) + 64 - 128 * (k % 2) AS bx, 2.9 * (r % 24) + 0.7 * (k % 7) AS bz
+FROM (SELECT o_orderkey AS k, CAST(o_custkey % 300 AS BIGINT) AS tile, CAST(floor(o_orderkey / 4) AS BIGINT) AS r FROM {orders}) o"""),
     "corner": (("part",), _corners("part", "p_partkey")),
     "wall": (("supplier",), _corners("supplier", "s_suppkey")),
     "roof_cell": (("lineitem",), """
