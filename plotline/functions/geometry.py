@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,6 +53,11 @@ def from_grid(x: Column, y: Column, rounds: int = 8) -> tuple[Column, Column]:
     return F.degrees(p), F.degrees(F.atan2(dx, dy) / n) + _LON0
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def square(x: Column, z: Column, side: Column) -> Column:
     """A ring of four corners."""
     at = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("z"))
@@ -118,21 +124,23 @@ def heading(dx: Column, dz: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(dz, dx)), F.lit(180.0))
 
 
-def clip(ring: Column, xmin: float, zmin: float, xmax: float, zmax: float) -> Column:
+def clip(ring: Column, xmin: float | Column, zmin: float | Column, xmax: float | Column, zmax: float | Column) -> Column:
     """The part of a ring inside a box: one pass over the edges for each side of the box."""
-    def half(r: Column, axis: str, at: float, below: bool) -> Column:
+
+    def half(axis: str, at: float | Column, below: bool) -> Callable[[Column], Column]:
         def step(e: Column) -> Column:
             a, b = e[f"a{axis}"], e[f"b{axis}"]
             keep = lambda v: v <= at if below else v >= at
-            u = (F.lit(at) - a) / F.when(b == a, F.lit(1.0)).otherwise(b - a)
+            u = ((at if isinstance(at, Column) else F.lit(at)) - a) / F.when(b == a, F.lit(1.0)).otherwise(b - a)
             cross = F.struct((e.ax + u * (e.bx - e.ax)).alias("x"), (e.az + u * (e.bz - e.az)).alias("z"))
             end = F.struct(e.bx.alias("x"), e.bz.alias("z"))
             return F.when(keep(a) & keep(b), F.array(end)).when(keep(a), F.array(cross)).when(keep(b), F.array(cross, end)).otherwise(F.array().cast("array<struct<x:double,z:double>>"))
 
-        return F.flatten(F.transform(_edges(r), step))
+        return lambda r: F.flatten(F.transform(_edges(r), step))
 
     for axis, at, below in (("x", xmin, False), ("x", xmax, True), ("z", zmin, False), ("z", zmax, True)):
-        ring = half(ring, axis, float(at), below)
+        at = at.cast("double") if isinstance(at, Column) else float(at)
+        ring = let(ring, half(axis, at, below))
     return ring
 
 

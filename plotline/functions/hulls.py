@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plotline.functions import geometry as G
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _cross(a: Column, b: Column, c: Column) -> Column:
     return (b.x - a.x) * (c.z - a.z) - (b.z - a.z) * (c.x - a.x)
 
@@ -37,8 +30,8 @@ def convex_hull(ring: Column) -> Column:
     none = F.array().cast("array<struct<x:double,z:double>>")
     points = F.transform(F.coalesce(ring, none), lambda q: F.struct(q.x.cast("double").alias("x"), q.z.cast("double").alias("z")))
     open_end = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
-    both = lambda p: F.concat(let(_chain(p), open_end), let(_chain(F.reverse(p)), open_end))
-    return let(F.array_sort(F.array_distinct(points)), lambda p: F.when(F.size(p) < 3, p).otherwise(both(p)))
+    both = lambda p: F.concat(G.let(_chain(p), open_end), G.let(_chain(F.reverse(p)), open_end))
+    return G.let(F.array_sort(F.array_distinct(points)), lambda p: F.when(F.size(p) < 3, p).otherwise(both(p)))
 
 
 def rotated_rectangle(ring: Column) -> Column:
@@ -76,4 +69,4 @@ def rotated_rectangle(ring: Column) -> Column:
         fill = F.when(whole > 0, G.area(ring) / F.when(whole > 0, whole)).otherwise(0.0)
         return F.when(best.isNotNull(), F.struct(*(best[c].alias(c) for c in ("x", "z", "length", "width", "heading")), fill.alias("fill"), best["ux"].alias("ux"), best["uz"].alias("uz")))
 
-    return let(let(convex_hull(ring), smallest), filled)
+    return G.let(G.let(convex_hull(ring), smallest), filled)

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plotline.functions import geometry as G
-from plotline.session import cut
+from plotline.operators.graph import connected
+from plotline.session import stored
 
 
 def focal_sum(cells: DataFrame, radius: int, value: str = "v") -> DataFrame:
@@ -96,21 +97,13 @@ def components(mask: DataFrame) -> DataFrame:
     new = F.when(F.lag("x").over(w) == F.col("x") - 1, 0).otherwise(1)
     cells = mask.select("tile", "y", "x").distinct().withColumn("new", new).withColumn("run", F.sum("new").over(w))
     runs = cells.groupBy("tile", "y", "run").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    runs = cut(runs.withColumn("label", F.struct("y", "lo")))
-    up = runs.select("tile", (F.col("y") + 1).alias("y"), F.col("lo").alias("plo"), F.col("hi").alias("phi"), F.struct(F.col("y").alias("y"), F.col("lo").alias("lo")).alias("p"))
-    edges = runs.join(up, ["tile", "y"]).where((F.col("lo") <= F.col("phi") + 1) & (F.col("hi") >= F.col("plo") - 1)).select("tile", F.struct("y", "lo").alias("a"), F.col("p").alias("b"))
-    edges = cut(edges.unionByName(edges.select("tile", F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = runs.select("tile", F.struct("y", "lo").alias("id"), "label")
-    while True:
-        spread = edges.join(labels.select("tile", F.col("id").alias("b"), F.col("label").alias("l")), ["tile", "b"]).groupBy("tile", F.col("a").alias("id")).agg(F.min("l").alias("l"))
-        nxt = labels.join(spread, ["tile", "id"], "left").select("tile", "id", F.least("label", F.coalesce("l", "label")).alias("label"), (F.coalesce("l", "label") < F.col("label")).alias("moved"))
-        jump = nxt.select("tile", F.col("id").alias("label"), F.col("label").alias("root"))
-        nxt = cut(nxt.join(jump, ["tile", "label"]).select("tile", "id", F.col("root").alias("label"), "moved"))
-        labels = nxt.drop("moved")
-        if nxt.where("moved").isEmpty():
-            break
-    named = runs.select("tile", "y", "run", F.struct("y", "lo").alias("id")).join(labels, ["tile", "id"])
-    return cells.join(named, ["tile", "y", "run"]).select("tile", "y", "x", (F.shiftleft(F.col("label.y").cast("long"), 32) + F.col("label.lo")).alias("label"))
+    runs, _ = stored(runs, "runs")
+    at = lambda y, lo: F.struct("tile", F.col(y).alias("y"), F.col(lo).alias("lo"))
+    up = runs.select("tile", (F.col("y") + 1).alias("y"), F.col("lo").alias("plo"), F.col("hi").alias("phi"), at("y", "lo").alias("p"))
+    touch = runs.join(up, ["tile", "y"]).where((F.col("lo") <= F.col("phi") + 1) & (F.col("hi") >= F.col("plo") - 1))
+    labels = connected(touch.select(at("y", "lo").alias("a"), F.col("p").alias("b"))).select(F.col("v").alias("id"), "comp")
+    named = runs.select("tile", "y", "run", at("y", "lo").alias("id")).join(labels, "id", "left").withColumn("label", F.coalesce("comp", "id"))
+    return cells.join(named.select("tile", "y", "run", "label"), ["tile", "y", "run"]).select("tile", "y", "x", (F.shiftleft(F.col("label.y").cast("long"), 32) + F.col("label.lo")).alias("label"))
 
 
 def blob_shapes(labelled: DataFrame, cells: DataFrame) -> DataFrame:
@@ -215,3 +208,29 @@ def masked_out(cells: DataFrame, mask: DataFrame, value: str = "v") -> DataFrame
     m = mask.select("tile", "y", "x").distinct().withColumn("_set", F.lit(True))
     x = cells.join(m, ["tile", "y", "x"], "left")
     return x.withColumn(value, F.when(F.col("_set"), F.lit(0).cast(cells.schema[value].dataType)).otherwise(F.col(value))).drop("_set")
+
+
+def fill_holes(cells: DataFrame, size: int, reach: int) -> DataFrame:
+    """tile, y, x, v, filled: every cell of the size x size rasters of the tiles that have any. A missing cell takes the mean of the nearest
+    present cells to the left and right in its row and up and down in its column, as far as they are within ``reach`` cells, weighted by
+    one over their distances; without any of them the median of its tile. Null and non-finite values are missing, cells outside the raster are
+    left out, and tiles without a value have no rows. Each direction is a window along a row or a column, so nothing is paired."""
+    fine = cells.where(F.col("v").isNotNull() & ~F.isnan(F.col("v").cast("double")) & (F.abs("v") < float("inf")) & F.col("y").between(0, size - 1) & F.col("x").between(0, size - 1))
+    fine = fine.groupBy("tile", "y", "x").agg(F.max(F.col("v").cast("double")).alias("v"))
+    middle = fine.groupBy("tile").agg(F.percentile("v", F.lit(0.5)).alias("middle"))
+    steps = F.sequence(F.lit(0), F.lit(size - 1)).cast("array<bigint>")
+    grid = middle.withColumn("y", F.explode(steps)).withColumn("x", F.explode(steps))
+    x = grid.join(fine.select("tile", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "v"), ["tile", "y", "x"], "left")
+    weights, values = [], []
+    for line, axis in (("y", "x"), ("x", "y")):
+        known = F.when(F.col("v").isNotNull(), F.struct(F.col(axis).alias("at"), "v"))
+        for name, order in (("lo", F.col(axis).asc()), ("hi", F.col(axis).desc())):
+            w = W.partitionBy("tile", line).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+            x = x.withColumn(f"_{axis}{name}", F.last(known, ignorenulls=True).over(w))
+            far = F.abs(F.col(axis) - F.col(f"_{axis}{name}.at"))
+            weight = F.when(far <= reach, 1.0 / far).otherwise(0.0)
+            weights.append(weight)
+            values.append(F.when(far <= reach, weight * F.col(f"_{axis}{name}.v")).otherwise(0.0))
+    total = sum(weights[1:], weights[0])
+    guess = F.when(total > 0, sum(values[1:], values[0]) / F.when(total > 0, total)).otherwise(F.col("middle"))
+    return x.select("tile", "y", "x", F.coalesce("v", guess).alias("v"), F.col("v").isNull().alias("filled"))
