@@ -38,7 +38,9 @@ THRESHOLD = (4, 5)
 #: Shingles whose order the broadcast sets, and the least number of counted repeats that puts one there.
 FREQUENT, REPEATS = 1 << 20, 8
 #: Distinct shingles that a task counts before it sends what repeated and begins anew.
-WINDOW = 1_500_000
+WINDOW = 1_000_000
+#: Bytes of text that are cut into shingles at once (one longer document stands alone).
+SLICE = 1 << 19
 #: Bits of the smallest signature; sets of more shingles get the next power of two that is no smaller than their size.
 BITMAP = 512
 #: Rows of a block of a tile that is searched in full; a square holds two blocks.
@@ -114,12 +116,12 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 at = some[lo : lo + 500_000]
                 yield pa.RecordBatch.from_arrays([pa.array(have[at].view(np.int64)), pa.array(counts[at])], names=["token", "n"])
 
-        for _, data, off in chunks(batches, "text"):
+        for _, data, off in chunks(batches, "text", SLICE):
             for x in shingle_sets(data, off):
                 if len(x) and (c := _class(x)) not in seen:
                     seen.add(c)
                     waiting.append(x)
-            if sum(map(len, waiting)) > 1_000_000:
+            if sum(map(len, waiting)) > 500_000:
                 merge()
                 if len(have) > WINDOW:
                     yield from repeated()
@@ -152,7 +154,7 @@ def prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataF
         tokens, levels = held.value
         maybe = np.zeros(1 << 24, bool)
         maybe[tokens >> U(40)] = True
-        for rows, data, off in chunks(batches, "text"):
+        for rows, data, off in chunks(batches, "text", SLICE):
             sets = shingle_sets(data, off)
             names, bits, cold, hot = [], [], [], []
             for x in sets:
@@ -299,7 +301,7 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[Data
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for _, data, off in chunks(batches, "text"):
+        for _, data, off in chunks(batches, "text", SLICE):
             names, sets = [], []
             for x in shingle_sets(data, off):
                 if len(x) and (c := _class(x)) not in seen:
@@ -359,7 +361,7 @@ def _differ(values: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray) -
         wide = width[rows] > w
         m[wide] ^= values[places[wide] + w]
         left, right = at[: len(pairs)], at[len(pairs) :]
-        step = max(1, 2_000_000 // w)
+        step = max(1, 500_000 // w)
         for lo in range(0, len(pairs), step):
             out[pairs[lo : lo + step]] = np.bitwise_count(m[left[lo : lo + step]] ^ m[right[lo : lo + step]]).sum(axis=1)
     return out
