@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from plotline.plans.demo import load
 from plotline.plans.registry import query
+from plotline.session import new_path
 from plotline.streaming import events as E
+from plotline.streaming import keyed as K
 
 
 @query("st1_per_hour", "WITH w AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS highest FROM events GROUP BY ALL) SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
@@ -28,3 +30,29 @@ def st3(spark, d):
 def st5(spark, d):
     c = load(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
     return E.collected(E.with_static(E.event_stream(spark, d).where("event_type = 'purchase'"), c, "user_id").select("event_id", "segment"), "static")
+
+
+def _in_order(spark, d, parts: int = 3):
+    """A stream of the events that comes in several batches, one stretch of time after the other."""
+    e = load(spark, d, "events")
+    cuts = e.select(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")).cast("double"), F.array(*[F.lit(i / parts) for i in range(parts + 1)])).alias("q")).first().q
+    path = new_path(spark, "events-in-order")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for i in range(parts):
+        part = e.where((at >= cuts[i]) & ((at < cuts[i + 1]) if i < parts - 1 else F.lit(True)))
+        part.repartition(2, "user_id").write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@query("st4_rolling_means", "SELECT event_id AS id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS mean FROM events WHERE value > 0")
+def st4(spark, d):
+    e = _in_order(spark, d).withColumnRenamed("event_id", "id")
+    return K.collected(K.rolling_means(e, "user_id"), "rolling").withColumn("mean", F.round("mean", 6))
+
+
+@query("st6_sessions", """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us, coalesce(value, 0) AS value, event_type = 'signup' AS h FROM events), s AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER w AS k, us - lag(us) OVER w AS step FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+g AS (SELECT *, sum(CASE WHEN NOT h AND step > 36000000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, k ORDER BY us, event_id) AS lost, max(k) OVER (PARTITION BY user_id) AS top, count(*) FILTER (NOT h AND step > 36000000000) OVER (PARTITION BY user_id, k) AS gaps FROM s WHERE k > 0)
+SELECT user_id AS key, min(us) AS started, max(us) AS last, count(*) AS n, round(sum(value), 4) AS total FROM g WHERE lost = 0 GROUP BY user_id, k, top, gaps HAVING k < top OR gaps > 0 OR max(us) + 36000000000 <= (SELECT max(us) - 3600000000 FROM e)""")
+def st6(spark, d):
+    e = _in_order(spark, d).select("user_id", F.col("event_id").alias("id"), "ts", "value", (F.col("event_type") == "signup").alias("header"))
+    return K.collected(K.headed_sessions(e, "user_id", 36_000_000_000, "1 hour"), "sessions").withColumn("total", F.round("total", 4))
