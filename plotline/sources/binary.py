@@ -134,7 +134,7 @@ def read_raster(spark: SparkSession, path: str, width: int) -> DataFrame:
 
 
 def write_raster(cells: DataFrame, path: str, width: int, height: int) -> None:
-    """A raster of 32-bit floats for each tile (tile, y, x, v) under ``path``, named by the tile; missing cells are NaN, of cells given twice the largest counts, and cells outside are left
+    """A raster of 32-bit floats for each tile (tile, y, x, v) under ``path``, named by the tile; missing and non-finite cells are NaN, of cells given twice the largest counts, and cells outside are left
     out. A tile is one group: its cells are bounded by the raster."""
 
     def write(t: pa.Table) -> pa.Table:
@@ -151,5 +151,6 @@ def write_raster(cells: DataFrame, path: str, width: int, height: int) -> None:
         fs.move(attempt, f"{folder}/{tile}.r32")
         return pa.table({"tile": pa.array([tile], pa.int64())})
 
-    inside = cells.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).groupBy(F.col("tile").cast("long").alias("tile"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).agg(F.max(F.col("v").cast("double")).alias("v"))
+    v = F.col("v").cast("double")
+    inside = cells.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).groupBy(F.col("tile").cast("long").alias("tile"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).agg(F.max(v).alias("v"))
     inside.groupBy("tile").applyInArrow(write, "tile long").count()
