@@ -10,6 +10,9 @@ beyond the five of ``COLUMNS`` go with the mixture stage."""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from plotline.llm.ngram_join import near_duplicates
 from plotline.llm.packing import pack_documents
 from plotline.llm.quality import classify_quality
 from plotline.llm.toxicity import classify_toxicity
-from plotline.session import forget, importable, new_path, stored
+from plotline.session import bounded_batches, forget, importable, new_path, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -85,7 +88,18 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("quality", quality), ("toxicity", toxicity), ("near_copies", near_copies), ("mixture", mixture), ("packing", packing)]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _bounded(stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(bounded_batches(spark), docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(f.__name__, _bounded(f)) for f in (quality, toxicity, near_copies, mixture, packing)]
 #: Learnt scores and random draws have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 

@@ -34,6 +34,12 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> SparkSession:
+    """Let rows go to Python workers in batches of at most ``size`` bytes: texts differ in length, so a number of rows bounds nothing."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
