@@ -94,3 +94,41 @@ def enrich(tenants: DataFrame, quarters: DataFrame, verdicts: DataFrame) -> Data
     """Tenants with recent totals and verdict; each side is optional. The dump is reduced to the tenants' codes first."""
     few = quarters.join(tenants.select("code"), "code", "left_semi")
     return tenants.join(recent_totals(few).withColumnRenamed("employees", "latest_employees"), "code", "left").join(verdicts.select("code", "health"), "code", "left")
+
+
+def due_year(today: str) -> int:
+    """The last year whose report should be there by a day (ISO): reports are due in the middle of the next year, and half a year of grace follows."""
+    year = int(today[:4])
+    return year - 1 if today >= f"{year}-12-31" else year - 2
+
+
+def staff_and_reports(companies: DataFrame, quarters: DataFrame, reports: DataFrame, today: str) -> DataFrame:
+    """code, employees, last_report, overdue for companies (code, status, deleted): the staff of the last quarter, or of the last report (code, year,
+    employees) if that quarter has none; a report is overdue if the last one is from before the due year, for registered companies that aren't deleted
+    and have reported before."""
+    q = quarters.groupBy("code").agg(F.max_by("employees", F.struct("year", "q")).alias("of_quarter"))
+    r = reports.where("year IS NOT NULL").groupBy("code").agg(F.max_by("employees", "year").alias("of_report"), F.max("year").alias("last_report"))
+    x = companies.select("code", "status", "deleted").join(q, "code", "left").join(r, "code", "left")
+    overdue = (F.col("last_report") < due_year(today)) & F.col("deleted").isNull() & (F.col("status") == "R")
+    return x.select("code", F.coalesce("of_quarter", "of_report").alias("employees"), "last_report", F.coalesce(overdue, F.lit(False)).alias("overdue"))
+
+
+def reasons(stored: DataFrame) -> DataFrame:
+    """code, rule, from_year, from_turnover, to_year, to_turnover for stored rows (code, health, rule, status, overdue, the four figures, quarters
+    ARRAY<STRUCT<year, turnover>>) of which old ones lack the rule: it follows from the verdict, the status and the report, and the two years of a
+    turnover verdict from the quarters that are still there, if two whole years are."""
+    derived = (
+        F.when(F.col("health") == "distressed", F.when(F.col("status").isin("N", "L"), "status").otherwise("zero_taxes"))
+        .when(F.col("health") == "watch", F.when(F.col("overdue"), "report").otherwise("turnover"))
+    )
+    sold = F.filter(F.coalesce("quarters", F.array().cast("array<struct<year:int,turnover:bigint>>")), lambda q: q.turnover.isNotNull())
+    x = stored.withColumn("rule", F.coalesce("rule", derived)).withColumn("_sold", sold)
+    of = lambda y: F.filter("_sold", lambda q: q.year == y)
+    years = F.filter(F.array_sort(F.array_distinct(F.transform("_sold", lambda q: q.year))), lambda y: F.size(of(y)) == 4)
+    x = x.withColumn("_years", years)
+    total = lambda y: F.aggregate(of(y), F.lit(0).cast("long"), lambda a, q: a + q.turnover)
+    both, told = F.size("_years") > 1, F.col("from_year").isNotNull()
+    at = lambda k: F.when(both, F.try_element_at("_years", F.lit(k)))
+    of_turnover = F.col("rule") == "turnover"
+    pick = lambda given, found: F.when(of_turnover, F.when(told, F.col(given)).otherwise(found)).alias(given)
+    return x.select("code", "rule", pick("from_year", at(-2)), pick("from_turnover", F.when(both, total(at(-2)))), pick("to_year", at(-1)), pick("to_turnover", F.when(both, total(at(-1)))))

@@ -21,11 +21,14 @@ def cover(rows: DataFrame, xmin: Column, zmin: Column, xmax: Column, zmax: Colum
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float = 64.0) -> DataFrame:
-    """tile, point, polygon (the smallest id) for points (tile, point, x, z) and polygons (tile, polygon, ring)."""
-    env = G.envelope(F.col("ring"))
-    cells = cover(polygons.withColumn("e", env), F.col("e.xmin"), F.col("e.zmin"), F.col("e.xmax"), F.col("e.zmax"), size).drop("e")
+    """tile, point, polygon (the smallest id) for points (tile, point, x, z) and polygons (tile, polygon, ring). Points outside a ring's box fall away before
+    its edges are looked at."""
+    box = polygons.withColumn("e", G.envelope(F.col("ring")))
+    cells = cover(box, F.col("e.xmin"), F.col("e.zmin"), F.col("e.xmax"), F.col("e.zmax"), size)
     at = points.withColumns({"cx": cell(F.col("x"), size), "cz": cell(F.col("z"), size)})
-    hits = at.join(cells, ["tile", "cx", "cz"]).where(G.inside(F.col("x").cast("double"), F.col("z").cast("double"), F.col("ring")))
+    x, z = F.col("x").cast("double"), F.col("z").cast("double")
+    in_box = x.between(F.col("e.xmin"), F.col("e.xmax")) & z.between(F.col("e.zmin"), F.col("e.zmax"))
+    hits = at.join(cells, ["tile", "cx", "cz"]).where(F.when(in_box, G.inside(x, z, F.col("ring"))).otherwise(False))
     return hits.groupBy("tile", "point").agg(F.min("polygon").alias("polygon"))
 
 

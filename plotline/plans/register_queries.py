@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plotline.functions import geometry as G
 from plotline.functions import text as T
-from plotline.operators import company, links, market, match
+from plotline.operators import company, links, market, match, registers
 from plotline.operators.lists import global_rank
 from plotline.plans.demo import load, with_tables
 from plotline.plans.registry import ORACLES, query
@@ -271,3 +271,28 @@ def t22_words(spark, d):
 @query("u4_name_tokens", "SELECT p_partkey, len(list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> ''))) AS n FROM part")
 def u4(spark, d):
     return load(spark, d, "part").select("p_partkey", F.size(T.name_tokens(F.col("p_name"))).cast("long").alias("n"))
+
+
+@query("a5_staff_and_reports", _with("company", "company_quarter", "statement", "income", rest=""", s AS (SELECT s.code, s.year, s.employees, row_number() OVER (PARTITION BY s.code, s.year ORDER BY i.turnover IS NULL, s.sid DESC) AS r FROM statement s LEFT JOIN income i ON i.sid = s.sid WHERE s.year IS NOT NULL),
+rp AS (SELECT code, arg_max(employees, year) AS of_report, max(year) AS last_report FROM s WHERE r = 1 AND code % 10 > 0 GROUP BY code), lq AS (SELECT code, employees AS of_quarter FROM company_quarter WHERE code % 3 > 0 QUALIFY row_number() OVER (PARTITION BY code ORDER BY year DESC, q DESC) = 1)
+SELECT c.code, coalesce(of_quarter, of_report) AS employees, last_report, coalesce(last_report < 1997 AND c.code % 17 > 0 AND c.status = 'R', false) AS overdue FROM company c LEFT JOIN lq USING (code) LEFT JOIN rp USING (code)"""))
+def a5_staff(spark, d):
+    c = load(spark, d, "company").withColumn("deleted", F.when(F.col("code") % 17 == 0, "2020-01-01"))
+    r = registers.yearly_reports(load(spark, d, "statement"), load(spark, d, "income")).where("code % 10 > 0")
+    return company.staff_and_reports(c, load(spark, d, "company_quarter").where("code % 3 > 0"), r, "1999-06-30")
+
+
+@query("w4_reasons", _with("company", "company_quarter", rest=_HEALTH + """, e AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY year DESC, q DESC) AS r FROM company_quarter),
+fy AS (SELECT code, year, CAST(sum(turnover) AS BIGINT) AS t, row_number() OVER (PARTITION BY code ORDER BY year DESC) AS k FROM e WHERE r <= 8 AND turnover IS NOT NULL GROUP BY code, year HAVING count(*) = 4),
+o AS (SELECT h.* EXCLUDE (rule), CASE WHEN h.code % 2 = 1 THEN h.rule END AS given, c.status, c.overdue FROM h JOIN company c USING (code)),
+d AS (SELECT *, coalesce(given, CASE health WHEN 'distressed' THEN CASE WHEN status IN ('N', 'L') THEN 'status' ELSE 'zero_taxes' END WHEN 'watch' THEN CASE WHEN overdue THEN 'report' ELSE 'turnover' END END) AS rule FROM o),
+pair AS (SELECT a.code, b.year AS y0, b.t AS t0, a.year AS y1, a.t AS t1 FROM fy a JOIN fy b ON b.code = a.code AND a.k = 1 AND b.k = 2)
+SELECT d.code, rule, CASE WHEN rule = 'turnover' THEN CASE WHEN given IS NULL THEN y0 ELSE from_year END END AS from_year, CASE WHEN rule = 'turnover' THEN CASE WHEN given IS NULL THEN t0 ELSE from_turnover END END AS from_turnover,
+ CASE WHEN rule = 'turnover' THEN CASE WHEN given IS NULL THEN y1 ELSE to_year END END AS to_year, CASE WHEN rule = 'turnover' THEN CASE WHEN given IS NULL THEN t1 ELSE to_turnover END END AS to_turnover FROM d LEFT JOIN pair USING (code)"""))
+def w4(spark, d):
+    """Stored rows of companies with even codes lack rule and figures, as old ones do."""
+    c, q = load(spark, d, "company"), load(spark, d, "company_quarter")
+    told = F.col("code") % 2 == 1
+    h = company.health(c, q).withColumns({n: F.when(told, F.col(n)) for n in ("rule", "from_year", "from_turnover", "to_year", "to_turnover")})
+    kept = company.last_quarters(q, 8).groupBy("code").agg(F.collect_list(F.struct("year", "turnover")).alias("quarters"))
+    return company.reasons(h.join(c.select("code", "status", "overdue"), "code").join(kept, "code", "left"))
