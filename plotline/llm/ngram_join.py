@@ -38,7 +38,7 @@ THRESHOLD = (4, 5)
 #: Shingles whose order the broadcast sets, and the least number of counted repeats that puts one there.
 FREQUENT, REPEATS = 1 << 20, 8
 #: Distinct shingles that a task counts before it sends what repeated and begins anew.
-WINDOW = 1_000_000
+WINDOW = 1_500_000
 #: Bytes of text that are cut into shingles at once (one longer document stands alone).
 SLICE = 1 << 19
 #: Bits of the smallest signature; sets of more shingles get the next power of two that is no smaller than their size.
@@ -121,7 +121,7 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 if len(x) and (c := _class(x)) not in seen:
                     seen.add(c)
                     waiting.append(x)
-            if sum(map(len, waiting)) > 500_000:
+            if sum(map(len, waiting)) > 1_000_000:
                 merge()
                 if len(have) > WINDOW:
                     yield from repeated()
