@@ -48,3 +48,9 @@ def test_point_in_polygon(spark):
     assert summary(got, "polygon") == (N, {(0,)}) and len({r.point for r in got}) == N
 
 
+def test_without_points(spark):
+    rings = squares(copies(spark, (0, 0)).unionByName(copies(spark, (100, 0), 3)), 10)
+    got = rows_of(spark, lambda: spatial.without_points(rings, copies(spark, (5, 5))))
+    assert sorted(r.polygon for r in got) == [0, 1, 2]
+
+
