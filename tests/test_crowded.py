@@ -54,3 +54,9 @@ def test_without_points(spark):
     assert sorted(r.polygon for r in got) == [0, 1, 2]
 
 
+def test_home_of_points(spark):
+    points = copies(spark, (13, 5)).withColumnRenamed("id", "point")
+    got = rows_of(spark, lambda: spatial.home_of_points(points, squares(copies(spark, (0, 0)), 10), 8.0))
+    assert summary(got, "polygon", "d") == (N, {(0, 3.0)})
+
+
