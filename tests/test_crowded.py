@@ -60,3 +60,11 @@ def test_home_of_points(spark):
     assert summary(got, "polygon", "d") == (N, {(0, 3.0)})
 
 
+def test_thinned_stops(spark):
+    stop = lambda df: df.select("tile", "id", F.lit("bus").alias("kind"), F.lit(None).cast("string").alias("name"), "x", "z")
+    nowhere = copies(spark, (0, 0), 2).withColumns({"id": F.col("id") + 2 * N, "x": F.lit(None).cast("long")})
+    stops = stop(copies(spark, (0, 0)).unionByName(copies(spark, (10, 0)).withColumn("id", F.col("id") + N)).unionByName(nowhere))
+    got = rows_of(spark, lambda: spatial.thinned_stops(stops, 15.0))
+    assert sorted(r.id for r in got) == [0, 2 * N, 2 * N + 1]
+
+
