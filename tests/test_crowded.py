@@ -60,6 +60,15 @@ def test_home_of_points(spark):
     assert summary(got, "polygon", "d") == (N, {(0, 3.0)})
 
 
+def test_nearest_segment_and_arclength(spark):
+    lines = copies(spark, (0, 0)).select("tile", F.col("id").alias("rid"), F.col("x").alias("ax"), F.col("z").alias("az"), (F.col("x") + 10).alias("bx"), F.col("z").alias("bz"), F.lit(4).alias("width"))
+    got = rows_of(spark, lambda: spatial.nearest_segment(copies(spark, (4, 3)), lines, 25.0))
+    assert summary(got, "rid", "d", "side") == (N, {(0, 3.0, 1)})
+    lines = lines.drop("width").withColumnRenamed("rid", "line").withColumn("cum", F.lit(10.0))
+    got = rows_of(spark, lambda: spatial.nearest_arclength(copies(spark, (4, 3)), lines, 25.0))
+    assert summary(got, "line", "s", "d") == (N, {(0, 14.0, 3.0)})
+
+
 def test_thinned_stops(spark):
     stop = lambda df: df.select("tile", "id", F.lit("bus").alias("kind"), F.lit(None).cast("string").alias("name"), "x", "z")
     nowhere = copies(spark, (0, 0), 2).withColumns({"id": F.col("id") + 2 * N, "x": F.lit(None).cast("long")})
