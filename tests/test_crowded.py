@@ -60,6 +60,11 @@ def test_home_of_points(spark):
     assert summary(got, "polygon", "d") == (N, {(0, 3.0)})
 
 
+def test_nearest(spark):
+    got = rows_of(spark, lambda: spatial.nearest(copies(spark, (0, 0)), copies(spark, (3, 4)), 80))
+    assert summary(got, "right", "d2") == (N, {(0, 25)})
+
+
 def test_nearest_segment_and_arclength(spark):
     lines = copies(spark, (0, 0)).select("tile", F.col("id").alias("rid"), F.col("x").alias("ax"), F.col("z").alias("az"), (F.col("x") + 10).alias("bx"), F.col("z").alias("bz"), F.lit(4).alias("width"))
     got = rows_of(spark, lambda: spatial.nearest_segment(copies(spark, (4, 3)), lines, 25.0))
