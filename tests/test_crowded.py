@@ -82,3 +82,9 @@ def test_thinned_stops(spark):
     assert sorted(r.id for r in got) == [0, 2 * N, 2 * N + 1]
 
 
+def test_entrances(spark):
+    doors = copies(spark, (3, 4)).withColumn("main", F.col("id") == 7)
+    got = rows_of(spark, lambda: spatial.entrance_of_points(copies(spark, (0, 0)), doors, 60.0))
+    assert summary(got, "right", "d2") == (N, {(7, 25)})
+
+
