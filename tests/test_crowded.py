@@ -65,6 +65,12 @@ def test_nearest(spark):
     assert summary(got, "right", "d2") == (N, {(0, 25)})
 
 
+def test_nearest_k(spark):
+    right = copies(spark, (3, 4)).unionByName(copies(spark, (4, 3), 2).withColumn("id", -1 - F.col("id"))).unionByName(copies(spark, (1, 0), 1).withColumn("id", F.lit(9).cast("long")))
+    got = rows_of(spark, lambda: spatial.nearest_k(copies(spark, (0, 0)), right, 200, 4))
+    assert summary(got, "right", "d2", "rank") == (4 * N, {(9, 1, 1), (-2, 25, 2), (-1, 25, 3), (0, 25, 4)})
+
+
 def test_nearest_segment_and_arclength(spark):
     lines = copies(spark, (0, 0)).select("tile", F.col("id").alias("rid"), F.col("x").alias("ax"), F.col("z").alias("az"), (F.col("x") + 10).alias("bx"), F.col("z").alias("bz"), F.lit(4).alias("width"))
     got = rows_of(spark, lambda: spatial.nearest_segment(copies(spark, (4, 3)), lines, 25.0))
