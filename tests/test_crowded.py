@@ -71,6 +71,12 @@ def test_nearest_k(spark):
     assert summary(got, "right", "d2", "rank") == (4 * N, {(9, 1, 1), (-2, 25, 2), (-1, 25, 3), (0, 25, 4)})
 
 
+def test_largest_overlap(spark):
+    box = lambda at, w: copies(spark, at).select("tile", "id", F.col("x").alias("xmin"), F.col("z").alias("zmin"), (F.col("x") + w).alias("xmax"), (F.col("z") + w).alias("zmax"))
+    got = rows_of(spark, lambda: spatial.largest_overlap(box((0, 0), 10), box((5, 5), 10), 0.1))
+    assert summary(got, "b", "overlap") == (N, {(0, 25)})
+
+
 def test_nearest_segment_and_arclength(spark):
     lines = copies(spark, (0, 0)).select("tile", F.col("id").alias("rid"), F.col("x").alias("ax"), F.col("z").alias("az"), (F.col("x") + 10).alias("bx"), F.col("z").alias("bz"), F.lit(4).alias("width"))
     got = rows_of(spark, lambda: spatial.nearest_segment(copies(spark, (4, 3)), lines, 25.0))
