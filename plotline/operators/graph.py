@@ -95,20 +95,25 @@ def allowed_directions(tracks: DataFrame, size: float = 16.0) -> DataFrame:
     """rid, allowed for tracks (tile, rid, kind, line): 1 (forward only) with a twin on the left, -1 with one on the right, 0 with none or both.
 
     A twin is a segment of another track of the kind that passes within half a metre of a place 2.4 to 4.8 m beside the middle, in nearly the
-    same direction or its opposite. The ten places of a track and the cells of all segments meet by equi-join."""
-    t = with_middle(tracks.where(F.size("line") > 1)).where("length > 0")
+    same direction or its opposite. The ten places of a track and the cells of all segments meet by equi-join. Tracks of one kind along one line meet others once, all
+    together; each is a twin of the rest, should the line pass beside its own middle."""
+    alike = tracks.where(F.size("line") > 1).groupBy("tile", "kind", "line").agg(F.min("rid").alias("rid"), (F.count("*") > 1).alias("several"))
+    t, t_path = stored(with_middle(alike).where("length > 0"), "tracks")
     side = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.lit(o).alias("o")) for s in (-1, 1) for o in TWIN_STEPS)))
     p = t.select("tile", "rid", "kind", "mx", "mz", "ux", "uz", side.alias("q"))
     p = p.select("tile", "rid", "kind", "ux", "uz", "q.side", (F.col("mx") - F.col("uz") * F.col("q.side") * F.col("q.o")).alias("x"), (F.col("mz") + F.col("ux") * F.col("q.side") * F.col("q.o")).alias("z"))
     p = p.withColumns({"cx": cell(F.col("x"), size), "cz": cell(F.col("z"), size)})
-    s = t.select("tile", "kind", F.col("rid").alias("other"), F.explode("steps").alias("s")).select("tile", "kind", "other", "s.*").where("len > 0")
+    s = t.select("tile", "kind", F.col("rid").alias("other"), "several", F.explode("steps").alias("s")).select("tile", "kind", "other", "several", "s.*").where("len > 0")
     reach = lambda f, a, b, by: f(F.col(a), F.col(b)) + by
     s = cover(s, reach(F.least, "ax", "bx", -TWIN_REACH), reach(F.least, "az", "bz", -TWIN_REACH), reach(F.greatest, "ax", "bx", TWIN_REACH), reach(F.greatest, "az", "bz", TWIN_REACH), size)
     dx, dz = F.col("bx") - F.col("ax"), F.col("bz") - F.col("az")
     u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("z") - F.col("az")) * dz) / (F.col("len") * F.col("len"))))
     ex, ez = F.col("x") - F.col("ax") - u * dx, F.col("z") - F.col("az") - u * dz
     parallel = F.abs(dx * F.col("ux") + dz * F.col("uz")) >= TWIN_COSINE * F.col("len")
-    hit = p.join(s, ["tile", "kind", "cx", "cz"]).where((F.col("rid") != F.col("other")) & parallel & (ex * ex + ez * ez < TWIN_REACH * TWIN_REACH))
+    hit = p.join(s, ["tile", "kind", "cx", "cz"]).where(((F.col("rid") != F.col("other")) | F.col("several")) & parallel & (ex * ex + ez * ez < TWIN_REACH * TWIN_REACH))
     seen = hit.groupBy("rid").agg((F.count_if(F.col("side") == -1) > 0).alias("left"), (F.count_if(F.col("side") == 1) > 0).alias("right"))
     allowed = F.when(F.col("left") & ~F.col("right"), 1).when(F.col("right") & ~F.col("left"), -1).otherwise(0)
-    return t.select("rid").join(seen, "rid", "left").select("rid", allowed.alias("allowed"))
+    known, _ = stored(t.select("tile", "kind", "line", "rid").join(seen, "rid", "left").select("tile", "kind", "line", allowed.alias("allowed")), "allowed")
+    forget(tracks.sparkSession, t_path)
+    same = F.col("t.tile").eqNullSafe(F.col("k.tile")) & F.col("t.kind").eqNullSafe(F.col("k.kind")) & (F.col("t.line") == F.col("k.line"))
+    return tracks.alias("t").join(known.alias("k"), same).select("t.rid", "k.allowed")

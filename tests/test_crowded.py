@@ -107,3 +107,7 @@ def test_straightest_next(spark):
     assert summary(got, "next") == (N, {(N,)}) and max(r.rid for r in got) == N - 1
 
 
+def test_directions(spark):
+    line = lambda z, first: spark.range(N // 2).select(F.lit(1).cast("long").alias("tile"), (F.col("id") + first).alias("rid"), F.lit("tram").alias("kind"), F.expr(f"array(named_struct('x', 0.0D, 'z', {z}D), named_struct('x', 20.0D, 'z', {z}D))").alias("line"))
+    got = rows_of(spark, lambda: graph.allowed_directions(line(0.0, 0).unionByName(line(3.0, N))))
+    assert summary([r for r in got if r.rid < N], "allowed") == (N // 2, {(-1,)}) and summary([r for r in got if r.rid >= N], "allowed") == (N // 2, {(1,)})
