@@ -119,6 +119,10 @@ def match_fi(addresses: DataFrame, parcels: DataFrame, buildings: DataFrame) ->
 
 
 def name_matches(left: DataFrame, right: DataFrame, block: str, least: float = 0.5) -> DataFrame:
-    """left_id, right_id, score: for each left name the best right name of its block with a score of at least ``least``."""
-    pairs = left.join(right, block).withColumn("score", T.name_score(F.col("left_tokens"), F.col("right_tokens"))).where(F.col("score") >= least)
-    return pairs.groupBy("left_id").agg(F.max_by(F.struct("right_id", "score"), F.struct(F.col("score"), -F.col("right_id"))).alias("m")).select("left_id", "m.right_id", "m.score")
+    """left_id, right_id, score: for each left name the best right name of its block with a score of at least ``least`` (ties: smallest id). Names of
+    equal words meet once in a block, however many rows have them."""
+    names = left.select(block, "left_tokens").distinct()
+    first = right.groupBy(block, "right_tokens").agg(F.min("right_id").alias("right_id"))
+    pairs = names.join(first, block).withColumn("score", T.name_score(F.col("left_tokens"), F.col("right_tokens"))).where(F.col("score") >= least)
+    best = pairs.groupBy(block, "left_tokens").agg(F.max_by(F.struct("right_id", "score"), F.struct(F.col("score"), -F.col("right_id"))).alias("m"))
+    return left.join(best, [block, "left_tokens"]).select("left_id", "m.right_id", "m.score")

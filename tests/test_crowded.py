@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plotline.functions import geometry as G
-from plotline.operators import graph, roads, spatial
+from plotline.operators import graph, match, roads, spatial
 
 N = 40_000
 
@@ -111,3 +111,9 @@ def test_directions(spark):
     line = lambda z, first: spark.range(N // 2).select(F.lit(1).cast("long").alias("tile"), (F.col("id") + first).alias("rid"), F.lit("tram").alias("kind"), F.expr(f"array(named_struct('x', 0.0D, 'z', {z}D), named_struct('x', 20.0D, 'z', {z}D))").alias("line"))
     got = rows_of(spark, lambda: graph.allowed_directions(line(0.0, 0).unionByName(line(3.0, N))))
     assert summary([r for r in got if r.rid < N], "allowed") == (N // 2, {(-1,)}) and summary([r for r in got if r.rid >= N], "allowed") == (N // 2, {(1,)})
+
+
+def test_name_matches(spark):
+    names = lambda words, key, tokens: spark.range(N // 2).select(F.col("id").alias(key), F.lit("b").alias("block"), F.array(*map(F.lit, words)).alias(tokens))
+    got = rows_of(spark, lambda: match.name_matches(names(("kesk", "pood"), "left_id", "left_tokens"), names(("pood", "uus"), "right_id", "right_tokens").unionByName(names(("kesk", "pood", "uus"), "right_id", "right_tokens")), "block"))
+    assert summary(got, "right_id", "score") == (N // 2, {(0, 1.0)})
