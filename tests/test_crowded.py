@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plotline.functions import geometry as G
-from plotline.operators import graph, match, roads, spatial
+from plotline.operators import graph, links, match, roads, spatial
 
 N = 40_000
 
@@ -117,3 +117,11 @@ def test_name_matches(spark):
     names = lambda words, key, tokens: spark.range(N // 2).select(F.col("id").alias(key), F.lit("b").alias("block"), F.array(*map(F.lit, words)).alias(tokens))
     got = rows_of(spark, lambda: match.name_matches(names(("kesk", "pood"), "left_id", "left_tokens"), names(("pood", "uus"), "right_id", "right_tokens").unionByName(names(("kesk", "pood", "uus"), "right_id", "right_tokens")), "block"))
     assert summary(got, "right_id", "score") == (N // 2, {(0, 1.0)})
+
+
+def test_pairs_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(links, "BLOCK", 20)
+    monkeypatch.setattr(links, "PAIRS", 1000, raising=False)
+    rows = spark.range(200).select((F.col("id") % 2).alias("g"), F.col("id").cast("string").alias("item"))
+    got = links.pairs_within(rows, "g", "item").withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 2 * 100 * 99 // 2 and len({r.task for r in got}) > 8
