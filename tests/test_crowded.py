@@ -125,3 +125,16 @@ def test_pairs_are_made_by_many_tasks(spark, monkeypatch):
     rows = spark.range(200).select((F.col("id") % 2).alias("g"), F.col("id").cast("string").alias("item"))
     got = links.pairs_within(rows, "g", "item").withColumn("task", F.spark_partition_id()).collect()
     assert len(got) == 2 * 100 * 99 // 2 and len({r.task for r in got}) > 8
+
+
+def test_links_of_plots(spark):
+    """As ``links`` over all pairs: plots in several entries, shared owners within an entry, and only some plots asked for."""
+    entries = [("a", "1"), ("b", "1"), ("c", "1"), ("a", "2"), ("b", "2"), ("d", "2"), ("e", "word"), ("f", None)]
+    p = spark.createDataFrame(entries, "tunnus string, land_registry string")
+    h = spark.createDataFrame([("o", "a"), ("o", "b"), ("o", "e"), ("q", "a"), ("q", "b"), ("q", "z"), ("r", "f"), ("r", "z"), ("r", "z"), ("s", "y"), ("s", "z")], "owner string, tunnus string")
+    for wanted in (p, p.where("tunnus IN ('a', 'f')")):
+        want = links.links(links.shared_owner_pairs(h), links.immovable_pairs(p), wanted)
+        got = links.links_of_plots(h, p, wanted)
+        assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CollectSet" not in plan and "collect_set" not in plan  # pairs of an entry are not gathered
