@@ -13,16 +13,17 @@ def connected(edges: DataFrame) -> DataFrame:
     """v, comp (the least vertex of v's component) for the vertices of edges (a, b), of any type that can be ordered.
 
     Every round each vertex takes the least label around it and then the label of its label, so chains halve; a component, however large, is
-    never gathered. Vertices without edges are not returned."""
+    never gathered. Vertices without edges are not returned. Labels are joined by sorting: their stored tables are much smaller than their rows, so that they would be
+    sent through the driver else."""
     spark = edges.sparkSession
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both, both_path = stored(both, "edges")
     labels, path = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "labels")
     while True:
-        around = both.join(labels.select(F.col("v").alias("b"), "comp"), "b").groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("near"))
-        nxt = labels.join(around, "v").select("v", F.col("comp").alias("was"), F.least("comp", "near").alias("l"))
+        around = both.join(labels.select(F.col("v").alias("b"), "comp").hint("merge"), "b").groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("near"))
+        nxt = labels.join(around.hint("merge"), "v").select("v", F.col("comp").alias("was"), F.least("comp", "near").alias("l"))
         jump = labels.select(F.col("v").alias("l"), F.col("comp").alias("further"))
-        nxt = nxt.join(jump, "l").select("v", F.least("l", "further").alias("comp"), "was")
+        nxt = nxt.join(jump.hint("merge"), "l").select("v", F.least("l", "further").alias("comp"), "was")
         nxt, nxt_path = stored(nxt.select("v", "comp", (F.col("comp") < F.col("was")).alias("moved")), "labels")
         forget(spark, path)
         labels, path = nxt.select("v", "comp"), nxt_path

@@ -41,10 +41,10 @@ def split_blobs(labelled: DataFrame, most: int, least: int, steps: int = 4) -> D
         parts = named.groupBy("tile", F.col("label").alias("part")).agg(F.count("*").alias("n")).where(F.col("n") >= max(1, least // (step + 1)))
         apart = parts.groupBy("tile").agg((F.count("*") >= 2).alias("several"), (F.max("n") <= most).alias("small")).select("tile", (F.col("several") & F.col("small")).alias("apart"))
         apart, apart_path = stored(apart, "apart")
-        split = named.withColumnRenamed("label", "part").join(parts.select("tile", "part"), ["tile", "part"]).join(apart.where("apart"), "tile", "left_semi")
+        split = named.withColumnRenamed("label", "part").join(parts.select("tile", "part").hint("merge"), ["tile", "part"]).join(apart.where("apart").hint("merge"), "tile", "left_semi")
         split, split_path = stored(split.select("tile.tile", "tile.label", "part", "y", "x", F.lit(step).alias("eroded")), "split")
         out = split if out is None else out.unionByName(split)
-        left, path = stored(named.select("tile", "y", "x").join(apart.where("NOT apart"), "tile", "left_semi"), "blobs")
+        left, path = stored(named.select("tile", "y", "x").join(apart.where("NOT apart").hint("merge"), "tile", "left_semi"), "blobs")
         done += [named_path, apart_path]
     forget(spark, *done)
     if out is None:

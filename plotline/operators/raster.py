@@ -93,7 +93,7 @@ def zonal(cells: DataFrame, zones: DataFrame, q: float, least: int) -> DataFrame
 
 def components(mask: DataFrame) -> DataFrame:
     """tile, y, x, label of 8-connected components; the label is the smallest run id. Rows are compressed to runs first, then runs
-    that touch are joined and labels spread until nothing changes."""
+    that touch are joined and labels spread until nothing changes. Nothing is sent through the driver: stored runs are small, their rows are not."""
     w = W.partitionBy("tile", "y").orderBy("x")
     new = F.when(F.lag("x").over(w) == F.col("x") - 1, 0).otherwise(1)
     cells = mask.select("tile", "y", "x").distinct().withColumn("new", new).withColumn("run", F.sum("new").over(w))
@@ -101,10 +101,10 @@ def components(mask: DataFrame) -> DataFrame:
     runs, _ = stored(runs, "runs")
     at = lambda y, lo: F.struct("tile", F.col(y).alias("y"), F.col(lo).alias("lo"))
     up = runs.select("tile", (F.col("y") + 1).alias("y"), F.col("lo").alias("plo"), F.col("hi").alias("phi"), at("y", "lo").alias("p"))
-    touch = runs.join(up, ["tile", "y"]).where((F.col("lo") <= F.col("phi") + 1) & (F.col("hi") >= F.col("plo") - 1))
+    touch = runs.join(up.hint("merge"), ["tile", "y"]).where((F.col("lo") <= F.col("phi") + 1) & (F.col("hi") >= F.col("plo") - 1))
     labels = connected(touch.select(at("y", "lo").alias("a"), F.col("p").alias("b"))).select(F.col("v").alias("id"), "comp")
-    named = runs.select("tile", "y", "run", at("y", "lo").alias("id")).join(labels, "id", "left").withColumn("label", F.coalesce("comp", "id"))
-    return cells.join(named.select("tile", "y", "run", "label"), ["tile", "y", "run"]).select("tile", "y", "x", (F.shiftleft(F.col("label.y").cast("long"), 32) + F.col("label.lo")).alias("label"))
+    named = runs.select("tile", "y", "run", at("y", "lo").alias("id")).join(labels.hint("merge"), "id", "left").withColumn("label", F.coalesce("comp", "id"))
+    return cells.join(named.select("tile", "y", "run", "label").hint("merge"), ["tile", "y", "run"]).select("tile", "y", "x", (F.shiftleft(F.col("label.y").cast("long"), 32) + F.col("label.lo")).alias("label"))
 
 
 def blob_shapes(labelled: DataFrame, cells: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plotline.functions import geometry as G
-from plotline.operators import graph, links, match, roads, spatial
+from plotline.operators import graph, links, match, patterns, raster, roads, spatial
 
 N = 40_000
 
@@ -138,3 +138,14 @@ def test_links_of_plots(spark):
         assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CollectSet" not in plan and "collect_set" not in plan  # pairs of an entry are not gathered
+
+
+def test_blobs_are_not_sent_through_the_driver(spark):
+    """Stored tables of runs are small, their rows are many: no table of blobs is broadcast."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    cells = spark.range(900).selectExpr("1L AS tile", "CAST(id / 30 AS LONG) AS y", "id % 30 AS x").where("x % 10 < 8 AND (y % 10 < 8)")
+    assert patterns.split_blobs(raster.components(cells.where("x <> 13 OR y = 3")), 400, 4).count() > 0
+    runs = store.executionsList(before, 1000)
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    assert len(plans) > 5 and not any("BroadcastExchange" in p for p in plans)
