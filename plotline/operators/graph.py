@@ -77,15 +77,19 @@ def with_middle(lines: DataFrame) -> DataFrame:
 
 def build_graph(lines: DataFrame, radius: float = 1.0, least: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """(nodes: tile, x, z, arms; edges: the lines (tile, rid, line) at least ``least`` long with length, mx, mz and the places of both nodes ax, az,
-    bx, bz). ``arms`` counts the ends that meet in a node; a line that ends where it begins has two there."""
+    bx, bz). ``arms`` counts the ends that meet in a node; a line that ends where it begins has two there. Ends in one place are counted before they
+    meet their node, and a line brings its ends to the table of places, so lines are not gathered."""
     e = with_middle(lines).where((F.size("line") > 1) & (F.col("length") >= least)).drop("steps")
-    end = lambda at, name: e.select("tile", F.try_element_at("line", F.lit(at)).x.alias("x"), F.try_element_at("line", F.lit(at)).z.alias("z"), "rid", F.lit(name).alias("end"))
-    ends = end(1, "a").unionByName(end(-1, "b"))
-    placed = ends.join(snapped(ends, radius), ["tile", "x", "z"])
-    nodes = placed.groupBy("tile", F.col("nx").alias("x"), F.col("nz").alias("z")).agg(F.count("*").alias("arms"))
-    of = lambda name: F.max(F.when(F.col("end") == name, F.struct("nx", "nz")))
-    both = placed.groupBy("rid").agg(of("a").alias("a"), of("b").alias("b")).select("rid", F.col("a.nx").alias("ax"), F.col("a.nz").alias("az"), F.col("b.nx").alias("bx"), F.col("b.nz").alias("bz"))
-    return nodes, e.join(both, "rid")
+    first, last = F.try_element_at("line", F.lit(1)), F.try_element_at("line", F.lit(-1))
+    ends = e.select("tile", F.explode(F.array(first, last)).alias("p")).select("tile", "p.x", "p.z").groupBy("tile", "x", "z").agg(F.count("*").alias("n"))
+    ends, _ = stored(ends, "ends")
+    node_of, _ = stored(snapped(ends, radius), "snapped")
+    nodes = ends.join(node_of, ["tile", "x", "z"]).groupBy("tile", F.col("nx").alias("x"), F.col("nz").alias("z")).agg(F.sum("n").alias("arms"))
+    edges = e
+    for name, at in (("a", first), ("b", last)):
+        own = node_of.select(F.col("tile").alias("_t"), F.col("x").alias("_x"), F.col("z").alias("_z"), F.col("nx").alias(f"{name}x"), F.col("nz").alias(f"{name}z"))
+        edges = edges.join(own, (F.col("tile") == F.col("_t")) & (at.x == F.col("_x")) & (at.z == F.col("_z"))).drop("_t", "_x", "_z")
+    return nodes, edges.select("rid", *(c for c in e.columns if c != "rid"), "ax", "az", "bx", "bz")
 
 
 # How far beside a track's middle its twin is looked for, how near it must be there, and how parallel.

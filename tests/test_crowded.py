@@ -149,3 +149,10 @@ def test_blobs_are_not_sent_through_the_driver(spark):
     runs = store.executionsList(before, 1000)
     plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
     assert len(plans) > 5 and not any("BroadcastExchange" in p for p in plans)
+
+
+def test_lines_are_not_gathered(spark):
+    lines = spark.range(50).selectExpr("1L AS tile", "id AS rid", "array(named_struct('x', 0.0D, 'z', 0.0D), named_struct('x', 10.0D + id % 2, 'z', 0.0D)) AS line")
+    nodes, edges = graph.build_graph(lines)
+    assert sorted((r.x, r.z, r.arms) for r in nodes.collect()) == [(0.0, 0.0, 50), (10.0, 0.0, 25), (11.0, 0.0, 25)] and edges.count() == 50
+    assert "hashpartitioning(rid" not in edges._jdf.queryExecution().executedPlan().toString()
