@@ -1,8 +1,12 @@
 """Map extracts read in parts, and their geometry."""
 
+import re
+
+import pyarrow as pa
 import pytest
 
 from plotline.operators import osm
+from plotline.sources import osm as sources
 from plotline.sources.osm import read_osm
 
 XML = """<?xml version='1.0' encoding='UTF-8'?>
@@ -62,3 +66,30 @@ def test_wanted_and_keys(spark):
     assert [i for i in got if got[i].w] == [0, 1, 7, 8, 9, 10, 11]
     assert [i for i in got if got[i].r] == [7, 8, 9, 10, 11]
     assert {i: got[i].k for i in got if got[i].k} == {8: "office", 9: "leisure", 10: "craft", 11: "amenity"}
+
+
+def test_extract_is_read_once(spark, tmp_path):
+    (tmp_path / "a.osm").write_text(XML)
+    for part in read_osm(spark, str(tmp_path)):
+        assert not [f for f in part.inputFiles() if f.endswith("a.osm")]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 100])
+def test_long_elements_come_in_pieces(spark, monkeypatch, size):
+    monkeypatch.setattr(sources, "MOST", 5)
+    refs = lambda lo, hi: [f'\n<nd ref="{i}"/' for i in range(lo, hi)]
+    blocks = [("a", 0, ["<osm", "\n<way id='1'", *refs(0, 20), "</way", '<way id="2"/', '<way id="x"', *refs(90, 92)]), ("a", 100, [*refs(92, 95), "</way"]), ("a", 200, ["</a", '<way id="3"', *refs(20, 24)]), ("b", 0, refs(70, 73)), ("b", 9, refs(73, 79))]
+    rows = [(value, file, block) for file, block, values in blocks for value in values]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("value", "file", "block"), r, strict=True)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
+    pieces = spark.createDataFrame(pa.Table.from_batches(sources._gathered(iter(batches))).to_pandas(), "file string, block long, seq long, part string, kind string, id string, lat string, lon string, tags array<struct<k:string,v:string>>, refs array<string>, members array<struct<type:string,ref:string>>")
+    whole = {r.id: list(map(int, r.refs)) for r in pieces.where("part = 'way'").collect()}
+    joined = {r.id: list(map(int, r.refs)) for r in sources._joined(pieces.where("part = 'part'")).collect()}
+    assert not whole.keys() & joined.keys() and len(pieces.where("part = 'part'").collect()) >= 3
+    assert {**whole, **joined} == {"1": list(range(20)), "2": [], "x": [90, 91, 92, 93, 94], "3": [20, 21, 22, 23]}
+
+
+def test_boxes_of_ways_are_made_once(spark, tmp_path):
+    (tmp_path / "a.osm").write_text(XML)
+    e = read_osm(spark, str(tmp_path))
+    plan = osm.relation_bounds(e.relations, e.ways, e.coords)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"keys=\[id#\w+, ref#\w+\]", plan)
