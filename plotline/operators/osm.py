@@ -54,21 +54,23 @@ def poi_key() -> Column:
 def complete_ways(ways: DataFrame, coords: DataFrame) -> DataFrame:
     """id, tags, refs, geometry ARRAY<STRUCT<lat, lon>> of ways all of whose nodes have a place; a way with a missing node, or without nodes, is
     left out. References are exploded and meet their nodes by id, so that neither long ways nor nodes of many ways gather."""
-    at = ways.select("id", F.size("refs").alias("n"), F.posexplode("refs").alias("pos", "ref"))
+    at = ways.select("id", F.size("refs").alias("n"), F.posexplode("refs").alias("pos", "ref"))  # grouped by id alone, as ways are dealt
     placed = at.join(coords.select(F.col("id").alias("ref"), "lat", "lon"), "ref")
     line = F.transform(F.array_sort(F.collect_list(F.struct("pos", "lat", "lon"))), lambda p: F.struct(p.lat.alias("lat"), p.lon.alias("lon")))
-    whole = placed.groupBy("id", "n").agg(F.count("*").alias("found"), line.alias("geometry")).where("found = n")
+    whole = placed.groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("found"), line.alias("geometry")).where("found = n")
     return ways.join(whole.select("id", "geometry"), "id")
 
 
 def relation_bounds(relations: DataFrame, ways: DataFrame, coords: DataFrame) -> DataFrame:
     """id, minlat, minlon, maxlat, maxlon over the nodes of a relation and of its ways, as far as they are there. Members that are relations
-    add nothing; relations without any node are left out."""
+    add nothing; relations without any node are left out. A way's box is made once, however many relations it belongs to."""
+    places = coords.select(F.col("id").alias("ref"), *(F.struct("lat", "lon").alias(c) for c in ("least", "most")))
     m = relations.select("id", F.explode("members").alias("m")).select("id", "m.type", "m.ref")
-    by_way = m.where("type = 'way'").join(ways.select(F.col("id").alias("ref"), "refs"), "ref").select("id", F.explode("refs").alias("ref"))
-    nodes = m.where("type = 'node'").select("id", "ref").unionByName(by_way).distinct()
-    placed = nodes.join(coords.select(F.col("id").alias("ref"), "lat", "lon"), "ref")
-    return placed.groupBy("id").agg(F.min("lat").alias("minlat"), F.min("lon").alias("minlon"), F.max("lat").alias("maxlat"), F.max("lon").alias("maxlon"))
+    reach = [F.min("least.lat").alias("minlat"), F.min("least.lon").alias("minlon"), F.max("most.lat").alias("maxlat"), F.max("most.lon").alias("maxlon")]
+    ends = [F.struct(F.col(f"{c}lat").alias("lat"), F.col(f"{c}lon").alias("lon")).alias(n) for c, n in (("min", "least"), ("max", "most"))]
+    boxes = ways.select("id", F.explode("refs").alias("ref")).join(places, "ref").groupBy("id").agg(*reach).select(F.col("id").alias("ref"), *ends)
+    of = lambda kind, with_: m.where(F.col("type") == kind).select("id", "ref").join(with_, "ref")
+    return of("node", places).unionByName(of("way", boxes)).groupBy("id").agg(*reach)
 
 
 def in_box(nodes: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:
