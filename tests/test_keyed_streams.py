@@ -75,3 +75,9 @@ def test_late_rows_are_left_out(spark, tmp_path):
     assert got == [(1, 1, 1.0), (1, 2, 3.0)]
     empty = fed(spark, rows[:1], f"{tmp_path}/none", 1, lambda s: K.rolling_means(s.where(F.lit(False)), "user_id"))
     assert empty == []
+
+
+def test_keys_share_buckets(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "BUCKETS", 1)
+    test_rolling_means(spark, rows, tmp_path / "means", 3)
+    test_headed_sessions(spark, rows, tmp_path / "sessions", 3)
