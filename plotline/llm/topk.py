@@ -5,7 +5,7 @@ that equal lengths can be split), the longest first. Buckets are searched in wav
 after a wave every query has a threshold, its k-th best product so far, and goes on only to buckets whose longest vector could reach it.
 As buckets are in order of length, these are all buckets up to a number that a small table of lengths on a logarithmic scale gives. Inside a
 bucket the local cosine threshold, threshold / (query length * bucket's largest length), chooses the pruning: where it is low,
-candidates shorter than threshold / query length fall away (length pruning); where it is high, the candidate's coordinate at the query's
+candidates shorter than threshold / query length fall away (length pruning); where it is high, and the interval is narrow, the candidate's coordinate at the query's
 largest coordinate must lie in the interval that the threshold allows (coordinate pruning). What is left is verified by exact products,
 and the best k of each bucket meet by query.
 
@@ -28,6 +28,9 @@ from plotline.session import forget, stored
 
 #: Below this local cosine threshold length pruning is used, above it coordinate pruning.
 SWITCH = 0.3
+#: Where the interval of coordinates keeps more than this part (1 / WIDE) of a bucket, length pruning is used too: copying so many rows for one query
+#: costs more than their products with many queries at once.
+WIDE = 16
 #: Buckets searched after a wave, as a multiple of those before it.
 GROWTH = 4
 
@@ -102,7 +105,9 @@ def search_bucket(q_ids: np.ndarray, q: np.ndarray, q_norm: np.ndarray, floor: n
             sorted_coordinate[f] = at, unit[at, f]
         at, values = sorted_coordinate[f]
         part = at[np.searchsorted(values, lo - 1e-9) : np.searchsorted(values, hi + 1e-9, side="right")]
-        if len(part):
+        if len(part) * WIDE > len(c):
+            by_length.append((i, int(np.searchsorted(-norm, -(floor[i] / q_norm[i]) * (1 - 1e-12), side="right"))))
+        elif len(part):
             out.append(_best(i, q_ids[i], ids[part], _products(q[i : i + 1], c[part])[0], floor[i], k))
     by_length.sort(key=lambda x: x[1])
     for lo in range(0, len(by_length), 64):

@@ -47,3 +47,21 @@ def test_lessons_are_bounded_after_the_join(spark):
     assert toxicity.lessons(docs.where("doc_id <> 1"), few, 1000).count() == few.where("doc_id <> 1").count()
     labels = spark.range(100).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
     assert toxicity.classify_toxicity(docs, labels, sample=10).count() == docs.count()
+
+
+def test_wide_intervals_meet_many_queries_at_once(monkeypatch):
+    import numpy as np
+
+    from plotline.llm import topk
+
+    rng, calls, products = np.random.default_rng(1), [], topk._products
+    c, q = (np.floor(64 * rng.standard_normal((n, 16))) for n in (400, 128))
+    c_norm, q_norm = np.linalg.norm(c, axis=1), np.linalg.norm(q, axis=1)
+    monkeypatch.setattr(topk, "_products", lambda a, b: calls.append(len(a)) or products(a, b))
+    found = topk.search_bucket(np.arange(128), q, q_norm, 0.32 * q_norm * c_norm.max(), np.arange(1000, 1400), c, c_norm, 5)
+    assert len(calls) < 20
+    for i, ids, s in found:
+        every = c @ q[i]
+        best = np.lexsort((np.arange(400), -every))[:5]
+        best = best[every[best] >= 0.32 * q_norm[i] * c_norm.max() * (1 - 1e-12)]
+        assert ids.tolist() == (best + 1000).tolist() and s.tolist() == every[best].tolist()
