@@ -13,7 +13,8 @@ A document is the set of its distinct five-word shingles as sorted 64-bit hashes
 4. Sets of the classes left are built again from the texts and intersected exactly; links give components.
 5. Shingles of three or more classes that are not yet all in one component: their classes are dealt to squares of at most a fixed number
    of rows (blocks of those outside the largest component against all blocks), and all pairs of different components in a square go
-   through 3 and 4. First each class takes its two best partners in a square, then, for what is still apart, all that the bitmaps allow.
+   through 3 and 4. Bitmaps are brought only to rows that have a partner of fitting size and place in their square. First each class takes
+   its two best partners in a square; shingles where that left an allowed pair untried meet again, and all that the bitmaps allow are tried.
    So no link between different components is lost, while groups of near copies never expand into all their pairs.
 
 Cases: null, empty and white-space texts have no shingles and are their own component; texts of one to four words are one shingle of
@@ -322,7 +323,8 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[Data
 
     asked = texts.join(few, texts.doc_id.eqNullSafe(F.col("least_doc")), "left_semi")
     built = asked.mapInArrow(build, "k1 long, k2 long, ids binary")
-    sets, sets_path = stored(built.join(wanted.select("k1", "k2", "cls"), ["k1", "k2"]).select("cls", "ids").dropDuplicates(["cls"]), "sets")
+    once = built.dropDuplicates(["k1", "k2"])  # by the join's own key, so that sets are moved once
+    sets, sets_path = stored(once.join(wanted.select("k1", "k2", "cls"), ["k1", "k2"]).select("cls", "ids"), "sets")
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("ids").alias("p")), "a").join(sets.select(F.col("cls").alias("b"), F.col("ids").alias("q")), "b")
     out = stored(both.select("a", "b", "p", "q").mapInArrow(verify, "a long, b long"), "links")
     forget(spark, wanted_path, sets_path)
@@ -330,7 +332,9 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[Data
 
 
 def _squares(tiles: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (token, lo, hi, own, cls, n, pos, comp, bits) of the squares of tokens whose classes are in several components."""
+    """Rows (token, lo, hi, own, cls, n, pos, comp, bits) of the squares of tokens whose classes are in several components.
+
+    Rows without a partner of fitting size and place in their square are left out before the bitmaps, by far the widest column, are joined."""
     comps = found.select(F.col("v").alias("cls"), "comp")
     now = tiles.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     sizes = now.groupBy("token", "comp").agg(F.count("*").alias("k"))
@@ -343,9 +347,9 @@ def _squares(tiles: DataFrame, found: DataFrame, classes: DataFrame) -> DataFram
     others = F.sequence(F.lit(0), F.when(stray, F.col("outside") + F.col("inside")).otherwise(F.col("outside")) - 1)
     rows = rows.withColumn("own", own).withColumn("other", F.explode(others))
     rows = rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "n", "pos", "comp")
+    rows = rows.repartition(*_SQUARE).sortWithinPartitions(*_SQUARE).mapInArrow(_by_square(_partnered), "token long, lo int, hi int, own int, cls long, n int, pos int, comp long")
     rows = rows.join(classes.select("cls", "bits"), "cls")
-    key = ["token", "lo", "hi"]
-    return rows.select(*key, "own", "cls", "n", "pos", "comp", "bits").repartition(*key).sortWithinPartitions(*key)
+    return rows.select(*_SQUARE, "own", "cls", "n", "pos", "comp", "bits").repartition(*_SQUARE).sortWithinPartitions(*_SQUARE)
 
 
 def _differ(values: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -367,66 +371,19 @@ def _differ(values: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray) -
     return out
 
 
-def _within_squares(best: bool):
-    """A task over rows of squares: pairs (a, b) of different components that places and bitmaps allow; each row's two best if ``best``."""
+_SQUARE = ["token", "lo", "hi"]
 
-    def pairs(c: dict[str, np.ndarray], values: np.ndarray, off: np.ndarray, square: np.ndarray) -> pa.RecordBatch:
-        m = len(square)
-        edges = np.flatnonzero(np.concatenate(([True], square[1:] != square[:-1])))
-        size = np.diff(np.append(edges, m))[square - square[0]]
-        found: list[np.ndarray] = []
 
-        def keep(x: np.ndarray, y: np.ndarray) -> None:
-            ok = (c["comp"][x] != c["comp"][y]) & ((c["own"][x] != c["own"][y]) | (c["lo"][x] == c["hi"][x])) & (c["cls"][x] != c["cls"][y])
-            x, y = x[ok], y[ok]
-            ok = _fits(c["n"][x], c["n"][y], c["pos"][x], c["pos"][y], np.minimum, np.maximum)
-            x, y = x[ok], y[ok]
-            if len(x):
-                d = _differ(values, off, x, y)
-                ok = d * (THRESHOLD[0] + THRESHOLD[1]) <= (c["n"][x] + c["n"][y]) * (THRESHOLD[1] - THRESHOLD[0])
-                found.append(np.stack([x[ok], y[ok], d[ok]]))
-
-        small = np.flatnonzero(size <= 48)
-        for step in range(1, 48):
-            x = small[small + step < m]
-            x = x[square[x] == square[x + step]]
-            if not len(x):
-                break
-            keep(x, x + step)
-        for lo in edges[size[edges] > 48].tolist():
-            hi = lo + int(size[lo])
-            for i in range(lo, hi, 128):
-                x, y = np.meshgrid(np.arange(i, min(i + 128, hi)), np.arange(i, hi), indexing="ij")
-                up = x < y
-                keep(x[up], y[up])
-        x, y, d = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        if best and len(x):
-            row, pair = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
-            order = np.lexsort((np.tile(d, 2), row))
-            row, pair = row[order], pair[order]
-            first = np.concatenate(([True, True], row[2:] != row[:-2]))
-            pair = np.unique(pair[first])
-            x, y = x[pair], y[pair]
-        a, b = c["cls"][x], c["cls"][y]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _by_square(done):
+    """A task over rows sorted by square: ``done`` gets whole squares as a table, its number columns, and the squares' numbers."""
 
-    names = ["token", "lo", "hi", "own", "cls", "n", "pos", "comp"]
+    def numbered(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        c = {k: t.column(k).to_numpy().astype(np.int64) for k in (*_SQUARE, "own", "cls", "n", "pos", "comp")}
+        new = np.concatenate(([False], np.any([c[k][1:] != c[k][:-1] for k in _SQUARE], axis=0)))
+        return c, np.cumsum(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-
-        def numbered(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
-            c = {k: t.column(k).to_numpy().astype(np.int64) for k in names}
-            new = np.concatenate(([False], np.any([c[k][1:] != c[k][:-1] for k in ("token", "lo", "hi")], axis=0)))
-            return c, np.cumsum(new)
-
-        def done(t: pa.Table) -> pa.RecordBatch:
-            c, square = numbered(t)
-            bits = t.column("bits").combine_chunks()
-            bits = pa.concat_arrays(bits.chunks) if isinstance(bits, pa.ChunkedArray) else bits
-            off = bits.offsets.to_numpy().astype(np.int64)
-            return pairs(c, bits.values.to_numpy().view(U), off, square)
-
         for b in batches:
             t = pa.Table.from_batches([b])
             held = t if held is None else pa.concat_tables([held, t])
@@ -435,14 +392,82 @@ def _within_squares(best: bool):
             _, square = numbered(held)
             last = int(np.searchsorted(square, square[-1]))
             if last:
-                yield done(held.slice(0, last))
+                whole = held.slice(0, last)
+                yield from done(whole, *numbered(whole))
                 held = held.slice(last)
         if held is not None and held.num_rows:
-            yield done(held)
+            yield from done(held, *numbered(held))
 
     return run
 
 
+def _fitting(c: dict[str, np.ndarray], square: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (x, y) of a square, of different components, whose sizes and places allow a link."""
+    m = len(square)
+    edges = np.flatnonzero(np.concatenate(([True], square[1:] != square[:-1])))
+    size = np.diff(np.append(edges, m))[square - square[0]]
+
+    def keep(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = (c["comp"][x] != c["comp"][y]) & ((c["own"][x] != c["own"][y]) | (c["lo"][x] == c["hi"][x])) & (c["cls"][x] != c["cls"][y])
+        x, y = x[ok], y[ok]
+        ok = _fits(c["n"][x], c["n"][y], c["pos"][x], c["pos"][y], np.minimum, np.maximum)
+        return x[ok], y[ok]
+
+    small = np.flatnonzero(size <= 48)
+    for step in range(1, 48):
+        x = small[small + step < m]
+        x = x[square[x] == square[x + step]]
+        if not len(x):
+            break
+        yield keep(x, x + step)
+    for lo in edges[size[edges] > 48].tolist():
+        hi = lo + int(size[lo])
+        for i in range(lo, hi, 128):
+            x, y = np.meshgrid(np.arange(i, min(i + 128, hi)), np.arange(i, hi), indexing="ij")
+            up = x < y
+            yield keep(x[up], y[up])
+
+
+def _partnered(t: pa.Table, c: dict[str, np.ndarray], square: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows that have a fitting partner."""
+    some = np.zeros(len(square), bool)
+    for x, y in _fitting(c, square):
+        some[x] = some[y] = True
+    yield from t.filter(pa.array(some)).to_batches()
+
+
+def _within_squares(best: bool):
+    """A task over rows of squares: pairs (a, b) of different components that places and bitmaps allow. If ``best``, each row's two best,
+    and the tokens of squares that have more (with null a and b)."""
+
+    def pairs(t: pa.Table, c: dict[str, np.ndarray], square: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bits = t.column("bits").combine_chunks()
+        bits = pa.concat_arrays(bits.chunks) if isinstance(bits, pa.ChunkedArray) else bits
+        off, values = bits.offsets.to_numpy().astype(np.int64), bits.values.to_numpy().view(U)
+        found: list[np.ndarray] = []
+        for x, y in _fitting(c, square):
+            if len(x):
+                d = _differ(values, off, x, y)
+                ok = d * (THRESHOLD[0] + THRESHOLD[1]) <= (c["n"][x] + c["n"][y]) * (THRESHOLD[1] - THRESHOLD[0])
+                found.append(np.stack([x[ok], y[ok], d[ok]]))
+        x, y, d = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        more = np.zeros(0, np.int64)
+        if best and len(x):
+            row, pair = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
+            order = np.lexsort((np.tile(d, 2), row))
+            row, pair = row[order], pair[order]
+            first = np.concatenate(([True, True], row[2:] != row[:-2]))
+            taken = np.zeros(len(x), bool)
+            taken[pair[first]] = True
+            more = np.unique(c["token"][x[~taken]])
+            x, y = x[taken], y[taken]
+        a, b = c["cls"][x], c["cls"][y]
+        columns = [pa.concat_arrays([pa.array(u), pa.nulls(len(more), pa.int64())]) for u in (np.minimum(a, b), np.maximum(a, b))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(more)])], names=["a", "b", "token"])
+
+    return _by_square(pairs)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, component, text_hash for every row. Ids may repeat: ``component`` names a component whatever the
     ids in it (null: no shingles), and the hash tells rows apart that share an id."""
@@ -461,12 +486,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links)
     forget(spark, tried_path, links_path)
     tiles = rare.where("kind = 1").select("token", F.col("a").alias("cls"), "n", "pos").unionByName(hot.select("token", "cls", "n", "pos"))
-    for best in (True, False):  # what is still apart meets in full, so that no link is lost
-        rest, rest_path = stored(_squares(tiles, found, classes).mapInArrow(_within_squares(best), "a long, b long").distinct(), "pairs")
+    rest_paths: list[str] = []
+    for best in (True, False):  # what is still apart and has pairs that were not tried meets in full, so that no link is lost
+        rest, rest_path = stored(_squares(tiles, found, classes).mapInArrow(_within_squares(best), "a long, b long, token long").distinct(), "pairs")
+        rest_paths.append(rest_path)
         if rest.isEmpty():
-            forget(spark, rest_path)
             break
-        more, more_path = _links(rest, classes, texts)
+        more, more_path = _links(rest.where("token IS NULL").select("a", "b"), classes, texts)
         # Components of components: the new links run between those found so far.
         of = found.select(F.col("v").alias("x"), "comp")
         for end in ("a", "b"):
@@ -474,7 +500,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         merged = components(more).select(F.col("v").alias("old"), F.col("comp").alias("new"))
         alone = merged.join(found.select(F.col("v").alias("old")), "old", "left_anti").select(F.col("old").alias("v"), F.col("new").alias("comp"))
         found, _ = stored(found.join(merged, F.col("comp") == F.col("old"), "left").select("v", F.coalesce("new", "comp").alias("comp")).unionByName(alone), "components")
-        forget(spark, rest_path, more_path)
+        forget(spark, more_path)
+        untried = rest.where("token IS NOT NULL").select("token")
+        if untried.isEmpty():
+            break
+        tiles = tiles.join(untried, "token", "left_semi")
+    forget(spark, *rest_paths)
     named = classes.select("k1", "k2", "cls", "least_doc").join(found.select(F.col("v").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least, least_path = stored(named.groupBy("comp").agg(F.min("least_doc").alias("component_id")), "least")  # a plain table, so that Spark can split a large component
     named, named_path = stored(named.join(least, "comp").select("k1", "k2", "component_id", F.col("comp").alias("component")), "named")
