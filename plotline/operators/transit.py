@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plotline.functions.text import line_key
+from plotline.session import dealt
 
 
 def departures(trips: DataFrame, stop_times: DataFrame, stops: DataFrame | None = None) -> DataFrame:
@@ -27,9 +28,12 @@ def calls_in_order(stop_times: DataFrame) -> DataFrame:
     return stop_times.groupBy("trip").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "stop"))), lambda x: x.stop.cast("string")), ">").alias("calls"))
 
 
-def board(stop_times: DataFrame, trips: DataFrame, now: int, k: int) -> DataFrame:
-    """stop, place, line, wait: the next k departures of every stop, past midnight too (ties: line, trip)."""
-    x = stop_times.join(trips, "trip").withColumn("wait", F.pmod(F.col("minute") - now, F.lit(1440)))
+def board(stop_times: DataFrame, trips: DataFrame, now: int, k: int, calls: int | None = None) -> DataFrame:
+    """stop, place, line, wait: the next k departures of every stop, past midnight too (ties: line, trip).
+
+    Calls are dealt by stop into as many tasks as they need, as each task sorts its calls; ``calls`` is their number, if it is known."""
+    x = stop_times.join(trips, "trip").select("stop", "line", "trip", "seq", F.pmod(F.col("minute") - now, F.lit(1440)).alias("wait"))
+    x = dealt(x, "stop", rows=stop_times.count() if calls is None else calls)
     w = W.partitionBy("stop").orderBy("wait", line_key(F.col("line")), "trip", "seq")
     return x.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("stop", "place", "line", "wait")
 
@@ -44,9 +48,9 @@ def on_the_road(stop_times: DataFrame, clocks: DataFrame, window: int) -> DataFr
     return x.withColumn("age", F.pmod(F.col("now") - F.col("minute"), F.lit(1440))).where(F.col("age") <= window).select("now", "trip", "age")
 
 
-def thinned(rows: DataFrame, by: str, order: str, every: int) -> DataFrame:
-    """Every n-th row of each group."""
-    return rows.withColumn("_i", F.row_number().over(W.partitionBy(by).orderBy(order))).where((F.col("_i") - 1) % every == 0).drop("_i")
+def thinned(rows: DataFrame, by: str, order: str, every: int, size: int | None = None) -> DataFrame:
+    """Every n-th row of each group, dealt into as many tasks as the rows need; ``size`` is their number, if it is known."""
+    return dealt(rows, by, rows=size).withColumn("_i", F.row_number().over(W.partitionBy(by).orderBy(order))).where((F.col("_i") - 1) % every == 0).drop("_i")
 
 
 DAYS = ("Mo", "Tu", "We", "Th", "Fr", "Sa", "Su")
