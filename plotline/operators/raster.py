@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plotline.functions import cells as C
 from plotline.functions import geometry as G
 from plotline.operators.graph import connected
-from plotline.session import stored
+from plotline.session import dealt, forget, stored
+
+#: Bits of the side of the squares in which components are looked for.
+SQUARE = 9
 
 
 def focal_sum(cells: DataFrame, radius: int, value: str = "v") -> DataFrame:
@@ -92,19 +101,45 @@ def zonal(cells: DataFrame, zones: DataFrame, q: float, least: int) -> DataFrame
 
 
 def components(mask: DataFrame) -> DataFrame:
-    """tile, y, x, label of 8-connected components; the label is the smallest run id. Rows are compressed to runs first, then runs
-    that touch are joined and labels spread until nothing changes. Nothing is sent through the driver: stored runs are small, their rows are not."""
-    w = W.partitionBy("tile", "y").orderBy("x")
-    new = F.when(F.lag("x").over(w) == F.col("x") - 1, 0).otherwise(1)
-    cells = mask.select("tile", "y", "x").distinct().withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    runs = cells.groupBy("tile", "y", "run").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    runs, _ = stored(runs, "runs")
-    at = lambda y, lo: F.struct("tile", F.col(y).alias("y"), F.col(lo).alias("lo"))
-    up = runs.select("tile", (F.col("y") + 1).alias("y"), F.col("lo").alias("plo"), F.col("hi").alias("phi"), at("y", "lo").alias("p"))
-    touch = runs.join(up.hint("merge"), ["tile", "y"]).where((F.col("lo") <= F.col("phi") + 1) & (F.col("hi") >= F.col("plo") - 1))
-    labels = connected(touch.select(at("y", "lo").alias("a"), F.col("p").alias("b"))).select(F.col("v").alias("id"), "comp")
-    named = runs.select("tile", "y", "run", at("y", "lo").alias("id")).join(labels.hint("merge"), "id", "left").withColumn("label", F.coalesce("comp", "id"))
-    return cells.join(named.select("tile", "y", "run", "label").hint("merge"), ["tile", "y", "run"]).select("tile", "y", "x", (F.shiftleft(F.col("label.y").cast("long"), 32) + F.col("label.lo")).alias("label"))
+    """tile, y, x, label of 8-connected components; the label is that of the first cell by y and x. Cells without a place are left out. Components are found square by square
+    (at most 4 ** SQUARE cells), and only those that meet across the edge of a square are joined, and their labels spread until nothing changes. Nothing is sent
+    through the driver: stored components are small, their rows are not."""
+    bits, types = SQUARE, mask.schema
+    cells, cells_path = stored(mask.select("tile", "y", "x").dropna(), "cells")
+    ranked = W.partitionBy("tile", "_y", "_x").orderBy("y", "x")
+    squares = cells.select("tile", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).withColumns({"_y": F.shiftright("y", bits), "_x": F.shiftright("x", bits)})
+    squares = dealt(squares, "tile", "_y", "_x").withColumn("first", F.row_number().over(ranked) == 1).select("tile", "y", "x", "first")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (1 << bits) - 1
+        for t in C.whole_groups(batches):
+            first, y, x = (t.column(c).to_numpy() for c in ("first", "y", "x"))
+            once = np.flatnonzero(first | (np.diff(y, prepend=y[:1]) != 0) | (np.diff(x, prepend=x[:1]) != 0))
+            first, y, x = first[once], y[once], x[once]
+            part = C.parts(*C.numbered(first, y, x))
+            edge = np.isin(y & last, (0, last)) | np.isin(x & last, (0, last))
+            is_open = np.zeros(len(y), bool)
+            is_open[part[edge]] = True
+            new = pa.table([t.column("tile").take(pa.array(once)), *map(pa.array, (y, x, y[part], x[part], edge, is_open[part]))], ["tile", "y", "x", "py", "px", "edge", "open"])
+            yield from new.to_batches()
+
+    long, flag = T.LongType(), T.BooleanType()
+    found = squares.mapInArrow(run, T.StructType([T.StructField(c, t) for c, t in (("tile", types["tile"].dataType), ("y", long), ("x", long), ("py", long), ("px", long), ("edge", flag), ("open", flag))]))
+    found, _ = stored(found, "components")
+    forget(mask.sparkSession, cells_path)
+    ends = found.where("edge").select("tile", "y", "x", F.struct("tile", "py", "px").alias("a"))
+    steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))))
+    asks = ends.withColumn("d", F.explode(steps)).select("tile", F.col("a").alias("b"), F.col("y").alias("_y"), F.col("x").alias("_x"), (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
+    asks = asks.where((F.shiftright("y", bits) != F.shiftright("_y", bits)) | (F.shiftright("x", bits) != F.shiftright("_x", bits)))
+    touch, touch_path = stored(asks.join(ends.hint("merge"), ["tile", "y", "x"]).select("a", "b").distinct(), "touching")
+    named = found.select("tile", "y", "x", "py", "px", "open")
+    if not touch.isEmpty():
+        labels = connected(touch).select(F.col("v.tile").alias("tile"), F.col("v.py").alias("py"), F.col("v.px").alias("px"), "comp")
+        joined = named.where("open").join(labels.hint("merge"), ["tile", "py", "px"], "left")
+        joined = joined.select("tile", "y", "x", F.coalesce("comp.py", "py").alias("py"), F.coalesce("comp.px", "px").alias("px"))
+        named = named.where("NOT open").select("tile", "y", "x", "py", "px").unionByName(joined)
+    forget(mask.sparkSession, touch_path)
+    return named.select("tile", *(F.col(c).cast(types[c].dataType).alias(c) for c in ("y", "x")), (F.shiftleft("py", 32) + F.col("px")).alias("label"))
 
 
 def blob_shapes(labelled: DataFrame, cells: DataFrame) -> DataFrame:
